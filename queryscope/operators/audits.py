@@ -330,9 +330,9 @@ def distinct_over_group(df: DataFrame, keys: Sequence[str], proj: Sequence[Colum
     """Rows of a grouped projection before and after DISTINCT."""
     g = df.groupBy(*keys).agg(*proj)
     names = [c for c in g.columns if c not in keys]
-    per_row = g.groupBy(*names).agg(F.count(N).alias("n"))
+    per_row = g.groupBy(*names).agg(F.count(N).alias("_copies"))
     return per_row.agg(
-        _sum0(F.col("n")).alias("rows_before"),
+        _sum0(F.col("_copies")).alias("rows_before"),
         _cnt().alias("rows_after"),
     ).withColumn("rows_saved", F.col("rows_before") - F.col("rows_after"))
 
