@@ -165,9 +165,14 @@ def title_shares(results: DataFrame) -> DataFrame:
     """Per title: queries hit and their share of all valid queries."""
     total = results.agg(F.count_if("valid").alias("total"))
     hits = findings_of(results, "query_id").groupBy("title", "severity").agg(F.count("*").alias("queries"))
-    # the total is one row
-    return hits.join(F.broadcast(total), F.lit(True), "inner").select(
-        "title", "severity", "queries", F.round(F.col("queries") * 100.0 / F.col("total"), 4).alias("share_pct")
+    # both sides hold at most one row per title, so they fit one array
+    both = hits.unionByName(total, allowMissingColumns=True)
+    one = both.agg(
+        F.collect_list(F.when(F.col("title").isNotNull(), F.struct("title", "severity", "queries"))).alias("h"),
+        F.max("total").alias("total"),
+    )
+    return one.select("total", F.inline("h")).select(
+        "title", "severity", "queries", F.round(F.col("queries") * F.lit(100.0) / F.col("total"), 4).alias("share_pct")
     )
 
 

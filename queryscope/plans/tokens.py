@@ -36,7 +36,9 @@ def normalise_log(log: DataFrame, dbt_mode: bool = False) -> DataFrame:
     known = F.col("dialect").isin(K.DIALECTS)
     d = F.when(known, F.col("dialect")).otherwise(K.DIALECTS[0])
     out = log.withColumn("dialect", d).withColumn("sql", sql)
-    return out.withColumn("tid", F.sha2(F.concat_ws("\u0000", "dialect", "sql"), 256))
+    # 16 bytes of SHA-256: narrow, because every token row carries and sorts by it
+    digest = F.unhex(F.sha2(F.concat_ws("\n", "dialect", "sql"), 256))
+    return out.withColumn("tid", F.substring(digest, 1, 16))
 
 
 def split_oversize(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +94,7 @@ def _name() -> Column:
 def scoped_tokens(texts: DataFrame) -> DataFrame:
     """Tokens (comments dropped, positions dense) with frame, scope, clause, arm, segment and name facts."""
     c = F.col
-    t = token_table(texts).where("kind <> 'comment'").withColumn("name", _name())
+    t = token_table(texts).where("kind <> 'comment'")
 
     # neighbours, statement number and parenthesis depth
     w = W.partitionBy("tid").orderBy("pos")
@@ -100,16 +102,11 @@ def scoped_tokens(texts: DataFrame) -> DataFrame:
     one = lambda cond: F.when(cond, 1).otherwise(0)
     run = lambda cond, win: F.coalesce(F.sum(one(cond)).over(win), F.lit(0))
     t = t.select(
-        "tid", "dialect", "line", "text", "u", "kind", "name",
+        "tid", "line", "text", "u", "kind",
         F.row_number().over(w).alias("rn"),
-        *[F.lag("u", i).over(w).alias(f"p{i}") for i in range(1, 6)],
+        *[F.lag("u", i).over(w).alias(f"p{i}") for i in (1, 2)],
         *[F.lead("u", i).over(w).alias(f"n{i}") for i in (1, 2)],
         F.lag("kind", 1).over(w).alias("pk1"),
-        F.lead("kind", 1).over(w).alias("nk1"),
-        F.lead("text", 1).over(w).alias("nt1"),
-        F.lag("text", 1).over(w).alias("pt1"),
-        F.lag("name", 2).over(w).alias("name2"),
-        F.lag("name", 4).over(w).alias("name4"),
         run(c("u") == ";", prior).alias("stmt"),
         (run(c("u") == "(", prior) - run(c("u") == ")", upto)).alias("depth"),
     ).withColumnRenamed("rn", "pos")
@@ -212,13 +209,20 @@ def scoped_tokens(texts: DataFrame) -> DataFrame:
     trailing = (c("n_setop") > 0) & c("clause").isin("ORDER", "LIMIT", "OFFSET")
     t = t.withColumn("arm", F.when(trailing, 0).otherwise(c("arm0")))
 
-    # back in text order: the clause around each sub-select
+    # back in text order: the clause around each sub-select, and the wider neighbourhood
+    t = t.withColumn("name", _name())
     def around(clause: str, alias: str) -> Column:
         here = c("clause") == clause
         return (run((c("okind") == "select") & here, prior) - run((c("m.kind") == "select") & here, upto)).alias(alias)
 
     t = t.select(
         "*",
+        *[F.lag("u", i).over(w).alias(f"p{i}") for i in range(3, 6)],
+        F.lead("kind", 1).over(w).alias("nk1"),
+        F.lead("text", 1).over(w).alias("nt1"),
+        F.lag("text", 1).over(w).alias("pt1"),
+        F.lag("name", 2).over(w).alias("name2"),
+        F.lag("name", 4).over(w).alias("name4"),
         around("WHERE", "sub_where"),
         around("SELECT", "sub_select"),
         (run((c("okind") == "select") & (c("p1") == "EXISTS"), prior) - run((c("m.kind") == "select") & (c("m.fn") == "EXISTS"), upto)).alias("in_exists"),

@@ -16,6 +16,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         # one hash on the text id serves every finer window, group and join
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        # token jobs multiply their input, so small text partitions are worth a task of their own
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         # merge activity sessions map-side before the key shuffle
         "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     }.items():
