@@ -258,13 +258,8 @@ def scoped_tokens(texts: DataFrame) -> DataFrame:
     return t.withColumn("start", start).withColumn("is_fn", F.coalesce((is_name | c("u").isin("LEFT", "RIGHT", "REPLACE")) & calls & ~c("is_src"), F.lit(False)))
 
 
-def segments(tok: DataFrame) -> DataFrame:
-    """One row per list item, condition, source or clause: the facts the rules read.
-
-    A segment starts at a clause keyword, at a top-level comma of a list clause
-    and at a top-level AND of a condition. Tokens of nested sub-selects belong
-    to their own scope; positions ``s..e`` still span them.
-    """
+def core_flag() -> Column:
+    """Does a token belong to the expression of its segment (no keyword, separator, alias or direction)?"""
     c = F.col
     p1 = F.coalesce(c("p1"), F.lit(";"))
     d = c("direct")
@@ -281,7 +276,72 @@ def segments(tok: DataFrame) -> DataFrame:
         | (d & (c("u") == "ASC") & (c("clause") == "ORDER"))
         | (c("u") == ";")
     )
-    t = tok.withColumn("core", ~F.coalesce(drop, F.lit(False)))
+    return ~F.coalesce(drop, F.lit(False))
+
+
+def spacing() -> Column:
+    """Blank before a token in printed SQL, judged by its left neighbour ``p1`` / ``pk1``."""
+    c = F.col
+    tight = (
+        c("u").isin(".", ",", ")", ";", "::", "]")
+        | c("p1").isin(".", "(", "::", "[")
+        | ((c("u") == "(") & ((c("pk1") == "word") | c("p1").isin("LEFT", "RIGHT", "REPLACE")))
+        | ((c("u") == "[") & (c("pk1") == "word"))
+    )
+    return F.when(F.coalesce(tight, F.lit(False)) | c("p1").isNull(), F.lit("")).otherwise(F.lit(" "))
+
+
+def printed(cond: Column) -> Column:
+    """Aggregate the tokens that satisfy ``cond`` into text, in order."""
+    shown = F.when(F.col("kind") == "kw", F.col("u")).otherwise(F.col("text"))
+    parts = F.array_sort(F.collect_list(F.when(cond, F.struct("pos", F.concat(spacing(), shown).alias("x")))))
+    return F.trim(F.array_join(F.transform(parts, lambda p: p["x"]), ""))
+
+
+def root_items(tok: DataFrame) -> DataFrame:
+    """Segments of each statement's outermost SELECT with their whole text, nested sub-selects included."""
+    c = F.col
+    t = tok.withColumn("keep", F.when(c("scope") < 0, core_flag()).otherwise(True))
+    own = (c("scope") < 0) & (c("seg") == c("rseg"))
+    any_ = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    agg_fn = c("is_fn") & c("u").isin(K.AGGREGATES)
+    return t.groupBy("tid", "stmt", "rseg").agg(
+        F.max(F.when(own, c("clause"))).alias("clause"),
+        F.max(F.when(own, c("src_no"))).alias("src_no"),
+        F.max(F.when(own, c("arm0"))).alias("arm"),
+        F.max(F.when(own, c("n_setop"))).alias("n_setop"),
+        printed(c("keep")).alias("txt"),
+        F.max(F.when(own & c("is_ialias"), c("name"))).alias("alias"),
+        F.max(F.when(own & c("is_col"), c("name"))).alias("col_name"),
+        F.count_if(c("keep")).alias("n_core"),
+        F.count_if(c("keep") & (c("name").isNotNull() | (c("u") == "."))).alias("n_path"),
+        F.max(F.when(own & c("is_src"), c("name"))).alias("src"),
+        any_(own & c("is_tab")).alias("is_tab"),
+        F.max(F.when(own & c("is_salias"), c("name"))).alias("src_alias"),
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.when(own & c("direct") & (c("clause") == "JOIN") & c("u").isin(JOIN_WORDS), F.struct("pos", "u")))),
+                lambda x: x["u"],
+            ),
+            " ",
+        ).alias("kind"),
+        any_(agg_fn).alias("has_agg"),
+        any_(own & c("direct") & (c("u") == "OR") & (c("cases") == 0)).alias("has_or"),
+        F.min("pos").alias("s"),
+    )
+
+
+def segments(tok: DataFrame) -> DataFrame:
+    """One row per list item, condition, source or clause: the facts the rules read.
+
+    A segment starts at a clause keyword, at a top-level comma of a list clause
+    and at a top-level AND of a condition. Tokens of nested sub-selects belong
+    to their own scope; positions ``s..e`` still span them.
+    """
+    c = F.col
+    p1 = F.coalesce(c("p1"), F.lit(";"))
+    d = c("direct")
+    t = tok.withColumn("core", core_flag())
     core = c("core")
     sort_word = d & (c("clause") == "ORDER") & (c("u").isin("DESC", "NULLS") | (p1 == "NULLS"))
     key = core & ~F.coalesce(sort_word, F.lit(False))
@@ -304,7 +364,6 @@ def segments(tok: DataFrame) -> DataFrame:
         F.count_if(core).alias("n_core"),
         F.count_if(key).alias("n_key"),
         F.array_join(F.transform(F.array_sort(got(core, F.struct("pos", shown.alias("x")))), lambda x: x["x"]), " ").alias("txt"),
-        F.array_join(F.transform(F.array_sort(got(c("ckw").isNull() & (c("u") != ";") & ~(c("brk")), F.struct("pos", shown.alias("x")))), lambda x: x["x"]), " ").alias("full_txt"),
         F.count_if(core & (c("name").isNotNull() | (c("u") == ".") | ((c("u") == "*") & (p1 == ".")))).alias("n_path"),
         F.count_if(c("is_col")).alias("n_cols"),
         any_(key & (c("kind") == "num")).alias("has_num"),
@@ -411,7 +470,7 @@ def statements(tok: DataFrame) -> DataFrame:
     c = F.col
     seg = segments(tok)
     keep = [
-        "clause", "seg", "src_no", "s", "e", "c0", "n_core", "txt", "full_txt", "bare", "ordinal", "agg_item", "wrapped", "star",
+        "clause", "seg", "src_no", "s", "e", "c0", "n_core", "txt", "bare", "ordinal", "agg_item", "wrapped", "star",
         "alias", "src", "is_tab", "src_alias", "over_cols", "ops",
         *["j_" + k.lower() for k in JOIN_WORDS if k != "JOIN"],
     ]
