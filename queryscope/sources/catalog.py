@@ -45,3 +45,117 @@ def merge_catalogs(explicit: DataFrame, derived: DataFrame) -> DataFrame:
     """The explicit catalog wins table by table, with its whole column list."""
     rest = derived.join(explicit.select("table_name").distinct(), "table_name", "left_anti")
     return rest.unionByName(explicit, allowMissingColumns=True)
+
+
+def catalog_profile(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """Live catalog with the filled values of every column (one pass per table)."""
+    parts = []
+    for t, df in tables.items():
+        rows = [
+            F.struct(
+                F.lit(t).alias("table_name"),
+                F.lit(f.name).alias("column_name"),
+                F.lit(i).cast("int").alias("ordinal"),
+                F.count(f.name).cast("bigint").alias("filled_rows"),
+            )
+            for i, f in enumerate(df.schema.fields, 1)
+        ]
+        parts.append(df.agg(F.array(*rows).alias("a")).select(F.inline("a")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def catalog_from_json(df: DataFrame, col: str, *keep: str) -> DataFrame:
+    """Catalog rows from a column of ``{table: [columns]}`` texts."""
+    m = F.from_json(F.col(col), "map<string,array<string>>")
+    return df.select(*keep, F.explode(m).alias("table_name", "cols")).select(
+        *keep, "table_name", F.posexplode("cols").alias("i", "column_name")
+    ).select(*keep, "table_name", "column_name", (F.col("i") + 1).alias("ordinal"))
+
+
+_NOT_COLUMNS = ["CONSTRAINT", "PRIMARY", "FOREIGN", "UNIQUE", "CHECK", "KEY", "INDEX"]
+
+
+def _ddl_statements(ddl: DataFrame) -> DataFrame:
+    """One row per DDL statement: create_table, table_name, balanced, columns in order."""
+    from pyspark.sql import Window as W
+
+    from queryscope.plans import tokens as T
+
+    c = F.col
+    keyed = ddl.where(F.length("sql") <= K.MAX_DDL_CHARS).select("ddl_id", "sql", F.lit("postgres").alias("dialect"))
+    tok = T.token_table(keyed.withColumn("tid", F.col("ddl_id"))).where("kind <> 'comment'")
+    tok = tok.withColumn("name", T._name())
+    w = W.partitionBy("tid").orderBy("pos")
+    prior, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
+    one = lambda cond: F.when(cond, 1).otherwise(0)
+    tok = tok.withColumn("stmt", F.coalesce(F.sum(one(c("u") == ";")).over(prior), F.lit(0))).where("u <> ';'")
+    ws = W.partitionBy("tid", "stmt").orderBy("pos")
+    p2, u2 = ws.rowsBetween(W.unboundedPreceding, -1), ws.rowsBetween(W.unboundedPreceding, 0)
+    tok = tok.select(
+        "*",
+        (F.coalesce(F.sum(one(c("u") == "(")).over(p2), F.lit(0)) - F.coalesce(F.sum(one(c("u") == ")")).over(u2), F.lit(0))).alias("depth"),
+        F.lag("u").over(ws).alias("p1"),
+        F.lead("u").over(ws).alias("n1"),
+        F.row_number().over(ws).alias("rn"),
+        F.coalesce(F.sum(one((c("u") == "(") )).over(p2), F.lit(0)).alias("opened"),
+        F.coalesce(F.max(one(c("u") == "TABLE")).over(p2), F.lit(0)).alias("after_table"),
+        F.coalesce(F.max(one(c("u") == "AS")).over(p2), F.lit(0)).alias("after_as"),
+    )
+    # the name is the last part of the dotted run right before the first parenthesis
+    name = F.max_by("name", F.when((c("opened") == 0) & c("name").isNotNull() & (c("after_table") == 1) & (c("after_as") == 0) & ~c("u").isin("IF", "EXISTS"), c("pos")))
+    item = (c("depth") == 1) & (c("p1").isin("(", ",")) & c("name").isNotNull() & ~c("u").isin(_NOT_COLUMNS) & ~c("n1").isin(",", ")")
+    return tok.groupBy("tid", "stmt").agg(
+        F.bool_or((c("rn") == 1) & (c("u") == "CREATE")).alias("is_create"),
+        (F.min_by("u", F.when(c("u").isin("TABLE", "VIEW", "INDEX", "FUNCTION", "PROCEDURE", "SCHEMA", "DATABASE"), c("pos"))) == "TABLE").alias("is_table"),
+        (F.count_if(c("u") == "(") == F.count_if(c("u") == ")")).alias("balanced"),
+        name.alias("table_name"),
+        F.transform(F.array_sort(F.collect_list(F.when(item, F.struct("pos", "name")))), lambda x: x["name"]).alias("cols"),
+    )
+
+
+def catalog_from_ddl(ddl: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(catalog rows, skipped counts) of DDL texts (ddl_id, sql); a bad statement never hides its neighbours.
+
+    Only CREATE TABLE with columns counts; everything else is counted as
+    skipped, and a text above the size limit is refused as a whole.
+    """
+    c = F.col
+    st = _ddl_statements(ddl)
+    ok = F.coalesce(c("is_create") & c("is_table") & c("balanced") & c("table_name").isNotNull() & (F.size("cols") > 0), F.lit(False))
+    catalog = st.where(ok).select(c("tid").alias("ddl_id"), "table_name", F.posexplode("cols").alias("i", "column_name")).select(
+        "ddl_id", "table_name", "column_name", (c("i") + 1).alias("ordinal")
+    )
+    skipped = st.groupBy(c("tid").alias("ddl_id")).agg(F.count_if(~ok).alias("skipped"))
+    refused = ddl.where(F.length("sql") > K.MAX_DDL_CHARS).select("ddl_id", F.lit(None).cast("bigint").alias("skipped"))
+    return catalog, skipped.unionByName(refused)
+
+
+# ---- corpus-wide checks -----------------------------------------------------
+
+
+def ambiguous_names(catalog: DataFrame) -> DataFrame:
+    """Column names of two or more catalog tables."""
+    return catalog.groupBy(F.lower("column_name").alias("column_name")).agg(
+        F.countDistinct(F.lower("table_name")).alias("table_count"),
+        F.array_join(F.array_sort(F.collect_set(F.lower("table_name"))), ",").alias("tables"),
+    ).where("table_count > 1")
+
+
+def positional_check(target: DataFrame, source: DataFrame) -> DataFrame:
+    """Target and source columns side by side by position, with the source values at stake."""
+    t = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(target.schema.fields, 1)]
+    s = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(source.schema.fields, 1)]
+    spark = target.sparkSession
+    filled = catalog_profile(spark, {"s": source}).select("ordinal", "filled_rows")
+    td = spark.createDataFrame(t, "ordinal int, target_column string, target_type string")
+    sd = spark.createDataFrame(s, "ordinal int, source_column string, source_type string")
+    j = td.join(sd, "ordinal", "full").join(filled, "ordinal", "left")
+    return j.select(
+        "ordinal", "target_column", "source_column",
+        F.coalesce(F.lower("target_column") == F.lower("source_column"), F.lit(False)).alias("same_name"),
+        F.coalesce(F.col("target_type") == F.col("source_type"), F.lit(False)).alias("same_type"),
+        F.coalesce("filled_rows", F.lit(0)).alias("filled_rows"),
+    )
