@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from queryscope.functions import words as K
 from queryscope.operators import rules as R
 from queryscope.plans import tokens as T
 
@@ -38,19 +37,11 @@ def _null_edits(tok: DataFrame) -> DataFrame:
 
 def _distinct_edits(st: DataFrame) -> DataFrame:
     """Drop DISTINCT only if every group key is selected; otherwise it does remove rows."""
-
-    def spot(s: Column) -> Column:
-        shown = F.transform(R._in(s, "SELECT"), lambda g: F.lower(g["txt"]))
-        names = F.transform(R._in(s, "SELECT"), lambda g: F.lower(g["alias"]))
-        kept = F.forall(
-            R._in(s, "GROUP"),
-            lambda g: g["ordinal"] | F.array_contains(shown, F.lower(g["txt"])) | F.coalesce(F.array_contains(names, F.lower(g["txt"])), F.lit(False)),
-        )
-        head = F.array_min(F.transform(R._in(s, "SELECT"), lambda g: g["s"]))
-        return F.when(s["distinct"] & R._has(s, "GROUP") & kept, head + 1)
-
-    spots = F.array_compact(F.transform(R._selects(), spot))
-    return st.select("tid", F.explode(spots.cast("array<double>")).alias("pos"), F.lit("").alias("new"))
+    items = R._in("s", "SELECT")
+    shown = f"flatten(transform({items}, g -> array(lower(g.txt), lower(g.alias))))"
+    kept = f"forall({R._in('s', 'GROUP')}, k -> k.ordinal OR coalesce(array_contains({shown}, lower(k.txt)), false))"
+    spot = f"if(s.distinct AND {R._has('s', 'GROUP')} AND {kept}, array_min(transform({items}, g -> g.s)) + 1, NULL)"
+    return st.selectExpr("tid", f"explode(CAST(array_compact(transform({R.SELECTS}, s -> {spot})) AS array<double>)) AS pos", "'' AS new")
 
 
 def case_spans(tok: DataFrame) -> DataFrame:
@@ -80,10 +71,9 @@ def _case_edits(tok: DataFrame) -> DataFrame:
 
 
 def _leak_edits(st: DataFrame) -> DataFrame:
-    names = F.transform("tabs", lambda t: F.lower(t["alias"]))
-    bad = F.filter("cols", lambda c: c["db"].isNotNull() & F.array_contains(names, F.lower(c["db"])))
-    spots = F.flatten(F.transform(bad, lambda c: F.array(c["pos"] - 4, c["pos"] - 3)))
-    return st.select("tid", F.explode(F.array_distinct(spots).cast("array<double>")).alias("pos"), F.lit("").alias("new"))
+    bad = "filter(cols, c -> c.db IS NOT NULL AND exists(tabs, t -> lower(t.alias) = lower(c.db)))"
+    spots = f"array_distinct(flatten(transform({bad}, c -> array(c.pos - 4, c.pos - 3))))"
+    return st.selectExpr("tid", f"explode(CAST({spots} AS array<double>)) AS pos", "'' AS new")
 
 
 def fix_texts(texts: DataFrame, which=FIXES) -> DataFrame:
@@ -110,7 +100,7 @@ def fix_texts(texts: DataFrame, which=FIXES) -> DataFrame:
         "tid", "pos", shown.alias("text"), F.coalesce("new", "u").alias("u"), F.coalesce("kind", F.lit("kw")).alias("kind"), c("new")
     )
     ready = ready.withColumn("p1", F.lag("u").over(w)).withColumn("pk1", F.lag("kind").over(w))
-    g = ready.groupBy("tid").agg(T.printed(F.lit(True)).alias("fixed_sql"), F.count("new").alias("edits"))
+    g = ready.groupBy("tid").agg(F.expr(f"{T.printed('true')} AS fixed_sql"))
     # dropped tokens leave no row, so count the edits at their source
     touched = edits.select("tid").distinct()
     return g.join(touched, "tid", "left_semi").select("tid", "fixed_sql")

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from queryscope.functions import words as K
 from queryscope.plans import tokens as T
@@ -67,343 +67,239 @@ MESSAGES = {
     "Possible missing comma": "Two words stand side by side, which makes the second an alias. Is a comma missing? %s",
 }
 
-HIT = ""
-_JOIN_SIDES = ("j_left", "j_right", "j_full")
+def _in(s: str, *clauses: str) -> str:
+    """Segments of SELECT arm ``s`` in the given clauses."""
+    names = ", ".join(f"'{c}'" for c in clauses)
+    return f"filter({s}.segs, sg -> sg.clause IN ({names}))"
 
 
-def _when(cond: Column) -> Column:
-    return F.when(cond, F.lit(HIT))
+def _has(s: str, *clauses: str) -> str:
+    names = ", ".join(f"'{c}'" for c in clauses)
+    return f"exists({s}.segs, sg -> sg.clause IN ({names}))"
 
 
-def _first(arr: Column) -> Column:
+def _first(arr: str) -> str:
     """First entry of an array, NULL when empty."""
-    return F.get(arr, F.lit(0))
+    return f"get({arr}, 0)"
 
 
-def _in(s: Column, clause: str | Sequence[str]) -> Column:
-    names = [clause] if isinstance(clause, str) else list(clause)
-    return F.filter(s["segs"], lambda g: g["clause"].isin(names))
+#: SELECT arms of the statement
+SELECTS = f"filter(sels, s -> s.arm >= 1 AND {_has('s', 'SELECT')})"
 
 
-def _has(s: Column, clause: str | Sequence[str]) -> Column:
-    return F.size(_in(s, clause)) > 0
+def _any_select(pred: str) -> str:
+    """Some SELECT arm ``s`` satisfies ``pred``."""
+    return f"exists({SELECTS}, s -> coalesce({pred}, false))"
 
 
-def _selects() -> Column:
-    """SELECT arms of the statement."""
-    return F.filter("sels", lambda s: (s["arm"] >= 1) & _has(s, "SELECT"))
+def _select_detail(expr: str) -> str:
+    """First non-NULL ``expr`` over the SELECT arms ``s``."""
+    return _first(f"array_compact(transform({SELECTS}, s -> {expr}))")
 
 
-def _any_select(pred: Callable[[Column], Column]) -> Column:
-    return F.exists(_selects(), pred)
+def _cols(g: str) -> str:
+    """Columns inside segment ``g``, nested sub-selects included."""
+    return f"filter(cols, cl -> cl.pos BETWEEN {g}.s AND {g}.e)"
 
 
-def _limited(s: Column) -> Column:
-    return _has(s, "LIMIT") | s["top"]
+def _alias(g: str) -> str:
+    return f"coalesce({g}.src_alias, {g}.src)"
 
 
-def _cols_in(g: Column) -> Column:
-    """Columns inside a segment, nested sub-selects included."""
-    return F.filter("cols", lambda c: c["pos"].between(g["s"], g["e"]))
+SOURCES = ("FROM", "JOIN", "COMMA")
+LIMITED = f"({_has('s', 'LIMIT')} OR s.top)"
+ORDERED = _has("s", "ORDER")
+JOINED = _in("s", "JOIN", "COMMA")
+#: a derived table, scalar subquery or CTE, but no EXISTS, function argument or set operation
+NESTED = "(s.scope > 0 AND s.n_setop = 0 AND s.opener NOT IN ('EXISTS', 'ANY', 'ALL', 'SOME') AND NOT s.fn_opener)"
 
 
-def _alias(g: Column) -> Column:
-    return F.coalesce(g["src_alias"], g["src"])
+def _ops(s: str, g: str) -> str:
+    """Operators at the top level of condition ``g``; one pair of outer parentheses is looked through."""
+    return f"filter({g}.ops, op -> op.frame = if({g}.wrapped, {g}.c0 + 1, {s}.scope))"
 
 
-def _joins(s: Column) -> Column:
-    return _in(s, ["JOIN", "COMMA"])
+def _op(s: str, g: str, *ops: str) -> str:
+    names = ", ".join(f"'{o}'" for o in ops)
+    return f"exists({_ops(s, g)}, oq -> oq.u IN ({names}))"
 
 
-def _cond_of(s: Column, g: Column) -> Column:
-    return F.exists(s["segs"], lambda h: h["clause"].isin("ON", "USING") & (h["src_no"] == g["src_no"]))
+#: WHERE conditions of ``s``; none when a top-level OR makes the whole clause one unit
+CONDS = f"if(exists({_in('s', 'WHERE')}, wg -> NOT wg.wrapped AND {_op('s', 'wg', 'OR')}), filter(s.segs, wg -> false), {_in('s', 'WHERE')})"
 
+_SAFE = r"r'(?i)^(?:coalesce|ifnull|nvl) \( \w+ \. \w+ , (\x27[^\x27]*\x27|\d+(?:\.\d+)?) \) (=|<>|!=|<|>|<=|>=) (\x27[^\x27]*\x27|\d+(?:\.\d+)?)$'"
 
-def _ops(s: Column, g: Column) -> Column:
-    """Operators at the top level of a condition; one pair of outer parentheses is looked through."""
-    frame = F.when(g["wrapped"], g["c0"] + 1).otherwise(s["scope"])
-    return F.filter(g["ops"], lambda o: o["frame"] == frame)
 
-
-def _op(s: Column, g: Column, *ops: str) -> Column:
-    return F.exists(_ops(s, g), lambda o: o["u"].isin(*ops))
-
-
-def _is_or(s: Column, g: Column) -> Column:
-    return _op(s, g, "OR")
-
-
-def _is_null_test(s: Column, g: Column) -> Column:
-    return _op(s, g, "IS")
-
-
-def _is_not_null(s: Column, g: Column) -> Column:
-    return F.exists(_ops(s, g), lambda o: (o["u"] == "IS") & (o["n1"] == "NOT"))
-
-
-def _split_where(s: Column) -> Column:
-    """WHERE conditions; empty when a top-level OR makes the whole clause one unit."""
-    w = _in(s, "WHERE")
-    whole_or = F.exists(w, lambda g: ~g["wrapped"] & _is_or(s, g))
-    return F.when(whole_or, F.filter(w, lambda g: F.lit(False))).otherwise(w)
-
-
-_SAFE = r"(?i)^(?:coalesce|ifnull|nvl) \( \w+ \. \w+ , ('[^']*'|\d+(?:\.\d+)?) \) (=|<>|!=|<|>|<=|>=) ('[^']*'|\d+(?:\.\d+)?)$"
-
-
-def null_safe(txt: Column) -> Column:
+def _null_safe(txt: str) -> str:
     """Is ``COALESCE(col, a) op b`` true for a row whose columns are all NULL?"""
-    a, op, b = (F.regexp_extract(txt, _SAFE, i) for i in (1, 2, 3))
-    num = ~a.startswith("'") & ~b.startswith("'") & (a != "")
-    x, y = a.try_cast("double"), b.try_cast("double")
+    a, op, b = (f"regexp_extract({txt}, {_SAFE}, {i})" for i in (1, 2, 3))
 
-    def cmp(l: Column, r: Column) -> Column:
+    def cmp(l: str, r: str) -> str:
         return (
-            F.when(op == "=", l == r).when(op.isin("<>", "!="), l != r).when(op == "<", l < r)
-            .when(op == ">", l > r).when(op == "<=", l <= r).otherwise(l >= r)
+            f"CASE {op} WHEN '=' THEN {l} = {r} WHEN '<>' THEN {l} <> {r} WHEN '!=' THEN {l} <> {r} WHEN '<' THEN {l} < {r}"
+            f" WHEN '>' THEN {l} > {r} WHEN '<=' THEN {l} <= {r} ELSE {l} >= {r} END"
         )
 
-    return F.when(op == "", F.lit(False)).when(num, cmp(x, y)).otherwise(cmp(a, b))
-
-
-def _optional(s: Column) -> Column:
-    """Aliases on the optional side of the outer joins of a SELECT."""
-    main = _alias(_first(_in(s, "FROM")))
-    joined = F.transform(
-        _joins(s),
-        lambda g: F.when(g["j_left"], F.array(_alias(g)))
-        .when(g["j_right"], F.array(main))
-        .when(g["j_full"], F.array(_alias(g), main))
-        .otherwise(F.array().cast("array<string>")),
-    )
-    return F.array_compact(F.flatten(joined))
+    nums = f"try_cast({a} AS DOUBLE) IS NOT NULL AND try_cast({b} AS DOUBLE) IS NOT NULL"
+    return f"({op} <> '' AND if({nums}, {cmp(f'try_cast({a} AS DOUBLE)', f'try_cast({b} AS DOUBLE)')}, {cmp(a, b)}))"
 
 
-def _nullified(s: Column) -> Column:
+def _nullified() -> str:
     """First optional-side column that a WHERE condition filters on."""
-    opt = _optional(s)
-    conds = _split_where(s)
-    guarded = F.flatten(
-        F.transform(F.filter(conds, lambda g: _is_not_null(s, g)), lambda g: F.transform(_cols_in(g), lambda c: c["qual"]))
-    )
-    plain = F.filter(conds, lambda g: ~_is_or(s, g) & ~_is_null_test(s, g))
-    hits = lambda g: F.filter(
-        _cols_in(g),
-        lambda c: c["qual"].isNotNull() & F.array_contains(opt, c["qual"]) & ~F.coalesce(F.array_contains(guarded, c["qual"]), F.lit(False)),
-    )
-    found = F.flatten(F.transform(plain, hits))
+    main = _alias(_first(_in("s", "FROM")))
+    optional = f"""array_compact(flatten(transform({JOINED}, j -> CASE WHEN j.j_left THEN array({_alias('j')}) WHEN j.j_right THEN array({main})
+      WHEN j.j_full THEN array({_alias('j')}, {main}) ELSE CAST(array() AS array<string>) END)))"""
+    not_null = f"exists({_ops('s', 'g')}, oq -> oq.u = 'IS' AND oq.n1 = 'NOT')"
+    guarded = f"flatten(transform(filter({CONDS}, g -> {not_null}), g -> transform({_cols('g')}, cq -> cq.qual)))"
+    found = f"""flatten(transform(filter({CONDS}, g -> NOT {_op('s', 'g', 'OR', 'IS')}),
+      g -> filter({_cols('g')}, cq -> cq.qual IS NOT NULL AND NOT coalesce(array_contains({guarded}, cq.qual), false)
+        AND array_contains({optional}, cq.qual))))"""
+    outer = f"exists({JOINED}, j -> j.j_left OR j.j_right OR j.j_full)"
     # a WHERE made of NULL-safe conditions alone lets unmatched rows through
-    survives = F.forall(conds, lambda g: null_safe(g["txt"]))
-    names = F.transform(found, lambda c: F.concat_ws(".", c["qual"], c["name"]))
-    return F.when((F.size(opt) > 0) & ~survives, _first(names))
-
-
-def _select_detail(fn: Callable[[Column], Column]) -> Column:
-    return _first(F.array_compact(F.transform(_selects(), fn)))
-
-
-def _lists(s: Column, clause: str) -> tuple[Column, Column]:
-    items = _in(s, clause)
-    return F.exists(items, lambda g: g["ordinal"]), F.exists(items, lambda g: ~g["ordinal"])
-
-
-def _in_window(pos: Column) -> Column:
-    return F.exists("wins", lambda w: pos.between(w["o"] - 1, w["z"]))
-
-
-def _plain_opener(s: Column) -> Column:
-    return ~s["opener"].isin("EXISTS", "ANY", "ALL", "SOME") & ~s["fn_opener"]
-
-
-def _tautology(s: Column, value: str) -> Column:
-    """A join whose whole ON is TRUE, or compares a literal with itself."""
+    survives = f"forall({CONDS}, g -> {_null_safe('g.txt')})"
+    return f"CASE WHEN {outer} AND NOT {survives} THEN {_first(f'transform({found}, x -> concat_ws({chr(39)}.{chr(39)}, x.qual, x.name))')} END"
 
-    def hit(g: Column) -> Column:
-        on = F.filter(s["segs"], lambda h: (h["clause"] == "ON") & (h["src_no"] == g["src_no"]))
-        txt = _first(on)["txt"]
-        if value == "true":
-            test = F.lower(txt) == "true"
-        else:
-            test = txt.rlike(r"^('[^']*'|\d+(?:\.\d+)?) = \1$")
-        return (F.size(on) == 1) & F.coalesce(test, F.lit(False))
 
-    return F.exists(_joins(s), hit)
+def _tautology(test: str) -> str:
+    """A join whose whole ON is the given test on its text ``o.txt``."""
+    on = "filter(s.segs, h -> h.clause = 'ON' AND h.src_no = j.src_no)"
+    return f"exists(sels, s -> exists({JOINED}, j -> size({on}) = 1 AND exists({on}, o -> {test})))"
 
 
-def _unused_join(s: Column) -> Column:
-    zones = ["SELECT", "WHERE", "GROUP", "HAVING", "ORDER"]
-
-    def used(j: Column) -> Column:
-        places = F.filter(
-            s["segs"], lambda g: g["clause"].isin(zones) | ((g["clause"] == "ON") & (g["src_no"] != j["src_no"]))
-        )
-        return F.exists(places, lambda g: F.exists(_cols_in(g), lambda c: c["qual"] == _alias(j)))
-
+def _unused_join() -> str:
+    zone = "(g.clause IN ('SELECT', 'WHERE', 'GROUP', 'HAVING', 'ORDER') OR (g.clause = 'ON' AND g.src_no <> j.src_no))"
+    used = f"exists(filter(s.segs, g -> {zone}), g -> exists({_cols('g')}, cq -> coalesce(cq.qual = {_alias('j')}, false)))"
     # table functions such as UNNEST are not judged
-    table_like = lambda j: _alias(j).isNotNull() & (j["is_tab"] | j["src"].isNull())
-    idle = F.filter(_joins(s), lambda j: table_like(j) & ~F.coalesce(used(j), F.lit(False)))
-    return F.when(_has(s, "FROM"), _alias(_first(idle)))
+    idle = f"filter({JOINED}, j -> {_alias('j')} IS NOT NULL AND (j.is_tab OR j.src IS NULL) AND NOT {used})"
+    return f"if({_has('s', 'FROM')}, {_alias(_first(idle))}, NULL)"
 
 
-def _ambiguous(s: Column) -> Column:
-    srcs = _in(s, ["FROM", "JOIN", "COMMA"])
-    ok = (F.size(_joins(s)) >= 1) & _has(s, "FROM") & F.forall(srcs, lambda g: g["is_tab"])
-    loose = F.flatten(
-        F.transform(_in(s, "SELECT"), lambda g: F.filter(_cols_in(g), lambda c: c["qual"].isNull() & (c["name"] != "*")))
-    )
-    return F.when(ok, _first(loose)["name"])
+def _ambiguous() -> str:
+    ok = f"size({JOINED}) >= 1 AND {_has('s', 'FROM')} AND forall({_in('s', *SOURCES)}, g -> g.is_tab)"
+    loose = f"flatten(transform({_in('s', 'SELECT')}, g -> filter({_cols('g')}, cq -> cq.qual IS NULL AND cq.name <> '*')))"
+    return f"if({ok}, {_first(loose)}.name, NULL)"
 
 
-def _ungrouped(s: Column) -> Column:
-    keys = F.transform(_in(s, "GROUP"), lambda g: F.lower(g["txt"]))
-    bad = F.filter(_in(s, "SELECT"), lambda g: g["bare"] & ~F.array_contains(keys, F.lower(g["txt"])))
-    return F.when(_has(s, "GROUP"), F.replace(_first(bad)["txt"], F.lit(" "), F.lit("")))
+def _ungrouped() -> str:
+    keys = f"transform({_in('s', 'GROUP')}, k -> lower(k.txt))"
+    bad = f"filter({_in('s', 'SELECT')}, g -> g.bare AND NOT array_contains({keys}, lower(g.txt)))"
+    return f"if({_has('s', 'GROUP')}, replace({_first(bad)}.txt, ' ', ''), NULL)"
 
 
-def _mixed_agg(s: Column) -> Column:
-    own = lambda x: (x["scope"] == s["scope"]) & (x["arm"] == s["arm"]) & (x["clause"] == "SELECT")
-    windowed = lambda a: F.exists("wins", lambda w: w["o"] == a["pos"] + 1)
-    agg = F.exists("aggs", lambda a: own(a) & ~a["in_over"] & ~windowed(a) & ~_in_window(a["pos"]))
-    col = F.exists("cols", lambda c: own(c) & c["plain"] & ~_in_window(c["pos"]))
-    return ~_has(s, "GROUP") & agg & col
+def _mixed_agg() -> str:
+    own = lambda x: f"{x}.scope = s.scope AND {x}.arm = s.arm AND {x}.clause = 'SELECT'"
+    inside = lambda x: f"exists(wins, w -> {x}.pos BETWEEN w.o - 1 AND w.z)"
+    agg = f"exists(aggs, a -> {own('a')} AND NOT a.in_over AND NOT {inside('a')})"
+    col = f"exists(cols, c -> {own('c')} AND c.plain AND NOT {inside('c')})"
+    return f"NOT {_has('s', 'GROUP')} AND {agg} AND {col}"
 
 
-def _own_over(s: Column) -> Column:
-    bad = F.filter(
-        _in(s, "SELECT"), lambda g: g["alias"].isNotNull() & F.array_contains(g["over_cols"], F.lower(g["alias"]))
-    )
-    return _first(bad)["alias"]
-
+def _own_over() -> str:
+    bad = f"filter({_in('s', 'SELECT')}, g -> g.alias IS NOT NULL AND array_contains(g.over_cols, lower(g.alias)))"
+    return f"{_first(bad)}.alias"
 
-def _same_alias(s: Column) -> Column:
-    srcs = F.filter(_in(s, ["FROM", "JOIN", "COMMA"]), lambda g: g["is_tab"])
-    keys = F.transform(srcs, lambda g: F.concat_ws("\u0001", F.lower(g["src"]), F.lower(_alias(g))))
-    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), _first(srcs)["src"])
 
+def _same_alias() -> str:
+    srcs = f"filter({_in('s', *SOURCES)}, g -> g.is_tab)"
+    keys = f"transform({srcs}, g -> concat_ws('\\n', lower(g.src), lower({_alias('g')})))"
+    return f"if(size(array_distinct({keys})) < size({keys}), {_first(srcs)}.src, NULL)"
 
-def _unlinked_update() -> Column:
-    def hit(s: Column) -> Column:
-        names = F.transform(_in(s, ["FROM", "JOIN", "COMMA"]), _alias)
-        quals = F.flatten(F.transform(_in(s, "WHERE"), lambda g: F.transform(_cols_in(g), lambda c: c["qual"])))
-        ok = _has(s, "UPDATE") & _has(s, "FROM") & _has(s, "WHERE") & (F.size(names) > 0)
-        return F.when(ok & ~F.arrays_overlap(names, F.array_compact(quals)), _first(names))
 
-    return _first(F.array_compact(F.transform("sels", hit)))
+def _unlinked_update() -> str:
+    names = f"transform({_in('s', *SOURCES)}, g -> {_alias('g')})"
+    quals = f"array_compact(flatten(transform({_in('s', 'WHERE')}, g -> transform({_cols('g')}, cq -> cq.qual))))"
+    ok = f"{_has('s', 'UPDATE')} AND {_has('s', 'FROM')} AND {_has('s', 'WHERE')} AND size({names}) > 0"
+    return _first(f"array_compact(transform(sels, s -> if({ok} AND NOT coalesce(arrays_overlap({names}, {quals}), false), {_first(names)}, NULL)))")
 
 
-def _correlation_risk() -> Column:
+def correlation_risk() -> str:
     """Sub-select mixing an equality correlation with another correlated condition, outside EXISTS."""
-
-    def hit(s: Column) -> Column:
-        own = F.transform(_in(s, ["FROM", "JOIN", "COMMA"]), _alias)
-        outer = lambda g: F.exists(_cols_in(g), lambda c: c["qual"].isNotNull() & ~F.array_contains(own, c["qual"]))
-        corr = F.filter(_split_where(s), outer)
-        eq = lambda g: _op(s, g, "=") & ~_op(s, g, "OR", "IN", "IS", "LIKE", "BETWEEN")
-        return (
-            (s["scope"] > 0) & ~s["in_exists"] & (F.size(own) > 0)
-            & F.exists(corr, eq) & F.exists(corr, lambda g: ~eq(g))
-        )
-
-    return _any_select(lambda s: F.coalesce(hit(s), F.lit(False)))
-
-
-def _flag(name: str) -> Column:
-    return F.coalesce(F.col("t_" + name), F.lit(False))
-
-
-def _wrapped_column() -> Column:
-    inside = F.exists("wraps", lambda w: F.exists("cols", lambda c: c["in_where"] & c["pos"].between(w["o"], w["z"])))
-    return inside | _flag("l08cast")
+    own = f"transform({_in('s', *SOURCES)}, w -> {_alias('w')})"
+    outer = f"exists({_cols('g')}, cq -> cq.qual IS NOT NULL AND NOT coalesce(array_contains({own}, cq.qual), false))"
+    eq = lambda g: f"({_op('s', g, '=')} AND NOT {_op('s', g, 'OR', 'IN', 'IS', 'LIKE', 'BETWEEN')})"
+    corr = f"filter({CONDS}, g -> {outer})"
+    return _any_select(
+        f"s.scope > 0 AND NOT s.in_exists AND size({own}) > 0 AND exists({corr}, x -> {eq('x')}) AND exists({corr}, x -> NOT {eq('x')})"
+    )
 
 
-def _unordered_rank() -> Column:
-    return F.exists("ranked", lambda r: (r["n2"] != "(") | ~F.array_contains("over_orders", (r["pos"] + 3).cast("int")))
+def _leaks() -> str:
+    names = "transform(tabs, t -> lower(t.alias))"
+    bad = f"filter(cols, c -> c.db IS NOT NULL AND array_contains({names}, lower(c.db)))"
+    shown = f"array_distinct(transform(array_sort({bad}), c -> concat('`', c.db, '.', c.qual, '.', c.name, '`')))"
+    return f"if(size({bad}) > 0, array_join({shown}, ', '), NULL)"
 
 
-def _root(pred: Callable[[Column], Column]) -> Column:
-    return F.exists("sels", lambda s: (s["scope"] < 0) & pred(s))
+def _gap_list() -> str:
+    shown = "transform(slice(array_sort(gaps), 1, 8), h -> concat('line ', h.line, ': `', h.a, '` → `', h.b, '`'))"
+    more = "if(size(gaps) > 8, concat(' (+', size(gaps) - 8, ' more)'), '')"
+    return f"if(size(gaps) > 0, concat(array_join({shown}, '; '), {more}), NULL)"
 
 
-def _unused_cte() -> Column:
-    used = F.transform("tabs", lambda t: F.lower(t["name"]))
-    root_ctes = F.filter("ctes", lambda n: ~F.array_contains(used, n))
-    return _first(root_ctes)
+def _when(cond: str) -> str:
+    return f"if(coalesce({cond}, false), '', NULL)"
 
 
-def _leaks() -> Column:
-    names = F.transform("tabs", lambda t: F.lower(t["alias"]))
-    bad = F.filter("cols", lambda c: c["db"].isNotNull() & F.array_contains(names, F.lower(c["db"])))
-    shown = F.array_distinct(F.transform(F.array_sort(bad), lambda c: F.concat_ws(".", c["db"], c["qual"], c["name"])))
-    return F.when(F.size(bad) > 0, F.array_join(F.transform(shown, lambda r: F.concat(F.lit("`"), r, F.lit("`"))), ", "))
+def _mixed(clause: str) -> str:
+    items = _in("s", clause)
+    return _when(_any_select(f"exists({items}, g -> g.ordinal) AND exists({items}, g -> NOT g.ordinal)"))
 
 
-def _gap_list() -> Column:
-    hits = F.array_sort("gaps")
-    shown = F.transform(
-        F.slice(hits, 1, 8),
-        lambda h: F.concat(F.lit("line "), h["line"].cast("string"), F.lit(": `"), h["a"], F.lit("` → `"), h["b"], F.lit("`")),
-    )
-    more = F.when(F.size(hits) > 8, F.concat(F.lit(" (+"), (F.size(hits) - 8).cast("string"), F.lit(" more)"))).otherwise("")
-    return F.when(F.size(hits) > 0, F.concat(F.array_join(shown, "; "), more))
+def _unless_where(head: str) -> str:
+    return _when(f"exists(sels, s -> {_has('s', head)} AND NOT {_has('s', 'WHERE')})")
 
 
-def rule_columns() -> dict[str, Column]:
-    """Title -> detail column (NULL = clean)."""
-    grouped = lambda clause: _any_select(lambda s: _lists(s, clause)[0] & _lists(s, clause)[1])
-    limit_has_offset = lambda s: F.exists(_in(s, "LIMIT"), lambda g: g["txt"].contains(" , "))
-    agg_in = lambda g: F.exists("aggs", lambda a: a["pos"].between(g["s"], g["e"]))
-    nested = lambda s: (s["scope"] > 0) & (s["n_setop"] == 0) & _plain_opener(s)
+def rule_columns() -> dict[str, str]:
+    """Title -> SQL expression of the detail (NULL = clean)."""
+    condition_of = "exists(s.segs, h -> h.clause IN ('ON', 'USING') AND h.src_no = j.src_no)"
+    offset = f"({_has('s', 'OFFSET')} OR exists({_in('s', 'LIMIT')}, g -> contains(g.txt, ' , ')))"
+    agg_inside = f"exists({_in('s', 'HAVING')}, g -> exists(aggs, a -> a.pos BETWEEN g.s AND g.e))"
+    one_agg = f"exists({_in('s', 'SELECT')}, g -> g.agg_item)"
+    wrapped = "exists(wraps, w -> exists(cols, c -> c.in_where AND c.pos BETWEEN w.o AND w.z))"
+    literal = r"o.txt RLIKE r'^(\x27[^\x27]*\x27|\d+(?:\.\d+)?) = \1$'"
+    ordinal = f"substring_index({_first('filter(' + _in('s', 'ORDER') + ', g -> g.ordinal)')}.txt, ' ', 1)"
     return {
-        "DELETE without WHERE": _when(F.exists("sels", lambda s: _has(s, "DELETE") & ~_has(s, "WHERE"))),
-        "UPDATE without WHERE": _when(F.exists("sels", lambda s: _has(s, "UPDATE") & ~_has(s, "WHERE"))),
-        "CROSS JOIN found": _when(F.exists("sels", lambda s: F.exists(_in(s, "JOIN"), lambda g: g["j_cross"]))),
-        "JOIN without ON condition": _when(
-            F.exists("sels", lambda s: F.exists(_joins(s), lambda g: ~g["j_cross"] & ~_cond_of(s, g)))
-        ),
-        "SELECT * used": _when(_any_select(lambda s: F.exists(_in(s, "SELECT"), lambda g: g["star"]))),
-        "LIMIT without ORDER BY": _when(_any_select(lambda s: _limited(s) & ~_has(s, "ORDER"))),
-        "LIKE starts with %": F.col("d_l06")["x"],
-        "NOT IN with a subquery": _when(_flag("l07")),
-        "Function wrapped around a column in WHERE": _when(_wrapped_column()),
-        "UNION (not UNION ALL)": _when(F.col("n_union") > F.col("n_union_inner")),
-        "HAVING used without an aggregate": _when(
-            _any_select(lambda s: _has(s, "HAVING") & ~F.exists(_in(s, "HAVING"), agg_in))
-        ),
-        "Selected column missing from GROUP BY": _select_detail(_ungrouped),
-        "ORDER BY in a subquery without LIMIT": _when(_any_select(lambda s: nested(s) & _has(s, "ORDER") & ~_limited(s))),
-        "CASE without ELSE": _when(F.col("n_case") > F.col("n_else")),
-        "JOIN ON true": _when(F.exists("sels", lambda s: _tautology(s, "true"))),
-        "JOIN ON 1=1": _when(F.exists("sels", lambda s: _tautology(s, "literal"))),
-        "COALESCE in an equality comparison": _when(_flag("l15")),
-        "ROW_NUMBER/LAG/LEAD without ORDER BY": _when(_unordered_rank()),
-        "INSERT without a column list": _when(_flag("l17")),
-        "WHERE clause nullifies an outer JOIN": _select_detail(_nullified),
-        "BETWEEN with bare date literals": F.col("d_l19")["x"],
-        "ORDER BY column position": _select_detail(
-            lambda s: F.substring_index(_first(F.filter(_in(s, "ORDER"), lambda g: g["ordinal"]))["txt"], " ", 1)
+        "DELETE without WHERE": _unless_where("DELETE"),
+        "UPDATE without WHERE": _unless_where("UPDATE"),
+        "CROSS JOIN found": _when(f"exists(sels, s -> exists({JOINED}, j -> j.j_cross))"),
+        "JOIN without ON condition": _when(f"exists(sels, s -> exists({JOINED}, j -> NOT j.j_cross AND NOT {condition_of}))"),
+        "SELECT * used": _when(_any_select(f"exists({_in('s', 'SELECT')}, g -> g.star)")),
+        "LIMIT without ORDER BY": _when(_any_select(f"{LIMITED} AND NOT {ORDERED}")),
+        "LIKE starts with %": "d_l06.x",
+        "NOT IN with a subquery": _when("t_l07"),
+        "Function wrapped around a column in WHERE": _when(f"t_l08cast OR {wrapped}"),
+        "UNION (not UNION ALL)": _when("n_union > n_union_inner"),
+        "HAVING used without an aggregate": _when(_any_select(f"{_has('s', 'HAVING')} AND NOT {agg_inside}")),
+        "Selected column missing from GROUP BY": _select_detail(_ungrouped()),
+        "ORDER BY in a subquery without LIMIT": _when(_any_select(f"{NESTED} AND {ORDERED} AND NOT {LIMITED}")),
+        "CASE without ELSE": _when("n_case > n_else"),
+        "JOIN ON true": _when(_tautology("lower(o.txt) = 'true'")),
+        "JOIN ON 1=1": _when(_tautology(literal)),
+        "COALESCE in an equality comparison": _when("t_l15"),
+        "ROW_NUMBER/LAG/LEAD without ORDER BY": _when(
+            "exists(ranked, r -> coalesce(r.n2, '') <> '(' OR NOT array_contains(over_orders, r.pos + 3))"
         ),
+        "INSERT without a column list": _when("t_l17"),
+        "WHERE clause nullifies an outer JOIN": _select_detail(_nullified()),
+        "BETWEEN with bare date literals": "d_l19.x",
+        "ORDER BY column position": _select_detail(ordinal),
         "Scalar subquery without LIMIT 1": _when(
-            _any_select(
-                lambda s: nested(s) & (s["sub_select"] > 0) & ~_limited(s)
-                & ~(F.exists(_in(s, "SELECT"), lambda g: g["agg_item"]) & ~_has(s, "GROUP"))
-            )
+            _any_select(f"{NESTED} AND s.sub_select > 0 AND NOT {LIMITED} AND NOT ({one_agg} AND NOT {_has('s', 'GROUP')})")
         ),
         "UPDATE ... FROM without a join condition": _unlinked_update(),
-        "Aggregate mixed with a non-grouped column": _when(_any_select(_mixed_agg)),
-        "Aggregate function wraps a window function": _when(_flag("l24")),
-        "`= NULL` never matches": _when(_flag("l25eq")),
-        "`!= NULL` never matches": _when(_flag("l25ne")),
-        "OFFSET without ORDER BY": _when(
-            _any_select(lambda s: (_has(s, "OFFSET") | limit_has_offset(s)) & ~_has(s, "ORDER"))
-        ),
-        "Mixed ordinal and column name in GROUP BY": _when(grouped("GROUP")),
-        "Mixed ordinal and column name in ORDER BY": _when(grouped("ORDER")),
-        "Redundant DISTINCT with GROUP BY": _when(_any_select(lambda s: s["distinct"] & _has(s, "GROUP"))),
-        "CTE defined but never used": _unused_cte(),
-        "Joined table never used": _select_detail(_unused_join),
-        "Unqualified column with multiple tables joined": _select_detail(_ambiguous),
-        "Alias referenced inside its own OVER()": _select_detail(_own_over),
-        "Self-join without a distinguishing alias": _select_detail(_same_alias),
+        "Aggregate mixed with a non-grouped column": _when(_any_select(_mixed_agg())),
+        "Aggregate function wraps a window function": _when("t_l24"),
+        "`= NULL` never matches": _when("t_l25eq"),
+        "`!= NULL` never matches": _when("t_l25ne"),
+        "OFFSET without ORDER BY": _when(_any_select(f"{offset} AND NOT {ORDERED}")),
+        "Mixed ordinal and column name in GROUP BY": _mixed("GROUP"),
+        "Mixed ordinal and column name in ORDER BY": _mixed("ORDER"),
+        "Redundant DISTINCT with GROUP BY": _when(_any_select(f"s.distinct AND {_has('s', 'GROUP')}")),
+        "CTE defined but never used": _first("filter(ctes, n -> NOT exists(tabs, t -> lower(t.name) = n))"),
+        "Joined table never used": _select_detail(_unused_join()),
+        "Unqualified column with multiple tables joined": _select_detail(_ambiguous()),
+        "Alias referenced inside its own OVER()": _select_detail(_own_over()),
+        "Self-join without a distinguishing alias": _select_detail(_same_alias()),
         "Table alias leaked into a column qualifier": _leaks(),
         "Possible missing comma": _gap_list(),
     }
@@ -415,41 +311,42 @@ STARTER_RX = r"^\s*([A-Za-z_]+)"
 
 
 def validity(texts: DataFrame) -> DataFrame:
-    """tid, valid, kind, line: a stand-in for a grammar check, from token neighbours only."""
-    tok = T.token_table(texts).where("kind <> 'comment'")
-    c = F.col
-    w = W.partitionBy("tid").orderBy("pos")
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    step = F.when(c("u") == "(", 1).when(c("u") == ")", -1).otherwise(0)
-    t = tok.select(
+    """tid, valid, kind, line, adj: a stand-in for a grammar check, from token neighbours only."""
+    w = "PARTITION BY tid ORDER BY pos"
+    t = T.token_table(texts).where("kind <> 'comment'").selectExpr(
         "tid", "pos", "line", "u", "kind", "text",
-        F.lag("u").over(w).alias("p1"), F.lag("kind").over(w).alias("pk1"), F.lag("text").over(w).alias("pt1"), F.lead("u").over(w).alias("n1"),
-        F.sum(step).over(upto).alias("bal"),
+        f"lag(u) OVER ({w}) AS p1", f"lag(kind) OVER ({w}) AS pk1", f"lag(text) OVER ({w}) AS pt1", f"lead(u) OVER ({w}) AS n1",
+        f"sum(CASE u WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS bal",
+    )
+    starts = ", ".join(f"'{s.upper()}'" for s in K.STARTERS + K.OTHER_STARTERS)
+    fault = f"""CASE
+      WHEN coalesce(p1, ';') = ';' AND kind IN ('word', 'kw') AND u NOT IN ({starts}) THEN 'unknown statement'
+      WHEN u = 'SELECT' AND coalesce(n1, ';') IN ('FROM', 'WHERE', ';') THEN 'empty select list'
+      WHEN u = 'JOIN' AND coalesce(n1, ';') IN ('ON', 'USING', 'WHERE', ';') THEN 'join without a table'
+      WHEN u = '{{' AND n1 IN ('{{', '%', '#') THEN 'template text'
+      WHEN kind = 'op' AND u IN ('\\'', '"', '`') THEN 'unterminated quote'
+      WHEN bal < 0 THEN 'unbalanced parentheses' END AS fault"""
+    content = "('word', 'num', 'str')"
+    adjacent = f"""kind IN {content} AND (coalesce(pk1 IN {content}, false) OR coalesce(p1 = ')', false))
+      AND NOT (kind = 'word' AND coalesce(pk1 = 'word', false)) AS adjacent"""
+    t = t.selectExpr("*", fault, adjacent)
+    g = T._aggregate(
+        t,
+        ["tid"],
+        [
+            "min(CASE WHEN fault IS NOT NULL THEN named_struct('pos', pos, 'kind', fault, 'line', line) END) AS f",
+            "max_by(struct(bal, line), pos) AS z",
+            "min(CASE WHEN adjacent THEN named_struct('pos', pos, 'line', line, 'a', pt1, 'b', text) END) AS adj",
+        ],
     )
-    starts = [s.upper() for s in K.STARTERS + K.OTHER_STARTERS]
-    first = c("p1").isNull() | (c("p1") == ";")
-    content = ["word", "num", "str"]
-    follows = F.coalesce(c("pk1").isin(content) | (c("p1") == ")"), F.lit(False))
-    adjacent = c("kind").isin(content) & follows & ~((c("kind") == "word") & (c("pk1") == "word"))
-    no_table = (c("u") == "JOIN") & (c("n1").isNull() | c("n1").isin("ON", "USING", "WHERE", ";"))
-    empty_select = (c("u") == "SELECT") & (c("n1").isNull() | c("n1").isin("FROM", "WHERE", ";"))
-    faults = [
-        ("unknown statement", first & c("kind").isin("word", "kw") & ~c("u").isin(starts)),
-        ("empty select list", empty_select),
-        ("join without a table", no_table),
-        ("template text", c("u").isin("{") & c("n1").isin("{", "%", "#")),
-        ("unterminated quote", (c("kind") == "op") & c("u").isin("'", '"', "`")),
-        ("unbalanced parentheses", c("bal") < 0),
-    ]
-    fault = F.coalesce(*[F.when(cond, F.struct(F.lit(name).alias("kind"), c("line"))) for name, cond in faults])
-    g = t.groupBy("tid").agg(
-        F.min_by(fault, F.when(fault.isNotNull(), c("pos"))).alias("f"),
-        F.max_by("bal", "pos").alias("bal"),
-        F.max_by("line", "pos").alias("last_line"),
-        F.min(F.when(adjacent, F.struct("pos", "line", c("pt1").alias("a"), c("text").alias("b")))).alias("adj"),
+    open_ = "f IS NULL AND z.bal <> 0"
+    return g.selectExpr(
+        "tid",
+        "f IS NULL AND z.bal = 0 AS valid",
+        f"if({open_}, 'unbalanced parentheses', f.kind) AS kind",
+        f"if({open_}, z.line, f.line) AS line",
+        "adj",
     )
-    f = F.when(c("f").isNotNull(), c("f")).when(c("bal") != 0, F.struct(F.lit("unbalanced parentheses").alias("kind"), c("last_line").alias("line")))
-    return g.select("tid", f.isNull().alias("valid"), f["kind"].alias("kind"), f["line"].alias("line"), "adj")
 
 
 def nearest_starter(words: DataFrame) -> DataFrame:
@@ -489,98 +386,86 @@ def hints(texts: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def table_refs(st: DataFrame) -> DataFrame:
-    """tid, stmt, name, alias of every table reference that is not a CTE of the statement."""
-    t = st.select("tid", "stmt", "ctes", F.explode("tabs").alias("t"))
-    ok = ~F.array_contains("ctes", F.lower("t.name"))
-    return t.where(ok).select("tid", "stmt", F.lower("t.name").alias("table_name"), F.col("t.alias").alias("alias"))
+    """tid, stmt, table_name, alias of every table reference that is not a CTE of the statement."""
+    t = st.selectExpr("tid", "stmt", "ctes", "inline(tabs)")
+    return t.where("NOT array_contains(ctes, lower(name))").selectExpr("tid", "stmt", "lower(name) AS table_name", "alias")
 
 
 def column_refs(st: DataFrame) -> DataFrame:
     """tid, stmt, alias, column and the table the alias stands for (the last table under that alias wins)."""
-    pick = lambda c: F.element_at(F.filter("tabs", lambda t: t["alias"] == c["qual"]), -1)["name"]
-    one_table = F.array_distinct(F.transform("tabs", lambda t: F.lower(t["name"])))
-    cols = F.transform(
-        F.filter("cols", lambda c: c["name"] != "*"),
-        lambda c: F.struct(
-            c["qual"].alias("alias"),
-            c["name"].alias("column_name"),
-            F.lower(F.when(c["qual"].isNotNull(), F.try_element_at(F.filter("tabs", lambda t: t["alias"] == c["qual"]), F.lit(-1))["name"])
-                    .when(F.size(one_table) == 1, F.get(one_table, F.lit(0)))).alias("table_name"),
-        ),
-    )
-    return st.select("tid", "stmt", F.explode(cols).alias("c")).select("tid", "stmt", "c.*")
+    of_alias = "try_element_at(filter(tabs, t -> t.alias = c.qual), -1).name"
+    only = "array_distinct(transform(tabs, t -> lower(t.name)))"
+    table = f"lower(CASE WHEN c.qual IS NOT NULL THEN {of_alias} WHEN size({only}) = 1 THEN get({only}, 0) END)"
+    cols = f"transform(filter(cols, c -> c.name <> '*'), c -> named_struct('alias', c.qual, 'column_name', c.name, 'table_name', {table}))"
+    return st.selectExpr("tid", "stmt", f"inline({cols})")
 
 
 def unknown_tables(st: DataFrame, catalog: DataFrame) -> DataFrame:
     """tid, title, detail for table names that are not in the catalog."""
-    known = F.broadcast(catalog.select(F.lower("table_name").alias("table_name")).distinct())
+    known = F.broadcast(catalog.selectExpr("lower(table_name) AS table_name").distinct())
     miss = table_refs(st).join(known, "table_name", "left_anti")
-    return miss.groupBy("tid").agg(_listed(F.collect_set("table_name")).alias("detail")).withColumn("title", F.lit("Unknown table"))
+    return miss.groupBy("tid").agg(F.expr(_listed("table_name"))).withColumn("title", F.lit("Unknown table"))
 
 
 def unknown_columns(st: DataFrame, catalog: DataFrame) -> DataFrame:
     """tid, title, detail for qualified columns that a known table does not have."""
-    low = catalog.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("_col")).distinct()
-    refs = column_refs(st).where("alias IS NOT NULL AND table_name IS NOT NULL").withColumn("_col", F.lower("column_name"))
+    low = catalog.selectExpr("lower(table_name) AS table_name", "lower(column_name) AS _col").distinct()
+    refs = column_refs(st).where("alias IS NOT NULL AND table_name IS NOT NULL").selectExpr("*", "lower(column_name) AS _col")
     in_catalog = refs.join(F.broadcast(low.select("table_name").distinct()), "table_name", "left_semi")
     miss = in_catalog.join(F.broadcast(low), ["table_name", "_col"], "left_anti")
-    shown = F.concat_ws(".", "alias", "column_name")
-    return miss.groupBy("tid").agg(_listed(F.collect_set(shown)).alias("detail")).withColumn("title", F.lit("Unknown column"))
+    return miss.groupBy("tid").agg(F.expr(_listed("concat_ws('.', alias, column_name)"))).withColumn("title", F.lit("Unknown column"))
 
 
-def _listed(names: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(names), lambda n: F.concat(F.lit("`"), n, F.lit("`"))), ", ")
+def _listed(name: str) -> str:
+    return f"array_join(transform(array_sort(collect_set({name})), n -> concat('`', n, '`')), ', ') AS detail"
 
 
 # ---- the lint job -----------------------------------------------------------
 
-_EXTRA: dict[str, tuple[str, str, Callable[[DataFrame], Column]]] = {}
+_EXTRA: dict[str, tuple[str, str, str]] = {}
 
 
-def register_rule(title: str, severity: str, message: str, fn: Callable[[DataFrame], Column]) -> None:
-    """Add a rule of your own: ``fn`` gets the statement facts and returns the detail column."""
+def register_rule(title: str, severity: str, message: str, detail: str) -> None:
+    """Add a rule of your own: ``detail`` is a SQL expression over the statement facts, NULL when clean."""
     if severity not in K.SEVERITY_RANK:
         raise ValueError(f"unknown severity {severity}")
-    _EXTRA[title] = (severity, message, fn)
+    _EXTRA[title] = (severity, message, detail)
 
 
 def unregister_rule(title: str) -> None:
     _EXTRA.pop(title, None)
 
 
-def _message(title: Column, detail: Column) -> Column:
-    texts = {**MESSAGES, **{t: m for t, (_, m, _) in _EXTRA.items()}}
-    m = F.create_map(*[x for t, msg in texts.items() for x in (F.lit(t), F.lit(msg))])
-    return F.replace(F.element_at(m, title), F.lit("%s"), detail)
-
-
 def text_findings(st: DataFrame, titles: Sequence[str] | None = None, catalog: DataFrame | None = None) -> DataFrame:
     """tid, rule_no, severity, title, message: one finding per text and title."""
-    cols = rule_columns()
-    extra = {t: fn(st) for t, (_, _, fn) in _EXTRA.items()}
-    wanted = [t for t in cols if titles is None or t in titles]
-    wanted_extra = [t for t in extra if titles is None or t in titles]
-    entries = []
-    for i, t in enumerate(wanted + wanted_extra):
-        sev = SEVERITY.get(t) or _EXTRA[t][0]
-        detail = cols[t] if t in cols else extra[t]
-        no = ORDER.get(t, len(ORDER) + i)
-        body = F.struct(F.lit(no).alias("rule_no"), F.lit(sev).alias("severity"), F.lit(t).alias("title"), detail.alias("detail"))
-        entries.append(F.when(detail.isNotNull(), body))
+    rules = {t: (SEVERITY[t], MESSAGES[t], d) for t, d in rule_columns().items()}
+    rules.update(_EXTRA)
+    rules = {t: r for t, r in rules.items() if titles is None or t in titles}
+    messages = {t: m for t, (_, m, _) in rules.items()}
     hits = None
-    if entries:
-        hits = st.select("tid", "stmt", F.explode(F.array_compact(F.array(*entries))).alias("h"))
+    if rules:
+        entries = [
+            f"if(({d}) IS NULL, NULL, named_struct('rule_no', {ORDER.get(t, 1000 + i)}, 'severity', '{sev}', 'title', {_quote(t)}, 'detail', {d}))"
+            for i, (t, (sev, _, d)) in enumerate(rules.items())
+        ]
+        hits = st.selectExpr("tid", "stmt", f"explode(array_compact(array({', '.join(entries)}))) AS h")
         # the first statement that fires supplies the message
-        hits = hits.groupBy("tid", "h.title").agg(F.min_by("h", "stmt").alias("h")).select(
+        hits = hits.groupBy("tid", "h.title").agg(F.expr("min_by(h, stmt) AS h")).selectExpr(
             "tid", "h.rule_no", "h.severity", "h.title", "h.detail"
         )
     if catalog is not None:
         cat = guard_catalog(catalog)
         for t, fn in (("Unknown table", unknown_tables), ("Unknown column", unknown_columns)):
             if titles is None or t in titles:
-                f = fn(st, cat).select("tid", F.lit(ORDER[t]).alias("rule_no"), F.lit(SEVERITY[t]).alias("severity"), "title", "detail")
+                messages[t] = MESSAGES[t]
+                f = fn(st, cat).selectExpr("tid", f"{ORDER[t]} AS rule_no", f"'{SEVERITY[t]}' AS severity", "title", "detail")
                 hits = f if hits is None else hits.unionByName(f)
-    return hits.select("tid", "rule_no", "severity", "title", _message(F.col("title"), F.col("detail")).alias("message"))
+    known = ", ".join(f"{_quote(t)}, {_quote(m)}" for t, m in messages.items())
+    return hits.selectExpr("tid", "rule_no", "severity", "title", f"replace(try_element_at(map({known}), title), '%s', detail) AS message")
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def titles_of(*rules: str) -> list[str]:

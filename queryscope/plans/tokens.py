@@ -14,12 +14,15 @@ Two running windows replace a tree walk:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
 
 from queryscope.functions import words as K
-from queryscope.functions.text import bare, newlines, strip_jinja, tokens
+from queryscope.functions.text import bare, strip_jinja, tokens
 
 JOIN_WORDS = ["LEFT", "RIGHT", "FULL", "INNER", "CROSS", "OUTER", "NATURAL", "SEMI", "ANTI", "JOIN"]
+JOIN_SIDES = [j.lower() for j in JOIN_WORDS if j != "JOIN"]
 SET_OPS = ["UNION", "INTERSECT", "EXCEPT", "MINUS"]
 FROM_LIKE = ["FROM", "JOIN", "ON", "USING", "COMMA"]
 EXPR_CLAUSES = ["SELECT", "WHERE", "ON", "GROUP", "HAVING", "QUALIFY", "ORDER", "SET", "LIMIT", "VALUES"]
@@ -55,282 +58,299 @@ def distinct_texts(log: DataFrame, partitions: int | None = None) -> DataFrame:
     return texts.repartition(partitions, "tid") if partitions else texts
 
 
-def _quoted_kind(u: Column) -> Column:
-    q = F.substring(u, 1, 1)
-    return (
-        F.when(u.startswith("--") | u.startswith("/*"), "comment")
-        .when((q == "'") & (F.length(u) > 1), "str")
-        .when((q == '"') & (F.length(u) > 1), F.when(F.col("dialect").isin(K.DOUBLE_QUOTE_STRINGS), "str").otherwise("quoted"))
-        .when((q == "`") & (F.length(u) > 1), "quoted")
-        .when(u.rlike(r"^\d"), "num")
-        .when(u.rlike(r"^[\p{L}_]"), F.when(u.isin(K.KEYWORDS), "kw").otherwise("word"))
-        .otherwise("op")
-    )
-
-
 def token_table(texts: DataFrame) -> DataFrame:
     """tid, pos, line, text, u (upper case), kind; comments included."""
+    blanks = r"' \t\r\n\f\u000b'"
     t = texts.select("tid", "dialect", F.posexplode(tokens(F.col("sql"))).alias("pos", "raw"))
-    t = t.withColumn("text", bare(F.col("raw"))).withColumn("u", F.upper("text")).withColumn("kind", _quoted_kind(F.col("u")))
-    before = W.partitionBy("tid").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    lines = F.sum(newlines(F.col("raw"))).over(before) - newlines(F.col("text")) + 1
-    return t.withColumn("line", lines.cast("int")).drop("raw")
+    t = t.selectExpr("tid", "dialect", "pos", "raw", f"trim(LEADING {blanks} FROM raw) AS text")
+    t = t.selectExpr("*", "upper(text) AS u")
+    strings = _in_list(K.DOUBLE_QUOTE_STRINGS)
+    kind = rf"""CASE
+      WHEN u LIKE '--%' OR u LIKE '/*%' THEN 'comment'
+      WHEN length(u) > 1 AND left(u, 1) = '\'' THEN 'str'
+      WHEN length(u) > 1 AND left(u, 1) = '"' THEN if(dialect IN {strings}, 'str', 'quoted')
+      WHEN length(u) > 1 AND left(u, 1) = '`' THEN 'quoted'
+      WHEN left(u, 1) BETWEEN '0' AND '9' THEN 'num'
+      WHEN u RLIKE r'^[\p{{L}}_]' THEN if(u IN {_in_list(K.KEYWORDS)}, 'kw', 'word')
+      ELSE 'op' END AS kind"""
+    breaks = lambda x: f"(length({x}) - length(replace({x}, '\\n', '')))"
+    upto = "PARTITION BY tid ORDER BY pos ROWS UNBOUNDED PRECEDING"
+    line = f"CAST(sum({breaks('raw')}) OVER ({upto}) - {breaks('text')} + 1 AS INT) AS line"
+    return t.selectExpr("tid", "dialect", "pos", "text", "u", kind, line)
 
 
 def comments(texts: DataFrame) -> DataFrame:
     """One row per comment, straight from the token array (no window)."""
     t = texts.select("tid", F.explode(tokens(F.col("sql"))).alias("raw")).select("tid", bare(F.col("raw")).alias("c"))
-    body = F.when(F.col("c").startswith("--"), F.expr("substring(c, 3)")).otherwise(F.expr("substring(c, 3, length(c) - 4)"))
-    return t.where(F.col("c").startswith("--") | F.col("c").startswith("/*")).select("tid", body.alias("body"))
+    body = "if(c LIKE '--%', substring(c, 3), substring(c, 3, length(c) - 4)) AS body"
+    return t.where("c LIKE '--%' OR c LIKE '/*%'").selectExpr("tid", body)
 
 
-def _name() -> Column:
-    inner = F.expr("substring(text, 2, length(text) - 2)")
-    return F.when(F.col("kind") == "word", F.col("text")).when(
-        F.col("kind") == "quoted", F.substring_index(inner, ".", -1)
-    )
+def _in_list(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+NAME = "CASE kind WHEN 'word' THEN text WHEN 'quoted' THEN substring_index(substring(text, 2, length(text) - 2), '.', -1) END"
 
 
 def scoped_tokens(texts: DataFrame) -> DataFrame:
     """Tokens (comments dropped, positions dense) with frame, scope, clause, arm, segment and name facts."""
-    c = F.col
-    t = token_table(texts).where("kind <> 'comment'")
+    aggs, sets = _in_list(K.AGGREGATES), _in_list(SET_OPS)
+    upto, prior = "ROWS UNBOUNDED PRECEDING", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    w = "PARTITION BY tid ORDER BY pos"
+
+    def run(cond: str, part: str, rows: str) -> str:
+        """Rows so far that satisfy a condition."""
+        return f"count_if({cond}) OVER ({part} {rows})"
+
+    def last(cond: str, value: str, part: str, rows: str) -> str:
+        return f"last(CASE WHEN {cond} THEN {value} END, true) OVER ({part} {rows})"
 
     # neighbours, statement number and parenthesis depth
-    w = W.partitionBy("tid").orderBy("pos")
-    upto, prior = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
-    one = lambda cond: F.when(cond, 1).otherwise(0)
-    run = lambda cond, win: F.coalesce(F.sum(one(cond)).over(win), F.lit(0))
-    t = t.select(
+    t = token_table(texts).where("kind <> 'comment'").selectExpr(
         "tid", "line", "text", "u", "kind",
-        F.row_number().over(w).alias("rn"),
-        *[F.lag("u", i).over(w).alias(f"p{i}") for i in (1, 2)],
-        *[F.lead("u", i).over(w).alias(f"n{i}") for i in (1, 2)],
-        F.lag("kind", 1).over(w).alias("pk1"),
-        run(c("u") == ";", prior).alias("stmt"),
-        (run(c("u") == "(", prior) - run(c("u") == ")", upto)).alias("depth"),
+        f"row_number() OVER ({w}) AS rn",
+        f"lag(u, 1) OVER ({w}) AS p1",
+        f"lag(u, 2) OVER ({w}) AS p2",
+        f"lead(u, 1) OVER ({w}) AS n1",
+        f"lead(u, 2) OVER ({w}) AS n2",
+        f"lag(kind, 1) OVER ({w}) AS pk1",
+        f"{run('u = ' + repr(';'), w, prior)} AS stmt",
+        f"{run('u = ' + repr('('), w, prior)} - {run('u = ' + repr(')'), w, upto)} AS depth",
     ).withColumnRenamed("rn", "pos")
 
     # frames: what each parenthesis opens, and which one each token sits in
-    is_open, is_close = c("u") == "(", c("u") == ")"
-    fn_before = lambda k, p: (k == "word") | p.isin("LEFT", "RIGHT", "REPLACE")
-    okind = (
-        F.when(c("n1").isin("SELECT", "WITH"), "select")
-        .when(c("p1") == "OVER", "over")
-        .when((c("p1") == "FILTER"), "filter")
-        .when(c("p1").isin(K.AGGREGATES), "agg")
-        .when(fn_before(c("pk1"), c("p1")), "func")
-        .otherwise("group")
-    )
-    t = t.withColumn("okind", F.when(is_open, okind))
-    inner_first = (c("p1") == "(") & ~is_close
-    in_kind = (
-        F.when(c("u").isin("SELECT", "WITH"), "select")
-        .when(c("p2") == "OVER", "over")
-        .when(c("p2") == "FILTER", "filter")
-        .when(c("p2").isin(K.AGGREGATES), "agg")
-        .otherwise("other")
-    )
-    root = -(c("stmt") + 1)
-    wd = W.partitionBy("tid", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    wdp = W.partitionBy("tid", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    last = lambda cond, v, win: F.last(F.when(cond, v), ignorenulls=True).over(win)
-    t = t.select(
+    t = t.selectExpr(
         "*",
-        F.when(c("depth") <= 0, root).otherwise(last(inner_first, c("pos"), wd)).alias("frame"),
-        F.when(c("depth") <= 0, F.lit("root")).otherwise(last(inner_first, in_kind, wd)).alias("fkind"),
-        F.when(
-            is_close,
-            last(is_open, F.struct(c("pos").alias("at"), c("okind").alias("kind"), c("p1").alias("fn"), c("p2").alias("before")), wdp),
-        ).alias("m"),
+        f"""CASE WHEN u = '(' THEN CASE
+          WHEN n1 IN ('SELECT', 'WITH') THEN 'select' WHEN p1 = 'OVER' THEN 'over' WHEN p1 = 'FILTER' THEN 'filter'
+          WHEN p1 IN {aggs} THEN 'agg' WHEN pk1 = 'word' OR p1 IN ('LEFT', 'RIGHT', 'REPLACE') THEN 'func' ELSE 'group' END END AS okind""",
+        "p1 = '(' AND u <> ')' AS inner_first",
+        f"""CASE WHEN u IN ('SELECT', 'WITH') THEN 'select' WHEN p2 = 'OVER' THEN 'over' WHEN p2 = 'FILTER' THEN 'filter'
+          WHEN p2 IN {aggs} THEN 'agg' ELSE 'other' END AS ikind""",
+        "-(stmt + 1) AS root",
     )
+    wd = "PARTITION BY tid, depth ORDER BY pos"
+    opened = "named_struct('at', pos, 'kind', okind, 'fn', p1, 'before', p2)"
+    t = t.selectExpr(
+        "*",
+        f"CASE WHEN depth <= 0 THEN root ELSE {last('inner_first', 'pos', wd, upto)} END AS frame",
+        f"CASE WHEN depth <= 0 THEN 'root' ELSE {last('inner_first', 'ikind', wd, upto)} END AS fkind",
+        f"CASE WHEN u = ')' THEN {last('okind IS NOT NULL', opened, wd, prior)} END AS m",
+    ).drop("ikind")
 
     # nesting inside aggregates, OVER, FILTER and sub-selects
-    def nest(kind: str) -> Column:
-        return (run(c("okind") == kind, prior) - run(c("m.kind") == kind, upto)).alias("in_" + kind)
-
-    t = t.select("*", nest("agg"), nest("over"), nest("filter"), nest("select"))
+    t = t.selectExpr(
+        "*",
+        *[
+            f"{run(f'okind = {k!r}', w, prior)} - {run(f'm.kind = {k!r}', w, upto)} AS in_{k}"
+            for k in ("agg", "over", "filter", "select")
+        ],
+    )
 
     # scope: the enclosing SELECT
-    ws = W.partitionBy("tid", "in_select").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    opens_scope = inner_first & c("u").isin("SELECT", "WITH")
-    t = t.withColumn("scope", F.when(c("in_select") <= 0, root).otherwise(last(opens_scope, c("pos"), ws)))
-    t = t.withColumn("direct", c("frame") == c("scope"))
+    ws = "PARTITION BY tid, in_select ORDER BY pos"
+    opens = "inner_first AND u IN ('SELECT', 'WITH')"
+    t = t.selectExpr("*", f"CASE WHEN in_select <= 0 THEN root ELSE {last(opens, 'pos', ws, upto)} END AS scope")
+    t = t.drop("root", "inner_first").selectExpr("*", "frame = scope AS direct", "coalesce(p1, ';') AS q1")
 
     # clause keywords, seen only directly in the scope
-    prefix = c("u").isin([j for j in JOIN_WORDS if j != "JOIN"]) & (c("n1").isin(JOIN_WORDS) | (c("n1") == "LATERAL"))
-    join_start = ((c("u") == "JOIN") | prefix) & ~F.coalesce(c("p1").isin(JOIN_WORDS), F.lit(False))
-    p1 = F.coalesce(c("p1"), F.lit(";"))
-    ckw = (
-        F.when(join_start, "JOIN")
-        .when((c("u") == "FROM") & (p1 != "DISTINCT"), "FROM")
-        .when((c("u") == "ON") & (p1 != "DISTINCT"), "ON")
-        .when((c("u") == "USING") & (c("n1") == "("), "USING")
-        .when(c("u") == "USING", "MERGESRC")
-        .when(c("u").isin("GROUP", "ORDER") & (c("n1") == "BY"), c("u"))
-        .when((c("u") == "OFFSET") & (p1 != "["), "OFFSET")
-        .when((c("u") == "FETCH") & c("n1").isin("FIRST", "NEXT"), "LIMIT")
-        .when((c("u") == "WITH") & p1.isin(";", "(", "AS", "EXPLAIN"), "WITH")
-        .when(c("u").isin(SET_OPS) & ~((c("u") == "EXCEPT") & (c("n1") == "(") & (c("n2") != "SELECT")), "SETOP")
-        .when((c("u") == "INTO") & p1.isin("INSERT", "OVERWRITE", "IGNORE", "REPLACE"), "INTO")
-        .when((c("u") == "UPDATE") & p1.isin(";", "EXPLAIN", ")"), "UPDATE")
-        .when((c("u") == "DELETE") & p1.isin(";", "EXPLAIN", ")"), "DELETE")
-        .when((c("u") == "MERGE") & p1.isin(";", "EXPLAIN"), "MERGE")
-        .when((c("u") == "WHEN") & (c("n1").isin("MATCHED", "NOT")) & (c("n2").isin("THEN", "MATCHED", "AND", "BY")), "MERGEWHEN")
-        .when(c("u").isin("SELECT", "WHERE", "HAVING", "QUALIFY", "LIMIT", "SET", "VALUES", "RETURNING"), c("u"))
+    joins = _in_list(JOIN_WORDS)
+    prefixes = _in_list([j for j in JOIN_WORDS if j != "JOIN"])
+    join_start = f"(u = 'JOIN' OR (u IN {prefixes} AND (n1 IN {joins} OR n1 = 'LATERAL'))) AND q1 NOT IN {joins}"
+    t = t.selectExpr(
+        "*",
+        f"""CASE WHEN direct THEN CASE
+          WHEN {join_start} THEN 'JOIN'
+          WHEN u = 'FROM' AND q1 <> 'DISTINCT' THEN 'FROM'
+          WHEN u = 'ON' AND q1 <> 'DISTINCT' THEN 'ON'
+          WHEN u = 'USING' THEN if(n1 = '(', 'USING', 'MERGESRC')
+          WHEN u IN ('GROUP', 'ORDER') AND n1 = 'BY' THEN u
+          WHEN u = 'OFFSET' AND q1 <> '[' THEN 'OFFSET'
+          WHEN u = 'FETCH' AND n1 IN ('FIRST', 'NEXT') THEN 'LIMIT'
+          WHEN u = 'WITH' AND q1 IN (';', '(', 'AS', 'EXPLAIN') THEN 'WITH'
+          WHEN u IN {sets} AND NOT (u = 'EXCEPT' AND coalesce(n1, '') = '(' AND coalesce(n2, '') <> 'SELECT') THEN 'SETOP'
+          WHEN u = 'INTO' AND q1 IN ('INSERT', 'OVERWRITE', 'IGNORE', 'REPLACE') THEN 'INTO'
+          WHEN u IN ('UPDATE', 'DELETE') AND q1 IN (';', 'EXPLAIN', ')') THEN u
+          WHEN u = 'MERGE' AND q1 IN (';', 'EXPLAIN') THEN 'MERGE'
+          WHEN u = 'WHEN' AND n1 IN ('MATCHED', 'NOT') AND n2 IN ('THEN', 'MATCHED', 'AND', 'BY') THEN 'MERGEWHEN'
+          WHEN u IN ('SELECT', 'WHERE', 'HAVING', 'QUALIFY', 'LIMIT', 'SET', 'VALUES', 'RETURNING') THEN u
+        END END AS ckw""",
     )
-    t = t.withColumn("ckw", F.when(c("direct"), ckw))
-    wc = W.partitionBy("tid", "scope").orderBy("pos")
-    cu, cp = wc.rowsBetween(W.unboundedPreceding, 0), wc.rowsBetween(W.unboundedPreceding, -1)
-    t = t.select(
+    wc = "PARTITION BY tid, scope ORDER BY pos"
+    t = t.selectExpr(
         "*",
-        F.last("ckw", ignorenulls=True).over(cu).alias("clause0"),
-        F.last(F.when(c("ckw") == "SETOP", F.struct("u", "n1")), ignorenulls=True).over(cp).alias("prev_setop"),
-        run(c("ckw") == "SETOP", cu).alias("n_setop"),
-        run(c("ckw") == "SELECT", cu).alias("arm0"),
-        (run(c("direct") & (c("u") == "CASE"), cu) - run(c("direct") & (c("u") == "END"), cu)).alias("cases"),
-        F.last(F.when(c("direct") & c("u").isin("BETWEEN", "AND"), c("u")), ignorenulls=True).over(cp).alias("prev_and"),
+        f"last(ckw, true) OVER ({wc} {upto}) AS clause0",
+        f"{last('ckw = ' + repr('SETOP'), 'named_struct(' + repr('u') + ', u, ' + repr('n1') + ', n1)', wc, prior)} AS prev_setop",
+        f"{run('ckw = ' + repr('SETOP'), wc, upto)} AS n_setop",
+        f"{run('ckw = ' + repr('SELECT'), wc, upto)} AS arm0",
+        f"{run('direct AND u = ' + repr('CASE'), wc, upto)} - {run('direct AND u = ' + repr('END'), wc, upto)} AS cases",
+        f"{last('direct AND u IN (' + repr('BETWEEN') + ', ' + repr('AND') + ')', 'u', wc, prior)} AS prev_and",
     )
-    comma = c("direct") & (c("u") == ",")
-    comma_src = comma & c("clause0").isin(FROM_LIKE)
-    split_and = (
-        c("direct") & (c("u") == "AND") & c("clause0").isin(AND_CLAUSES) & (c("cases") == 0)
-        & (F.coalesce(c("prev_and"), F.lit("")) != "BETWEEN")
+    t = t.selectExpr(
+        *[x for x in t.columns if x != "ckw"],
+        f"CASE WHEN direct AND u = ',' AND clause0 IN {_in_list(FROM_LIKE)} THEN 'COMMA' ELSE ckw END AS ckw",
+        f"""direct AND ((u = ',' AND clause0 IN {_in_list(LIST_CLAUSES)})
+          OR (u = 'AND' AND clause0 IN {_in_list(AND_CLAUSES)} AND cases = 0 AND coalesce(prev_and, '') <> 'BETWEEN')) AS item_brk""",
     )
-    t = t.withColumn("ckw", F.when(comma_src, "COMMA").otherwise(c("ckw")))
-    t = t.withColumn("brk", c("ckw").isNotNull() | (comma & c("clause0").isin(LIST_CLAUSES)) | split_and)
-    src_break = c("ckw").isin("FROM", "JOIN", "COMMA", "UPDATE", "MERGE", "MERGESRC", "INTO")
-    t = t.select(
+    t = t.selectExpr("*", "ckw IS NOT NULL OR coalesce(item_brk, false) AS brk").drop("item_brk", "clause0", "prev_and")
+    srcs = _in_list(["FROM", "JOIN", "COMMA", "UPDATE", "MERGE", "MERGESRC", "INTO"])
+    t = t.selectExpr(
         "*",
-        F.coalesce(F.last("ckw", ignorenulls=True).over(cu), F.lit("HEAD")).alias("clause"),
-        run(c("brk"), cu).alias("seg"),
-        run(src_break, cu).alias("src_no"),
+        f"coalesce(last(ckw, true) OVER ({wc} {upto}), 'HEAD') AS clause",
+        f"{run('brk', wc, upto)} AS seg",
+        f"{run(f'ckw IN {srcs}', wc, upto)} AS src_no",
+    )
+    t = t.selectExpr(
+        "*",
+        "CASE WHEN n_setop > 0 AND clause IN ('ORDER', 'LIMIT', 'OFFSET') THEN 0 ELSE arm0 END AS arm",
+        f"{NAME} AS name",
     )
-    trailing = (c("n_setop") > 0) & c("clause").isin("ORDER", "LIMIT", "OFFSET")
-    t = t.withColumn("arm", F.when(trailing, 0).otherwise(c("arm0")))
 
     # back in text order: the clause around each sub-select, and the wider neighbourhood
-    t = t.withColumn("name", _name())
-    def around(clause: str, alias: str) -> Column:
-        here = c("clause") == clause
-        return (run((c("okind") == "select") & here, prior) - run((c("m.kind") == "select") & here, upto)).alias(alias)
+    def around(clause: str) -> str:
+        return (
+            f"{run(f'okind = {chr(39)}select{chr(39)} AND clause = {clause!r}', w, prior)}"
+            f" - {run(f'm.kind = {chr(39)}select{chr(39)} AND clause = {clause!r}', w, upto)}"
+        )
+
+    in_exists = (
+        f"{run('okind = ' + repr('select') + ' AND p1 = ' + repr('EXISTS'), w, prior)}"
+        f" - {run('m.kind = ' + repr('select') + ' AND m.fn = ' + repr('EXISTS'), w, upto)}"
+    )
+    t = t.selectExpr(
+        "*",
+        *[f"lag(u, {i}) OVER ({w}) AS p{i}" for i in (3, 4, 5)],
+        f"lead(kind, 1) OVER ({w}) AS nk1",
+        f"lead(text, 1) OVER ({w}) AS nt1",
+        f"lag(text, 1) OVER ({w}) AS pt1",
+        f"lag(name, 2) OVER ({w}) AS name2",
+        f"lag(name, 4) OVER ({w}) AS name4",
+        f"{around('WHERE')} AS sub_where",
+        f"{around('SELECT')} AS sub_select",
+        f"{in_exists} AS in_exists",
+        f"{last('scope < 0', 'seg', w, upto)} AS rseg",
+    )
 
-    t = t.select(
+    # names: sources, aliases, columns and calls
+    t = t.selectExpr(
         "*",
-        *[F.lag("u", i).over(w).alias(f"p{i}") for i in range(3, 6)],
-        F.lead("kind", 1).over(w).alias("nk1"),
-        F.lead("text", 1).over(w).alias("nt1"),
-        F.lag("text", 1).over(w).alias("pt1"),
-        F.lag("name", 2).over(w).alias("name2"),
-        F.lag("name", 4).over(w).alias("name4"),
-        around("WHERE", "sub_where"),
-        around("SELECT", "sub_select"),
-        (run((c("okind") == "select") & (c("p1") == "EXISTS"), prior) - run((c("m.kind") == "select") & (c("m.fn") == "EXISTS"), upto)).alias("in_exists"),
-        F.last(F.when(c("scope") < 0, c("seg")), ignorenulls=True).over(upto).alias("rseg"),
+        "clause = 'WHERE' OR sub_where > 0 AS in_where",
+        "coalesce(p1 = '.', false) AS dotted",
+        "coalesce(p1 = '.' AND p3 = '.', false) AS three",
+        "name IS NOT NULL AND coalesce(n1, '') <> '.' AS last_part",
+        "coalesce(n1 = '(', false) AS calls",
+        "coalesce(pk1 IN ('word', 'quoted', 'num', 'str') OR p1 IN (')', ']', 'END'), false) AS valueish",
+        f"direct AND clause IN {_in_list([*SOURCE_CLAUSES, 'INTO'])} AS in_src",
+        "CASE WHEN coalesce(p1, '') <> '.' THEN p1 WHEN coalesce(p3, '') <> '.' THEN p3 ELSE p5 END AS start",
     )
-    t = t.withColumn("in_where", (c("clause") == "WHERE") | (c("sub_where") > 0))
-
-    # names
-    is_name = c("name").isNotNull()
-    last_part = is_name & (F.coalesce(c("n1"), F.lit("")) != ".")
-    dotted = F.coalesce(c("p1") == ".", F.lit(False))
-    three = dotted & F.coalesce(c("p3") == ".", F.lit(False))
-    start = F.when(~dotted, c("p1")).when(~three, c("p3")).otherwise(c("p5"))
-    calls = F.coalesce(c("n1") == "(", F.lit(False))
-    valueish = c("pk1").isin("word", "quoted", "num", "str") | c("p1").isin(")", "]", "END")
-    src_head = F.coalesce(start.isin("FROM", "JOIN", ",", "UPDATE", "INTO", "MERGE", "USING", "LATERAL", "ONLY"), F.lit(False))
-    in_src = c("direct") & c("clause").isin([*SOURCE_CLAUSES, "INTO"])
-    t = t.withColumn("is_src", last_part & in_src & src_head)
-    t = t.withColumn("is_tab", c("is_src") & (~calls | (c("clause") == "INTO")))
-    alias_spot = is_name & ~dotted & last_part & ~calls & ((c("p1") == "AS") | valueish)
-    t = t.withColumn("is_salias", alias_spot & in_src & ~c("is_src") & (c("clause") != "INTO"))
-    t = t.withColumn("is_ialias", F.coalesce(alias_spot & c("direct") & (c("clause") == "SELECT"), F.lit(False)))
-    type_word = (c("p1").isin("AS", "::")) | (c("u").isin(K.TYPES) & (c("nk1") == "str")) | (c("n1") == "=>")
-    part_word = c("u").isin(K.DATE_PARTS) & ((c("n1") == "FROM") | (c("pk1").isin("num", "str")))
-    noise = type_word | part_word | (c("p1") == "NULLS") | (~dotted & valueish & ~c("direct"))
-    col_zone = c("clause").isin(EXPR_CLAUSES) | (c("clause").isin("FROM", "JOIN", "COMMA") & ~c("direct"))
-    plain_col = last_part & ~calls & ~c("is_ialias") & ~F.coalesce(noise, F.lit(False)) & col_zone
-    word_col = plain_col & ~(~dotted & F.coalesce(valueish, F.lit(False)))
-    star_col = (c("u") == "*") & dotted & c("name2").isNotNull() & col_zone
-    t = t.withColumn("is_col", F.coalesce(word_col | star_col, F.lit(False)))
-    t = t.withColumn("qual", F.when(dotted & (is_name | (c("u") == "*")), c("name2")))
-    t = t.withColumn("db", F.when(three & is_name, c("name4")))
-    return t.withColumn("start", start).withColumn("is_fn", F.coalesce((is_name | c("u").isin("LEFT", "RIGHT", "REPLACE")) & calls & ~c("is_src"), F.lit(False)))
-
-
-def core_flag() -> Column:
-    """Does a token belong to the expression of its segment (no keyword, separator, alias or direction)?"""
-    c = F.col
-    p1 = F.coalesce(c("p1"), F.lit(";"))
-    d = c("direct")
-    drop = (
-        c("ckw").isNotNull()
-        | (c("brk") & c("u").isin(",", "AND"))
-        | (d & (c("u") == "BY") & p1.isin("GROUP", "ORDER"))
-        | (d & c("u").isin("DISTINCT", "ALL") & (p1 == "SELECT"))
-        | (d & (((c("u") == "TOP") & p1.isin("SELECT", "DISTINCT") & (c("nk1") == "num")) | ((c("kind") == "num") & (p1 == "TOP"))))
-        | c("is_ialias")
-        | c("is_salias")
-        | (d & (c("u") == "AS") & c("clause").isin("SELECT", *SOURCE_CLAUSES))
-        | (d & c("u").isin(JOIN_WORDS) & (c("clause") == "JOIN"))
-        | (d & (c("u") == "ASC") & (c("clause") == "ORDER"))
-        | (c("u") == ";")
+    heads = "('FROM', 'JOIN', ',', 'UPDATE', 'INTO', 'MERGE', 'USING', 'LATERAL', 'ONLY')"
+    t = t.selectExpr(
+        "*",
+        f"last_part AND in_src AND coalesce(start IN {heads}, false) AS is_src",
+        "last_part AND NOT dotted AND NOT calls AND (coalesce(p1 = 'AS', false) OR valueish) AS alias_spot",
     )
-    return ~F.coalesce(drop, F.lit(False))
+    types = _in_list(K.TYPES)
+    parts = _in_list(K.DATE_PARTS)
+    t = t.selectExpr(
+        "*",
+        "is_src AND (NOT calls OR clause = 'INTO') AS is_tab",
+        "alias_spot AND in_src AND NOT is_src AND clause <> 'INTO' AS is_salias",
+        "alias_spot AND direct AND clause = 'SELECT' AS is_ialias",
+        f"""coalesce(p1 IN ('AS', '::', 'NULLS'), false) OR coalesce(u IN {types} AND nk1 = 'str', false) OR coalesce(n1 = '=>', false)
+          OR (u IN {parts} AND (coalesce(n1 = 'FROM', false) OR coalesce(pk1 IN ('num', 'str'), false))) OR (NOT dotted AND valueish) AS noise""",
+        f"clause IN {_in_list(EXPR_CLAUSES)} OR (clause IN ('FROM', 'JOIN', 'COMMA') AND NOT direct) AS col_zone",
+        "CASE WHEN dotted AND (name IS NOT NULL OR u = '*') THEN name2 END AS qual",
+        "CASE WHEN three AND name IS NOT NULL THEN name4 END AS db",
+    )
+    return t.selectExpr(
+        "*",
+        """coalesce(col_zone AND ((last_part AND NOT calls AND NOT is_ialias AND NOT noise)
+          OR (u = '*' AND dotted AND name2 IS NOT NULL)), false) AS is_col""",
+        "(name IS NOT NULL OR u IN ('LEFT', 'RIGHT', 'REPLACE')) AND calls AND NOT is_src AS is_fn",
+    ).drop("last_part", "calls", "valueish", "in_src", "alias_spot", "noise", "col_zone", "three")
 
 
-def spacing() -> Column:
-    """Blank before a token in printed SQL, judged by its left neighbour ``p1`` / ``pk1``."""
-    c = F.col
-    tight = (
-        c("u").isin(".", ",", ")", ";", "::", "]")
-        | c("p1").isin(".", "(", "::", "[")
-        | ((c("u") == "(") & ((c("pk1") == "word") | c("p1").isin("LEFT", "RIGHT", "REPLACE")))
-        | ((c("u") == "[") & (c("pk1") == "word"))
-    )
-    return F.when(F.coalesce(tight, F.lit(False)) | c("p1").isNull(), F.lit("")).otherwise(F.lit(" "))
+#: does a token belong to the expression of its segment (no keyword, separator, alias or direction)?
+CORE = f"""NOT coalesce(ckw IS NOT NULL OR (brk AND u IN (',', 'AND')) OR is_ialias OR is_salias OR u = ';' OR (direct AND (
+    (u = 'BY' AND q1 IN ('GROUP', 'ORDER'))
+    OR (u IN ('DISTINCT', 'ALL') AND q1 = 'SELECT')
+    OR (u = 'TOP' AND q1 IN ('SELECT', 'DISTINCT') AND nk1 = 'num')
+    OR (kind = 'num' AND q1 = 'TOP')
+    OR (u = 'AS' AND clause IN ('SELECT', 'FROM', 'JOIN', 'COMMA', 'UPDATE', 'MERGE', 'MERGESRC'))
+    OR (clause = 'JOIN' AND u IN ('LEFT', 'RIGHT', 'FULL', 'INNER', 'CROSS', 'OUTER', 'NATURAL', 'SEMI', 'ANTI', 'JOIN'))
+    OR (clause = 'ORDER' AND u = 'ASC'))), false)"""
+
+#: keywords print in upper case
+SHOWN = "if(kind = 'kw', u, text)"
+
+#: blank before a token in printed SQL, judged by its left neighbour ``p1`` / ``pk1``
+SPACING = """if(p1 IS NULL OR u IN ('.', ',', ')', ';', '::', ']') OR p1 IN ('.', '(', '::', '[')
+    OR (u = '(' AND (coalesce(pk1 = 'word', false) OR p1 IN ('LEFT', 'RIGHT', 'REPLACE'))) OR (u = '[' AND coalesce(pk1 = 'word', false)), '', ' ')"""
 
 
-def printed(cond: Column) -> Column:
+def printed(cond: str) -> str:
     """Aggregate the tokens that satisfy ``cond`` into text, in order."""
-    shown = F.when(F.col("kind") == "kw", F.col("u")).otherwise(F.col("text"))
-    parts = F.array_sort(F.collect_list(F.when(cond, F.struct("pos", F.concat(spacing(), shown).alias("x")))))
-    return F.trim(F.array_join(F.transform(parts, lambda p: p["x"]), ""))
+    part = f"CASE WHEN {cond} THEN named_struct('pos', pos, 'x', concat({SPACING}, {SHOWN})) END"
+    return f"trim(array_join(transform(array_sort(collect_list({part})), p -> p.x), ''))"
+
+
+def _aggregate(df: DataFrame, keys: Sequence[str], exprs: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(e) for e in exprs])
 
 
 def root_items(tok: DataFrame) -> DataFrame:
     """Segments of each statement's outermost SELECT with their whole text, nested sub-selects included."""
-    c = F.col
-    t = tok.withColumn("keep", F.when(c("scope") < 0, core_flag()).otherwise(True))
-    own = (c("scope") < 0) & (c("seg") == c("rseg"))
-    any_ = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
-    agg_fn = c("is_fn") & c("u").isin(K.AGGREGATES)
-    return t.groupBy("tid", "stmt", "rseg").agg(
-        F.max(F.when(own, c("clause"))).alias("clause"),
-        F.max(F.when(own, c("src_no"))).alias("src_no"),
-        F.max(F.when(own, c("arm0"))).alias("arm"),
-        F.max(F.when(own, c("n_setop"))).alias("n_setop"),
-        printed(c("keep")).alias("txt"),
-        F.max(F.when(own & c("is_ialias"), c("name"))).alias("alias"),
-        F.max(F.when(own & c("is_col"), c("name"))).alias("col_name"),
-        F.count_if(c("keep")).alias("n_core"),
-        F.count_if(c("keep") & (c("name").isNotNull() | (c("u") == "."))).alias("n_path"),
-        F.max(F.when(own & c("is_src"), c("name"))).alias("src"),
-        any_(own & c("is_tab")).alias("is_tab"),
-        F.max(F.when(own & c("is_salias"), c("name"))).alias("src_alias"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(own & c("direct") & (c("clause") == "JOIN") & c("u").isin(JOIN_WORDS), F.struct("pos", "u")))),
-                lambda x: x["u"],
-            ),
-            " ",
-        ).alias("kind"),
-        any_(agg_fn).alias("has_agg"),
-        any_(own & c("direct") & (c("u") == "OR") & (c("cases") == 0)).alias("has_or"),
-        F.min("pos").alias("s"),
+    t = tok.selectExpr("*", f"scope >= 0 OR {CORE} AS keep", "scope < 0 AND seg = rseg AS own")
+    words = _in_list(JOIN_WORDS)
+    join_kind = f"CASE WHEN own AND direct AND clause = 'JOIN' AND u IN {words} THEN named_struct('pos', pos, 'u', u) END"
+    best = lambda cond, v, name: f"max(CASE WHEN {cond} THEN {v} END) AS {name}"
+    return _aggregate(
+        t,
+        ["tid", "stmt", "rseg"],
+        [
+            best("own", "clause", "clause"),
+            best("own", "src_no", "src_no"),
+            best("own", "arm0", "arm"),
+            best("own", "n_setop", "n_setop"),
+            f"{printed('keep')} AS txt",
+            best("own AND is_ialias", "name", "alias"),
+            best("own AND is_col", "name", "col_name"),
+            "count_if(keep) AS n_core",
+            "count_if(keep AND (name IS NOT NULL OR u = '.')) AS n_path",
+            best("own AND is_src", "name", "src"),
+            "coalesce(bool_or(own AND is_tab), false) AS is_tab",
+            best("own AND is_salias", "name", "src_alias"),
+            f"array_join(transform(array_sort(collect_list({join_kind})), x -> x.u), ' ') AS kind",
+            f"coalesce(bool_or(is_fn AND u IN {_in_list(K.AGGREGATES)}), false) AS has_agg",
+            "coalesce(bool_or(own AND direct AND u = 'OR' AND cases = 0), false) AS has_or",
+            "min(pos) AS s",
+        ],
     )
 
 
+#: rules decided by a token and its neighbours
+TOKEN_FLAGS = {
+    "l07": "okind = 'select' AND p1 = 'IN' AND (p2 = 'NOT' OR p3 = 'NOT' OR (p3 = '.' AND p5 = 'NOT'))",
+    "l15": f"""u = ')' AND m.fn IN {_in_list(K.COALESCES)} AND (
+        (m.before = '=' AND coalesce(n1, ';') IN ('AND', 'OR', ')', ',', ';', 'THEN', 'ELSE', 'END', 'WHEN', 'GROUP', 'ORDER', 'HAVING',
+          'LIMIT', 'UNION', 'JOIN', 'LEFT', 'WHERE', 'AS', 'FROM'))
+        OR (n1 = '=' AND m.before IN ('WHERE', 'AND', 'OR', 'ON', '(', ',', 'NOT', 'WHEN', 'HAVING', 'SELECT', 'THEN', 'ELSE', 'QUALIFY', 'SET')))""",
+    "l17": "is_tab AND clause = 'INTO' AND (coalesce(n1, '') <> '(' OR n2 IN ('SELECT', 'WITH'))",
+    "l24": "u = 'OVER' AND in_agg > 0",
+    "l25eq": "u = '=' AND clause <> 'SET' AND (n1 = 'NULL' OR (p1 = 'NULL' AND coalesce(p2, '') NOT IN ('IS', 'NOT')))",
+    "l25ne": "u IN ('<>', '!=') AND clause <> 'SET' AND (n1 = 'NULL' OR (p1 = 'NULL' AND coalesce(p2, '') NOT IN ('IS', 'NOT')))",
+    "l08cast": "is_col AND in_where AND n1 = '::'",
+}
+
+_DAY = r"RLIKE r'^.\d{4}-\d{2}-\d{2}.$'"
+#: rules decided by neighbours that also quote a literal
+TOKEN_DETAILS = {
+    "l06": ("u IN ('LIKE', 'ILIKE') AND nk1 = 'str' AND substring(nt1, 2, 1) = '%'", "nt1"),
+    "l19": (f"u = 'AND' AND p2 = 'BETWEEN' AND pk1 = 'str' AND nk1 = 'str' AND pt1 {_DAY} AND nt1 {_DAY}", "concat_ws(' AND ', pt1, nt1)"),
+}
+
+
 def segments(tok: DataFrame) -> DataFrame:
     """One row per list item, condition, source or clause: the facts the rules read.
 
@@ -338,170 +358,128 @@ def segments(tok: DataFrame) -> DataFrame:
     and at a top-level AND of a condition. Tokens of nested sub-selects belong
     to their own scope; positions ``s..e`` still span them.
     """
-    c = F.col
-    p1 = F.coalesce(c("p1"), F.lit(";"))
-    d = c("direct")
-    t = tok.withColumn("core", core_flag())
-    core = c("core")
-    sort_word = d & (c("clause") == "ORDER") & (c("u").isin("DESC", "NULLS") | (p1 == "NULLS"))
-    key = core & ~F.coalesce(sort_word, F.lit(False))
-    shown = F.when(c("kind") == "kw", c("u")).otherwise(c("text"))
-    any_ = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
-    got = lambda cond, v: F.collect_list(F.when(cond, v))
-    aggregate = c("is_fn") & c("u").isin(K.AGGREGATES)
-    cond_ops = ["OR", "IS", "IN", "LIKE", "ILIKE", "BETWEEN", "EXISTS", "=", "<>", "!=", "<", ">", "<=", ">="]
-    over_item = (
-        c("is_col") & (c("fkind") == "over") & c("start").isin("BY", ",")
-        & c("n1").isin(",", ")", "ORDER", "ASC", "DESC", "ROWS", "RANGE", "GROUPS", "NULLS")
-    )
-    g = t.groupBy("tid", "stmt", "scope", "arm", "clause", "seg").agg(
-        F.min("pos").alias("s"),
-        F.max("pos").alias("e"),
-        F.max("src_no").alias("src_no"),
-        F.max("n_setop").alias("n_setop"),
-        F.min(F.when(core, c("pos"))).alias("c0"),
-        F.max(F.when(core, c("pos"))).alias("c1"),
-        F.count_if(core).alias("n_core"),
-        F.count_if(key).alias("n_key"),
-        F.array_join(F.transform(F.array_sort(got(core, F.struct("pos", shown.alias("x")))), lambda x: x["x"]), " ").alias("txt"),
-        F.count_if(core & (c("name").isNotNull() | (c("u") == ".") | ((c("u") == "*") & (p1 == ".")))).alias("n_path"),
-        F.count_if(c("is_col")).alias("n_cols"),
-        any_(key & (c("kind") == "num")).alias("has_num"),
-        any_(d & (c("u") == "*") & p1.isin("SELECT", ",", "DISTINCT", "ALL") | ((c("u") == "*") & (c("p2") == "TOP"))).alias("star"),
-        any_(d & (c("u") == "DISTINCT") & (p1 == "SELECT")).alias("distinct"),
-        any_(d & (c("u") == "TOP") & p1.isin("SELECT", "DISTINCT") & (c("nk1") == "num")).alias("top"),
-        F.min_by("u", F.when(core, c("pos"))).alias("u0"),
-        F.max_by("m.at", F.when(core, c("pos"))).alias("close_at"),
-        F.max(F.when(c("is_ialias"), c("name"))).alias("alias"),
-        F.max(F.when(c("is_src"), c("name"))).alias("src"),
-        any_(c("is_tab")).alias("is_tab"),
-        F.max(F.when(c("is_salias"), c("name"))).alias("src_alias"),
-        *[any_(d & (c("u") == k) & (c("clause") == "JOIN")).alias("j_" + k.lower()) for k in JOIN_WORDS if k != "JOIN"],
-        F.max(F.when(c("pos") == c("scope"), F.coalesce(c("p2"), F.lit("")))).alias("opener"),
-        any_((c("pos") == c("scope")) & c("name2").isNotNull()).alias("fn_opener"),
-        F.max(F.when(c("pos") == c("scope"), c("sub_select"))).alias("sub_select"),
-        any_(c("in_exists") > 0).alias("in_exists"),
-        got(
-            c("is_col"),
-            F.struct(
-                "pos", "qual", F.coalesce("name", F.lit("*")).alias("name"), "db", "scope", "arm", "clause",
-                ((c("in_agg") <= 0) & (c("in_over") <= 0) & (c("in_filter") <= 0)).alias("plain"), "in_where",
+    t = tok.selectExpr("*", f"{CORE} AS core")
+    types = _in_list(K.TYPES)
+    got = lambda cond, v, name: f"collect_list(CASE WHEN {cond} THEN {v} END) AS {name}"
+    any_ = lambda cond, name: f"coalesce(bool_or({cond}), false) AS {name}"
+    first_core = "CASE WHEN core THEN pos END"
+    g = _aggregate(
+        t,
+        ["tid", "stmt", "scope", "arm", "clause", "seg"],
+        [
+            "min(pos) AS s",
+            "max(pos) AS e",
+            "max(src_no) AS src_no",
+            "max(n_setop) AS n_setop",
+            f"min({first_core}) AS c0",
+            "count_if(core) AS n_core",
+            "count_if(core AND NOT (direct AND clause = 'ORDER' AND (u IN ('DESC', 'NULLS') OR q1 = 'NULLS'))) AS n_key",
+            f"array_join(transform(array_sort(collect_list(CASE WHEN core THEN named_struct('pos', pos, 'x', {SHOWN}) END)), x -> x.x), ' ') AS txt",
+            "count_if(core AND (name IS NOT NULL OR u = '.' OR (u = '*' AND q1 = '.'))) AS n_path",
+            "count_if(is_col) AS n_cols",
+            any_("core AND kind = 'num'", "has_num"),
+            any_("direct AND u = '*' AND (q1 IN ('SELECT', ',', 'DISTINCT', 'ALL') OR p2 = 'TOP')", "star"),
+            any_("direct AND u = 'DISTINCT' AND q1 = 'SELECT'", "distinct"),
+            any_("direct AND u = 'TOP' AND q1 IN ('SELECT', 'DISTINCT') AND nk1 = 'num'", "top"),
+            f"min_by(u, {first_core}) AS u0",
+            f"max_by(m.at, {first_core}) AS close_at",
+            "max(CASE WHEN is_ialias THEN name END) AS alias",
+            "max(CASE WHEN is_src THEN name END) AS src",
+            any_("is_tab", "is_tab"),
+            "max(CASE WHEN is_salias THEN name END) AS src_alias",
+            *[any_(f"direct AND clause = 'JOIN' AND u = '{k.upper()}'", f"j_{k}") for k in JOIN_SIDES],
+            "max(CASE WHEN pos = scope THEN coalesce(p2, '') END) AS opener",
+            any_("pos = scope AND name2 IS NOT NULL", "fn_opener"),
+            "max(CASE WHEN pos = scope THEN sub_select END) AS sub_select",
+            any_("in_exists > 0", "in_exists"),
+            got(
+                "is_col",
+                """named_struct('pos', pos, 'qual', qual, 'name', coalesce(name, '*'), 'db', db, 'scope', scope, 'arm', arm, 'clause', clause,
+                  'plain', in_agg <= 0 AND in_over <= 0 AND in_filter <= 0, 'in_where', in_where)""",
+                "cols",
             ),
-        ).alias("cols"),
-        got(aggregate, F.struct("pos", "scope", "arm", "clause", (c("in_over") > 0).alias("in_over"))).alias("aggs"),
-        got((c("u") == ")") & (c("n1") == "OVER"), F.struct(c("m.at").alias("o"), c("pos").alias("z"))).alias("wins"),
-        got(
-            (c("u") == ")") & c("in_where") & (c("m.fn").isin(K.WRAPPERS) | (c("n1") == "::")),
-            F.struct(c("m.at").alias("o"), c("pos").alias("z")),
-        ).alias("wraps"),
-        got(c("clause").isin(AND_CLAUSES) & c("u").isin(cond_ops) & ((c("cases") == 0) | ~d), F.struct("pos", "frame", "u", "n1", "p1")).alias("ops"),
-        got(over_item, F.lower("name")).alias("over_cols"),
-        got((c("u") == ")") & c("m.fn").isin(K.NEEDS_ORDER) & (c("n1") == "OVER"), F.struct("pos", "n2")).alias("ranked"),
-        got((c("u") == "ORDER") & (c("fkind") == "over"), c("frame")).alias("over_orders"),
-        got(
-            c("name").isNotNull() & (c("clause") == "WITH") & d & p1.isin("WITH", ",", "RECURSIVE") & c("n1").isin("AS", "("),
-            F.lower("name"),
-        ).alias("ctes"),
-        got(c("is_fn"), F.struct("pos", c("u").alias("fn"))).alias("fns"),
-        *[any_(cond).alias("t_" + rule) for rule, cond in token_flags().items()],
-        *[F.min(F.when(cond, F.struct("pos", v.alias("x")))).alias("d_" + rule) for rule, (cond, v) in token_details().items()],
-        F.count_if(c("u") == "CASE").alias("n_case"),
-        F.count_if((c("u") == "ELSE")).alias("n_else"),
-        F.count_if((c("ckw") == "SETOP") & (c("u") == "UNION") & (c("n1") != "ALL")).alias("n_union"),
-        F.count_if(
-            (c("ckw") == "SETOP") & (c("u") == "UNION") & (c("prev_setop.u") == "UNION") & (c("prev_setop.n1") != "ALL")
-        ).alias("n_union_inner"),
-        got(missing_comma(), F.struct("pos", "line", c("pt1").alias("a"), c("text").alias("b"))).alias("gaps"),
-    )
-    cols = ["n_core", "n_path", "n_cols"]
-    bare = c("n_core").isin(1, 3, 5) & (c("n_path") == c("n_core")) & (c("n_cols") == 1)
-    return g.withColumn("bare", bare).withColumn("ordinal", (c("n_key") == 1) & c("has_num")).withColumn(
-        "agg_item", c("u0").isin(K.AGGREGATES) & (c("close_at") == c("c0") + 1)
-    ).withColumn("wrapped", (c("u0") == "(") & (c("close_at") == c("c0"))).drop("n_path", "n_cols")
-
-
-def missing_comma() -> Column:
-    """Two bare words in a row in a SELECT list."""
-    c = F.col
-    no_type = ~c("u").isin(K.TYPES) & ~c("p1").isin(K.TYPES)
-    return c("direct") & (c("clause") == "SELECT") & (c("kind") == "word") & (c("pk1") == "word") & no_type
-
-
-def _date_only(x: Column) -> Column:
-    return F.coalesce(x.rlike(r"^'\d{4}-\d{2}-\d{2}'$"), F.lit(False))
-
-
-def token_flags() -> dict[str, Column]:
-    """Rules decided by a token and its neighbours."""
-    c = F.col
-    neq = c("u").isin("<>", "!=")
-    null_side = (c("n1") == "NULL") | ((c("p1") == "NULL") & ~F.coalesce(c("p2").isin("IS", "NOT"), F.lit(False)))
-    boundary = ["AND", "OR", ")", ",", ";", "THEN", "ELSE", "END", "WHEN", "GROUP", "ORDER", "HAVING", "LIMIT", "UNION", "JOIN", "LEFT", "WHERE", "AS", "FROM"]
-    closes_coalesce = (c("u") == ")") & c("m.fn").isin(K.COALESCES)
-    left_edge = c("m.before").isin("WHERE", "AND", "OR", "ON", "(", ",", "NOT", "WHEN", "HAVING", "SELECT", "THEN", "ELSE", "QUALIFY", "SET")
-    coal = closes_coalesce & (
-        ((c("m.before") == "=") & (c("n1").isNull() | c("n1").isin(boundary))) | ((c("n1") == "=") & left_edge)
+            got(
+                f"is_fn AND u IN {_in_list(K.AGGREGATES)}",
+                "named_struct('pos', pos, 'scope', scope, 'arm', arm, 'clause', clause, 'in_over', in_over > 0)",
+                "aggs",
+            ),
+            got("u = ')' AND n1 = 'OVER'", "named_struct('o', m.at, 'z', pos)", "wins"),
+            got(f"u = ')' AND in_where AND (m.fn IN {_in_list(K.WRAPPERS)} OR n1 = '::')", "named_struct('o', m.at, 'z', pos)", "wraps"),
+            got(
+                f"""clause IN {_in_list(AND_CLAUSES)} AND (cases = 0 OR NOT direct)
+                  AND u IN ('OR', 'IS', 'IN', 'LIKE', 'ILIKE', 'BETWEEN', 'EXISTS', '=', '<>', '!=', '<', '>', '<=', '>=')""",
+                "named_struct('pos', pos, 'frame', frame, 'u', u, 'n1', n1)",
+                "ops",
+            ),
+            got(
+                """is_col AND fkind = 'over' AND start IN ('BY', ',')
+                  AND n1 IN (',', ')', 'ORDER', 'ASC', 'DESC', 'ROWS', 'RANGE', 'GROUPS', 'NULLS')""",
+                "lower(name)",
+                "over_cols",
+            ),
+            got(f"u = ')' AND n1 = 'OVER' AND m.fn IN {_in_list(K.NEEDS_ORDER)}", "named_struct('pos', pos, 'n2', n2)", "ranked"),
+            got("u = 'ORDER' AND fkind = 'over'", "frame", "over_orders"),
+            got(
+                "name IS NOT NULL AND clause = 'WITH' AND direct AND q1 IN ('WITH', ',', 'RECURSIVE') AND n1 IN ('AS', '(')",
+                "lower(name)",
+                "ctes",
+            ),
+            got(
+                f"""direct AND clause = 'SELECT' AND kind = 'word' AND pk1 = 'word' AND u NOT IN {types} AND p1 NOT IN {types}""",
+                "named_struct('pos', pos, 'line', line, 'a', pt1, 'b', text)",
+                "gaps",
+            ),
+            *[any_(cond, "t_" + rule) for rule, cond in TOKEN_FLAGS.items()],
+            *[f"min(CASE WHEN {cond} THEN named_struct('pos', pos, 'x', {v}) END) AS d_{rule}" for rule, (cond, v) in TOKEN_DETAILS.items()],
+            "count_if(u = 'CASE') AS n_case",
+            "count_if(u = 'ELSE') AS n_else",
+            "count_if(ckw = 'SETOP' AND u = 'UNION' AND coalesce(n1, '') <> 'ALL') AS n_union",
+            "count_if(ckw = 'SETOP' AND u = 'UNION' AND prev_setop.u = 'UNION' AND coalesce(prev_setop.n1, '') <> 'ALL') AS n_union_inner",
+        ],
     )
-    not_in = (c("okind") == "select") & (c("p1") == "IN") & (
-        (c("p2") == "NOT") | (c("p3") == "NOT") | ((c("p3") == ".") & (c("p5") == "NOT"))
+    return g.selectExpr(
+        *[x for x in g.columns if x not in ("n_path", "n_cols", "n_key", "has_num", "u0", "close_at")],
+        "n_core IN (1, 3, 5) AND n_path = n_core AND n_cols = 1 AS bare",
+        "n_key = 1 AND has_num AS ordinal",
+        f"coalesce(u0 IN {_in_list(K.AGGREGATES)} AND close_at = c0 + 1, false) AS agg_item",
+        "coalesce(u0 = '(' AND close_at = c0, false) AS wrapped",
     )
-    return {
-        "l07": not_in,
-        "l15": coal,
-        "l17": c("is_tab") & (c("clause") == "INTO") & ((c("n1") != "(") | c("n1").isNull() | c("n2").isin("SELECT", "WITH")),
-        "l24": (c("u") == "OVER") & (c("in_agg") > 0),
-        "l25eq": (c("u") == "=") & null_side & (c("clause") != "SET"),
-        "l25ne": neq & null_side & (c("clause") != "SET"),
-        "l08cast": c("is_col") & c("in_where") & (c("n1") == "::"),
-    }
-
-
-def token_details() -> dict[str, tuple[Column, Column]]:
-    """Rules decided by neighbours that also quote a literal."""
-    c = F.col
-    return {
-        "l06": (c("u").isin("LIKE", "ILIKE") & (c("nk1") == "str") & c("nt1").startswith("'%"), c("nt1")),
-        "l19": ((c("u") == "AND") & (c("p2") == "BETWEEN") & _date_only(c("pt1")) & _date_only(c("nt1")), F.concat_ws(" AND ", "pt1", "nt1")),
-    }
 
 
 def statements(tok: DataFrame) -> DataFrame:
     """One row per statement: its SELECT arms (with their segments), columns, sources and flags."""
-    c = F.col
     seg = segments(tok)
     keep = [
-        "clause", "seg", "src_no", "s", "e", "c0", "n_core", "txt", "bare", "ordinal", "agg_item", "wrapped", "star",
-        "alias", "src", "is_tab", "src_alias", "over_cols", "ops",
-        *["j_" + k.lower() for k in JOIN_WORDS if k != "JOIN"],
+        "s", "clause", "seg", "src_no", "e", "c0", "n_core", "txt", "bare", "ordinal", "agg_item", "wrapped", "star",
+        "alias", "src", "is_tab", "src_alias", "over_cols", "ops", *[f"j_{k}" for k in JOIN_SIDES],
     ]
-    flags, details = list(token_flags()), list(token_details())
-    lists = ["cols", "aggs", "wins", "wraps", "ranked", "over_orders", "ctes", "fns", "gaps"]
-    counts = ["n_case", "n_else", "n_union", "n_union_inner"]
+    lists = ["cols", "aggs", "wins", "wraps", "ranked", "over_orders", "ctes", "gaps"]
     carried = [
-        *[F.flatten(F.collect_list(x)).alias(x) for x in lists],
-        *[F.sum(x).alias(x) for x in counts],
-        *[F.bool_or("t_" + f).alias("t_" + f) for f in flags],
-        *[F.min("d_" + f).alias("d_" + f) for f in details],
+        *[f"flatten(collect_list({x})) AS {x}" for x in lists],
+        *[f"sum({x}) AS {x}" for x in ("n_case", "n_else", "n_union", "n_union_inner")],
+        *[f"bool_or(t_{f}) AS t_{f}" for f in TOKEN_FLAGS],
+        *[f"min(d_{f}) AS d_{f}" for f in TOKEN_DETAILS],
     ]
-    sel = seg.groupBy("tid", "stmt", "scope", "arm").agg(
-        F.min("s").alias("s"),
-        F.max("e").alias("e"),
-        F.max("n_setop").alias("n_setop"),
-        F.bool_or("distinct").alias("distinct"),
-        F.bool_or("top").alias("top"),
-        F.max("opener").alias("opener"),
-        F.bool_or("fn_opener").alias("fn_opener"),
-        F.max("sub_select").alias("sub_select"),
-        F.bool_or("in_exists").alias("in_exists"),
-        F.array_sort(F.collect_list(F.struct("s", *[k for k in keep if k != "s"]))).alias("segs"),
-        *carried,
+    sel = _aggregate(
+        seg,
+        ["tid", "stmt", "scope", "arm"],
+        [
+            "min(s) AS s", "max(e) AS e", "max(n_setop) AS n_setop", "bool_or(distinct) AS distinct", "bool_or(top) AS top",
+            "max(opener) AS opener", "bool_or(fn_opener) AS fn_opener", "max(sub_select) AS sub_select", "bool_or(in_exists) AS in_exists",
+            f"array_sort(collect_list(struct({', '.join(keep)}))) AS segs",
+            *carried,
+        ],
+    )
+    # facts of the scope, known only to its first arm
+    shared = {"opener": "max", "sub_select": "max", "fn_opener": "bool_or", "n_setop": "max"}
+    sel = sel.selectExpr(
+        *[x for x in sel.columns if x not in shared],
+        *[f"{fn}({x}) OVER (PARTITION BY tid, stmt, scope) AS {x}" for x, fn in shared.items()],
+    )
+    arm = "struct(scope, arm, s, e, n_setop, distinct, top, opener, fn_opener, sub_select, in_exists, segs)"
+    st = _aggregate(sel, ["tid", "stmt"], [f"array_sort(collect_list({arm})) AS sels", *carried])
+    return st.selectExpr(
+        "*",
+        """transform(flatten(transform(sels, s -> filter(s.segs, g -> g.is_tab))),
+          g -> named_struct('name', g.src, 'alias', coalesce(g.src_alias, g.src), 'clause', g.clause)) AS tabs""",
     )
-    w = W.partitionBy("tid", "stmt", "scope")
-    for x in ("opener", "sub_select"):
-        sel = sel.withColumn(x, F.max(x).over(w))
-    sel = sel.withColumn("fn_opener", F.bool_or("fn_opener").over(w)).withColumn("n_setop", F.max("n_setop").over(w))
-    arm = F.struct("scope", "arm", "s", "e", "n_setop", "distinct", "top", "opener", "fn_opener", "sub_select", "in_exists", "segs")
-    st = sel.groupBy("tid", "stmt").agg(F.array_sort(F.collect_list(arm)).alias("sels"), *carried)
-    tabs = F.flatten(F.transform("sels", lambda s: F.filter(s["segs"], lambda g: g["is_tab"])))
-    named = lambda g: F.struct(g["src"].alias("name"), F.coalesce(g["src_alias"], g["src"]).alias("alias"), g["clause"].alias("clause"))
-    return st.withColumn("tabs", F.transform(tabs, named))

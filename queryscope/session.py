@@ -18,6 +18,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         # token jobs multiply their input, so small text partitions are worth a task of their own
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        # no Python call-site capture for each of the many column expressions
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         # merge activity sessions map-side before the key shuffle
         "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     }.items():

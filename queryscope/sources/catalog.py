@@ -87,7 +87,7 @@ def _ddl_statements(ddl: DataFrame) -> DataFrame:
     c = F.col
     keyed = ddl.where(F.length("sql") <= K.MAX_DDL_CHARS).select("ddl_id", "sql", F.lit("postgres").alias("dialect"))
     tok = T.token_table(keyed.withColumn("tid", F.col("ddl_id"))).where("kind <> 'comment'")
-    tok = tok.withColumn("name", T._name())
+    tok = tok.withColumn("name", F.expr(T.NAME))
     w = W.partitionBy("tid").orderBy("pos")
     prior, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
     one = lambda cond: F.when(cond, 1).otherwise(0)

@@ -74,7 +74,7 @@ def _(t):
 def _(t):
     ids, texts = _keyed(t, [s for s, _ in DECORRELATION])
     st = T.statements(T.scoped_tokens(texts))
-    risk = st.groupBy("tid").agg(F.bool_or(R._correlation_risk()).alias("risk"))
+    risk = st.groupBy("tid").agg(F.expr(f"bool_or({R.correlation_risk()}) AS risk"))
     return ids.join(risk, "tid").select("query_id", "risk")
 
 
