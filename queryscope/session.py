@@ -17,7 +17,9 @@ def tune(spark: SparkSession) -> SparkSession:
         # one hash on the text id serves every finer window, group and join
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         # token jobs multiply their input, so small text partitions are worth a task of their own
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        # fact tables have many small groups per task; sort only beyond this many
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
         # no Python call-site capture for each of the many column expressions
         "spark.sql.dataFrameQueryContext.enabled": "false",
         # merge activity sessions map-side before the key shuffle

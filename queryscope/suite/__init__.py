@@ -4,7 +4,7 @@ import importlib
 
 from queryscope.suite.registry import ORACLES, QUERIES
 
-MODULES = ("audits", "correct", "lint", "service")
+MODULES = ("audits", "correct", "lint", "corpus", "service")
 
 
 def load():
