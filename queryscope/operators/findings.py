@@ -72,9 +72,8 @@ def check_texts(
         F.array_sort(F.collect_list(F.when(c("suppressed"), F.struct("rule_no", "title")))).alias("ss"),
         F.sum(F.when(~c("suppressed"), severity_weight(c("severity")))).alias("penalty"),
     )
-    counts = st.groupBy("tid").agg(F.count("*").alias("statement_count"))
     v = R.validity(texts)
-    j = texts.join(v, "tid", "left").join(per, "tid", "left").join(counts, "tid", "left")
+    j = texts.join(v, "tid", "left").join(per, "tid", "left")
     empty = F.array().cast("array<struct<severity:string,title:string,message:string>>")
     shown = F.transform("fs", lambda x: F.struct(x["severity"].alias("severity"), x["title"].alias("title"), x["message"].alias("message")))
     valid = F.coalesce(c("valid"), F.lit(False))
@@ -84,7 +83,7 @@ def check_texts(
         F.when(valid, score(c("penalty"))).cast("int").alias("score"),
         F.when(valid, F.coalesce(shown, empty)).alias("findings"),
         F.when(valid, F.coalesce(F.transform("ss", lambda x: x["title"]), F.array().cast("array<string>"))).alias("suppressed"),
-        F.when(valid, c("statement_count")).cast("int").alias("statement_count"),
+        F.when(valid, c("statement_count")).alias("statement_count"),
         F.when(~valid, F.coalesce(c("kind"), F.lit("empty statement"))).alias("error"),
         F.when(~valid, c("line")).alias("error_line"),
     )

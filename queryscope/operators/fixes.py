@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from queryscope.functions import words as K
 from queryscope.operators import rules as R
+from queryscope.operators.findings import apply_noqa, lint_findings
 from queryscope.plans import tokens as T
+from queryscope.session import cut
 
 FIXES = ("x01", "x02", "x03", "x04")
 _STOPS = [
@@ -79,7 +82,7 @@ def _leak_edits(st: DataFrame) -> DataFrame:
 def fix_texts(texts: DataFrame, which=FIXES) -> DataFrame:
     """tid, fixed_sql for texts with at least one edit; the rest is left out."""
     c = F.col
-    tok = T.scoped_tokens(texts)
+    tok = cut(T.scoped_tokens(texts))  # read by every kind of edit and by the rewrite
     st = T.statements(tok)
     makers = {
         "x01": lambda: _null_edits(tok),
@@ -107,26 +110,26 @@ def fix_texts(texts: DataFrame, which=FIXES) -> DataFrame:
 
 
 def apply_auto_fixes(log: DataFrame) -> DataFrame:
-    """query_id, fixed_sql, fixed_titles: titles the fix provably removed and nobody suppressed."""
-    from queryscope.operators.findings import apply_noqa
+    """query_id, sql, fixed_sql, fixed_titles: titles the fix provably removed and nobody suppressed.
 
+    Only texts with a fixable finding go through the rewrite and the second lint.
+    """
     keyed = T.normalise_log(T.split_oversize(log)[0])
     texts = T.distinct_texts(keyed)
-    fixed = fix_texts(texts).join(texts.select("tid", "dialect"), "tid", "inner")
-    again = fixed.withColumnRenamed("fixed_sql", "sql")
     titles = lambda t: R.text_findings(T.statements(T.scoped_tokens(t)))
-    orig = apply_noqa(titles(texts), texts).where("NOT suppressed").select("tid", "title")
-    left = titles(again.select("tid", "sql", "dialect")).select("tid", "title")
+    orig = cut(apply_noqa(titles(texts), texts).where("NOT suppressed").select("tid", "title"))
+    todo = texts.join(orig.where(F.col("title").isin(K.FIXABLE)).select("tid").distinct(), "tid", "left_semi")
+    todo = cut(todo.select("tid", "sql", "dialect"))
+    fixed = cut(fix_texts(todo).join(todo.select("tid", "dialect"), "tid", "inner"))
+    left = titles(fixed.selectExpr("tid", "fixed_sql AS sql", "dialect")).select("tid", "title")
     gone = orig.join(left, ["tid", "title"], "left_anti")
     gone = gone.groupBy("tid").agg(F.array_sort(F.collect_set("title")).alias("fixed_titles"))
-    per = fixed.select("tid", "fixed_sql").join(gone, "tid", "inner")
+    per = cut(fixed.select("tid", "fixed_sql").join(gone, "tid", "inner"))
     return keyed.select("query_id", "tid", "sql").join(per, "tid", "inner").select("query_id", "sql", "fixed_sql", "fixed_titles")
 
 
 def no_new_findings(original: DataFrame, rewritten: DataFrame) -> DataFrame:
     """query_id, title of findings a rewrite introduced (both logs keyed by query_id)."""
-    from queryscope.operators.findings import lint_findings
-
     before = lint_findings(original).select("query_id", "title")
     after = lint_findings(rewritten).select("query_id", "title")
     return after.join(before, ["query_id", "title"], "left_anti")

@@ -311,7 +311,10 @@ STARTER_RX = r"^\s*([A-Za-z_]+)"
 
 
 def validity(texts: DataFrame) -> DataFrame:
-    """tid, valid, kind, line, adj: a stand-in for a grammar check, from token neighbours only."""
+    """tid, valid, kind, line, adj, statement_count, form (printed on one line).
+
+    A stand-in for a grammar check, from token neighbours only.
+    """
     w = "PARTITION BY tid ORDER BY pos"
     t = T.token_table(texts).where("kind <> 'comment'").selectExpr(
         "tid", "pos", "line", "u", "kind", "text",
@@ -336,6 +339,8 @@ def validity(texts: DataFrame) -> DataFrame:
         [
             "min(CASE WHEN fault IS NOT NULL THEN named_struct('pos', pos, 'kind', fault, 'line', line) END) AS f",
             "max_by(struct(bal, line), pos) AS z",
+            "CAST(count_if(u <> ';' AND coalesce(p1, ';') = ';') AS INT) AS statement_count",
+            f"{T.printed(chr(117) + ' <> ' + chr(39) + ';' + chr(39))} AS form",
             "min(CASE WHEN adjacent THEN named_struct('pos', pos, 'line', line, 'a', pt1, 'b', text) END) AS adj",
         ],
     )
@@ -346,6 +351,8 @@ def validity(texts: DataFrame) -> DataFrame:
         f"if({open_}, 'unbalanced parentheses', f.kind) AS kind",
         f"if({open_}, z.line, f.line) AS line",
         "adj",
+        "statement_count",
+        "form",
     )
 
 
@@ -445,10 +452,10 @@ def text_findings(st: DataFrame, titles: Sequence[str] | None = None, catalog: D
     hits = None
     if rules:
         entries = [
-            f"if(({d}) IS NULL, NULL, named_struct('rule_no', {ORDER.get(t, 1000 + i)}, 'severity', '{sev}', 'title', {_quote(t)}, 'detail', {d}))"
+            f"named_struct('rule_no', {ORDER.get(t, 1000 + i)}, 'severity', '{sev}', 'title', {_quote(t)}, 'detail', {d})"
             for i, (t, (sev, _, d)) in enumerate(rules.items())
         ]
-        hits = st.selectExpr("tid", "stmt", f"explode(array_compact(array({', '.join(entries)}))) AS h")
+        hits = st.selectExpr("tid", "stmt", f"explode(filter(array({', '.join(entries)}), x -> x.detail IS NOT NULL)) AS h")
         # the first statement that fires supplies the message
         hits = hits.groupBy("tid", "h.title").agg(F.expr("min_by(h, stmt) AS h")).selectExpr(
             "tid", "h.rule_no", "h.severity", "h.title", "h.detail"

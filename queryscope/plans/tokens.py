@@ -60,9 +60,8 @@ def distinct_texts(log: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def token_table(texts: DataFrame) -> DataFrame:
     """tid, pos, line, text, u (upper case), kind; comments included."""
-    blanks = r"' \t\r\n\f\u000b'"
     t = texts.select("tid", "dialect", F.posexplode(tokens(F.col("sql"))).alias("pos", "raw"))
-    t = t.selectExpr("tid", "dialect", "pos", "raw", f"trim(LEADING {blanks} FROM raw) AS text")
+    t = t.withColumn("text", bare(F.col("raw")))
     t = t.selectExpr("*", "upper(text) AS u")
     strings = _in_list(K.DOUBLE_QUOTE_STRINGS)
     kind = rf"""CASE

@@ -278,6 +278,7 @@ _FULL = [
     ("SELECT * FROM t WHERE a = '-- noqa' AND k = {n}", ["SELECT * used"], []),
     ("SELCT a FROM t WHERE k = {n} -- noqa", None, None),
     ("DELETE FROM t{n}; UPDATE t{n} SET a = 1; SELECT a FROM x CROSS JOIN y CROSS JOIN z", ["DELETE without WHERE", "UPDATE without WHERE", "CROSS JOIN found", "Joined table never used", "Unqualified column with multiple tables joined"], []),
+    ("SELECT a FROM t WHERE x <> NULL AND k = {n}", ["`!= NULL` never matches"], []),
     ("SELECT a.x FROM a JOIN b ON a.id = b.id WHERE a.k = {n} -- noqa: Joined tabel never used", ["Joined table never used"], []),
 ]
 _SEV = {title: s for _, title, s in TITLES}
@@ -424,7 +425,7 @@ def _(t):
 
 @query(
     "f01_dedupe_findings",
-    """SELECT l_orderkey AS query_id, l_returnflag AS title, min(l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey) AS first_hit FROM lineitem GROUP BY 1, 2""",
+    """SELECT l_orderkey AS query_id, l_returnflag AS title, min(CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey) AS first_hit FROM lineitem GROUP BY 1, 2""",
 )
 def _(t):
     raw = t.lineitem.selectExpr(
