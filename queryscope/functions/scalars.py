@@ -39,7 +39,8 @@ def client_key(forwarded: Column, peer: Column) -> Column:
 
 def age_label(ts: Column, now: Column) -> Column:
     """Relative age of a check: minutes and hours within a day, else day and month."""
-    s = F.floor(F.unix_micros(now) / 1_000_000 - F.unix_micros(ts) / 1_000_000)
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1_000_000
+    s = F.floor(seconds(now) - seconds(ts))
     return (
         F.when(s < 60, F.lit("just now"))
         .when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit(" min ago")))

@@ -30,6 +30,15 @@ HISTORY_MAX = 30
 BLOCK_ROWS = 500_000
 
 
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def _event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
+    """Watermark for streams; event time must be an instant."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if df.isStreaming else df
+
+
 def _judge(times: list[int], kept: deque, limit: int, window_us: int) -> list[bool]:
     """Accept or reject hits in order; ``kept`` holds the accepted ones and is changed in place."""
     out = []
@@ -55,7 +64,7 @@ def throttle(
     after at most as many steps as the busiest client has blocks.
     """
     window_us = window_s * 1_000_000
-    rows = numbered(df.withColumn("_us", F.unix_micros(ts)), [key], [F.col("_us"), F.col(tie)], "_rn")
+    rows = numbered(df.withColumn("_us", _micros(ts)), [key], [F.col("_us"), F.col(tie)], "_rn")
     rows = rows.withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(block_rows)))
     kt = df.schema[key].dataType
     state_schema = T.StructType([T.StructField(key, kt), T.StructField("_blk", T.LongType()), T.StructField("_st", T.ArrayType(T.LongType()))])
@@ -101,7 +110,7 @@ def throttle_stream(
     meets the hits kept so far.
     """
     window_us = window_s * 1_000_000
-    s = stream.select(key, tie, F.unix_micros(ts).alias("_us"))
+    s = stream.select(key, tie, _micros(ts).alias("_us"))
     out = T.StructType([s.schema[key], s.schema[tie], T.StructField("accepted", T.BooleanType())])
     st = T.StructType([T.StructField("kept", T.ArrayType(T.LongType()))])
 
@@ -117,7 +126,7 @@ def throttle_stream(
 
 def hit_rate(df: DataFrame, key: str, ts: str, width: str = "10 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Hits per key and sliding window; on a stream, rows later than ``late`` are dropped."""
-    d = df.withWatermark(ts, late) if df.isStreaming else df
+    d = _event_time(df, ts, late)
     w = F.window(ts, width, slide)
     return d.groupBy(key, w.alias("w")).agg(F.count("*").alias("hits")).select(
         key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "hits"
@@ -162,7 +171,7 @@ def history(checks: DataFrame, n: int = HISTORY_MAX, tie: str = "query_id") -> D
 
 def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Sessions of activity per key; rows merge map-side first."""
-    d = df.withWatermark(ts, late) if df.isStreaming else df
+    d = _event_time(df, ts, late)
     return d.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("hits")).select(
         key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "hits"
     )

@@ -10,7 +10,7 @@ from queryscope.suite.golden import GOLDEN
 from queryscope.suite.registry import query
 from queryscope.suite.sqltext import expect_sql, log_sql
 
-NOW = "2002-01-15"
+NOW = "1996-06-01"
 _now = lambda: F.lit(NOW).cast("timestamp")
 
 KEYS_SQL = """(SELECT CASE WHEN k % 7 = 0 THEN 'qd_test_' ELSE 'qd_live_' END || k AS api_key, k AS owner,
@@ -81,7 +81,7 @@ def _(t):
     return R.active_keys(_keys(t), _now()).select("api_key", "plan")
 
 
-_DUE = "1996-02-01"
+_DUE = "1995-03-01"
 
 
 @query(
@@ -140,8 +140,8 @@ def _(t):
     "r12_sessions",
     """WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) g FROM e)
- SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS hits FROM s GROUP BY user_id, g""",
+ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS hits FROM s GROUP BY user_id, g""",
 )
 def _(t):
     d = R.sessions(t.events, "user_id", "ts")
-    return d.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "hits")
+    return d.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")], "hits")
