@@ -34,7 +34,7 @@ def catalog_from_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> Da
 
 def read_catalog_json(spark: SparkSession, path: str) -> DataFrame:
     """``{table: [columns]}`` files as catalog rows."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     m = F.from_json("value", "map<string,array<string>>")
     return raw.select(F.explode(m).alias("table_name", "cols")).select(
         "table_name", F.posexplode("cols").alias("i", "column_name")

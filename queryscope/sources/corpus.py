@@ -18,7 +18,7 @@ def read_sql_files(spark: SparkSession, paths: Sequence[str], dialect: str = "bi
     frames = []
     for p in paths:
         try:
-            raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(p)
+            raw = spark.read.text(p, wholetext=True, recursiveFileLookup=True)
             d = raw.select(
                 F.col("_metadata.file_path").alias("path"),
                 F.col("value").alias("sql"),
