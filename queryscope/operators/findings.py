@@ -10,6 +10,7 @@ from queryscope.functions import words as K
 from queryscope.functions.scalars import score_band
 from queryscope.operators import rules as R
 from queryscope.plans import tokens as T
+from queryscope.session import cut
 
 NOQA_RX = r"(?is)^\s*noqa\s*(?::\s*(.*))?\s*$"
 
@@ -113,7 +114,7 @@ def findings_of(results: DataFrame, *keys: str) -> DataFrame:
 
 
 def lint_findings(log: DataFrame, titles: Sequence[str] | None = None, catalog: DataFrame | None = None) -> DataFrame:
-    """query_id, severity, title, message of the whole log, without the result wrapper."""
+    """query_id, severity, title, message of the whole log: no validity check, suppression or score."""
     keyed = T.normalise_log(T.split_oversize(log)[0])
     texts = T.distinct_texts(keyed)
     f = R.text_findings(T.statements(T.scoped_tokens(texts)), titles, catalog)
@@ -162,6 +163,7 @@ def finding_rollup(results: DataFrame, *keys: str) -> DataFrame:
 
 def title_shares(results: DataFrame) -> DataFrame:
     """Per title: queries hit and their share of all valid queries."""
+    results = cut(results.select("query_id", "valid", "findings"))  # read twice
     total = results.agg(F.count_if("valid").alias("total"))
     hits = findings_of(results, "query_id").groupBy("title", "severity").agg(F.count("*").alias("queries"))
     # both sides hold at most one row per title, so they fit one array

@@ -119,9 +119,9 @@ def apply_auto_fixes(log: DataFrame) -> DataFrame:
     titles = lambda t: R.text_findings(T.statements(T.scoped_tokens(t)))
     orig = cut(apply_noqa(titles(texts), texts).where("NOT suppressed").select("tid", "title"))
     todo = texts.join(orig.where(F.col("title").isin(K.FIXABLE)).select("tid").distinct(), "tid", "left_semi")
-    todo = cut(todo.select("tid", "sql", "dialect"))
+    todo = cut(todo.select("tid", "sql", "dialect")).repartition("tid")  # shuffle texts, not their tokens
     fixed = cut(fix_texts(todo).join(todo.select("tid", "dialect"), "tid", "inner"))
-    left = titles(fixed.selectExpr("tid", "fixed_sql AS sql", "dialect")).select("tid", "title")
+    left = titles(fixed.selectExpr("tid", "fixed_sql AS sql", "dialect").repartition("tid")).select("tid", "title")
     gone = orig.join(left, ["tid", "title"], "left_anti")
     gone = gone.groupBy("tid").agg(F.array_sort(F.collect_set("title")).alias("fixed_titles"))
     per = cut(fixed.select("tid", "fixed_sql").join(gone, "tid", "inner"))

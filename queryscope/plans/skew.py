@@ -69,7 +69,7 @@ def running(
     spread = W.partitionBy(*part)
     bo = F.col(BLK).desc() if descending else F.col(BLK).asc()
     before = spread.orderBy(bo).rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.where(F.lit(True)).withColumn("_n", F.count(F.lit(1)).over(spread)).where("_n > 1")
+    totals = totals.withColumn("_n", F.count(F.lit(1)).over(spread)).where("_n > 1")
     for out, (fn, _) in specs.items():
         totals = totals.withColumn("_o_" + out, getattr(F, fn)("_t_" + out).over(before))
     offsets = totals.select(*part, BLK, *["_o_" + o_ for o_ in specs])

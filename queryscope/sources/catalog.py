@@ -86,7 +86,8 @@ def _ddl_statements(ddl: DataFrame) -> DataFrame:
 
     c = F.col
     keyed = ddl.where(F.length("sql") <= K.MAX_DDL_CHARS).select("ddl_id", "sql", F.lit("postgres").alias("dialect"))
-    tok = T.token_table(keyed.withColumn("tid", F.col("ddl_id"))).where("kind <> 'comment'")
+    # shuffle the texts, not their tokens
+    tok = T.token_table(keyed.withColumn("tid", F.col("ddl_id")).repartition("tid")).where("kind <> 'comment'")
     tok = tok.withColumn("name", F.expr(T.NAME))
     w = W.partitionBy("tid").orderBy("pos")
     prior, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
@@ -138,7 +139,7 @@ def catalog_from_ddl(ddl: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ambiguous_names(catalog: DataFrame) -> DataFrame:
     """Column names of two or more catalog tables."""
-    return catalog.groupBy(F.lower("column_name").alias("column_name")).agg(
+    return guard_catalog(catalog).groupBy(F.lower("column_name").alias("column_name")).agg(
         F.countDistinct(F.lower("table_name")).alias("table_count"),
         F.array_join(F.array_sort(F.collect_set(F.lower("table_name"))), ",").alias("tables"),
     ).where("table_count > 1")

@@ -37,7 +37,7 @@ _RX = TOKEN_RX_PLAIN.replace("'", "''")
  CAST(len(text) - len(replace(rtrim(text, chr(10) || chr(13) || ' ' || chr(9)), chr(10), '')) - (len(text) - len(rtrim(text, chr(10) || chr(13) || ' ' || chr(9)))) + 1 AS INTEGER) AS last_line FROM documents""",
 )
 def _(t):
-    docs = t.documents.select(F.col("doc_id").alias("tid"), F.col("text").alias("sql"), F.lit("postgres").alias("dialect"))
+    docs = t.documents.select(F.col("doc_id").alias("tid"), F.col("text").alias("sql"), F.lit("postgres").alias("dialect")).repartition("tid")
     last = T.token_table(docs).groupBy("tid").agg(F.count("*").alias("tokens"), F.max(F.col("line")).alias("m"), F.max_by(F.struct("line", "text"), "pos").alias("z"))
     inner = F.length("z.text") - F.length(F.replace("z.text", F.lit("\n"), F.lit("")))
     return last.select(F.col("tid").alias("query_id"), "tokens", (F.col("z.line") + inner).cast("int").alias("last_line"))
@@ -208,7 +208,7 @@ _NATION_JSON = """SELECT n_name AS table_name, c_mktsegment AS column_name, row_
 
 
 def _nation_catalog(t):
-    segs = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(
+    segs = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "n_name").agg(
         F.array_sort(F.collect_set("c_mktsegment")).alias("cols")
     )
     js = segs.select("n_regionkey", F.to_json(F.create_map("n_name", "cols")).alias("js"))
