@@ -416,7 +416,7 @@ def _(t):
 
 @query("v04_synthetic")
 def _(t):
-    return V.synthetic_long(t.part, "p_type")
+    return V.synthetic_long(t.customer, "c_name")
 
 
 @query(
