@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from queryscope.llm import decontaminate, minhash, sharding, tokencount, url_filter
-from queryscope.llm.common import prepare
+from queryscope.llm import decontaminate, langid, lattice, minhash, ngram, packing, quality, sharding, tokencount, url_filter
+from queryscope.llm.common import fold, prepare
 
 ALLOW = ("org/", "com/fr/")
 BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
@@ -47,6 +47,24 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(pages, labelled, allow=ALLOW, block=BLOCK)
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pieces(table(spark, folder, "documents"), vocabulary(), ["doc_id"])
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+@query("op4_lattice_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, folder, "embeddings"))
+
+
 OP5_SQL = r"""
 WITH up AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' u, 'abcdefghijklmnopqrstuvwxyz' l),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents, up),
@@ -70,6 +88,20 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op6_ngram_scores")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 1)
+    return ngram.train_and_score(docs, docs.where(~F.col("held_out")), ["doc_id", "held_out"])
+
+
+@query("op7_quality_scores")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    learn = docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id")
+    return quality.score(docs, quality.fit(learn), ["doc_id", "held_out"])
+
+
 @query("op8_minhash_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
