@@ -28,8 +28,8 @@ from queryscope.llm.tokencount import _SIMPLE, _SIMPLE_WORDS, chunks_of
 
 CAPACITY = 4096
 END_ID = 1
-#: nodes of the search
-NODES = 20_000
+#: nodes of the search; a dive to a whole packing takes one for each filling used
+NODES = 3_000
 #: chunks and words remembered by a worker
 MEMORY = 400_000
 #: fillings tried at one node
@@ -108,7 +108,9 @@ def fillings(stock: np.ndarray, room: int, width: int = WIDTH) -> list[list[int]
     a = have[::-1]
     b = partner(a, room - a)
     ok = (b > 0) & (b <= a) & (a + b > best)
-    pairs = sorted(zip((a + b)[ok], a[ok], b[ok]), reverse=True)[:width]
+    a_ok, b_ok = a[ok], b[ok]
+    top = np.argsort(-(a_ok + b_ok), kind="stable")[:width]
+    pairs = list(zip((a_ok + b_ok)[top], a_ok[top], b_ok[top]))
     found += [[int(x), int(y)] for _, x, y in pairs]
     top = int(pairs[0][0]) if pairs else best
     if top < room:
