@@ -33,7 +33,7 @@ NODES = 3_000
 #: chunks and words remembered by a worker
 MEMORY = 400_000
 #: fillings tried at one node
-WIDTH = 8
+WIDTH = 4
 
 Pattern = tuple[dict[int, int], int]  # length -> uses, number of sequences
 
@@ -83,51 +83,61 @@ def lower_bound(stock: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(stock: np.ndarray, room: int, width: int = WIDTH) -> list[list[int]]:
-    """Undominated fillings of ``room`` with up to three pieces, least waste first.
-
-    The largest single piece that fits dominates all smaller ones; a pair or triple is kept only if it wastes less.
-    """
-    have = np.flatnonzero(stock[: room + 1])
-    have = have[have > 0]
+def _few(stock: np.ndarray, room: int, width: int) -> list[list[int]]:
+    """Fillings of ``room`` with one, two or three pieces: the largest piece that fits, and pairs and triples that waste less."""
+    have = np.flatnonzero(stock[1 : room + 1]) + 1
     if not len(have):
-        return [[]]
+        return []
     best = int(have[-1])
-    found = [[best]]
     if best == room:
-        return found
-    limit = np.full(room + 1, 0, np.int64)  # largest length in stock up to each size
+        return [[best]]
+    limit = np.zeros(room + 1, np.int64)  # largest length in stock up to each size
     limit[have] = have
     limit = np.maximum.accumulate(limit)
 
     def partner(a: np.ndarray, space: np.ndarray) -> np.ndarray:
-        b = limit[np.minimum(space, room)]
-        again = (b == a) & (stock[a] < 2)
-        return np.where(again, limit[np.maximum(b - 1, 0)], b)
+        b = limit[space]
+        return np.where((b == a) & (stock[a] < 2), limit[np.maximum(b - 1, 0)], b)
 
     a = have[::-1]
     b = partner(a, room - a)
-    ok = (b > 0) & (b <= a) & (a + b > best)
+    ok = (b > 0) & (b <= a)
     a_ok, b_ok = a[ok], b[ok]
-    top = np.argsort(-(a_ok + b_ok), kind="stable")[:width]
-    pairs = list(zip((a_ok + b_ok)[top], a_ok[top], b_ok[top]))
-    found += [[int(x), int(y)] for _, x, y in pairs]
-    top = int(pairs[0][0]) if pairs else best
-    if top < room:
-        triples = []
-        for x in a[:: max(1, len(a) // 64)]:
-            y = a[(a <= x) & (a < room - x)]
-            y = y[(y != x) | (stock[y] > 1)]
-            if len(y):
-                z = partner(y, room - x - y)
-                z = np.where((z == x) & (stock[x] < 2 + (y == x)), limit[np.maximum(z - 1, 0)], z)
-                z = np.where((z == y) & (stock[z] < 2 + (x == y)), limit[np.maximum(z - 1, 0)], z)
-                s = np.where((z > 0) & (z <= y), x + y + z, 0)
-                k = int(np.argmax(s))
-                if s[k] > top:
-                    triples.append((int(s[k]), [int(x), int(y[k]), int(z[k])]))
-        found += [t for _, t in sorted(triples, reverse=True)[:width]]
-    return sorted(found, key=lambda f: -sum(f))[:width]
+    order = np.argsort(-(a_ok + b_ok), kind="stable")[:width]
+    pairs = [[int(x), int(y)] for x, y in zip(a_ok[order], b_ok[order])]
+    if pairs and sum(pairs[0]) == room:
+        return [p for p in pairs if sum(p) == room]
+    triples = []
+    for x in map(int, a[:: max(1, len(a) // 24)]):
+        y = a[(a <= x) & (a < room - x) & ((a != x) | (stock[a] > 1))]
+        if len(y):
+            z = limit[room - x - y]
+            for other in (x, y):
+                z = np.where((z == other) & (stock[z] < 1 + (z == x) + (z == y)), limit[np.maximum(z - 1, 0)], z)
+            total = np.where((z > 0) & (z <= y), x + y + z, 0)
+            k = int(np.argmax(total))
+            if total[k]:
+                triples.append([x, int(y[k]), int(z[k])])
+                if total[k] == room:
+                    break
+    return sorted([[best], *pairs, *triples], key=sum, reverse=True)[:width]
+
+
+def fillings(stock: np.ndarray, room: int, width: int = WIDTH) -> list[list[int]]:
+    """Undominated fillings of ``room``, least waste first.
+
+    A filling that leaves room for a further piece is dominated by the one that takes it, so each is extended until
+    nothing fits. Where many small pieces are needed, the largest that fits comes first.
+    """
+    found = []
+    for few in _few(stock, room, width) or [[]]:
+        rest = room - sum(few)
+        if few and rest:
+            left = stock.copy()
+            np.subtract.at(left, few, 1)
+            few = few + fillings(left, rest, 1)[0]
+        found.append((room - sum(few), few))
+    return [f for _, f in sorted(found, key=lambda x: x[0])]
 
 
 def complete(stock: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
