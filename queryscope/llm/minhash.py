@@ -6,9 +6,11 @@
    (a star, so pairs grow with the members and not with their square); pairs pass the signature test and are then
    confirmed on the full sets.
 3. Components of confirmed pairs come from alternating large-star and small-star. Buckets that still hold members of
-   several components are looked at again: their members are cut into chunks of ``CHUNK``, pairs of chunks are compared
-   by signature inside a task, and only pairs of different components that pass are sent on and confirmed. So no link
-   between different components is lost, however large a bucket is.
+   several components are looked at again: their members are cut into chunks of ``CHUNK``, and pairs of chunks are
+   compared inside a task, first by signature, then on the full sets of the members that are left. A pair is looked at in
+   the first band that it shares only, and not once its components are joined. A task sends on the links that join
+   components, fewer than its members, so no link between components is lost and no pairs are listed, however large a
+   bucket is.
 
 A link at the threshold is missed by all bands with a chance of (1 - t**rows)**bands: 4e-7 at 0.85, 5e-5 at 0.8 (25 bands
 of 5 rows).
@@ -32,7 +34,7 @@ from queryscope.session import cut
 
 SHINGLE, BANDS, ROWS = 5, 25, 5
 #: members of a bucket compared in one task with those of another chunk
-CHUNK = 256
+CHUNK = 512
 
 
 
@@ -60,7 +62,7 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 
 def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text."""
-    parts = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+    parts = [np.unique(h) for h in _parts(hashes, bounds)]
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
@@ -111,7 +113,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
 
 
 def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, node) for every band of every representative."""
+    """(key, band, node) for every band of every representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,9 +125,12 @@ def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                 for r in range(rows):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, k * rows + r])
                 keys[:, k] = h
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node, bands))], names=["key", "node"])
+            band = np.tile(np.arange(bands, dtype=np.int32), len(node))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(node, bands))], names=["key", "band", "node"]
+            )
 
-    return reps.select("node", "sig").mapInArrow(run, "key bigint, node bigint")
+    return reps.select("node", "sig").mapInArrow(run, "key bigint, band int, node bigint")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -177,33 +182,72 @@ def signature_test(pairs: DataFrame, reps: DataFrame, percent: int, n: int) -> D
     return joined.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def _across(members: DataFrame, percent: int, n: int) -> DataFrame:
-    """Pairs of one bucket but different components that pass the signature test; ``members``: key, node, n, sig, comp."""
+def _candidates(t: pa.Table, percent: int, bands: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, others) of a chunk pair: different components, fitting sizes and minima, and no earlier band in common."""
+    side, node, size, comp = (t.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, bands * rows)
+    p, q, band = (t.column(c)[0].as_py() for c in ("p", "q", "band"))
+    least, right = _near(percent, bands * rows), np.flatnonzero(side == q)
+    for i in np.flatnonzero(side == p):
+        fit = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if p == q else (node[right] != node[i]))]
+        fit = fit[np.minimum(size[fit], size[i]) * 100 >= np.maximum(size[fit], size[i]) * percent]
+        if len(fit):
+            same = sig[fit] == sig[i]
+            first = same.reshape(-1, bands, rows).all(2).argmax(1)
+            fit = fit[(same.sum(1) >= least) & (first == band)]
+        if len(fit):
+            yield int(i), fit
+
+
+def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """Links (u, v) that join different components inside a bucket; ``members``: key, band, node, n, sig, comp."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
     cut_up = members.join(sizes, "key").withColumn("_c", F.ceil(F.col("_size") / CHUNK).cast("int"))
-    cut_up = cut_up.withColumn("_i", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int"))
+    cut_up = cut_up.withColumn("side", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int"))
     spread = cut_up.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    spread = spread.select("key", F.least("_i", "_j").alias("p"), F.greatest("_i", "_j").alias("q"), "_i", "node", "n", "sig", "comp")
-    least = _near(percent, n)
+    spread = spread.select("key", F.least("side", "_j").alias("p"), F.greatest("side", "_j").alias("q"), "band", "side", "node", "n", "sig", "comp")
+
+    def left(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        some: set[int] = set()
+        for i, fit in _candidates(t, percent, bands, rows):
+            some.add(i)
+            some.update(fit.tolist())
+        return t.take(pa.array(sorted(some), pa.int64()))
 
-    def run(table: pa.Table) -> pa.Table:
+    def joined(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        side, node, size, comp = (t.column(c).to_numpy() for c in ("_i", "node", "n", "comp"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, n)
-        p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
-        left, right = np.flatnonzero(side == p), np.flatnonzero(side == q)
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        sets: list[np.ndarray] = []
+        for _, _, w in slices(t.column("t").combine_chunks(), WHITE):
+            sets += [np.unique(h) for h in _parts(*shingles(w, size))]
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
         us, vs = [], []
-        for i in left:
-            fit = right[(comp[right] != comp[i]) & (node[right] > node[i] if p == q else node[right] != node[i])]
-            fit = fit[(np.minimum(size[fit], size[i]) * 100 >= np.maximum(size[fit], size[i]) * percent)]
-            fit = fit[(sig[fit] == sig[i]).sum(1) >= least]
-            us.append(np.full(len(fit), node[i]))
-            vs.append(node[fit])
-        u = np.concatenate(us) if us else np.empty(0, np.int64)
-        v = np.concatenate(vs) if vs else np.empty(0, np.int64)
-        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+        for i, fit in _candidates(t, percent, bands, rows):
+            x = sets[i]
+            for j in fit.tolist():
+                a, b = find(int(comp[i])), find(int(comp[j]))
+                if a != b:
+                    both = len(np.intersect1d(x, sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(sets[j]) - both):
+                        root[max(a, b)] = min(a, b)
+                        us.append(node[i])
+                        vs.append(node[j])
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    own = "key bigint, p int, q int, band int, side int, node bigint, n bigint, sig binary, comp bigint"
+    few = cut(spread.groupBy("key", "p", "q").applyInArrow(left, own))
+    return few.join(texts, "node").groupBy("key", "p", "q").applyInArrow(joined, "u bigint, v bigint")
+
 
-    return spread.groupBy("key", "p", "q").applyInArrow(run, "u bigint, v bigint").distinct()
+def _parts(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    return [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def components(
@@ -226,19 +270,17 @@ def components(
 
     buckets = band_keys(reps, bands, rows)
     least = buckets.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "v")
-    shared = cut(buckets.join(least, "key").select("key", "node", "v"))
+    shared = cut(buckets.join(least, "key").select("key", "band", "node", "v"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("t"))
     stars = shared.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     stars = cut(signature_test(stars, reps, percent, n))
     links = cut(confirm(stars, texts, size, percent).distinct())
     first = connected(links)
 
-    labelled = shared.select("key", "node").join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    labelled = shared.select("key", "band", "node").join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
     rest = labelled.join(mixed, "key", "left_semi").join(reps, "node")
-    known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = cut(_across(rest, percent, n).join(known, ["u", "v"], "left_anti"))
-    found = cut(confirm(more, texts, size, percent).distinct())
+    found = cut(_across(rest, texts, size, percent, bands, rows).distinct())
     final = connected(links.unionByName(found)) if not found.isEmpty() else first
     # members of one set, then the component of their representative
     placed = members.join(final.withColumnRenamed("node", "rep"), "rep", "left")
