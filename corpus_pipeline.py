@@ -26,9 +26,7 @@ NEAR = 80
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking puts above the quality cut; it learns from all labelled documents of the stage's input."""
     prepare(spark)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id"), F.col("quality").alias("_quality"))
-    learn = docs.select("doc_id", "text").join(labels, "doc_id")
-    model = quality.fit(learn, label_col="_quality")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs.select(*DOCUMENT), model, DOCUMENT).where("predicted = 1").select(*DOCUMENT)
 
 

@@ -168,7 +168,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             raw[index[gram[i]] - start, at[lang[i]]] += k[i]
         logs = np.log((raw + 0.5) / (raw.sum(0) + 0.5 * max(1, len(index))))
         places.extend(logs)
-    return Model(langs, words, grams, np.array(places, np.float32).reshape(-1, len(langs)))
+    return Model(langs, words, grams, np.array(places, np.float32).reshape(len(places), len(langs)))
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ At cosine 0.98 two random directions meet in a table with a chance of about 0.79
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors without label, link
 with nothing; vectors of different lengths never link; equal vectors link; repeated ids count as other vectors of the
-same id; an empty table gives no rows.
+same id, a vector without id is counted but joins no component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -214,5 +214,5 @@ def near_vectors(
         F.col("id").cast(type_of(vectors, id_col)).alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         root.alias("component_id"),
-        (F.col("id") == root).alias("kept"),
+        F.col("id").eqNullSafe(root).alias("kept"),
     )

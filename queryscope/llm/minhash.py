@@ -16,7 +16,8 @@ A link at the threshold is missed by all bands with a chance of (1 - t**rows)**b
 of 5 rows).
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and are kept; fewer words than a
-shingle form one shingle; copies form one component; a repeated id is one node; an empty table gives no rows.
+shingle form one shingle; copies form one component; a repeated id is one node, and a row
+without id joins the group of its set but leads none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -291,5 +292,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: id, n_shingles, component_id (least id reachable by links), kept (id = component_id)."""
     out = components(docs, id_col, text_col, percent, **options)
     return out.select(
-        F.col("node").cast(type_of(docs, id_col)).alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("node") == F.col("component")).alias("kept")
+        F.col("node").cast(type_of(docs, id_col)).alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("node").eqNullSafe(F.col("component")).alias("kept")
     )

@@ -60,7 +60,21 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
-@query("op4_lattice_dedup")
+OP4_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+       WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+          WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (a.n * b.n) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+counted AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM v LEFT JOIN counted USING (r) LEFT JOIN least ON vec_id = a
+"""
+
+
+@query("op4_lattice_dedup", OP4_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.near_vectors(table(spark, folder, "embeddings"))
 
@@ -97,12 +111,27 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_quality_scores")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
-    labels = table(spark, folder, "labels").select("doc_id", "quality")
-    learn = docs.where(~F.col("held_out")).select("doc_id", "text").join(labels, "doc_id")
-    return quality.score(docs, quality.fit(learn), ["doc_id", "held_out"])
+    labels = table(spark, folder, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    model = quality.fit(docs.where(~F.col("held_out")), labels)
+    return quality.score(docs, model, ["doc_id", "held_out"])
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[i : i + 4], ' ') AS k
+      FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, doc_id, count(*) AS n FROM s GROUP BY r, doc_id),
+both_ AS (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.r <> b.r GROUP BY 1, 2),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM both_ JOIN n x ON ra = x.r JOIN n y ON rb = y.r WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN least ON d.doc_id = a
+"""
 
 
-@query("op8_minhash_dedup")
+@query("op8_minhash_dedup", OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
