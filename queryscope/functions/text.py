@@ -6,21 +6,56 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-#: one token with the white space before it; earlier alternatives win. The
-#: possessive quantifiers keep Java's matcher iterative on very long strings.
-TOKEN_RX = (
-    r"\s*(?:--[^\n]*|/\*[\s\S]*?\*/|'(?:[^']|'')*+'|\"[^\"]*\"|`[^`]*`"
-    r"|[\p{L}_][\p{L}\p{N}_$]*|\d+(?:\.\d+)?|<=>|<>|!=|<=|>=|=>|\|\||::|->>|->|\S)"
-)
-#: the same pattern for engines without possessive quantifiers
-TOKEN_RX_PLAIN = TOKEN_RX.replace("*+'", "*'")
+from queryscope.functions.words import DIALECTS
+
+# What the lexers of the dialects differ in.
+HASH_COMMENTS = ["bigquery", "mysql"]
+BACKSLASH_ESCAPES = ["bigquery", "mysql", "snowflake", "spark"]
+DOLLAR_STRINGS = ["duckdb", "postgres", "redshift", "snowflake"]
+TRIPLE_QUOTES = ["bigquery"]
 
 _BLANKS = " \t\r\n\f\u000b"
 
 
-def tokens(sql: Column) -> Column:
-    """Array of tokens, each with its leading white space."""
-    return F.regexp_extract_all(sql, F.lit(TOKEN_RX), F.lit(0))
+def token_rx(dialect: str, possessive: bool = True) -> str:
+    """One token with the white space before it; earlier alternatives win.
+
+    Possessive quantifiers keep Java's matcher iterative on very long strings; other engines take the plain form.
+    """
+    many = "*+" if possessive else "*"
+    escape = r"|\\[\s\S]" if dialect in BACKSLASH_ESCAPES else ""
+    inside = lambda q: f"(?:[^{q}{chr(92) * 2 if escape else ''}]|{q}{q}{escape}){many}"
+    parts = [r"--[^\n]*", r"/\*[\s\S]*?\*/"]
+    if dialect in HASH_COMMENTS:
+        parts.append(r"#[^\n]*")
+    if dialect in DOLLAR_STRINGS:
+        parts.append(r"\$\$[\s\S]*?\$\$")
+    if dialect in TRIPLE_QUOTES:
+        parts += [r"\'\'\'[\s\S]*?\'\'\'", r'"""[\s\S]*?"""']
+    parts += [f"'{inside(chr(39))}'", f'"{inside(chr(34))}"', r"`[^`]*`"]
+    parts += [
+        r"[\p{L}_][\p{L}\p{N}_$]*",
+        r"0[xX][0-9A-Fa-f]+",
+        r"\d+(?:\.\d+)?(?:[eE][+-]?\d+)?",
+        r"@@?[\p{L}_][\p{L}\p{N}_$]*",
+        r"\$\d+",
+        r"\$\{[^}]*\}",
+        r"<=>|<>|!=|<=|>=|=>|==|\|\||::|->>|->|\S",
+    ]
+    return rf"\s*(?:{'|'.join(parts)})"
+
+
+def tokens(sql: Column, dialect: Column) -> Column:
+    """Array of tokens, each with its leading white space, as the dialect's lexer cuts them."""
+    by_rx: dict[str, list[str]] = {}
+    for d in DIALECTS:
+        by_rx.setdefault(token_rx(d), []).append(d)
+    cut = lambda rx: F.regexp_extract_all(sql, F.lit(rx), F.lit(0))
+    (rest, _), *others = sorted(by_rx.items(), key=lambda x: -len(x[1]))
+    out = None
+    for rx, names in others:
+        out = F.when(dialect.isin(names), cut(rx)) if out is None else out.when(dialect.isin(names), cut(rx))
+    return out.otherwise(cut(rest))
 
 
 def bare(token: Column) -> Column:

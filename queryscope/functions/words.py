@@ -9,9 +9,8 @@ DOUBLE_QUOTE_STRINGS = ["bigquery", "mysql", "spark"]
 SEVERITY_RANK = {"low": 0, "medium": 1, "high": 2}
 SEVERITY_WEIGHT = {"low": 5, "medium": 12, "high": 30}
 
-# Input limits.
+# Sizes up to which an interactive check answers; reported, never enforced here.
 MAX_SQL_CHARS = 100_000
-MAX_DDL_CHARS = 200_000
 MAX_TABLES = 200
 MAX_COLUMNS = 5_000
 

@@ -103,7 +103,8 @@ def outer_nullify(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str
         ).alias("rows_if_in_on"),
     )
     # the predicate on a row of NULLs decides the fate of every unmatched row
-    null_row = right.limit(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
+    one_row = right.sparkSession.range(1)  # from the schema alone: the optional side may be empty
+    null_row = one_row.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
     nulls = null_row.agg(F.coalesce(F.max(F.when(pred, 1)), F.lit(0)).cast("bigint").alias("null_ok"))
     res = merge_rows(one, nulls)
     unmatched_kept = (F.col("unmatched_rows") * F.coalesce(F.col("null_ok"), F.lit(0))).cast("bigint")
@@ -243,20 +244,21 @@ def boundary_ties(df: DataFrame, order: Sequence[tuple[str, bool]], limit: int,
     """Is a LIMIT/OFFSET page deterministic? Compares ties inside and outside the page borders."""
     cols = [c for c, _ in order]
     fwd = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
-    back = [F.col(c).desc() if up else F.col(c).asc() for c, up in order]
-
-    def edge(rows: int, side: str) -> DataFrame:
-        top = df.select(*cols).orderBy(*fwd).limit(rows)
-        last = top.orderBy(*back).limit(1).select(*[F.col(c).alias("b_" + c) for c in cols])
-        same = lambda d: d.join(F.broadcast(last), [d[c].eqNullSafe(F.col("b_" + c)) for c in cols], "inner")
-        inside = same(top).agg(_cnt().alias(side + "_ties_inside"))
-        total = same(df.select(*cols)).agg(_cnt().alias(side + "_ties_total"))
-        return merge_rows(inside, total)
-
-    frames = [edge(limit + offset, "end")]
-    if offset:
-        frames.append(edge(offset, "start"))
-    out = merge_rows(*frames)
+    # rows per distinct sort key, aggregated map-side; no border lies beyond the first ``limit + offset`` keys
+    keys = df.groupBy(*cols).agg(F.count(N).alias("_n")).orderBy(*fwd).limit(limit + offset)
+    before = W.orderBy(*fwd).rowsBetween(W.unboundedPreceding, -1)
+    keys = keys.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    hit = lambda rows: (F.col("_before") < rows) & (F.col("_before") + F.col("_n") >= rows)
+
+    def edge(rows: int, side: str) -> list[Column]:
+        # a table shorter than the border ends inside its last key
+        held = F.max(F.when(hit(rows), F.struct("_before", "_n")))
+        last = F.max(F.struct("_before", "_n"))
+        inside = F.coalesce(F.lit(rows) - held["_before"], last["_n"], F.lit(0))
+        total = F.coalesce(held["_n"], last["_n"], F.lit(0))
+        return [inside.cast("bigint").alias(side + "_ties_inside"), total.cast("bigint").alias(side + "_ties_total")]
+
+    out = keys.agg(*edge(limit + offset, "end"), *(edge(offset, "start") if offset else []))
     ok = F.col("end_ties_inside") == F.col("end_ties_total")
     if offset:
         ok = ok & (F.col("start_ties_inside") == F.col("start_ties_total"))
@@ -316,14 +318,19 @@ def case_coverage(df: DataFrame, branches: dict[str, Column]) -> DataFrame:
 def having_vs_where(df: DataFrame, keys: Sequence[str], value: str, pred: Column) -> DataFrame:
     """A key-only HAVING against the same predicate in WHERE: results and aggregate input."""
 
-    def grouped(d: DataFrame) -> DataFrame:
-        return d.groupBy(*keys).agg(F.count(N).alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).alias("s"))
-
-    with_having, with_where = grouped(df).where(pred), grouped(df.where(pred))
-    entering = df.agg(_cnt().alias("rows_into_having"), _cnt(pred).alias("rows_into_where"))
-    groups = with_where.agg(_cnt().alias("groups_kept"))
-    same = verify_equal(with_having, with_where).select("verdict")
-    return merge_rows(entering, groups, same)
+    # one pass: per group the aggregate of all its rows, and of those that WHERE lets in
+    amount = F.col(value).cast("decimal(18,2)")
+    g = df.groupBy(*keys).agg(
+        F.count(N).alias("n"), F.sum(amount).alias("s"), F.count_if(pred).alias("wn"), F.sum(F.when(pred, amount)).alias("ws")
+    )
+    having, where = F.coalesce(pred, F.lit(False)), F.col("wn") > 0
+    differs = (having != where) | (having & ((F.col("n") != F.col("wn")) | ~F.col("s").eqNullSafe(F.col("ws"))))
+    return g.agg(
+        _sum0(F.col("n")).alias("rows_into_having"),
+        _sum0(F.col("wn")).alias("rows_into_where"),
+        _cnt(where).alias("groups_kept"),
+        F.when(F.count_if(differs) == 0, "equivalent").otherwise("different").alias("verdict"),
+    )
 
 
 def distinct_over_group(df: DataFrame, keys: Sequence[str], proj: Sequence[Column]) -> DataFrame:
@@ -471,5 +478,5 @@ def resolve_ordinals(columns: Sequence[str], items: Sequence[int | str | tuple[i
 
 
 def inner_sort_noop(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """An inner ORDER BY without LIMIT leaves the multiset as it is."""
-    return verify_equal(df, df.orderBy(*order))
+    """An inner ORDER BY without LIMIT leaves the multiset as it is: rows against rows sorted inside their partitions."""
+    return verify_equal(df, df.sortWithinPartitions(*order))

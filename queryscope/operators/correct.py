@@ -214,12 +214,23 @@ def update_from(
     )
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ambiguous_keys(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys with several source rows, which a MERGE rejects."""
+    return source.groupBy(*keys).agg(F.count(N).alias("source_rows")).where("source_rows > 1")
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], order: Sequence[str] | None = None) -> DataFrame:
     """MERGE: matched rows take the source's values, unmatched source rows are inserted.
 
-    ``source`` has one row per key. Written as left join + anti join, so that a
-    hot target key can be split at run time (a full outer join could not).
+    Several source rows of a key resolve to the first in ``order`` (all other columns if not given), so that no target
+    row is multiplied. Written as left join + anti join, so that a hot target key can be split at run time (a full outer
+    join could not).
     """
+    rest = [c for c in source.columns if c not in keys]
+    if rest:
+        source = resolve_source(source, keys, order or rest).select(*source.columns)
+    else:
+        source = source.distinct()
     s = source.select(*[F.col(c).alias("_s_" + c) for c in source.columns]).withColumn("_hit", F.lit(True))
     j = target.join(s, [target[k] == s["_s_" + k] for k in keys], "left")
     changed = j.select(

@@ -56,9 +56,9 @@ def score(penalty: Column) -> Column:
 
 
 def check_texts(
-    texts: DataFrame, titles: Sequence[str] | None = None, catalog: DataFrame | None = None
+    texts: DataFrame, titles: Sequence[str] | None = None, catalog: DataFrame | None = None, with_hints: bool = False
 ) -> DataFrame:
-    """One result row per distinct text: validity, score, ordered findings, suppressed titles.
+    """One result row per distinct text: validity, score, ordered findings, suppressed titles, and a hint if asked for.
 
     An invalid text has no findings and no score; nothing suppresses its error.
     """
@@ -75,6 +75,8 @@ def check_texts(
     )
     v = R.validity(texts)
     j = texts.join(v, "tid", "left").join(per, "tid", "left")
+    if with_hints:
+        j = j.join(R.hints(texts, v).select("tid", "hint"), "tid", "left")
     empty = F.array().cast("array<struct<severity:string,title:string,message:string>>")
     shown = F.transform("fs", lambda x: F.struct(x["severity"].alias("severity"), x["title"].alias("title"), x["message"].alias("message")))
     valid = F.coalesce(c("valid"), F.lit(False))
@@ -87,6 +89,7 @@ def check_texts(
         F.when(valid, c("statement_count")).alias("statement_count"),
         F.when(~valid, F.coalesce(c("kind"), F.lit("empty statement"))).alias("error"),
         F.when(~valid, c("line")).alias("error_line"),
+        *([c("hint")] if with_hints else []),
     )
 
 
@@ -96,14 +99,14 @@ def lint_corpus(
     catalog: DataFrame | None = None,
     dbt_mode: bool = False,
     partitions: int | None = None,
+    with_hints: bool = False,
 ) -> DataFrame:
     """Every log row with the result of its text; each distinct text is linted once.
 
-    Oversize and empty texts are left out (see ``split_oversize``).
+    Texts of any length are linted; an empty or null text gets a row with an error.
     """
-    fit, _ = T.split_oversize(log)
-    keyed = T.normalise_log(fit, dbt_mode)
-    res = check_texts(T.distinct_texts(keyed, partitions), titles, catalog)
+    keyed = T.normalise_log(log, dbt_mode)
+    res = check_texts(T.distinct_texts(keyed, partitions), titles, catalog, with_hints)
     # one row per text on the right: run-time skew handling splits a hot text on the left
     return keyed.join(res, "tid", "inner")
 
@@ -114,11 +117,8 @@ def findings_of(results: DataFrame, *keys: str) -> DataFrame:
 
 
 def lint_findings(log: DataFrame, titles: Sequence[str] | None = None, catalog: DataFrame | None = None) -> DataFrame:
-    """query_id, severity, title, message of the whole log: no validity check, suppression or score."""
-    keyed = T.normalise_log(T.split_oversize(log)[0])
-    texts = T.distinct_texts(keyed)
-    f = R.text_findings(T.statements(T.scoped_tokens(texts)), titles, catalog)
-    return keyed.select("query_id", "tid").join(f, "tid", "inner").select("query_id", "severity", "title", "message")
+    """query_id, severity, title, message of the whole log: the findings of valid texts that no comment suppresses."""
+    return findings_of(lint_corpus(log, titles, catalog), "query_id")
 
 
 # ---- gates and totals -------------------------------------------------------

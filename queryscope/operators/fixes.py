@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from queryscope.functions import words as K
 from queryscope.operators import rules as R
@@ -17,25 +17,39 @@ _STOPS = [
 ]
 
 
+def _edit(pos: Column, new=None, drop_ws=False, gap=False, before=None, after=None) -> Column:
+    """One change at a token: other text, its white space dropped, a blank ensured, text put before or after it."""
+    values = {"pos": pos.cast("int"), "new": new, "drop_ws": drop_ws, "gap": gap, "before": before, "after": after}
+    kinds = {"drop_ws": "boolean", "gap": "boolean"}
+    cells = [(v if isinstance(v, Column) else F.lit(v).cast(kinds.get(k, "string"))).alias(k) for k, v in values.items()]
+    return F.struct(*cells)
+
+
 def _null_edits(tok: DataFrame) -> DataFrame:
-    """``x = NULL`` and ``NULL = x`` become IS NULL; the inequality becomes IS NOT NULL."""
+    """``x = NULL`` and ``NULL = x`` become IS NULL; the inequality becomes IS NOT NULL.
+
+    An edit is refused where the operand does not end at NULL (a cast, an operator or a call follows).
+    """
     c = F.col
     op = c("u").isin("=", "<>", "!=") & (c("clause") != "SET")
     test = F.when(c("u") == "=", F.lit("IS")).otherwise(F.lit("IS NOT"))
-    right = tok.where(op & (c("n1") == "NULL")).select("tid", c("pos").cast("double").alias("pos"), test.alias("new"))
+    ends = F.coalesce(c("n2").isin(*_STOPS, ")"), F.lit(True))
+    right = tok.where(op & (c("n1") == "NULL") & ends)
+    right = right.select("tid", F.inline(F.array(_edit(c("pos"), test, gap=True), _edit(c("pos") + 1, gap=True))))
     left = op & (c("p1") == "NULL") & (c("n1") != "NULL") & ~F.coalesce(c("p2").isin("IS", "NOT"), F.lit(False))
     # the operand on the right ends before the next stop word of the same frame
     back = W.partitionBy("tid", "frame").orderBy(F.col("pos").desc()).rowsBetween(W.unboundedPreceding, -1)
     stop = F.max(F.when(c("u").isin(_STOPS), -c("pos"))).over(back)
     end = F.max("pos").over(W.partitionBy("tid", "frame"))
     flipped = tok.withColumn("stop", -stop).withColumn("end", end).where(left)
-    until = F.coalesce(c("stop") - 0.5, c("end") + 0.5)
+    last = F.coalesce(c("stop") - 1, c("end"))
     edits = F.array(
-        F.struct((c("pos") - 1).cast("double").alias("pos"), F.lit("").alias("new")),
-        F.struct(c("pos").cast("double").alias("pos"), F.lit("").alias("new")),
-        F.struct(until.cast("double").alias("pos"), F.concat(test, F.lit(" NULL")).alias("new")),
+        _edit(c("pos") - 1, "", drop_ws=True),
+        _edit(c("pos"), "", drop_ws=True),
+        _edit(c("pos") + 1, gap=True),
+        _edit(last, after=F.concat(F.lit(" "), test, F.lit(" NULL"))),
     )
-    return right.unionByName(flipped.select("tid", F.inline(edits)))
+    return right.unionByName(flipped.where(last > c("pos")).select("tid", F.inline(edits)))
 
 
 def _distinct_edits(st: DataFrame) -> DataFrame:
@@ -44,7 +58,8 @@ def _distinct_edits(st: DataFrame) -> DataFrame:
     shown = f"flatten(transform({items}, g -> array(lower(g.txt), lower(g.alias))))"
     kept = f"forall({R._in('s', 'GROUP')}, k -> k.ordinal OR coalesce(array_contains({shown}, lower(k.txt)), false))"
     spot = f"if(s.distinct AND {R._has('s', 'GROUP')} AND {kept}, array_min(transform({items}, g -> g.s)) + 1, NULL)"
-    return st.selectExpr("tid", f"explode(CAST(array_compact(transform({R.SELECTS}, s -> {spot})) AS array<double>)) AS pos", "'' AS new")
+    found = st.selectExpr("tid", f"explode(array_compact(transform({R.SELECTS}, s -> {spot}))) AS at")
+    return found.select("tid", F.inline(F.array(_edit(F.col("at"), "", drop_ws=True))))
 
 
 def case_spans(tok: DataFrame) -> DataFrame:
@@ -68,19 +83,20 @@ def case_spans(tok: DataFrame) -> DataFrame:
 
 
 def _case_edits(tok: DataFrame) -> DataFrame:
-    return case_spans(tok).where(~F.col("has_else")).select(
-        "tid", (F.col("end") - 0.5).cast("double").alias("pos"), F.lit("ELSE NULL").alias("new")
-    )
+    return case_spans(tok).where(~F.col("has_else")).select("tid", F.inline(F.array(_edit(F.col("end"), gap=True, before=" ELSE NULL"))))
 
 
 def _leak_edits(st: DataFrame) -> DataFrame:
     bad = "filter(cols, c -> c.db IS NOT NULL AND exists(tabs, t -> lower(t.alias) = lower(c.db)))"
-    spots = f"array_distinct(flatten(transform({bad}, c -> array(c.pos - 4, c.pos - 3))))"
-    return st.selectExpr("tid", f"explode(CAST({spots} AS array<double>)) AS pos", "'' AS new")
+    found = st.selectExpr("tid", f"explode(array_distinct(transform({bad}, c -> c.pos))) AS at")
+    return found.select("tid", F.inline(F.array(_edit(F.col("at") - 4, ""), _edit(F.col("at") - 3, "", drop_ws=True))))
 
 
 def fix_texts(texts: DataFrame, which=FIXES) -> DataFrame:
-    """tid, fixed_sql for texts with at least one edit; the rest is left out."""
+    """tid, fixed_sql for texts with at least one edit; the rest is left out.
+
+    The text is edited in place: white space, comments, hints and all other tokens stay as they are.
+    """
     c = F.col
     tok = cut(T.scoped_tokens(texts))  # read by every kind of edit and by the rewrite
     st = T.statements(tok)
@@ -94,19 +110,27 @@ def fix_texts(texts: DataFrame, which=FIXES) -> DataFrame:
     for w in which:
         e = makers[w]()
         edits = e if edits is None else edits.unionByName(e)
-    edits = edits.groupBy("tid", "pos").agg(F.max("new").alias("new"))
-    base = tok.select("tid", c("pos").cast("double").alias("pos"), "text", "u", "kind")
-    merged = base.join(edits, ["tid", "pos"], "full").where(F.coalesce(c("new"), c("text")) != "")
-    shown = F.coalesce("new", F.when(c("kind") == "kw", c("u")).otherwise(c("text")))
-    w = W.partitionBy("tid").orderBy("pos")
-    ready = merged.select(
-        "tid", "pos", shown.alias("text"), F.coalesce("new", "u").alias("u"), F.coalesce("kind", F.lit("kw")).alias("kind"), c("new")
+    edits = edits.groupBy("tid", "pos").agg(
+        *[F.max(x).alias(x) for x in ("new", "before", "after")], *[F.bool_or(x).alias(x) for x in ("drop_ws", "gap")]
+    )
+    # every token as it stands, comments included; comments carry no position of their own
+    w = W.partitionBy("tid").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    real = c("kind") != "comment"
+    raw = T.token_table(texts).select("tid", c("pos").alias("at"), "raw", "text", real.alias("real"))
+    raw = raw.withColumn("pos", F.when(c("real"), F.sum(c("real").cast("int")).over(w).cast("int")))
+    space = F.expr("left(raw, length(raw) - length(text))")
+    none = F.lit("")
+    piece = F.concat(
+        F.coalesce("before", none),
+        F.when(F.coalesce("drop_ws", F.lit(False)), none).otherwise(space),
+        F.when(F.coalesce("gap", F.lit(False)) & (space == ""), F.lit(" ")).otherwise(none),
+        F.coalesce("new", "text"),
+        F.coalesce("after", none),
     )
-    ready = ready.withColumn("p1", F.lag("u").over(w)).withColumn("pk1", F.lag("kind").over(w))
-    g = ready.groupBy("tid").agg(F.expr(f"{T.printed('true')} AS fixed_sql"))
-    # dropped tokens leave no row, so count the edits at their source
     touched = edits.select("tid").distinct()
-    return g.join(touched, "tid", "left_semi").select("tid", "fixed_sql")
+    whole = raw.join(touched, "tid", "left_semi").join(edits, ["tid", "pos"], "left")
+    parts = F.array_sort(F.collect_list(F.struct("at", piece.alias("x"))))
+    return whole.groupBy("tid").agg(F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("fixed_sql"))
 
 
 def apply_auto_fixes(log: DataFrame) -> DataFrame:
@@ -114,14 +138,16 @@ def apply_auto_fixes(log: DataFrame) -> DataFrame:
 
     Only texts with a fixable finding go through the rewrite and the second lint.
     """
-    keyed = T.normalise_log(T.split_oversize(log)[0])
+    keyed = T.normalise_log(log)
     texts = T.distinct_texts(keyed)
     titles = lambda t: R.text_findings(T.statements(T.scoped_tokens(t)))
     orig = cut(apply_noqa(titles(texts), texts).where("NOT suppressed").select("tid", "title"))
     todo = texts.join(orig.where(F.col("title").isin(K.FIXABLE)).select("tid").distinct(), "tid", "left_semi")
     todo = cut(todo.select("tid", "sql", "dialect")).repartition("tid")  # shuffle texts, not their tokens
     fixed = cut(fix_texts(todo).join(todo.select("tid", "dialect"), "tid", "inner"))
-    left = titles(fixed.selectExpr("tid", "fixed_sql AS sql", "dialect").repartition("tid")).select("tid", "title")
+    after = fixed.selectExpr("tid", "fixed_sql AS sql", "dialect").repartition("tid")
+    fixed = fixed.join(R.validity(after).where("valid").select("tid"), "tid", "left_semi")  # never hand out a broken text
+    left = titles(after).select("tid", "title")
     gone = orig.join(left, ["tid", "title"], "left_anti")
     gone = gone.groupBy("tid").agg(F.array_sort(F.collect_set("title")).alias("fixed_titles"))
     per = cut(fixed.select("tid", "fixed_sql").join(gone, "tid", "inner"))

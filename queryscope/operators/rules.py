@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from queryscope.functions import words as K
 from queryscope.plans import tokens as T
-from queryscope.sources.catalog import guard_catalog
 
 SEVERITY = {t: s for _, t, s in K.TITLES}
 ORDER = {t: i for i, (_, t, _) in enumerate(K.TITLES)}
@@ -317,15 +316,23 @@ def validity(texts: DataFrame) -> DataFrame:
     """
     w = "PARTITION BY tid ORDER BY pos"
     t = T.token_table(texts).where("kind <> 'comment'").selectExpr(
-        "tid", "pos", "line", "u", "kind", "text",
+        "tid", "dialect", "pos", "line", "u", "kind", "text",
         f"lag(u) OVER ({w}) AS p1", f"lag(kind) OVER ({w}) AS pk1", f"lag(text) OVER ({w}) AS pt1", f"lead(u) OVER ({w}) AS n1",
         f"sum(CASE u WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS bal",
     )
     starts = ", ".join(f"'{s.upper()}'" for s in K.STARTERS + K.OTHER_STARTERS)
+    clause_words = "'WHERE', 'GROUP', 'HAVING', 'LIMIT', 'ORDER', ';'"
     fault = f"""CASE
       WHEN coalesce(p1, ';') = ';' AND kind IN ('word', 'kw') AND u NOT IN ({starts}) THEN 'unknown statement'
       WHEN u = 'SELECT' AND coalesce(n1, ';') IN ('FROM', 'WHERE', ';') THEN 'empty select list'
       WHEN u = 'JOIN' AND coalesce(n1, ';') IN ('ON', 'USING', 'WHERE', ';') THEN 'join without a table'
+      WHEN p1 = 'FROM' AND u IN ({clause_words}) THEN 'missing table'
+      WHEN p1 IN ('WHERE', 'AND', 'OR', 'HAVING') AND u IN ({clause_words}, 'AND', 'OR') THEN 'empty condition'
+      WHEN p1 IN ('WHERE', 'HAVING', 'FROM', 'AND', 'OR') AND n1 IS NULL AND u = ';' THEN 'empty condition'
+      WHEN p1 = ',' AND u IN (',', 'WHERE', 'GROUP', 'ORDER', 'HAVING') THEN 'stray comma'
+      WHEN p1 = ',' AND u = 'FROM' AND dialect NOT IN ('bigquery', 'duckdb', 'snowflake') THEN 'stray comma'
+      WHEN u = 'GROUP' AND coalesce(n1, '') <> 'BY' AND coalesce(p1, '') NOT IN ('.', 'WITHIN', 'EXCLUDE') THEN 'GROUP without BY'
+      WHEN u = 'ORDER' AND coalesce(n1, '') NOT IN ('BY', 'SIBLINGS') AND coalesce(p1, '') <> '.' THEN 'ORDER without BY'
       WHEN u = '{{' AND n1 IN ('{{', '%', '#') THEN 'template text'
       WHEN kind = 'op' AND u IN ('\\'', '"', '`') THEN 'unterminated quote'
       WHEN bal < 0 THEN 'unbalanced parentheses' END AS fault"""
@@ -376,10 +383,10 @@ def hints(texts: DataFrame, checked: DataFrame) -> DataFrame:
     bad = bad.join(nearest_starter(unknown), "word", "left")
     opens = F.length("sql") - F.length(F.replace("sql", F.lit("("), F.lit("")))
     closes = F.length("sql") - F.length(F.replace("sql", F.lit(")"), F.lit("")))
-    typo = F.concat(F.lit("'"), c("typed"), F.lit("' isn't a SQL command — did you mean "), F.upper("suggestion"), F.lit("?"))
-    side = F.when(opens > closes, "closing ')'").otherwise("opening '('")
-    parens = F.concat(F.lit("Mismatched parentheses ("), opens, F.lit(" '(' vs "), closes, F.lit(" ')'): a "), side, F.lit(" is likely missing."))
-    adj = F.concat(F.lit("Line "), c("adj.line"), F.lit(": `"), c("adj.a"), F.lit("` is followed by `"), c("adj.b"), F.lit("` with nothing between them."))
+    typo = F.concat(F.lit("No statement starts with '"), c("typed"), F.lit("'. The nearest keyword is "), F.upper("suggestion"), F.lit("."))
+    side = F.when(opens > closes, "closing").otherwise("opening")
+    parens = F.concat(F.lit("The text opens "), opens, F.lit(" and closes "), closes, F.lit(" parentheses; check for a lost "), side, F.lit(" one."))
+    adj = F.concat(F.lit("`"), c("adj.a"), F.lit("` and `"), c("adj.b"), F.lit("` touch on line "), c("adj.line"), F.lit("; an operator or comma seems to be lost there."))
     return bad.select(
         "tid",
         "kind",
@@ -409,7 +416,7 @@ def column_refs(st: DataFrame) -> DataFrame:
 
 def unknown_tables(st: DataFrame, catalog: DataFrame) -> DataFrame:
     """tid, title, detail for table names that are not in the catalog."""
-    known = F.broadcast(catalog.selectExpr("lower(table_name) AS table_name").distinct())
+    known = catalog.selectExpr("lower(table_name) AS table_name").distinct()
     miss = table_refs(st).join(known, "table_name", "left_anti")
     return miss.groupBy("tid").agg(F.expr(_listed("table_name"))).withColumn("title", F.lit("Unknown table"))
 
@@ -418,8 +425,8 @@ def unknown_columns(st: DataFrame, catalog: DataFrame) -> DataFrame:
     """tid, title, detail for qualified columns that a known table does not have."""
     low = catalog.selectExpr("lower(table_name) AS table_name", "lower(column_name) AS _col").distinct()
     refs = column_refs(st).where("alias IS NOT NULL AND table_name IS NOT NULL").selectExpr("*", "lower(column_name) AS _col")
-    in_catalog = refs.join(F.broadcast(low.select("table_name").distinct()), "table_name", "left_semi")
-    miss = in_catalog.join(F.broadcast(low), ["table_name", "_col"], "left_anti")
+    in_catalog = refs.join(low.select("table_name").distinct(), "table_name", "left_semi")
+    miss = in_catalog.join(low, ["table_name", "_col"], "left_anti")
     return miss.groupBy("tid").agg(F.expr(_listed("concat_ws('.', alias, column_name)"))).withColumn("title", F.lit("Unknown column"))
 
 
@@ -461,11 +468,10 @@ def text_findings(st: DataFrame, titles: Sequence[str] | None = None, catalog: D
             "tid", "h.rule_no", "h.severity", "h.title", "h.detail"
         )
     if catalog is not None:
-        cat = guard_catalog(catalog)
         for t, fn in (("Unknown table", unknown_tables), ("Unknown column", unknown_columns)):
             if titles is None or t in titles:
                 messages[t] = MESSAGES[t]
-                f = fn(st, cat).selectExpr("tid", f"{ORDER[t]} AS rule_no", f"'{SEVERITY[t]}' AS severity", "title", "detail")
+                f = fn(st, catalog).selectExpr("tid", f"{ORDER[t]} AS rule_no", f"'{SEVERITY[t]}' AS severity", "title", "detail")
                 hits = f if hits is None else hits.unionByName(f)
     known = ", ".join(f"{_quote(t)}, {_quote(m)}" for t, m in messages.items())
     return hits.selectExpr("tid", "rule_no", "severity", "title", f"replace(try_element_at(map({known}), title), '%s', detail) AS message")

@@ -7,19 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from queryscope.functions import words as K
 from queryscope.operators import rules as R
 from queryscope.plans import tokens as T
-from queryscope.sources.catalog import guard_catalog
 
 
 def _facts(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(copies per text, statement facts of the distinct texts)."""
-    texts = T.distinct_texts(T.normalise_log(T.split_oversize(log)[0]))
+    texts = T.distinct_texts(T.normalise_log(log))
     return texts.select("tid", "copies"), T.statements(T.scoped_tokens(texts))
 
 
 def unknown_tables_ranked(log: DataFrame, catalog: DataFrame) -> DataFrame:
     """Unknown table names by the number of queries that use them."""
     copies, st = _facts(log)
-    known = F.broadcast(guard_catalog(catalog).select(F.lower("table_name").alias("table_name")).distinct())
+    known = catalog.select(F.lower("table_name").alias("table_name")).distinct()
     miss = R.table_refs(st).join(known, "table_name", "left_anti").select("tid", "table_name").distinct()
     return miss.join(copies, "tid").groupBy("table_name").agg(F.sum("copies").alias("queries"))
 
@@ -27,12 +26,12 @@ def unknown_tables_ranked(log: DataFrame, catalog: DataFrame) -> DataFrame:
 def unknown_columns_ranked(log: DataFrame, catalog: DataFrame) -> DataFrame:
     """Unknown columns of known tables by queries, each with the nearest known name."""
     copies, st = _facts(log)
-    low = guard_catalog(catalog).select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("known")).distinct()
+    low = catalog.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("known")).distinct()
     refs = R.column_refs(st).where("table_name IS NOT NULL").select("tid", "table_name", F.lower("column_name").alias("column_name")).distinct()
-    refs = refs.join(F.broadcast(low.select("table_name").distinct()), "table_name", "left_semi")
-    miss = refs.join(F.broadcast(low.withColumnRenamed("known", "column_name")), ["table_name", "column_name"], "left_anti")
+    refs = refs.join(low.select("table_name").distinct(), "table_name", "left_semi")
+    miss = refs.join(low.withColumnRenamed("known", "column_name"), ["table_name", "column_name"], "left_anti")
     ranked = miss.join(copies, "tid").groupBy("table_name", "column_name").agg(F.sum("copies").alias("queries"))
-    near = ranked.join(F.broadcast(low), "table_name").groupBy("table_name", "column_name").agg(
+    near = ranked.join(low, "table_name").groupBy("table_name", "column_name").agg(
         F.max("queries").alias("queries"),
         F.min_by("known", F.struct(F.levenshtein("column_name", "known"), F.col("known"))).alias("nearest"),
     )
@@ -42,7 +41,7 @@ def unknown_columns_ranked(log: DataFrame, catalog: DataFrame) -> DataFrame:
 def unused_catalog(log: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog columns no query mentions; ``table_unused`` if the whole table is not read."""
     _, st = _facts(log)
-    cat = guard_catalog(catalog).select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")).distinct()
+    cat = catalog.select(F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")).distinct()
     tabs = R.table_refs(st).select("table_name").distinct().withColumn("used", F.lit(True))
     cols = R.column_refs(st).where("table_name IS NOT NULL").select("table_name", F.lower("column_name").alias("column_name")).distinct()
     rest = cat.join(cols, ["table_name", "column_name"], "left_anti").join(tabs, "table_name", "left")
@@ -51,7 +50,7 @@ def unused_catalog(log: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def column_map(log: DataFrame) -> DataFrame:
     """query_id, table_name, columns, unresolved: what each query reads from each table."""
-    keyed = T.normalise_log(T.split_oversize(log)[0])
+    keyed = T.normalise_log(log)
     st = T.statements(T.scoped_tokens(T.distinct_texts(keyed)))
     refs = R.column_refs(st)
     lost = refs.groupBy("tid").agg(F.bool_or(F.col("table_name").isNull()).alias("unresolved"))
@@ -92,7 +91,7 @@ def portability(log: DataFrame, target: str) -> DataFrame:
     if target not in K.DIALECTS:
         raise ValueError(f"unknown dialect {target}")
     c = F.col
-    keyed = T.normalise_log(T.split_oversize(log)[0])
+    keyed = T.normalise_log(log)
     texts = T.distinct_texts(keyed)
     w = W.partitionBy("tid").orderBy("pos")
     tok = T.token_table(texts).where("kind <> 'comment'").withColumn("n1", F.lead("u").over(w)).withColumn("p1", F.lag("u").over(w))

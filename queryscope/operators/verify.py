@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-
-MAX_TABLES = 4
-SYNTHETIC_ROWS = 6
-
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 def _positional(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i + 1}" for i in range(len(df.columns))])
@@ -56,34 +51,15 @@ def comparable(a: DataFrame, b: DataFrame) -> bool:
     return len(ta) == len(tb) and all(x == y for x, y in zip(ta, tb))
 
 
-def verdict(a: DataFrame, b: DataFrame, table_count: int = 1) -> DataFrame:
-    """equivalent / different / inconclusive; ``may_suppress`` only on a proven difference."""
-    if table_count > MAX_TABLES or not comparable(a, b):
+def verdict(a: DataFrame, b: DataFrame) -> DataFrame:
+    """equivalent / different, or inconclusive if the columns differ; ``may_suppress`` only on a proven difference."""
+    if not comparable(a, b):
         return a.agg(F.count(F.lit(1)).alias("_n")).select(
             F.lit("inconclusive").alias("verdict"), F.lit(False).alias("may_suppress")
         )
     return verify_equal(a, b).select("verdict", (F.col("verdict") == "different").alias("may_suppress"))
 
 
-def synthetic(spark: SparkSession, cols: Sequence[str], n: int = SYNTHETIC_ROWS) -> DataFrame:
-    """Deterministic probe rows: row 0 all NULL, the others small integers."""
-    return spark.range(n).select(*[_probe_value(F.col("id"), F.lit(zlib.crc32(c.encode()))).alias(c) for c in cols])
-
-
-def _probe_value(i: Column, crc: Column) -> Column:
-    return F.when(i == 0, F.lit(None)).otherwise(F.pmod(i * 31 + F.pmod(crc, F.lit(97)), F.lit(4)) + 1).cast("int")
-
-
-def synthetic_long(names: DataFrame, name_col: str, n: int = SYNTHETIC_ROWS) -> DataFrame:
-    """Probe rows in long form for every distinct column name of a catalog-like table."""
-    return (
-        names.select(F.col(name_col).alias("column_name"))
-        .distinct()
-        .select("column_name", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("row_no"))
-        .withColumn("value", _probe_value(F.col("row_no"), F.crc32(F.col("column_name").cast("binary"))))
-    )
-
-
 def survives_unmatched(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], pred: Column) -> DataFrame:
     """Does a left row without any partner pass ``pred``? The right side is taken as empty."""
     empty = right.where(F.lit(False))

@@ -22,9 +22,15 @@ def orders_n(orders: DataFrame) -> DataFrame:
     )
 
 
-def orders_thin(orders: DataFrame) -> DataFrame:
-    """Every fiftieth order, so that most customers have none."""
-    return orders.where(F.col("o_orderkey") % 50 == 0)
+#: all orders; most customer keys lead nowhere and some are NULL, so that most customers have no order
+ORDERS_GAPPY_SQL = """(SELECT * REPLACE (CASE o_orderkey % 50 WHEN 0 THEN o_custkey WHEN 1 THEN NULL ELSE -o_custkey END AS o_custkey) FROM orders)"""
+
+
+def orders_gappy(orders: DataFrame) -> DataFrame:
+    """All orders, most of them of customers that do not exist and some of nobody."""
+    rest = F.col("o_orderkey") % 50
+    key = F.when(rest == 0, F.col("o_custkey")).when(rest != 1, -F.col("o_custkey"))
+    return orders.withColumn("o_custkey", key.cast(orders.schema["o_custkey"].dataType))
 
 
 def query_log(orders: DataFrame, templates: Sequence[str], dialect: str = "bigquery") -> DataFrame:
@@ -45,7 +51,7 @@ def api_keys(customer: DataFrame, orders: DataFrame) -> DataFrame:
     first = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("created_at"))
     k = F.col("c_custkey")
     return customer.join(first, "c_custkey", "inner").select(
-        F.concat(F.when(k % 7 == 0, F.lit("qd_test_")).otherwise(F.lit("qd_live_")), k.cast("string")).alias("api_key"),
+        F.concat(F.when(k % 7 == 0, F.lit("test_")).otherwise(F.lit("live_")), k.cast("string")).alias("api_key"),
         k.alias("owner"),
         F.when(k % 2 == 0, "monthly").when(k % 11 == 1, F.lit(None)).otherwise("annual").alias("plan"),
         F.when(k % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("c"), k.cast("string"), F.lit("@example.com"))).alias("email"),

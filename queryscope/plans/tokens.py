@@ -2,8 +2,8 @@
 
 Everything after ``distinct_texts`` is partitioned by the text id ``tid``: the
 dedupe aggregate is the only shuffle, and every window and group-by below uses
-keys that begin with ``tid``. A text is at most 100 000 characters (longer ones
-go to quarantine), so each window partition is bounded.
+keys that begin with ``tid``. A window partition is one text, whatever its length;
+no text is refused.
 
 Two running windows replace a tree walk:
 * the innermost open parenthesis of a token is the last "first token after an
@@ -16,10 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from queryscope.functions import words as K
-from queryscope.functions.text import bare, strip_jinja, tokens
+from queryscope.functions.text import HASH_COMMENTS, bare, strip_jinja, tokens
 
 JOIN_WORDS = ["LEFT", "RIGHT", "FULL", "INNER", "CROSS", "OUTER", "NATURAL", "SEMI", "ANTI", "JOIN"]
 JOIN_SIDES = [j.lower() for j in JOIN_WORDS if j != "JOIN"]
@@ -33,7 +33,7 @@ AND_CLAUSES = ["WHERE", "ON", "HAVING", "QUALIFY"]
 
 def normalise_log(log: DataFrame, dbt_mode: bool = False) -> DataFrame:
     """Trim, default the dialect, optionally stub templates, and key each text."""
-    sql = F.trim(F.col("sql"), F.lit(" \t\r\n"))
+    sql = F.trim(F.coalesce("sql", F.lit("")), F.lit(" \t\r\n"))
     if dbt_mode:
         sql = strip_jinja(sql)
     known = F.col("dialect").isin(K.DIALECTS)
@@ -44,12 +44,10 @@ def normalise_log(log: DataFrame, dbt_mode: bool = False) -> DataFrame:
     return out.withColumn("tid", F.substring(digest, 1, 16))
 
 
-def split_oversize(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts to check, quarantined texts with the reason)."""
-    n = F.length(F.col("sql"))
-    reason = F.when(F.length(F.trim(F.col("sql"), F.lit(" \t\r\n"))) == 0, "empty").when(n > K.MAX_SQL_CHARS, "too long")
-    r = F.when(F.col("sql").isNull(), "empty").otherwise(reason)
-    return log.where(r.isNull()), log.where(r.isNotNull()).withColumn("reason", r)
+def size_class(sql: Column) -> Column:
+    """``empty``, ``too long`` for an interactive check, or ``accepted``. A report only: every text is linted."""
+    bare_length = F.length(F.trim(F.coalesce(sql, F.lit("")), F.lit(" \t\r\n")))
+    return F.when(bare_length == 0, "empty").when(F.length(sql) > K.MAX_SQL_CHARS, "too long").otherwise("accepted")
 
 
 def distinct_texts(log: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -59,13 +57,15 @@ def distinct_texts(log: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def token_table(texts: DataFrame) -> DataFrame:
-    """tid, pos, line, text, u (upper case), kind; comments included."""
-    t = texts.select("tid", "dialect", F.posexplode(tokens(F.col("sql"))).alias("pos", "raw"))
+    """tid, pos, line, raw (with leading white space), text, u (upper case), kind; comments included."""
+    t = texts.select("tid", "dialect", F.posexplode(tokens(F.col("sql"), F.col("dialect"))).alias("pos", "raw"))
     t = t.withColumn("text", bare(F.col("raw")))
-    t = t.selectExpr("*", "upper(text) AS u")
+    t = t.selectExpr("*", "if(text = '==', '=', upper(text)) AS u")
+    hashes = _in_list(HASH_COMMENTS)
     strings = _in_list(K.DOUBLE_QUOTE_STRINGS)
     kind = rf"""CASE
-      WHEN u LIKE '--%' OR u LIKE '/*%' THEN 'comment'
+      WHEN u LIKE '--%' OR u LIKE '/*%' OR (length(u) > 0 AND left(u, 1) = '#' AND dialect IN {hashes}) THEN 'comment'
+      WHEN length(u) > 1 AND left(u, 1) IN ('@', '$') THEN 'str'
       WHEN length(u) > 1 AND left(u, 1) = '\'' THEN 'str'
       WHEN length(u) > 1 AND left(u, 1) = '"' THEN if(dialect IN {strings}, 'str', 'quoted')
       WHEN length(u) > 1 AND left(u, 1) = '`' THEN 'quoted'
@@ -75,14 +75,15 @@ def token_table(texts: DataFrame) -> DataFrame:
     breaks = lambda x: f"(length({x}) - length(replace({x}, '\\n', '')))"
     upto = "PARTITION BY tid ORDER BY pos ROWS UNBOUNDED PRECEDING"
     line = f"CAST(sum({breaks('raw')}) OVER ({upto}) - {breaks('text')} + 1 AS INT) AS line"
-    return t.selectExpr("tid", "dialect", "pos", "text", "u", kind, line)
+    return t.selectExpr("tid", "dialect", "pos", "raw", "text", "u", kind, line)
 
 
 def comments(texts: DataFrame) -> DataFrame:
     """One row per comment, straight from the token array (no window)."""
-    t = texts.select("tid", F.explode(tokens(F.col("sql"))).alias("raw")).select("tid", bare(F.col("raw")).alias("c"))
-    body = "if(c LIKE '--%', substring(c, 3), substring(c, 3, length(c) - 4)) AS body"
-    return t.where("c LIKE '--%' OR c LIKE '/*%'").selectExpr("tid", body)
+    t = texts.select("tid", "dialect", F.explode(tokens(F.col("sql"), F.col("dialect"))).alias("raw"))
+    t = t.select("tid", "dialect", bare(F.col("raw")).alias("c"))
+    body = "CASE WHEN c LIKE '--%' THEN substring(c, 3) WHEN c LIKE '#%' THEN substring(c, 2) ELSE substring(c, 3, length(c) - 4) END AS body"
+    return t.where(f"c LIKE '--%' OR c LIKE '/*%' OR (c LIKE '#%' AND dialect IN {_in_list(HASH_COMMENTS)})").selectExpr("tid", body)
 
 
 def _in_list(words) -> str:
@@ -169,7 +170,10 @@ def scoped_tokens(texts: DataFrame) -> DataFrame:
           WHEN u = 'FETCH' AND n1 IN ('FIRST', 'NEXT') THEN 'LIMIT'
           WHEN u = 'WITH' AND q1 IN (';', '(', 'AS', 'EXPLAIN') THEN 'WITH'
           WHEN u IN {sets} AND NOT (u = 'EXCEPT' AND coalesce(n1, '') = '(' AND coalesce(n2, '') <> 'SELECT') THEN 'SETOP'
-          WHEN u = 'INTO' AND q1 IN ('INSERT', 'OVERWRITE', 'IGNORE', 'REPLACE') THEN 'INTO'
+          WHEN u = 'INTO' AND q1 IN ('INSERT', 'OVERWRITE', 'IGNORE', 'REPLACE') AND coalesce(n1, '') <> 'TABLE' THEN 'INTO'
+          WHEN u = 'TABLE' AND q1 IN ('INTO', 'OVERWRITE') THEN 'INTO'
+          WHEN u = 'OVERWRITE' AND q1 = 'INSERT' AND coalesce(n1, '') NOT IN ('INTO', 'TABLE') THEN 'INTO'
+          WHEN u = 'INSERT' AND q1 IN (';', ')', 'EXPLAIN') AND coalesce(n1, '') NOT IN ('INTO', 'OVERWRITE', 'IGNORE', 'OR', 'ALL', 'FIRST') THEN 'INTO'
           WHEN u IN ('UPDATE', 'DELETE') AND q1 IN (';', 'EXPLAIN', ')') THEN u
           WHEN u = 'MERGE' AND q1 IN (';', 'EXPLAIN') THEN 'MERGE'
           WHEN u = 'WHEN' AND n1 IN ('MATCHED', 'NOT') AND n2 IN ('THEN', 'MATCHED', 'AND', 'BY') THEN 'MERGEWHEN'
@@ -243,7 +247,7 @@ def scoped_tokens(texts: DataFrame) -> DataFrame:
         f"direct AND clause IN {_in_list([*SOURCE_CLAUSES, 'INTO'])} AS in_src",
         "CASE WHEN coalesce(p1, '') <> '.' THEN p1 WHEN coalesce(p3, '') <> '.' THEN p3 ELSE p5 END AS start",
     )
-    heads = "('FROM', 'JOIN', ',', 'UPDATE', 'INTO', 'MERGE', 'USING', 'LATERAL', 'ONLY')"
+    heads = "('FROM', 'JOIN', ',', 'UPDATE', 'INTO', 'INSERT', 'OVERWRITE', 'TABLE', 'MERGE', 'USING', 'LATERAL', 'ONLY')"
     t = t.selectExpr(
         "*",
         f"last_part AND in_src AND coalesce(start IN {heads}, false) AS is_src",

@@ -7,25 +7,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from queryscope.functions import words as K
 
 
-class CatalogTooLarge(ValueError):
-    pass
-
-
 def catalog_size(catalog: DataFrame) -> DataFrame:
-    """One row: tables, columns, accepted."""
+    """One row: tables, columns, accepted by an interactive check. A report only: catalogs of any size are used."""
     return catalog.agg(
         F.countDistinct("table_name").alias("tables"), F.count("*").alias("columns")
     ).withColumn("accepted", (F.col("tables") <= K.MAX_TABLES) & (F.col("columns") <= K.MAX_COLUMNS))
 
 
-def guard_catalog(catalog: DataFrame) -> DataFrame:
-    """Refuse a catalog above the limits; what passes is small enough to broadcast."""
-    over = catalog.limit(K.MAX_COLUMNS + 1).agg(F.count("*").alias("n"), F.countDistinct("table_name").alias("t")).first()
-    if over["n"] > K.MAX_COLUMNS or over["t"] > K.MAX_TABLES:
-        raise CatalogTooLarge(f"catalog exceeds {K.MAX_TABLES} tables or {K.MAX_COLUMNS} columns")
-    return catalog
-
-
 def catalog_from_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """Catalog of live tables, from their schemas."""
     rows = [(t, f.name, i, f.dataType.simpleString()) for t, df in tables.items() for i, f in enumerate(df.schema.fields, 1)]
@@ -78,14 +66,15 @@ def catalog_from_json(df: DataFrame, col: str, *keep: str) -> DataFrame:
 _NOT_COLUMNS = ["CONSTRAINT", "PRIMARY", "FOREIGN", "UNIQUE", "CHECK", "KEY", "INDEX"]
 
 
-def _ddl_statements(ddl: DataFrame) -> DataFrame:
+def _ddl_statements(ddl: DataFrame, default_dialect: str) -> DataFrame:
     """One row per DDL statement: create_table, table_name, balanced, columns in order."""
     from pyspark.sql import Window as W
 
     from queryscope.plans import tokens as T
 
     c = F.col
-    keyed = ddl.where(F.length("sql") <= K.MAX_DDL_CHARS).select("ddl_id", "sql", F.lit("postgres").alias("dialect"))
+    dialect = F.when(c("dialect").isin(K.DIALECTS), c("dialect")).otherwise(K.DIALECTS[0]) if "dialect" in ddl.columns else F.lit(default_dialect)
+    keyed = ddl.select("ddl_id", "sql", dialect.alias("dialect"))
     # shuffle the texts, not their tokens
     tok = T.token_table(keyed.withColumn("tid", F.col("ddl_id")).repartition("tid")).where("kind <> 'comment'")
     tok = tok.withColumn("name", F.expr(T.NAME))
@@ -117,21 +106,20 @@ def _ddl_statements(ddl: DataFrame) -> DataFrame:
     )
 
 
-def catalog_from_ddl(ddl: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(catalog rows, skipped counts) of DDL texts (ddl_id, sql); a bad statement never hides its neighbours.
+def catalog_from_ddl(ddl: DataFrame, dialect: str = K.DIALECTS[0]) -> tuple[DataFrame, DataFrame]:
+    """(catalog rows, skipped counts) of DDL texts (ddl_id, sql and perhaps dialect); a bad statement never hides its neighbours.
 
-    Only CREATE TABLE with columns counts; everything else is counted as
-    skipped, and a text above the size limit is refused as a whole.
+    Only CREATE TABLE with columns counts; everything else is counted as skipped. Texts of any length are read, each in
+    its row's dialect or else in ``dialect``.
     """
     c = F.col
-    st = _ddl_statements(ddl)
+    st = _ddl_statements(ddl, dialect)
     ok = F.coalesce(c("is_create") & c("is_table") & c("balanced") & c("table_name").isNotNull() & (F.size("cols") > 0), F.lit(False))
     catalog = st.where(ok).select(c("tid").alias("ddl_id"), "table_name", F.posexplode("cols").alias("i", "column_name")).select(
         "ddl_id", "table_name", "column_name", (c("i") + 1).alias("ordinal")
     )
     skipped = st.groupBy(c("tid").alias("ddl_id")).agg(F.count_if(~ok).alias("skipped"))
-    refused = ddl.where(F.length("sql") > K.MAX_DDL_CHARS).select("ddl_id", F.lit(None).cast("bigint").alias("skipped"))
-    return catalog, skipped.unionByName(refused)
+    return catalog, skipped
 
 
 # ---- corpus-wide checks -----------------------------------------------------
@@ -139,7 +127,7 @@ def catalog_from_ddl(ddl: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ambiguous_names(catalog: DataFrame) -> DataFrame:
     """Column names of two or more catalog tables."""
-    return guard_catalog(catalog).groupBy(F.lower("column_name").alias("column_name")).agg(
+    return catalog.groupBy(F.lower("column_name").alias("column_name")).agg(
         F.countDistinct(F.lower("table_name")).alias("table_count"),
         F.array_join(F.array_sort(F.collect_set(F.lower("table_name"))), ",").alias("tables"),
     ).where("table_count > 1")

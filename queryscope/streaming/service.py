@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -23,7 +23,7 @@ RATE_LIMIT = 60
 RATE_WINDOW_S = 600
 PLAN_DAYS = {"monthly": 30, "annual": 365}
 REMINDER_DAYS = 3
-KEY_PREFIX = "qd_live_"
+KEY_PREFIX = "live_"
 HISTORY_MAX = 30
 
 #: rows of one client that a limiter task holds at once
@@ -39,17 +39,20 @@ def _event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if df.isStreaming else df
 
 
-def _judge(times: list[int], kept: deque, limit: int, window_us: int) -> list[bool]:
-    """Accept or reject hits in order; ``kept`` holds the accepted ones and is changed in place."""
-    out = []
-    for now in times:
-        while kept and now - kept[0] > window_us:
-            kept.popleft()
-        ok = len(kept) < limit
-        if ok:
-            kept.append(now)
-        out.append(ok)
-    return out
+def _judge(times: np.ndarray, kept: list[int], limit: int, window_us: int) -> tuple[np.ndarray, list[int]]:
+    """(accepted flags, last accepted times) for hits in time order after the accepted times ``kept``.
+
+    While ``limit`` accepted hits lie inside the window nothing is accepted, so the walk jumps to the first later hit.
+    """
+    ok, kept, i = np.zeros(len(times), bool), list(kept), 0
+    while i < len(times):
+        if len(kept) >= limit and times[i] - kept[-limit] <= window_us:
+            i = int(np.searchsorted(times, kept[-limit] + window_us, "right"))
+            continue
+        ok[i] = True
+        kept.append(int(times[i]))
+        i += 1
+    return ok, kept[-limit:]
 
 
 def throttle(
@@ -57,24 +60,22 @@ def throttle(
 ) -> DataFrame:
     """Sliding-log limiter over a table: adds ``accepted``; rejected hits do not count later.
 
-    A decision depends on the accepted hits before it, so a client is walked in
-    order. Busy clients are cut into blocks that are walked in parallel: each
-    round hands every block the state its predecessor reported, until no state
-    changes. A block's state is at most ``limit`` times, and the rounds end
-    after at most as many steps as the busiest client has blocks.
+    A decision depends on the accepted hits before it, so a client is walked in order, cut into blocks of ``block_rows``.
+    All blocks are walked at first as if nothing had come before; then a block is walked again only if the state that
+    its predecessor hands over has changed. A state is at most ``limit`` times.
     """
     window_us = window_s * 1_000_000
     rows = numbered(df.withColumn("_us", _micros(ts)), [key], [F.col("_us"), F.col(tie)], "_rn")
-    rows = rows.withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(block_rows)))
+    rows = cut(rows.withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(block_rows))))
     kt = df.schema[key].dataType
     state_schema = T.StructType([T.StructField(key, kt), T.StructField("_blk", T.LongType()), T.StructField("_st", T.ArrayType(T.LongType()))])
     out_schema = T.StructType([*df.schema.fields, T.StructField("accepted", T.BooleanType())])
-    names = df.columns
+    names, parts = df.columns, [key, "_blk"]
 
-    def walk(block: pd.DataFrame, state: pd.DataFrame) -> tuple[pd.DataFrame, deque]:
+    def walk(block: pd.DataFrame, state: pd.DataFrame) -> tuple[pd.DataFrame, list[int]]:
         block = block.sort_values("_rn")
-        kept = deque(state["_st"].iloc[0] if len(state) else [])
-        return block.assign(accepted=_judge(block["_us"].tolist(), kept, limit, window_us)), kept
+        ok, kept = _judge(block["_us"].to_numpy(), list(state["_st"].iloc[0]) if len(state) else [], limit, window_us)
+        return block.assign(accepted=ok), kept
 
     def decide(block: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         return walk(block, state)[0][[*names, "accepted"]] if len(block) else pd.DataFrame(columns=[*names, "accepted"])
@@ -83,45 +84,54 @@ def throttle(
         if not len(block):
             return pd.DataFrame(columns=[key, "_blk", "_st"])
         kept = walk(block, state)[1]
-        return pd.DataFrame({key: [block[key].iloc[0]], "_blk": [int(block["_blk"].iloc[0]) + 1], "_st": [[int(x) for x in kept]]})
-
-    state = df.sparkSession.createDataFrame([], state_schema)
-    parts = [key, "_blk"]
-    if rows.where("_blk > 0").limit(1).count():
-        rows = cut(rows)
-        busy = rows.join(rows.where("_blk > 0").select(key).distinct(), key, "left_semi")
-        slim = busy.select(key, "_blk", "_rn", "_us")
-        while True:
-            nxt = cut(slim.groupBy(*parts).cogroup(state.groupBy(*parts)).applyInPandas(hand_over, state_schema))
-            changed = nxt.join(state.withColumnRenamed("_st", "_old"), parts, "left").where(~F.col("_st").eqNullSafe(F.col("_old")))
-            done = changed.limit(1).count() == 0
-            state = nxt
-            if done:
-                break
+        return pd.DataFrame({key: [block[key].iloc[0]], "_blk": [int(block["_blk"].iloc[0]) + 1], "_st": [kept]})
+
+    slim = rows.select(key, "_blk", "_rn", "_us")
+    # blocks that have a successor hand a state over
+    last = slim.groupBy(F.col(key).alias("_k")).agg(F.max("_blk").alias("_last"))
+    giving = slim.join(last, F.col(key).eqNullSafe(F.col("_k"))).where("_blk < _last").select(key, "_blk", "_rn", "_us")
+
+    def at(states: DataFrame) -> DataFrame:
+        return states.select(F.col(key).alias("_k"), F.col("_blk").alias("_b"), F.col("_st").alias("_old"))
+
+    here = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_blk") == F.col("_b"))
+    none = df.sparkSession.createDataFrame([], state_schema)
+    state = cut(giving.groupBy(*parts).cogroup(none.groupBy(*parts)).applyInPandas(hand_over, state_schema))
+    changed = state
+    while not changed.isEmpty():
+        again = giving.join(at(changed), here, "left_semi")
+        new = cut(again.groupBy(*parts).cogroup(changed.groupBy(*parts)).applyInPandas(hand_over, state_schema))
+        changed = cut(new.join(at(state), here, "left").where(~F.col("_st").eqNullSafe(F.col("_old"))).select(key, "_blk", "_st"))
+        state = cut(state.join(at(changed), here, "left_anti").unionByName(changed))
     return rows.groupBy(*parts).cogroup(state.groupBy(*parts)).applyInPandas(decide, out_schema)
 
 
 def throttle_stream(
-    stream: DataFrame, key: str, ts: str, tie: str, limit: int = RATE_LIMIT, window_s: int = RATE_WINDOW_S
+    stream: DataFrame, key: str, ts: str, tie: str, limit: int = RATE_LIMIT, window_s: int = RATE_WINDOW_S, late: str = "1 hour"
 ) -> DataFrame:
     """The limiter on a stream: key, tie and ``accepted``; state = the accepted times of the window.
 
-    Hits of a micro-batch are judged in time order; a hit older than the state
-    meets the hits kept so far.
+    Hits of a micro-batch are judged in time order; a hit older than the state meets the hits kept so far. A client's
+    state goes once the watermark (``late`` behind the newest hit) has passed its last hit's window.
     """
     window_us = window_s * 1_000_000
-    s = stream.select(key, tie, _micros(ts).alias("_us"))
+    s = _event_time(stream, ts, late)
+    s = s.select(key, tie, ts, _micros(ts).alias("_us"))
     out = T.StructType([s.schema[key], s.schema[tie], T.StructField("accepted", T.BooleanType())])
     st = T.StructType([T.StructField("kept", T.ArrayType(T.LongType()))])
 
     def step(k: Any, chunks: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        kept = deque(state.get[0] if state.exists else [])
-        hits = pd.concat(list(chunks)).sort_values(["_us", tie])
-        ok = _judge(hits["_us"].tolist(), kept, limit, window_us)
-        state.update(([int(x) for x in kept],))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(state.get[0]) if state.exists else []
+        hits = pd.concat([c[[key, tie, "_us"]] for c in chunks]).sort_values(["_us", tie])
+        ok, kept = _judge(hits["_us"].to_numpy(), kept, limit, window_us)
+        state.update((kept,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (kept[-1] + window_us) // 1000 + 1))
         yield hits[[key, tie]].assign(accepted=ok)
 
-    return s.groupBy(key).applyInPandasWithState(step, out, st, "append", "NoTimeout")
+    return s.groupBy(key).applyInPandasWithState(step, out, st, "append", "EventTimeTimeout")
 
 
 def hit_rate(df: DataFrame, key: str, ts: str, width: str = "10 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
@@ -149,9 +159,9 @@ def with_expiry(keys: DataFrame) -> DataFrame:
     return keys.withColumn("expires_at", (F.col("created_at") + F.make_dt_interval(days)).cast(keys.schema["created_at"].dataType))
 
 
-def active_keys(keys: DataFrame, now: Column) -> DataFrame:
+def active_keys(keys: DataFrame, now: Column, prefix: str = KEY_PREFIX) -> DataFrame:
     """Keys with the live prefix that have not expired; a missing plan counts as monthly."""
-    return keys.where(F.col("api_key").startswith(KEY_PREFIX) & (F.col("expires_at") >= now)).withColumn(
+    return keys.where(F.col("api_key").startswith(prefix) & (F.col("expires_at") >= now)).withColumn(
         "plan", F.coalesce("plan", F.lit("monthly"))
     )
 

@@ -3,11 +3,9 @@
 from pyspark.sql import functions as F
 
 from queryscope.operators import audits as A, verify as V
-from queryscope.plans import skew as _skew  # noqa: F401
-from queryscope.plans.fixtures import ORDERS_N_SQL as ON, orders_n, orders_thin
+from queryscope.plans.fixtures import ORDERS_GAPPY_SQL as THIN, ORDERS_N_SQL as ON, orders_gappy, orders_n
 from queryscope.suite.registry import query
 
-THIN = "(SELECT * FROM orders WHERE o_orderkey % 50 = 0)"
 B = "CAST({} AS BIGINT)"
 
 
@@ -36,9 +34,9 @@ def _not_in_sql(right: str) -> str:
  (SELECT count(*) FROM customer c WHERE c.c_custkey NOT IN (SELECT k FROM {right} r)) AS not_in_rows"""
 
 
-@query("a02_not_in_trap", _not_in_sql(f"(SELECT g AS k FROM {ON} WHERE o_orderkey % 40 < 4)"))
+@query("a02_not_in_trap", _not_in_sql(f"(SELECT CASE WHEN o_orderkey % 40 < 4 THEN g ELSE -g END AS k FROM {ON})"))
 def _(t):
-    r = orders_n(t.orders).where(F.col("o_orderkey") % 40 < 4).select(F.col("g").alias("k"))
+    r = orders_n(t.orders).select(F.when(F.col("o_orderkey") % 40 < 4, F.col("g")).otherwise(-F.col("g")).alias("k"))
     return A.not_in_trap(t.customer, "c_custkey", r, "k")
 
 
@@ -47,9 +45,9 @@ def _(t):
     return A.not_in_trap(t.customer, "c_custkey", t.orders.where("o_totalprice < 0").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("a02_not_in_trap_clean", _not_in_sql("(SELECT o_custkey AS k FROM orders WHERE o_orderkey % 50 = 0)"))
+@query("a02_not_in_trap_clean", _not_in_sql(f"(SELECT coalesce(o_custkey, -1) AS k FROM {THIN})"))
 def _(t):
-    return A.not_in_trap(t.customer, "c_custkey", orders_thin(t.orders).select(F.col("o_custkey").alias("k")), "k")
+    return A.not_in_trap(t.customer, "c_custkey", orders_gappy(t.orders).select(F.coalesce("o_custkey", F.lit(-1)).alias("k")), "k")
 
 
 def _nullify_sql(join: str, opt: str, pred: str) -> str:
@@ -64,21 +62,31 @@ def _nullify_sql(join: str, opt: str, pred: str) -> str:
 
 
 ONKEY = [("c_custkey", "o_custkey")]
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @query("a03_outer_nullify", _nullify_sql("LEFT", "o.o_orderkey", "o.o_totalprice > 100000"))
 def _(t):
-    return A.outer_nullify(t.customer, orders_thin(t.orders), ONKEY, "left", F.col("o_totalprice") > 100000)
+    return A.outer_nullify(t.customer, orders_gappy(t.orders), ONKEY, "left", F.col("o_totalprice") > 100000)
+
+
+@query(
+    "a03_outer_nullify_empty",
+    _nullify_sql("LEFT", "o.o_orderkey", "o.o_comment_free IS NULL").replace(THIN, f"(SELECT *, o_totalprice AS o_comment_free FROM {THIN} WHERE o_totalprice < 0)"),
+)
+def _(t):
+    o = orders_gappy(t.orders).where("o_totalprice < 0").withColumn("o_comment_free", F.col("o_totalprice"))
+    return A.outer_nullify(t.customer, o, ONKEY, "left", F.col("o_comment_free").isNull())
 
 
 @query("a03_outer_nullify_guarded", _nullify_sql("LEFT", "o.o_orderkey", "COALESCE(o.o_orderstatus, 'none') <> 'F'"))
 def _(t):
-    return A.outer_nullify(t.customer, orders_thin(t.orders), ONKEY, "left", F.coalesce("o_orderstatus", F.lit("none")) != "F")
+    return A.outer_nullify(t.customer, orders_gappy(t.orders), ONKEY, "left", F.coalesce("o_orderstatus", F.lit("none")) != "F")
 
 
 @query("a03_outer_nullify_full", _nullify_sql("FULL", "o.o_orderkey", "o.o_totalprice > 100000"))
 def _(t):
-    return A.outer_nullify(t.customer, orders_thin(t.orders), ONKEY, "full", F.col("o_totalprice") > 100000)
+    return A.outer_nullify(t.customer, orders_gappy(t.orders), ONKEY, "full", F.col("o_totalprice") > 100000)
 
 
 @query(
@@ -91,7 +99,7 @@ def _(t):
  SELECT *, CASE WHEN unmatched_rows = 0 THEN 'no_unmatched' WHEN unmatched_kept > 0 THEN 'survives' ELSE 'filtered_out' END AS verdict FROM j, k""",
 )
 def _(t):
-    return A.outer_nullify(orders_thin(t.orders), t.customer, [("o_custkey", "c_custkey")], "right", F.col("o_totalprice") > 100000)
+    return A.outer_nullify(orders_gappy(t.orders), t.customer, [("o_custkey", "c_custkey")], "right", F.col("o_totalprice") > 100000)
 
 
 @query(
@@ -150,7 +158,7 @@ _MULT = """WITH m AS (SELECT count(*) FILTER (WHERE {mark} IS NOT NULL) AS m FRO
     _MULT.format(mark="r.o_orderkey", l="customer", r=THIN, on="l.c_custkey = r.o_custkey", id="c_custkey"),
 )
 def _(t):
-    return A.join_multiplicity(t.customer, orders_thin(t.orders), ONKEY)
+    return A.join_multiplicity(t.customer, orders_gappy(t.orders), ONKEY)
 
 
 @query(
@@ -168,7 +176,7 @@ def _(t):
  SELECT k AS k0, o.n AS outer_rows, i.n AS inner_rows, p AS first_pick FROM o JOIN i USING (k) WHERE i.n > 1""",
 )
 def _(t):
-    return A.scalar_multi(t.customer, orders_thin(t.orders), ONKEY, "o_orderkey", ["o_orderdate", "o_orderkey"])
+    return A.scalar_multi(t.customer, orders_gappy(t.orders), ONKEY, "o_orderkey", ["o_orderdate", "o_orderkey"])
 
 
 @query(
@@ -179,7 +187,7 @@ def _(t):
  (SELECT count(*) FROM {THIN}) AS source_rows, CAST(count(*) * (SELECT count(*) FROM {THIN}) AS VARCHAR) AS unlinked_pairs FROM m""",
 )
 def _(t):
-    return A.update_link(t.customer, orders_thin(t.orders), ONKEY)
+    return A.update_link(t.customer, orders_gappy(t.orders), ONKEY)
 
 
 @query(
@@ -248,8 +256,11 @@ def _(t):
 
 @query(
     "a15_having_vs_where",
-    """SELECT (SELECT count(*) FROM lineitem) AS rows_into_having, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS rows_into_where,
- (SELECT count(*) FROM (SELECT l_returnflag, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING l_returnflag = 'R')) AS groups_kept, 'equivalent' AS verdict""",
+    """WITH h AS (SELECT l_returnflag, l_suppkey, count(*) n, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) s FROM lineitem GROUP BY 1, 2 HAVING l_returnflag = 'R'),
+ w AS (SELECT l_returnflag, l_suppkey, count(*) n, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) s FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+ SELECT (SELECT count(*) FROM lineitem) AS rows_into_having, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS rows_into_where,
+ (SELECT count(*) FROM (SELECT l_returnflag, l_suppkey FROM lineitem GROUP BY 1, 2 HAVING l_returnflag = 'R')) AS groups_kept,
+ CASE WHEN EXISTS ((SELECT * FROM h) EXCEPT ALL (SELECT * FROM w)) OR EXISTS ((SELECT * FROM w) EXCEPT ALL (SELECT * FROM h)) THEN 'different' ELSE 'equivalent' END AS verdict""",
 )
 def _(t):
     return A.having_vs_where(t.lineitem, ["l_returnflag", "l_suppkey"], "l_extendedprice", F.col("l_returnflag") == "R")
@@ -349,8 +360,7 @@ def _(t):
  UNION ALL SELECT 'doc_id', 'documents,labels', CAST(2 AS BIGINT), (SELECT count(doc_id) FROM documents) + (SELECT count(doc_id) FROM labels)""",
 )
 def _(t):
-    names = ("documents", "labels", "benchmark", "conversations", "pages", "embeddings", "events")
-    return A.ambiguous_columns({n: getattr(t, n) for n in names})
+    return A.ambiguous_columns({n: getattr(t, n) for n in TABLES})
 
 
 @query(
@@ -364,7 +374,9 @@ def _(t):
 
 @query(
     "a24_inner_sort_noop",
-    "SELECT 'equivalent' AS verdict, CAST(0 AS BIGINT) AS extra_in_a, CAST(0 AS BIGINT) AS extra_in_b FROM (SELECT count(*) FROM lineitem)",
+    """WITH a AS (SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem), b AS (SELECT * FROM a ORDER BY l_shipdate),
+ x AS (SELECT count(*) AS n FROM ((SELECT * FROM a) EXCEPT ALL (SELECT * FROM b))), y AS (SELECT count(*) AS n FROM ((SELECT * FROM b) EXCEPT ALL (SELECT * FROM a)))
+ SELECT CASE WHEN x.n + y.n = 0 THEN 'equivalent' ELSE 'different' END AS verdict, CAST(x.n AS BIGINT) AS extra_in_a, CAST(y.n AS BIGINT) AS extra_in_b FROM x, y""",
 )
 def _(t):
     return A.inner_sort_noop(t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_shipdate"])
@@ -394,18 +406,26 @@ def _(t):
     return V.row_delta(orders_n(t.orders).select("g", "o_orderstatus"), t.orders.select("o_custkey", "o_orderstatus"))
 
 
+def _same_sql(a: str, b: str) -> str:
+    return f"NOT EXISTS (({a}) EXCEPT ALL ({b})) AND NOT EXISTS (({b}) EXCEPT ALL ({a}))"
+
+
+_KEYS = ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", "SELECT DISTINCT o_custkey FROM orders")
+_GAPS = ("SELECT o_custkey FROM orders", f"SELECT o_custkey FROM {THIN}")
+
+
 @query(
     "v03_verdict",
-    """SELECT 'customer_vs_orders_keys' AS pair, 'equivalent' AS verdict, FALSE AS may_suppress FROM (SELECT count(*) FROM customer)
- UNION ALL SELECT 'type_mismatch', 'inconclusive', FALSE UNION ALL SELECT 'five_tables', 'inconclusive', FALSE UNION ALL SELECT 'thin_vs_all', 'different', TRUE""",
+    f"""WITH v AS (SELECT 'customer_vs_orders_keys' AS pair, {_same_sql(*_KEYS)} AS same UNION ALL SELECT 'gappy_vs_all', {_same_sql(*_GAPS)}
+ UNION ALL SELECT 'type_mismatch', NULL)
+ SELECT pair, CASE WHEN same IS NULL THEN 'inconclusive' WHEN same THEN 'equivalent' ELSE 'different' END AS verdict, coalesce(NOT same, FALSE) AS may_suppress FROM v""",
 )
 def _(t):
-    ck, ok = t.customer.select("c_custkey"), t.orders.select("o_custkey").distinct()
+    ok = t.orders.select("o_custkey").distinct()
     rows = [
         ("customer_vs_orders_keys", V.verdict(t.customer.join(ok, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), ok)),
-        ("type_mismatch", V.verdict(ck, t.customer.select("c_name"))),
-        ("five_tables", V.verdict(ck, ck, 5)),
-        ("thin_vs_all", V.verdict(t.orders.select("o_orderkey"), orders_thin(t.orders).select("o_orderkey"))),
+        ("type_mismatch", V.verdict(t.customer.select("c_custkey"), t.customer.select("c_name"))),
+        ("gappy_vs_all", V.verdict(t.orders.select("o_custkey"), orders_gappy(t.orders).select("o_custkey"))),
     ]
     out = None
     for n, d in rows:
@@ -414,15 +434,12 @@ def _(t):
     return out
 
 
-@query("v04_synthetic")
-def _(t):
-    return V.synthetic_long(t.customer, "c_name")
-
-
 @query(
     "v05_survives_unmatched",
-    """SELECT 'plain' AS predicate, count(*) AS unmatched_rows, CAST(0 AS BIGINT) AS surviving_rows, 'filtered_out' AS verdict FROM customer
- UNION ALL SELECT 'guarded', count(*), count(*), 'survives' FROM customer""",
+    """WITH j AS (SELECT o_totalprice, o_orderstatus FROM customer LEFT JOIN (SELECT * FROM orders WHERE FALSE) o ON c_custkey = o_custkey),
+ n AS (SELECT 'plain' AS predicate, count(*) AS unmatched_rows, count(*) FILTER (WHERE o_totalprice > 100) AS surviving_rows FROM j
+ UNION ALL SELECT 'guarded', count(*), count(*) FILTER (WHERE COALESCE(o_orderstatus, 'none') <> 'cancelled') FROM j)
+ SELECT *, CASE WHEN surviving_rows > 0 THEN 'survives' ELSE 'filtered_out' END AS verdict FROM n""",
 )
 def _(t):
     o = t.orders

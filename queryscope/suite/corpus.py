@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from queryscope.functions import scalars as S
-from queryscope.functions.text import TOKEN_RX_PLAIN, canonical_sql, strip_jinja
-from queryscope.functions.words import FIXABLE, SEVERITY_WEIGHT, TITLES
+from queryscope.functions.text import canonical_sql, strip_jinja, token_rx
+from queryscope.functions.words import DIALECTS, FIXABLE, SEVERITY_WEIGHT, TITLES
 from queryscope.operators import compare as C, findings as FI, fixes as X, rules as R, usage as U
 from queryscope.plans import tokens as T
 from queryscope.plans.fixtures import query_log
@@ -28,19 +28,26 @@ def _(t):
     return query_log(t.orders, [a for a, _ in _JINJA]).select("query_id", strip_jinja(F.col("sql")).alias("sql"))
 
 
-_RX = TOKEN_RX_PLAIN.replace("'", "''")
+_RX = {d: token_rx(d, possessive=False).replace("'", "''") for d in DIALECTS}
+#: what the dialects read differently, put before each text
+_MARKS = "# it's $$a'b$$ 'c\\\\' 1e5 0x1F @v $1 ${x} a == b 'd''e' "
 
 
 @query(
     "t02_tokens",
-    f"""SELECT doc_id AS query_id, CAST(len(regexp_extract_all(text, '{_RX}')) AS BIGINT) AS tokens,
- CAST(len(text) - len(replace(rtrim(text, chr(10) || chr(13) || ' ' || chr(9)), chr(10), '')) - (len(text) - len(rtrim(text, chr(10) || chr(13) || ' ' || chr(9)))) + 1 AS INTEGER) AS last_line FROM documents""",
+    " UNION ALL ".join(
+        f"""SELECT doc_id AS query_id, '{d}' AS dialect, CAST(len(regexp_extract_all({lit(_MARKS)} || chr(10) || text, '{_RX[d]}')) AS BIGINT) AS tokens FROM documents WHERE doc_id % {len(DIALECTS)} = {i}"""
+        for i, d in enumerate(DIALECTS)
+    ),
 )
 def _(t):
-    docs = t.documents.select(F.col("doc_id").alias("tid"), F.col("text").alias("sql"), F.lit("postgres").alias("dialect")).repartition("tid")
-    last = T.token_table(docs).groupBy("tid").agg(F.count("*").alias("tokens"), F.max(F.col("line")).alias("m"), F.max_by(F.struct("line", "text"), "pos").alias("z"))
-    inner = F.length("z.text") - F.length(F.replace("z.text", F.lit("\n"), F.lit("")))
-    return last.select(F.col("tid").alias("query_id"), "tokens", (F.col("z.line") + inner).cast("int").alias("last_line"))
+    names = F.array(*[F.lit(d) for d in DIALECTS])
+    docs = t.documents.select(
+        F.col("doc_id").alias("tid"),
+        F.concat(F.lit(_MARKS + "\n"), F.col("text")).alias("sql"),
+        F.get(names, F.pmod("doc_id", F.lit(len(DIALECTS))).cast("int")).alias("dialect"),
+    )
+    return T.token_table(docs.repartition("tid")).groupBy(F.col("tid").alias("query_id"), "dialect").agg(F.count("*").alias("tokens"))
 
 
 _NEST = [
@@ -262,8 +269,7 @@ def _(t):
     state = F.when(F.col("accepted"), "accepted").otherwise("refused").alias("outcome")
     shape = lambda d, n: K.catalog_size(d).select(F.lit(n).alias("guard"), state, F.col("columns").alias("n"))
     wide = t.customer.selectExpr("c_name AS table_name", "'c' AS column_name")
-    fit, out = T.split_oversize(t.documents.select("doc_id", F.col("text").alias("sql")))
-    texts = fit.withColumn("outcome", F.lit("accepted")).unionByName(out.withColumnRenamed("reason", "outcome"))
+    texts = t.documents.select(T.size_class(F.col("text")).alias("outcome"))
     texts = texts.groupBy(F.lit("text").alias("guard"), "outcome").agg(F.count("*").alias("n"))
     return shape(_nation_catalog(t), "catalog").unionByName(shape(wide, "customers as tables")).unionByName(texts)
 
@@ -314,8 +320,8 @@ _REVIEW_SQL = values_sql([(i, ts is None, len(ts or [])) for i, (_, ts, _) in en
 @query(
     "s09_review_report",
     f"""WITH f AS (SELECT q.*, o_custkey AS review FROM ({_REVIEW_SQL}) q JOIN orders ON o_orderkey = query_id)
- SELECT review, 0 AS part, count(*) AS rows, CASE WHEN sum(n) = 0 AND count(*) FILTER (WHERE bad) = 0 THEN 'All ' || count(*) || ' changed SQL file(s) look clean. No lint findings, no syntax errors. ✅'
- ELSE 'Checked **' || count(*) || '** changed SQL file(s) — **' || count(*) FILTER (WHERE bad) || '** syntax error(s), **' || CAST(sum(n) AS BIGINT) || '** lint finding(s).' END AS last_line FROM f GROUP BY 1
+ SELECT review, 0 AS part, count(*) AS rows, CASE WHEN sum(n) = 0 AND count(*) FILTER (WHERE bad) = 0 THEN 'Nothing to report in ' || count(*) || ' reviewed file(s).'
+ ELSE 'Files: ' || count(*) || ', unreadable: ' || count(*) FILTER (WHERE bad) || ', findings: ' || CAST(sum(n) AS BIGINT) || '.' END AS last_line FROM f GROUP BY 1
  UNION ALL SELECT review, 1, count(*), 'sections' FROM f WHERE bad OR n > 0 GROUP BY 1 UNION ALL SELECT review, 2, 1, 'footer' FROM f GROUP BY 1""",
 )
 def _(t):
@@ -340,16 +346,22 @@ def _(t):
 
 
 _FIX = [
-    ("x01", "SELECT a FROM t WHERE x = NULL AND k = {n}", "SELECT a FROM t WHERE x IS NULL AND k = {n}", "`= NULL` never matches"),
-    ("x01", "SELECT a FROM t WHERE NULL <> f(x, {n})", "SELECT a FROM t WHERE f(x, {n}) IS NOT NULL", "`!= NULL` never matches"),
-    ("x02", "SELECT DISTINCT a, b FROM t WHERE k = {n} GROUP BY a, b", "SELECT a, b FROM t WHERE k = {n} GROUP BY a, b", "Redundant DISTINCT with GROUP BY"),
-    ("x02", "SELECT DISTINCT COUNT(*) FROM t WHERE k = {n} GROUP BY a", None, None),
-    ("x03", "SELECT CASE WHEN x = {n} THEN 'a' END AS c FROM t", "SELECT CASE WHEN x = {n} THEN 'a' ELSE NULL END AS c FROM t", "CASE without ELSE"),
-    ("x04", "SELECT e.id, (SELECT AVG(e.e2.salary) FROM emp e2 WHERE e2.id = e.id) AS r FROM emp e WHERE e.k = {n}",
-     "SELECT e.id, (SELECT AVG(e2.salary) FROM emp e2 WHERE e2.id = e.id) AS r FROM emp e WHERE e.k = {n}", "Table alias leaked into a column qualifier"),
-    ("x05", "SELECT DISTINCT a, CASE WHEN b <> NULL THEN {n} END AS d FROM t GROUP BY a, d",
-     "SELECT a, CASE WHEN b IS NOT NULL THEN {n} ELSE NULL END AS d FROM t GROUP BY a, d", "CASE without ELSE,Redundant DISTINCT with GROUP BY,`!= NULL` never matches"),
-    ("x05", "SELECT a FROM t WHERE k = {n}", None, None),
+    ("x01", "SELECT ship FROM ships WHERE flag = NULL AND dock = {n}", "SELECT ship FROM ships WHERE flag IS NULL AND dock = {n}", "`= NULL` never matches"),
+    ("x01", "SELECT ship FROM ships WHERE NULL <> f(dock, {n})", "SELECT ship FROM ships WHERE f(dock, {n}) IS NOT NULL", "`!= NULL` never matches"),
+    ("x01", "select  ship /*+ hint */ from ships -- all of them\nwhere rate=1e5 AND code = 0x1F and flag==NULL and dock = {n}",
+     "select  ship /*+ hint */ from ships -- all of them\nwhere rate=1e5 AND code = 0x1F and flag IS NULL and dock = {n}", "`= NULL` never matches"),
+    ("x01", "SELECT ship FROM ships WHERE a = @v AND b=$1 AND c = ${x} AND (NULL = flag) AND dock = {n}",
+     "SELECT ship FROM ships WHERE a = @v AND b=$1 AND c = ${x} AND ( flag IS NULL) AND dock = {n}", "`= NULL` never matches"),
+    ("x01", "SELECT ship FROM ships WHERE flag = NULL::int AND dock = {n}", None, None),
+    ("x02", "SELECT DISTINCT dock, pilot FROM visits WHERE ship = {n} GROUP BY dock, pilot", "SELECT dock, pilot FROM visits WHERE ship = {n} GROUP BY dock, pilot", "Redundant DISTINCT with GROUP BY"),
+    ("x02", "SELECT DISTINCT MAX(day) FROM visits WHERE ship = {n} GROUP BY dock", None, None),
+    ("x03", "SELECT CASE WHEN tons = {n} THEN 'full' END AS c FROM ships", "SELECT CASE WHEN tons = {n} THEN 'full' ELSE NULL END AS c FROM ships", "CASE without ELSE"),
+    ("x03", "SELECT ship,\n       CASE WHEN tons>{n} THEN 1e5 /* heavy */ END c\nFROM ships", "SELECT ship,\n       CASE WHEN tons>{n} THEN 1e5 /* heavy */ ELSE NULL END c\nFROM ships", "CASE without ELSE"),
+    ("x04", "SELECT s.ship, (SELECT MAX(s.v.day) FROM visits v WHERE v.ship = s.ship) AS seen FROM ships s WHERE s.tons = {n}",
+     "SELECT s.ship, (SELECT MAX(v.day) FROM visits v WHERE v.ship = s.ship) AS seen FROM ships s WHERE s.tons = {n}", "Table alias leaked into a column qualifier"),
+    ("x05", "SELECT DISTINCT dock, CASE WHEN flag <> NULL THEN {n} END AS d FROM ships GROUP BY dock, d",
+     "SELECT dock, CASE WHEN flag IS NOT NULL THEN {n} ELSE NULL END AS d FROM ships GROUP BY dock, d", "CASE without ELSE,Redundant DISTINCT with GROUP BY,`!= NULL` never matches"),
+    ("x05", "SELECT ship FROM ships WHERE dock = {n}", None, None),
 ]
 
 
@@ -384,9 +396,9 @@ def _(t):
     return d.select("query_id", F.array_join("fixed_titles", ",").alias("titles"))
 
 
-@query("s11_write_fixed", _fixed_sql([(a, b) for x, a, b, _ in _FIX if x == "x03"] + [("SELECT a FROM t WHERE k = {n}", None)]))
+@query("s11_write_fixed", _fixed_sql([(a, b) for x, a, b, _ in _FIX if x == "x03" and "\n" not in a] + [("SELECT a FROM t WHERE k = {n}", None)]))
 def _(t):
-    pairs = [a for x, a, _, _ in _FIX if x == "x03"] + ["SELECT a FROM t WHERE k = {n}"]
+    pairs = [a for x, a, _, _ in _FIX if x == "x03" and "\n" not in a] + ["SELECT a FROM t WHERE k = {n}"]
     ids, texts = _keyed(t, pairs)
     folder = scratch(t.spark, "fixed")
     done = ids.join(X.fix_texts(texts, ("x03",)), "tid").withColumn("bucket", F.col("query_id") % 8)
@@ -444,6 +456,23 @@ def _(t):
     return _results(t).select("query_id", "valid", "score")
 
 
+_LONG = "SELECT '" + "x" * 100_001 + "' AS a, * FROM ships WHERE dock = {n}"
+
+
+@query(
+    "f03_score_any_length",
+    "SELECT o_orderkey AS query_id, o_orderkey % 400 = 2 AS valid, CASE WHEN o_orderkey % 400 = 2 THEN 88 END AS score, "
+    "CASE WHEN o_orderkey % 400 <> 2 THEN 'empty statement' END AS error FROM orders WHERE o_orderkey % 4 < 2 OR o_orderkey % 400 = 2",
+)
+def _(t):
+    n = F.col("o_orderkey")
+    kinds = F.when(n % 4 == 0, F.lit("")).when(n % 4 == 1, F.lit(None).cast("string"))
+    long = F.replace(F.lit(_LONG), F.lit("{n}"), F.col("o_custkey").cast("string"))
+    log = t.orders.select(n.alias("query_id"), F.lit("bigquery").alias("dialect"), F.coalesce(kinds, F.when(n % 400 == 2, long), F.lit("")).alias("sql"), (n % 4 < 2) .alias("_e"))
+    log = log.where("_e OR query_id % 400 = 2").drop("_e")
+    return FI.lint_corpus(log, ["SELECT * used"]).select("query_id", "valid", "score", "error")
+
+
 @query("f04_ordered_findings", values_sql([(i, "|".join(_sorted(ts))) for i, (_, ts, _) in enumerate(_FULL) if ts is not None], ["titles"], _NF))
 def _(t):
     return _results(t).where("valid").select("query_id", F.array_join(F.transform("findings", lambda x: x["title"]), "|").alias("titles"))
@@ -593,14 +622,14 @@ def _(t):
 
 
 _EXPLAIN = [
-    ("SELECT a, b FROM t{n} WHERE x > 1 GROUP BY a ORDER BY a LIMIT 5", None,
-     "This selects `a`, `b` from `t{n}`. Only rows where `x > 1` are kept. Rows are grouped by `a`. Results are sorted by a. Only the first 5 row(s) are returned."),
-    ("SELECT * FROM a JOIN b ON a.id = b.k{n}", None, "This selects everything from `a`, joined with `b` on `a.id = b.k{n}`."),
-    ("SELECT COUNT(*) FROM t{n}", None, "This selects `COUNT(*)` from `t{n}`. All matching rows are combined into a single aggregate result (no GROUP BY, so there's exactly one output row)."),
-    ("WITH x AS (SELECT {n}) SELECT * FROM x", "too_complex", None),
-    ("SELCT {n}", "invalid", None),
-    ("SELECT u.name AS n, SUM(o.x) FROM users u LEFT JOIN orders o ON o.uid = u.id WHERE u.a = {n} AND o.b IN (1, 2) GROUP BY u.name", None,
-     "This selects `n`, `SUM(o.x)` from `users` (aliased `u`), left joined with `orders` on `o.uid = u.id`. Only rows matching all of: `u.a = {n}`; `o.b IN (1, 2)`. Rows are grouped by `u.name`, combining the aggregate values within each group."),
+    ("SELECT berth, crew FROM ship{n} WHERE tons > 9 GROUP BY berth ORDER BY berth LIMIT 7", None,
+     "Reads `berth`, `crew` of `ship{n}`. Condition: `tons > 9`. Groups: `berth`. Order: berth. At most 7 rows."),
+    ("SELECT * FROM ship JOIN dock ON ship.berth = dock.b{n}", None, "Reads every column of `ship`; join to `dock` where `ship.berth = dock.b{n}`."),
+    ("SELECT MAX(tons) FROM ship{n}", None, "Reads `MAX(tons)` of `ship{n}`. Without groups, one row sums up the whole input."),
+    ("WITH big AS (SELECT {n} AS tons) SELECT * FROM big", "too_complex", None),
+    ("SELEC tons FROM ship{n}", "invalid", None),
+    ("SELECT d.port AS p, SUM(s.tons) FROM dock d LEFT JOIN ship s ON s.berth = d.berth WHERE d.zone = {n} AND s.flag IN (3, 4) GROUP BY d.port", None,
+     "Reads `p`, `SUM(s.tons)` of `dock` under the name `d`; left join to `ship` where `s.berth = d.berth`. Conditions that all hold: `d.zone = {n}`, `s.flag IN (3, 4)`. Groups: `d.port`, with one aggregate per group."),
 ]
 
 

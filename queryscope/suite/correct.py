@@ -4,10 +4,9 @@ from pyspark.sql import functions as F
 
 from queryscope.functions import scalars as S
 from queryscope.operators import correct as C
-from queryscope.plans.fixtures import ORDERS_N_SQL as ON, orders_n, orders_thin
+from queryscope.plans.fixtures import ORDERS_GAPPY_SQL as THIN, ORDERS_N_SQL as ON, orders_gappy, orders_n
 from queryscope.suite.registry import query
 
-THIN = "(SELECT * FROM orders WHERE o_orderkey % 50 = 0)"
 M = "decimal(18,2)"
 
 
@@ -108,7 +107,7 @@ def _(t):
 
 @query("c07_not_exists", f"SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM {THIN} o WHERE o.o_custkey = c.c_custkey)")
 def _(t):
-    return C.not_exists(t.customer.select("c_custkey", "c_name"), orders_thin(t.orders), [("c_custkey", "o_custkey")])
+    return C.not_exists(t.customer.select("c_custkey", "c_name"), orders_gappy(t.orders), [("c_custkey", "o_custkey")])
 
 
 @query(
@@ -116,7 +115,7 @@ def _(t):
     f"SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN {THIN} o ON c_custkey = o_custkey AND o_totalprice > 100000",
 )
 def _(t):
-    j = C.outer_join_on(t.customer, orders_thin(t.orders), [("c_custkey", "o_custkey")], F.col("o_totalprice") > 100000)
+    j = C.outer_join_on(t.customer, orders_gappy(t.orders), [("c_custkey", "o_custkey")], F.col("o_totalprice") > 100000)
     return j.select("c_custkey", "o_orderkey", "o_totalprice")
 
 
@@ -155,7 +154,7 @@ def _(t):
 )
 def _(t):
     return C.update_from(
-        t.customer.select("c_custkey", "c_name", "c_acctbal"), orders_thin(t.orders), [("c_custkey", "o_custkey")],
+        t.customer.select("c_custkey", "c_name", "c_acctbal"), orders_gappy(t.orders), [("c_custkey", "o_custkey")],
         {"c_acctbal": "o_totalprice"}, ["o_orderdate", "o_orderkey"],
     )
 

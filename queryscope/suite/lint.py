@@ -48,13 +48,21 @@ def _keyed(t, texts, dialect="bigquery"):
     return keyed.select("query_id", "tid"), T.distinct_texts(keyed)
 
 
-_BAD = [s for s, _, _ in INVALID]
+_BAD = [s for _, s, _, _ in INVALID]
+
+
+def _bad(t):
+    """Fault texts of the log, each in its own dialect."""
+    names = F.array(*[F.lit(d) for d, _, _, _ in INVALID])
+    log = query_log(t.orders, _BAD).withColumn("dialect", F.get(names, F.pmod("query_id", F.lit(len(_BAD))).cast("int")))
+    keyed = T.normalise_log(log)
+    return keyed.select("query_id", "tid"), T.distinct_texts(keyed)
 
 
 def _hint_query(name: str, kind: str):
-    @query(name, values_sql([(i, h) for i, (_, _, h) in enumerate(INVALID) if h == kind], ["hint_kind"], len(INVALID)))
+    @query(name, values_sql([(i, h) for i, (_, _, _, h) in enumerate(INVALID) if h == kind], ["hint_kind"], len(INVALID)))
     def _(t):
-        ids, texts = _keyed(t, _BAD)
+        ids, texts = _bad(t)
         h = R.hints(texts, R.validity(texts)).where(F.col("hint_kind") == kind)
         return ids.join(h, "tid").select("query_id", "hint_kind")
 
@@ -64,9 +72,9 @@ _hint_query("l39_parenthesis_hint", "parentheses")
 _hint_query("l40_adjacent_hint", "adjacent")
 
 
-@query("l41_validity", values_sql([(i, k is None, k) for i, (_, k, _) in enumerate(INVALID)], ["valid", "kind"], len(INVALID), {"kind": "VARCHAR"}))
+@query("l41_validity", values_sql([(i, k is None, k) for i, (_, _, k, _) in enumerate(INVALID)], ["valid", "kind"], len(INVALID), {"kind": "VARCHAR"}))
 def _(t):
-    ids, texts = _keyed(t, _BAD)
+    ids, texts = _bad(t)
     return ids.join(R.validity(texts), "tid").select("query_id", "valid", "kind")
 
 

@@ -13,7 +13,7 @@ from queryscope.suite.sqltext import expect_sql, log_sql
 NOW = "1996-06-01"
 _now = lambda: F.lit(NOW).cast("timestamp")
 
-KEYS_SQL = """(SELECT CASE WHEN k % 7 = 0 THEN 'qd_test_' ELSE 'qd_live_' END || k AS api_key, k AS owner,
+KEYS_SQL = """(SELECT CASE WHEN k % 7 = 0 THEN 'test_' ELSE 'live_' END || k AS api_key, k AS owner,
  CASE WHEN k % 2 = 0 THEN 'monthly' WHEN k % 11 = 1 THEN NULL ELSE 'annual' END AS plan,
  CASE WHEN k % 5 = 0 THEN '' ELSE 'c' || k || '@example.com' END AS email, created_at, k % 3 = 0 AS reminder_sent
  FROM (SELECT c_custkey k, min(o_orderdate) created_at FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1))"""
@@ -24,12 +24,20 @@ def _keys(t):
     return R.with_expiry(api_keys(t.customer, t.orders))
 
 
-@query("r01_throttle")
+#: the limiter walked hit by hit: the accepted times of the last window travel along
+_LIMITER = """WITH RECURSIVE n AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ w AS (SELECT user_id, rn, event_id, TRUE AS accepted, [us] AS kept FROM n WHERE rn = 1
+ UNION ALL SELECT user_id, rn, event_id, ok, CASE WHEN ok THEN list_append(kept, us) ELSE kept END FROM (
+  SELECT n.user_id, n.rn, n.event_id, n.us, w.kept, NOT (len(w.kept) >= 3 AND n.us - w.kept[-3] <= 86400000000) AS ok FROM w JOIN n ON n.user_id = w.user_id AND n.rn = w.rn + 1))
+ SELECT event_id, user_id, accepted FROM w"""
+
+
+@query("r01_throttle", _LIMITER)
 def _(t):
     return R.throttle(t.events.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3, 86400).select("event_id", "user_id", "accepted")
 
 
-@query("r01_throttle_stream")
+@query("r01_throttle_stream", _LIMITER)
 def _(t):
     stream = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
     return R.drain(R.throttle_stream(stream, "user_id", "ts", "event_id", 3, 86400), R.scratch(t.spark, "throttle")).select("event_id", "user_id", "accepted")
@@ -59,7 +67,7 @@ def _(t):
 
 @query(
     "r03_split_keyed",
-    f"""SELECT event_id, user_id, user_id IN (SELECT owner FROM {EXP_SQL} WHERE api_key LIKE 'qd\\_live\\_%' ESCAPE '\\' AND expires_at >= TIMESTAMP '{NOW}') AS bypass FROM events""",
+    f"""SELECT event_id, user_id, user_id IN (SELECT owner FROM {EXP_SQL} WHERE api_key LIKE 'live\\_%' ESCAPE '\\' AND expires_at >= TIMESTAMP '{NOW}') AS bypass FROM events""",
 )
 def _(t):
     return R.split_keyed(t.events.select("event_id", "user_id"), R.active_keys(_keys(t), _now()), "user_id").select("event_id", "user_id", "bypass")
@@ -76,7 +84,7 @@ def _(t):
     return t.events.select(S.client_key(forwarded, peer).alias("client")).groupBy("client").agg(F.count("*").alias("hits"))
 
 
-@query("r05_active_keys", f"""SELECT api_key, COALESCE(plan, 'monthly') AS plan FROM {EXP_SQL} WHERE starts_with(api_key, 'qd_live_') AND expires_at >= TIMESTAMP '{NOW}'""")
+@query("r05_active_keys", f"""SELECT api_key, COALESCE(plan, 'monthly') AS plan FROM {EXP_SQL} WHERE starts_with(api_key, 'live_') AND expires_at >= TIMESTAMP '{NOW}'""")
 def _(t):
     return R.active_keys(_keys(t), _now()).select("api_key", "plan")
 

@@ -37,13 +37,13 @@ def test_catalog_rules(spark):
 
 
 def test_validity_battery_and_hints(spark):
-    texts = [s for s, _, _ in G.INVALID] + [s for _, s in G.VALID]
-    log = T.normalise_log(_log(spark, texts, ["bigquery"] * len(G.INVALID) + [d for d, _ in G.VALID]))
+    texts = [s for _, s, _, _ in G.INVALID] + [s for _, s in G.VALID]
+    log = T.normalise_log(_log(spark, texts, [d for d, *_ in G.INVALID] + [d for d, _ in G.VALID]))
     tx = T.distinct_texts(log)
     v = R.validity(tx)
     got = {r["query_id"]: (r["valid"], r["kind"], r["hint_kind"]) for r in log.join(v.select("tid", "valid", "kind"), "tid").join(
         R.hints(tx, v).select("tid", "hint_kind"), "tid", "left").collect()}
-    for i, (s, kind, hint) in enumerate(G.INVALID):
+    for i, (_, s, kind, hint) in enumerate(G.INVALID):
         assert got[i] == (kind is None, kind, hint), s
     for i in range(len(G.INVALID), len(texts)):
         assert got[i][0], texts[i]
