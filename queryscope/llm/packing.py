@@ -16,6 +16,7 @@ repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from queryscope.llm.common import numbered_locally, replace_columns, texts_of, type_of, with_rank
-from queryscope.llm.tokencount import _SIMPLE, _SIMPLE_WORDS, chunks_of
+from queryscope.llm.tokencount import _SIMPLE, _SIMPLE_WORDS, END, chunks_of, simple_cut
 
 CAPACITY = 4096
 END_ID = 1
 #: nodes of the search; a dive to a whole packing takes one for each filling used
 NODES = 3_000
 #: chunks and words remembered by a worker
-MEMORY = 400_000
+MEMORY = 500_000
 #: fillings tried at one node
 WIDTH = 4
 
@@ -218,24 +219,41 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        from queryscope.llm.tokencount import counter
-
         self.lib, self.end = Tokenizer.from_file(path), np.uint32(end).tobytes()
-        self.short_cut = counter(path).short_cut
+        names = self.lib.get_vocab(with_added_tokens=False)
+        #: whether an id ends a word
+        self.ends = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in names.items() if t.endswith(END)]] = True
+        self.short_cut = simple_cut(json.load(open(path, encoding="utf-8")))
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def _words(self, new: list[str]) -> None:
+        """Ids of new words: many are encoded as one text, whose ids are parted after each id that ends a word."""
+        for k in range(0, len(new), 512):
+            part = new[k : k + 512]
+            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                data, at = ids.astype("<u4").tobytes(), 0
+                for w, e in zip(part, (4 * stops).tolist()):
+                    self.words[w] = data[at:e]
+                    at = e
+            else:
+                self._whole(part, self.words)
+
+    def _whole(self, new: list[str], kept: dict[str, bytes]) -> None:
+        for k in range(0, len(new), 1024):
+            part = new[k : k + 1024]
+            for c, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
+                kept[c] = np.array(e.ids, "<u4").tobytes()
+
     def _learn(self, new: list[str]) -> None:
         if len(self.words) > MEMORY:
             self.words.clear()
         simple = {c: _SIMPLE_WORDS.findall(c.lower()) for c in new if self.short_cut and "<|" not in c and _SIMPLE.fullmatch(c)}
-        rest = [c for c in new if c not in simple]
-        need = list({w for ws in simple.values() for w in ws if w not in self.words})
-        for names, kept in ((need, self.words), (rest, self.chunks)):
-            for k in range(0, len(names), 2048):
-                part = names[k : k + 2048]
-                for c, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                    kept[c] = np.array(e.ids, np.uint32).tobytes()
+        self._words(list({w for ws in simple.values() for w in ws if w not in self.words}))
+        self._whole([c for c in new if c not in simple], self.chunks)
         words = self.words
         for c, ws in simple.items():
             self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))

@@ -50,6 +50,12 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
+def simple_cut(spec: dict) -> bool:
+    """Whether the short cut for simple chunks holds for a tokenizers file."""
+    specials = [t["content"] for t in spec["added_tokens"]]
+    return '"Regex": ' + json.dumps(_PATTERN) in json.dumps(spec["pre_tokenizer"]) and all(t.startswith("<|") for t in specials)
+
+
 def chunks_of(text: str) -> list[str]:
     """The text between white space as the tokenizer sees it."""
     return re.findall("[^ \\t-\\r]+", text) if _ODD.search(text) else text.split()
@@ -93,7 +99,7 @@ class PrefixCounter:
                 continue
             (self.closed if t.endswith(END) else self.open).add(t)
             self.longest = max(self.longest, len(t.removesuffix(END)))
-        self.short_cut = '"Regex": ' + json.dumps(_PATTERN) in json.dumps(spec["pre_tokenizer"]) and specials and all(t.startswith("<|") for t in specials)
+        self.short_cut = simple_cut(spec)
         #: last tokens and counts at the open prefixes of the word looked at last: words come sorted, so most of it holds again
         self.opened: tuple[list[str], list[int], str] = ([""], [0], "")
         self.memory: dict[str, int] = {}
