@@ -63,29 +63,31 @@ def check_texts(
     An invalid text has no findings and no score; nothing suppresses its error.
     """
     st = T.statements(T.scoped_tokens(texts))
-    f = apply_noqa(R.text_findings(st, titles, catalog), texts)
     c = F.col
-    entry = F.struct(
-        (F.lit(2) - severity_rank(c("severity"))).alias("order"), "rule_no", "severity", "title", "message"
-    )
-    per = f.groupBy("tid").agg(
-        F.array_sort(F.collect_list(F.when(~c("suppressed"), entry))).alias("fs"),
-        F.array_sort(F.collect_list(F.when(c("suppressed"), F.struct("rule_no", "title")))).alias("ss"),
-        F.sum(F.when(~c("suppressed"), severity_weight(c("severity")))).alias("penalty"),
-    )
-    v = R.validity(texts)
-    j = texts.join(v, "tid", "left").join(per, "tid", "left")
+    j = texts.join(R.text_results(st, titles), "tid", "left")
+    more = R.catalog_findings(st, catalog, titles) if catalog is not None else None
+    none = F.array().cast("array<struct<rule_no:int,severity:string,title:string,message:string>>")
+    hits = F.coalesce("hits", none)
+    if more is not None:
+        j = j.join(more, "tid", "left")
+        hits = F.concat(hits, F.coalesce("more", none))
+    j = j.join(noqa_directives(texts), "tid", "left")
+    quiet = lambda x: F.coalesce("suppress_all", F.lit(False)) | F.coalesce(F.array_contains("titles", F.lower(x["title"])), F.lit(False))
+    rank = lambda x: F.struct((F.lit(2) - severity_rank(x["severity"])).alias("order"), x["rule_no"], x["severity"], x["title"], x["message"])
+    j = j.withColumn("_hits", hits)
+    j = j.withColumn("_open", F.array_sort(F.transform(F.filter("_hits", lambda x: ~quiet(x)), rank)))
+    j = j.withColumn("_quiet", F.array_sort(F.transform(F.filter("_hits", quiet), lambda x: F.struct(x["rule_no"], x["title"]))))
     if with_hints:
-        j = j.join(R.hints(texts, v).select("tid", "hint"), "tid", "left")
-    empty = F.array().cast("array<struct<severity:string,title:string,message:string>>")
-    shown = F.transform("fs", lambda x: F.struct(x["severity"].alias("severity"), x["title"].alias("title"), x["message"].alias("message")))
+        j = j.join(R.hints(texts, R.validity(texts)).select("tid", "hint"), "tid", "left")
+    penalty = F.aggregate("_open", F.lit(0), lambda acc, x: acc + severity_weight(x["severity"]))
+    shown = F.transform("_open", lambda x: F.struct(x["severity"].alias("severity"), x["title"].alias("title"), x["message"].alias("message")))
     valid = F.coalesce(c("valid"), F.lit(False))
     return j.select(
         "tid",
         valid.alias("valid"),
-        F.when(valid, score(c("penalty"))).cast("int").alias("score"),
-        F.when(valid, F.coalesce(shown, empty)).alias("findings"),
-        F.when(valid, F.coalesce(F.transform("ss", lambda x: x["title"]), F.array().cast("array<string>"))).alias("suppressed"),
+        F.when(valid, score(penalty)).cast("int").alias("score"),
+        F.when(valid, shown).alias("findings"),
+        F.when(valid, F.transform("_quiet", lambda x: x["title"])).alias("suppressed"),
         F.when(valid, c("statement_count")).alias("statement_count"),
         F.when(~valid, F.coalesce(c("kind"), F.lit("empty statement"))).alias("error"),
         F.when(~valid, c("line")).alias("error_line"),

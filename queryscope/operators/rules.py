@@ -126,12 +126,21 @@ def _op(s: str, g: str, *ops: str) -> str:
 #: WHERE conditions of ``s``; none when a top-level OR makes the whole clause one unit
 CONDS = f"if(exists({_in('s', 'WHERE')}, wg -> NOT wg.wrapped AND {_op('s', 'wg', 'OR')}), filter(s.segs, wg -> false), {_in('s', 'WHERE')})"
 
-_SAFE = r"r'(?i)^(?:coalesce|ifnull|nvl) \( \w+ \. \w+ , (\x27[^\x27]*\x27|\d+(?:\.\d+)?) \) (=|<>|!=|<|>|<=|>=) (\x27[^\x27]*\x27|\d+(?:\.\d+)?)$'"
+_LITERAL = r"(\x27[^\x27]*\x27|\d+(?:\.\d+)?)"
+_CALL = rf"(?i)^(?:coalesce|ifnull|nvl) \( \w+ \. \w+ , {_LITERAL} \)"
+_SAFE = rf"r'{_CALL} (?:([+-]) (\d+(?:\.\d+)?) )?(=|<>|!=|<|>|<=|>=) {_LITERAL}$'"
+_SAFE_IN = rf"r'{_CALL} (NOT )?IN \( (.*) \)$'"
+#: a CASE with a branch for NULL is not judged
+_NULL_BRANCH = r"r'(?i)\bcase\b.*\bis null\b.*\bend\b'"
 
 
 def _null_safe(txt: str) -> str:
-    """Is ``COALESCE(col, a) op b`` true for a row whose columns are all NULL?"""
-    a, op, b = (f"regexp_extract({txt}, {_SAFE}, {i})" for i in (1, 2, 3))
+    """Is a condition on a column with a fallback for NULL true for a row whose columns are all NULL?
+
+    Forms: ``COALESCE(col, a) op b``, ``COALESCE(col, a) + c op b``, ``COALESCE(col, a) [NOT] IN (...)`` with literals, and
+    a CASE that has a branch for NULL.
+    """
+    a, sign, step, op, b = (f"regexp_extract({txt}, {_SAFE}, {i})" for i in range(1, 6))
 
     def cmp(l: str, r: str) -> str:
         return (
@@ -139,8 +148,12 @@ def _null_safe(txt: str) -> str:
             f" WHEN '>' THEN {l} > {r} WHEN '<=' THEN {l} <= {r} ELSE {l} >= {r} END"
         )
 
+    number = f"(try_cast({a} AS DOUBLE) + CASE {sign} WHEN '+' THEN try_cast({step} AS DOUBLE) WHEN '-' THEN -try_cast({step} AS DOUBLE) ELSE 0D END)"
     nums = f"try_cast({a} AS DOUBLE) IS NOT NULL AND try_cast({b} AS DOUBLE) IS NOT NULL"
-    return f"({op} <> '' AND if({nums}, {cmp(f'try_cast({a} AS DOUBLE)', f'try_cast({b} AS DOUBLE)')}, {cmp(a, b)}))"
+    plain = f"({op} <> '' AND if({nums}, {cmp(number, f'try_cast({b} AS DOUBLE)')}, {sign} = '' AND {cmp(a, b)}))"
+    value, negated, listed = (f"regexp_extract({txt}, {_SAFE_IN}, {i})" for i in range(1, 4))
+    inside = f"({value} <> '' AND array_contains(split({listed}, ' , '), {value}) = ({negated} = ''))"
+    return f"({plain} OR {inside} OR {txt} RLIKE {_NULL_BRANCH})"
 
 
 def _nullified() -> str:
@@ -150,13 +163,12 @@ def _nullified() -> str:
       WHEN j.j_full THEN array({_alias('j')}, {main}) ELSE CAST(array() AS array<string>) END)))"""
     not_null = f"exists({_ops('s', 'g')}, oq -> oq.u = 'IS' AND oq.n1 = 'NOT')"
     guarded = f"flatten(transform(filter({CONDS}, g -> {not_null}), g -> transform({_cols('g')}, cq -> cq.qual)))"
-    found = f"""flatten(transform(filter({CONDS}, g -> NOT {_op('s', 'g', 'OR', 'IS')}),
+    # a condition that holds for a row of NULLs lets unmatched rows through
+    found = f"""flatten(transform(filter({CONDS}, g -> NOT {_op('s', 'g', 'OR', 'IS')} AND NOT coalesce({_null_safe('g.txt')}, false)),
       g -> filter({_cols('g')}, cq -> cq.qual IS NOT NULL AND NOT coalesce(array_contains({guarded}, cq.qual), false)
         AND array_contains({optional}, cq.qual))))"""
     outer = f"exists({JOINED}, j -> j.j_left OR j.j_right OR j.j_full)"
-    # a WHERE made of NULL-safe conditions alone lets unmatched rows through
-    survives = f"forall({CONDS}, g -> {_null_safe('g.txt')})"
-    return f"CASE WHEN {outer} AND NOT {survives} THEN {_first(f'transform({found}, x -> concat_ws({chr(39)}.{chr(39)}, x.qual, x.name))')} END"
+    return f"CASE WHEN {outer} THEN {_first(f'transform({found}, x -> concat_ws({chr(39)}.{chr(39)}, x.qual, x.name))')} END"
 
 
 def _tautology(test: str) -> str:
@@ -320,22 +332,7 @@ def validity(texts: DataFrame) -> DataFrame:
         f"lag(u) OVER ({w}) AS p1", f"lag(kind) OVER ({w}) AS pk1", f"lag(text) OVER ({w}) AS pt1", f"lead(u) OVER ({w}) AS n1",
         f"sum(CASE u WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS bal",
     )
-    starts = ", ".join(f"'{s.upper()}'" for s in K.STARTERS + K.OTHER_STARTERS)
-    clause_words = "'WHERE', 'GROUP', 'HAVING', 'LIMIT', 'ORDER', ';'"
-    fault = f"""CASE
-      WHEN coalesce(p1, ';') = ';' AND kind IN ('word', 'kw') AND u NOT IN ({starts}) THEN 'unknown statement'
-      WHEN u = 'SELECT' AND coalesce(n1, ';') IN ('FROM', 'WHERE', ';') THEN 'empty select list'
-      WHEN u = 'JOIN' AND coalesce(n1, ';') IN ('ON', 'USING', 'WHERE', ';') THEN 'join without a table'
-      WHEN p1 = 'FROM' AND u IN ({clause_words}) THEN 'missing table'
-      WHEN p1 IN ('WHERE', 'AND', 'OR', 'HAVING') AND u IN ({clause_words}, 'AND', 'OR') THEN 'empty condition'
-      WHEN p1 IN ('WHERE', 'HAVING', 'FROM', 'AND', 'OR') AND n1 IS NULL AND u = ';' THEN 'empty condition'
-      WHEN p1 = ',' AND u IN (',', 'WHERE', 'GROUP', 'ORDER', 'HAVING') THEN 'stray comma'
-      WHEN p1 = ',' AND u = 'FROM' AND dialect NOT IN ('bigquery', 'duckdb', 'snowflake') THEN 'stray comma'
-      WHEN u = 'GROUP' AND coalesce(n1, '') <> 'BY' AND coalesce(p1, '') NOT IN ('.', 'WITHIN', 'EXCLUDE') THEN 'GROUP without BY'
-      WHEN u = 'ORDER' AND coalesce(n1, '') NOT IN ('BY', 'SIBLINGS') AND coalesce(p1, '') <> '.' THEN 'ORDER without BY'
-      WHEN u = '{{' AND n1 IN ('{{', '%', '#') THEN 'template text'
-      WHEN kind = 'op' AND u IN ('\\'', '"', '`') THEN 'unterminated quote'
-      WHEN bal < 0 THEN 'unbalanced parentheses' END AS fault"""
+    fault = f"{T.fault_case('bal')} AS fault"
     content = "('word', 'num', 'str')"
     adjacent = f"""kind IN {content} AND (coalesce(pk1 IN {content}, false) OR coalesce(p1 = ')', false))
       AND NOT (kind = 'word' AND coalesce(pk1 = 'word', false)) AS adjacent"""
@@ -450,19 +447,67 @@ def unregister_rule(title: str) -> None:
     _EXTRA.pop(title, None)
 
 
-def text_findings(st: DataFrame, titles: Sequence[str] | None = None, catalog: DataFrame | None = None) -> DataFrame:
-    """tid, rule_no, severity, title, message: one finding per text and title."""
+def _chosen(titles: Sequence[str] | None) -> dict[str, tuple[str, str, str]]:
+    """Title -> (severity, message, detail expression) of the rules asked for, own ones included."""
     rules = {t: (SEVERITY[t], MESSAGES[t], d) for t, d in rule_columns().items()}
     rules.update(_EXTRA)
-    rules = {t: r for t, r in rules.items() if titles is None or t in titles}
+    return {t: r for t, r in rules.items() if titles is None or t in titles}
+
+
+def _hits(rules: dict[str, tuple[str, str, str]]) -> str:
+    """Array of the rules that fire on a statement."""
+    entries = [
+        f"named_struct('rule_no', {ORDER.get(t, 1000 + i)}, 'severity', '{sev}', 'title', {_quote(t)}, 'detail', CAST({d} AS STRING))"
+        for i, (t, (sev, _, d)) in enumerate(rules.items())
+    ] or ["named_struct('rule_no', 0, 'severity', '', 'title', '', 'detail', CAST(NULL AS STRING))"]
+    return f"filter(array({', '.join(entries)}), x -> x.detail IS NOT NULL)"
+
+
+def text_results(st: DataFrame, titles: Sequence[str] | None = None) -> DataFrame:
+    """tid, hits (one per title, from the first statement that fires), valid, kind, line, statement_count.
+
+    One row per text from one aggregate over its statements: findings and validity come from the same token pass.
+    """
+    rules = _chosen(titles)
+    known = ", ".join(f"{_quote(t)}, {_quote(m)}" for t, (_, m, _) in rules.items()) or "'', ''"
+    by_title = "transform(hs, x -> struct(x.title AS title, stmt AS stmt, x.rule_no AS rule_no, x.severity AS severity, x.detail AS detail))"
+    g = st.selectExpr("tid", "stmt", f"{_hits(rules)} AS hs", "v_fault", "v_last", "v_starts").groupBy("tid").agg(
+        F.expr(f"array_sort(flatten(collect_list({by_title}))) AS a"),
+        F.expr("min(v_fault) AS f"),
+        F.expr("max(v_last) AS z"),
+        F.expr("CAST(sum(v_starts) AS INT) AS statement_count"),
+    )
+    first = "filter(a, (x, i) -> i = 0 OR x.title <> get(a, i - 1).title)"
+    shown = f"replace(try_element_at(map({known}), x.title), '%s', x.detail)"
+    open_ = "f IS NULL AND z.bal <> 0"
+    return g.selectExpr(
+        "tid",
+        f"transform({first}, x -> struct(x.rule_no AS rule_no, x.severity AS severity, x.title AS title, {shown} AS message)) AS hits",
+        "f IS NULL AND z.bal = 0 AS valid",
+        f"if({open_}, 'unbalanced parentheses', f.kind) AS kind",
+        f"if({open_}, z.line, f.line) AS line",
+        "statement_count",
+    )
+
+
+def catalog_findings(st: DataFrame, catalog: DataFrame, titles: Sequence[str] | None = None) -> DataFrame | None:
+    """tid, more (array of hits) for names that the catalog does not have."""
+    found = None
+    for t, fn in (("Unknown table", unknown_tables), ("Unknown column", unknown_columns)):
+        if titles is None or t in titles:
+            message = f"replace({_quote(MESSAGES[t])}, '%s', detail)"
+            f = fn(st, catalog).selectExpr("tid", f"struct({ORDER[t]} AS rule_no, '{SEVERITY[t]}' AS severity, title, {message} AS message) AS h")
+            found = f if found is None else found.unionByName(f)
+    return None if found is None else found.groupBy("tid").agg(F.collect_list("h").alias("more"))
+
+
+def text_findings(st: DataFrame, titles: Sequence[str] | None = None, catalog: DataFrame | None = None) -> DataFrame:
+    """tid, rule_no, severity, title, message: one finding per text and title."""
+    rules = _chosen(titles)
     messages = {t: m for t, (_, m, _) in rules.items()}
     hits = None
     if rules:
-        entries = [
-            f"named_struct('rule_no', {ORDER.get(t, 1000 + i)}, 'severity', '{sev}', 'title', {_quote(t)}, 'detail', {d})"
-            for i, (t, (sev, _, d)) in enumerate(rules.items())
-        ]
-        hits = st.selectExpr("tid", "stmt", f"explode(filter(array({', '.join(entries)}), x -> x.detail IS NOT NULL)) AS h")
+        hits = st.selectExpr("tid", "stmt", f"explode({_hits(rules)}) AS h")
         # the first statement that fires supplies the message
         hits = hits.groupBy("tid", "h.title").agg(F.expr("min_by(h, stmt) AS h")).selectExpr(
             "tid", "h.rule_no", "h.severity", "h.title", "h.detail"

@@ -108,7 +108,7 @@ def scoped_tokens(texts: DataFrame) -> DataFrame:
 
     # neighbours, statement number and parenthesis depth
     t = token_table(texts).where("kind <> 'comment'").selectExpr(
-        "tid", "line", "text", "u", "kind",
+        "tid", "dialect", "line", "text", "u", "kind",
         f"row_number() OVER ({w}) AS rn",
         f"lag(u, 1) OVER ({w}) AS p1",
         f"lag(u, 2) OVER ({w}) AS p2",
@@ -332,6 +332,26 @@ def root_items(tok: DataFrame) -> DataFrame:
     )
 
 
+def fault_case(balance: str) -> str:
+    """What a token and its neighbours show to be broken; ``balance``: open parentheses after the token."""
+    starts = ", ".join(f"'{s.upper()}'" for s in K.STARTERS + K.OTHER_STARTERS)
+    clause_words = "'WHERE', 'GROUP', 'HAVING', 'LIMIT', 'ORDER', ';'"
+    return f"""CASE
+      WHEN coalesce(p1, ';') = ';' AND kind IN ('word', 'kw') AND u NOT IN ({starts}) THEN 'unknown statement'
+      WHEN u = 'SELECT' AND coalesce(n1, ';') IN ('FROM', 'WHERE', ';') THEN 'empty select list'
+      WHEN u = 'JOIN' AND coalesce(n1, ';') IN ('ON', 'USING', 'WHERE', ';') THEN 'join without a table'
+      WHEN p1 = 'FROM' AND u IN ({clause_words}) THEN 'missing table'
+      WHEN p1 IN ('WHERE', 'AND', 'OR', 'HAVING') AND u IN ({clause_words}, 'AND', 'OR') THEN 'empty condition'
+      WHEN u IN ('WHERE', 'HAVING', 'AND', 'OR', 'FROM') AND n1 IS NULL THEN 'unfinished clause'
+      WHEN p1 = ',' AND u IN (',', 'WHERE', 'GROUP', 'ORDER', 'HAVING') THEN 'stray comma'
+      WHEN p1 = ',' AND u = 'FROM' AND dialect NOT IN ('bigquery', 'duckdb', 'snowflake') THEN 'stray comma'
+      WHEN u = 'GROUP' AND coalesce(n1, '') <> 'BY' AND coalesce(p1, '') NOT IN ('.', 'WITHIN', 'EXCLUDE') THEN 'GROUP without BY'
+      WHEN u = 'ORDER' AND coalesce(n1, '') NOT IN ('BY', 'SIBLINGS') AND coalesce(p1, '') <> '.' THEN 'ORDER without BY'
+      WHEN u = '{{' AND n1 IN ('{{', '%', '#') THEN 'template text'
+      WHEN kind = 'op' AND u IN ('\\'', '"', '`') THEN 'unterminated quote'
+      WHEN {balance} < 0 THEN 'unbalanced parentheses' END"""
+
+
 #: rules decided by a token and its neighbours
 TOKEN_FLAGS = {
     "l07": "okind = 'select' AND p1 = 'IN' AND (p2 = 'NOT' OR p3 = 'NOT' OR (p3 = '.' AND p5 = 'NOT'))",
@@ -434,6 +454,9 @@ def segments(tok: DataFrame) -> DataFrame:
             ),
             *[any_(cond, "t_" + rule) for rule, cond in TOKEN_FLAGS.items()],
             *[f"min(CASE WHEN {cond} THEN named_struct('pos', pos, 'x', {v}) END) AS d_{rule}" for rule, (cond, v) in TOKEN_DETAILS.items()],
+            f"min(CASE WHEN ({fault_case('depth')}) IS NOT NULL THEN named_struct('pos', pos, 'kind', {fault_case('depth')}, 'line', line) END) AS v_fault",
+            "max(named_struct('pos', pos, 'bal', depth + if(u = '(', 1, 0), 'line', line)) AS v_last",
+            "count_if(u <> ';' AND coalesce(p1, ';') = ';') AS v_starts",
             "count_if(u = 'CASE') AS n_case",
             "count_if(u = 'ELSE') AS n_else",
             "count_if(ckw = 'SETOP' AND u = 'UNION' AND coalesce(n1, '') <> 'ALL') AS n_union",
@@ -462,6 +485,9 @@ def statements(tok: DataFrame) -> DataFrame:
         *[f"sum({x}) AS {x}" for x in ("n_case", "n_else", "n_union", "n_union_inner")],
         *[f"bool_or(t_{f}) AS t_{f}" for f in TOKEN_FLAGS],
         *[f"min(d_{f}) AS d_{f}" for f in TOKEN_DETAILS],
+        "min(v_fault) AS v_fault",
+        "max(v_last) AS v_last",
+        "sum(v_starts) AS v_starts",
     ]
     sel = _aggregate(
         seg,

@@ -115,6 +115,11 @@ GOLDEN: dict[str, list[tuple[str, list[str]]]] = {
         ("SELECT s.ship FROM ships s LEFT JOIN visits v ON v.ship = s.ship WHERE v.day IS NOT NULL AND v.dock < {n}", []),
         ("SELECT s.ship FROM ships s LEFT JOIN visits v ON v.ship = s.ship WHERE NVL(v.pilot, 'nobody') <> 'p{n}'", []),
         ("SELECT s.ship FROM ships s LEFT JOIN visits v ON v.ship = s.ship WHERE v.dock = {n} OR s.flag = 'no'", []),
+        ("SELECT s.ship FROM ships s LEFT JOIN visits v ON v.ship = s.ship WHERE IFNULL(v.fee, 0) + 1 > 0 AND s.tons = {n}", []),
+        ("SELECT s.ship FROM ships s LEFT JOIN visits v ON v.ship = s.ship WHERE IFNULL(v.fee, 0) - 1 > 0 AND s.tons = {n}", ["WHERE clause nullifies an outer JOIN"]),
+        ("SELECT s.ship FROM ships s LEFT JOIN visits v ON v.ship = s.ship WHERE COALESCE(v.pilot, 'none') IN ('none', 'p{n}')", []),
+        ("SELECT s.ship FROM ships s LEFT JOIN visits v ON v.ship = s.ship WHERE COALESCE(v.pilot, 'none') NOT IN ('none', 'p{n}')", ["WHERE clause nullifies an outer JOIN"]),
+        ("SELECT s.ship FROM ships s LEFT JOIN visits v ON v.ship = s.ship WHERE CASE WHEN v.fee IS NULL THEN 1 ELSE v.fee END > 0 AND s.tons = {n}", []),
     ],
     "L19": [
         ("SELECT ship FROM visits WHERE day BETWEEN '2023-03-05' AND '2023-04-05' AND dock = {n}", ["BETWEEN with bare date literals"]),
