@@ -52,6 +52,28 @@ def replace_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) ->
     return pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + list(new.values()), names=[*keep, *new])
 
 
+class Recent:
+    """A bounded memory (``now``) with an older generation: once full, what was not used since the last turn is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.old = limit, {}, {}
+
+    def unknown(self, keys: set) -> list:
+        """Those of ``keys`` that have no entry, after room was made for all and older entries were taken over."""
+        missing = keys.difference(self.now)
+        if len(self.now) + len(missing) > self.limit:
+            self.now, self.old = {}, self.now
+            missing = keys
+        out, now, old = [], self.now, self.old
+        for k in missing:
+            v = old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                now[k] = v
+        return out
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -24,15 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import numbered_locally, replace_columns, texts_of, type_of, with_rank
+from queryscope.llm.common import Recent, numbered_locally, replace_columns, texts_of, type_of, with_rank
 from queryscope.llm.tokencount import _SIMPLE, _SIMPLE_WORDS, END, chunks_of, simple_cut
 
 CAPACITY = 4096
 END_ID = 1
 #: nodes of the search; a dive to a whole packing takes one for each filling used
 NODES = 3_000
-#: chunks and words remembered by a worker
-MEMORY = 500_000
+#: chunks, and words, in each generation of a worker's memory
+MEMORY = 300_000
 #: fillings tried at one node
 WIDTH = 4
 
@@ -225,8 +225,7 @@ class Encoder:
         self.ends = np.zeros(max(names.values(), default=0) + 1, bool)
         self.ends[[i for t, i in names.items() if t.endswith(END)]] = True
         self.short_cut = simple_cut(json.load(open(path, encoding="utf-8")))
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Recent(MEMORY), Recent(MEMORY)
 
     def _words(self, new: list[str]) -> None:
         """Ids of new words: many are encoded as one text, whose ids are parted after each id that ends a word."""
@@ -237,10 +236,10 @@ class Encoder:
             if len(stops) == len(part):
                 data, at = ids.astype("<u4").tobytes(), 0
                 for w, e in zip(part, (4 * stops).tolist()):
-                    self.words[w] = data[at:e]
+                    self.words.now[w] = data[at:e]
                     at = e
             else:
-                self._whole(part, self.words)
+                self._whole(part, self.words.now)
 
     def _whole(self, new: list[str], kept: dict[str, bytes]) -> None:
         for k in range(0, len(new), 1024):
@@ -249,27 +248,23 @@ class Encoder:
                 kept[c] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.words) > MEMORY:
-            self.words.clear()
         simple = {c: _SIMPLE_WORDS.findall(c.lower()) for c in new if self.short_cut and "<|" not in c and _SIMPLE.fullmatch(c)}
-        self._words(list({w for ws in simple.values() for w in ws if w not in self.words}))
-        self._whole([c for c in new if c not in simple], self.chunks)
-        words = self.words
+        self._words(self.words.unknown(set().union(*simple.values())))
+        self._whole([c for c in new if c not in simple], self.chunks.now)
+        words, chunks = self.words.now, self.chunks.now
         for c, ws in simple.items():
-            self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))
+            chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
         out: list[bytes] = []
         for k in range(0, len(texts), 128):
             cut = [chunks_of(t) for t in texts[k : k + 128]]
-            new = {c for chunks in cut for c in chunks if c not in self.chunks}
-            if len(self.chunks) + len(new) > MEMORY:
-                self.chunks.clear()
-                new = {c for chunks in cut for c in chunks}
+            new = self.chunks.unknown(set().union(*cut))
             if new:
-                self._learn(list(new))
-            out += [b"".join(map(self.chunks.__getitem__, chunks)) + self.end for chunks in cut]
+                self._learn(new)
+            known = self.chunks.now.__getitem__
+            out += [b"".join(map(known, chunks)) + self.end for chunks in cut]
         return out
 
 
