@@ -6,6 +6,7 @@ from queryscope.functions import scalars as S
 from queryscope.functions.text import canonical_sql, strip_jinja, token_rx
 from queryscope.functions.words import DIALECTS, FIXABLE, SEVERITY_WEIGHT, TITLES
 from queryscope.operators import compare as C, findings as FI, fixes as X, rules as R, usage as U
+from queryscope.operators.results import full_results
 from queryscope.plans import tokens as T
 from queryscope.plans.fixtures import query_log
 from queryscope.sources import catalog as K, corpus as SRC, reports as RP
@@ -407,18 +408,30 @@ def _(t):
     return back.select(F.substring_index("value", "\t", 1).cast("bigint").alias("query_id"), F.substring_index("value", "\t", -1).alias("fixed_sql"))
 
 
-_LIVE = ("customer", "orders", "nation")
+#: the given tables and their columns
+_LIVE_COLS = {
+    t: cols.split()
+    for t, cols in {
+        "region": "r_regionkey r_name",
+        "nation": "n_nationkey n_name n_regionkey",
+        "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+        "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+        "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+        "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+        "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+        "events": "event_id ts user_id event_type value props",
+        "documents": "doc_id text lang source n_chars",
+        "embeddings": "vec_id embedding label",
+        "pages": "page_id url html",
+        "benchmark": "item_id text",
+        "labels": "doc_id quality toxic",
+        "conversations": "conv_id turn role text",
+    }.items()
+}
 
 
 def _live(t):
-    return {n: getattr(t, n) for n in _LIVE}
-
-
-_LIVE_COLS = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    "nation": ["n_nationkey", "n_name", "n_regionkey"],
-}
+    return {n: getattr(t, n) for n in _LIVE_COLS}
 
 
 @query(
@@ -544,6 +557,65 @@ def _(t):
     return FI.fixable(_results(t), "query_id")
 
 
+_WHOLE = [
+    ("SELECT ship FROM ships WHERE flag = NULL AND dock = {n}", True, 70, None, "`= NULL` never matches", 2),
+    ("SELECT ship FROM ships WHERE dock = {n}", True, 100, None, None, None),
+    ("SELEC ship FROM ships WHERE dock = {n}", False, None, "No statement starts with 'SELEC'. The nearest keyword is SELECT.", None, None),
+    ("SELECT MAX(tons FROM ships WHERE dock = {n}", False, None, "The text opens 1 and closes 0 parentheses; check for a lost closing one.", None, None),
+]
+
+
+@query(
+    "f10_full_result",
+    values_sql(
+        [(i, *row) for i, (_, *row) in enumerate(_WHOLE)], ["valid", "score", "hint", "fixed", "changes"], len(_WHOLE),
+        {"score": "INTEGER", "hint": "VARCHAR", "fixed": "VARCHAR", "changes": "INTEGER"},
+    ),
+)
+def _(t):
+    r = full_results(query_log(t.orders, [s for s, *_ in _WHOLE]))
+    changes = F.when(F.col("fix_diff").isNotNull(), F.size("fix_diff")).cast("int").alias("changes")
+    return r.select("query_id", "valid", "score", "hint", F.array_join("fixed_titles", ",").alias("fixed"), changes)
+
+
+#: bits of the order key decide which clauses a text has; DuckDB derives the expected titles from the same bits
+_BITS = {"star": 0, "like": 1, "null": 2, "order": 3, "limit": 4, "inner": 5, "case": 6, "lower": 7, "union": 8}
+
+
+def _bit(name: str) -> str:
+    return f"(o_orderkey // 7) % {2 << _BITS[name]} >= {1 << _BITS[name]}"
+
+
+@query(
+    "l00_composed_texts",
+    " UNION ALL ".join(
+        f"SELECT o_orderkey AS query_id, {lit(title)} AS title FROM orders WHERE {cond}"
+        for title, cond in {
+            "SELECT * used": _bit("star"),
+            "LIKE starts with %": _bit("like"),
+            "`= NULL` never matches": _bit("null"),
+            "LIMIT without ORDER BY": f"{_bit('limit')} AND NOT {_bit('order')} AND NOT ({_bit('union')} AND NOT {_bit('inner')})",
+            "ORDER BY in a subquery without LIMIT": f"{_bit('inner')} AND {_bit('order')} AND NOT {_bit('limit')} AND NOT {_bit('union')}",
+            "CASE without ELSE": _bit("case"),
+            "UNION (not UNION ALL)": _bit("union"),
+        }.items()
+    ),
+)
+def _(t):
+    bit = lambda name: F.expr(_bit(name).replace("(o_orderkey // 7)", "floor(o_orderkey / 7)"))
+    part = lambda name, yes, no="": F.when(bit(name), yes).otherwise(no)
+    inner = F.concat(
+        F.lit("SELECT "), part("star", "*", "o_orderkey"), part("case", ", CASE WHEN o_orderstatus = 'F' THEN 1 END AS done"),
+        F.lit(" FROM orders WHERE o_custkey = "), F.col("o_custkey").cast("string"),
+        part("like", " AND o_orderpriority LIKE '%x'"), part("null", " AND o_totalprice = NULL"),
+        part("union", " UNION SELECT o_orderkey FROM orders"), part("order", " ORDER BY o_orderkey"), part("limit", " LIMIT 4"),
+    )
+    sql = F.when(bit("inner"), F.concat(F.lit("SELECT q.o_orderkey FROM ("), inner, F.lit(") q"))).otherwise(inner)
+    sql = F.when(bit("lower"), F.lower(sql)).otherwise(sql)
+    log = t.orders.select(F.col("o_orderkey").alias("query_id"), F.lit("duckdb").alias("dialect"), sql.alias("sql"))
+    return FI.lint_findings(log).select("query_id", "title")
+
+
 # ---- comparison -------------------------------------------------------------
 
 #: a, b, expected (category, subject, before, after); None = no clause diff
@@ -672,6 +744,18 @@ def _(t):
     return U.unknown_tables_ranked(_use_log(t), K.catalog_from_tables(t.spark, _live(t)))
 
 
+_BIG = "SELECT concat('t', id) AS table_name, concat('c', id) AS column_name FROM range(10000)"
+
+
+@query(
+    "k02_unknown_tables_big_catalog",
+    "SELECT 'lineitm' AS table_name, count(*) AS queries FROM orders WHERE o_orderkey % 5 = 3 HAVING count(*) > 0",
+)
+def _(t):
+    big = t.spark.sql(_BIG).selectExpr("table_name", "column_name", "1 AS ordinal", "'int' AS data_type")
+    return U.unknown_tables_ranked(_use_log(t), K.catalog_from_tables(t.spark, _live(t)).unionByName(big))
+
+
 @query("k03_unknown_columns", "SELECT 'customer' AS table_name, 'c_nmae' AS column_name, count(*) AS queries, 'c_name' AS nearest FROM orders WHERE o_orderkey % 5 = 1")
 def _(t):
     return U.unknown_columns_ranked(_use_log(t), K.catalog_from_tables(t.spark, _live(t)))
@@ -679,9 +763,12 @@ def _(t):
 
 @query(
     "k04_unused_catalog",
-    "SELECT * FROM (VALUES ('customer', 'c_nationkey', FALSE), ('customer', 'c_mktsegment', FALSE), ('orders', 'o_orderstatus', FALSE), ('orders', 'o_orderdate', FALSE), "
-    "('orders', 'o_orderpriority', FALSE), ('nation', 'n_nationkey', TRUE), ('nation', 'n_name', TRUE), ('nation', 'n_regionkey', TRUE)) v(table_name, column_name, table_unused) "
-    "WHERE (SELECT count(*) FROM orders) > 0",
+    "SELECT * FROM (VALUES "
+    + ", ".join(
+        f"('{t}', '{c}', {t not in ('orders', 'customer')})"
+        for t, cs in _LIVE_COLS.items() for c in cs if c not in ("o_orderkey", "o_custkey", "o_totalprice", "c_custkey", "c_name", "c_acctbal")
+    )
+    + ") v(table_name, column_name, table_unused) WHERE (SELECT count(*) FROM orders) > 0",
 )
 def _(t):
     return U.unused_catalog(_use_log(t), K.catalog_from_tables(t.spark, _live(t)))
