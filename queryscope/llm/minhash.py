@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import type_of
+from queryscope.llm.common import texts_of, type_of
 from queryscope.llm.components import connected
 from queryscope.llm.wordhash import WHITE, Words, chained, mix, runs_inside, slices
 from queryscope.session import cut
@@ -134,8 +134,29 @@ def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
     return reps.select("node", "sig").mapInArrow(run, "key bigint, band int, node bigint")
 
 
+def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, t): texts compressed one by one, since all of them are shuffled and few are read again."""
+    own = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for b in batches:
+            raw = [t.encode() for t in texts_of(b, "t")]
+            packed = [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) if x else b"" for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(packed, pa.binary())], names=["node", "t"])
+
+    return own.mapInArrow(run, "node bigint, t binary")
+
+
+def unpacked(column: pa.Array) -> pa.Array:
+    """Texts of ``packed_texts``."""
+    codec = pa.Codec("zstd", 1)
+    raw = [codec.decompress(z[8:], int.from_bytes(z[:8], "little"), asbytes=True) if z else b"" for z in column.to_pylist()]
+    return pa.array(raw, pa.large_binary()).cast(pa.large_string())
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (u, v) with 100 * intersection >= percent * union of their full shingle sets; ``texts``: node, t.
+    """Pairs (u, v) with 100 * intersection >= percent * union of their full shingle sets; ``texts`` from ``packed_texts``.
 
     Texts are shuffled once; both joins read the same exchange.
     """
@@ -144,7 +165,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for _, _, w in slices(column, WHITE):
+            for _, _, w in slices(unpacked(column), WHITE):
                 h, at = shingles(w, size)
                 for lo, hi in zip(at[:-1], at[1:]):
                     yield np.unique(h[lo:hi])
@@ -220,7 +241,7 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands
         t = table.combine_chunks()
         node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
         sets: list[np.ndarray] = []
-        for _, _, w in slices(t.column("t").combine_chunks(), WHITE):
+        for _, _, w in slices(unpacked(t.column("t")), WHITE):
             sets += [np.unique(h) for h in _parts(*shingles(w, size))]
         root: dict[int, int] = {}
 
@@ -272,7 +293,7 @@ def components(
     buckets = band_keys(reps, bands, rows)
     least = buckets.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "v")
     shared = cut(buckets.join(least, "key").select("key", "band", "node", "v"))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("node"), F.col(text_col).alias("t"))
+    texts = packed_texts(docs, id_col, text_col)
     stars = shared.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
     stars = cut(signature_test(stars, reps, percent, n))
     links = cut(confirm(stars, texts, size, percent).distinct())
