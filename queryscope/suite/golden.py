@@ -139,7 +139,7 @@ GOLDEN: dict[str, list[tuple[str, list[str]]]] = {
         ("SELECT ship FROM ships WHERE dock IN (SELECT dock FROM docks WHERE depth = {n})", []),
     ],
     "L22": [
-        ("UPDATE ships SET dock = v.dock FROM visits v WHERE v.day = {n} AND v.open", ["UPDATE ... FROM without a join condition"]),
+        ("UPDATE ships SET dock = v.dock FROM visits v WHERE ships.tons = {n} AND ships.open", ["UPDATE ... FROM without a join condition"]),
         ("UPDATE ships SET dock = visits.dock FROM visits WHERE ships.ship = visits.ship AND visits.day = {n}", []),
     ],
     "L23": [
