@@ -209,7 +209,7 @@ GOLDEN: dict[str, list[tuple[str, list[str]]]] = {
     "L35": [
         ("SELECT ship, flag home, tons FROM ships WHERE dock = {n}", ["Possible missing comma"]),
         ("SELECT ship, flag AS home, tons FROM ships WHERE dock = {n}", []),
-        ("SELECT ship FROM ships WHERE dock = {n}; SELECT zone depth FROM docks", ["Possible missing comma"]),
+        ("SELECT ship FROM ships WHERE dock = {n}; SELECT berth depth FROM docks", ["Possible missing comma"]),
         ("SELECT s.ship, d.zone FROM ships s JOIN docks d ON d.dock = s.dock WHERE s.tons = {n}", []),
     ],
 }
