@@ -204,10 +204,9 @@ def signature_test(pairs: DataFrame, reps: DataFrame, percent: int, n: int) -> D
     return joined.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
 
 
-def _candidates(t: pa.Table, percent: int, bands: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(t: pa.Table, sig: np.ndarray, percent: int, bands: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:
     """(member, others) of a chunk pair: different components, fitting sizes and minima, and no earlier band in common."""
     side, node, size, comp = (t.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, bands * rows)
     p, q, band = (t.column(c)[0].as_py() for c in ("p", "q", "band"))
     least, right = _near(percent, bands * rows), np.flatnonzero(side == q)
     for i in np.flatnonzero(side == p):
@@ -231,11 +230,12 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands
 
     def left(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, bands * rows)
         some: set[int] = set()
-        for i, fit in _candidates(t, percent, bands, rows):
+        for i, fit in _candidates(t, sig, percent, bands, rows):
             some.add(i)
             some.update(fit.tolist())
-        return t.take(pa.array(sorted(some), pa.int64()))
+        return t.drop_columns(["sig"]).take(pa.array(sorted(some), pa.int64()))
 
     def joined(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
@@ -243,6 +243,8 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands
         sets: list[np.ndarray] = []
         for _, _, w in slices(unpacked(t.column("t")), WHITE):
             sets += [np.unique(h) for h in _parts(*shingles(w, size))]
+        sizes = np.cumsum([0, *map(len, sets)])
+        sig = signatures(np.concatenate(sets), sizes, bands * rows)  # cheaper to make again than to send
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -251,7 +253,7 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands
             return c
 
         us, vs = [], []
-        for i, fit in _candidates(t, percent, bands, rows):
+        for i, fit in _candidates(t, sig, percent, bands, rows):
             x = sets[i]
             for j in fit.tolist():
                 a, b = find(int(comp[i])), find(int(comp[j]))
@@ -263,7 +265,7 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands
                         vs.append(node[j])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    own = "key bigint, p int, q int, band int, side int, node bigint, n bigint, sig binary, comp bigint"
+    own = "key bigint, p int, q int, band int, side int, node bigint, n bigint, comp bigint"
     few = cut(spread.groupBy("key", "p", "q").applyInArrow(left, own))
     return few.join(texts, "node").groupBy("key", "p", "q").applyInArrow(joined, "u bigint, v bigint")
 
