@@ -32,7 +32,7 @@ END_ID = 1
 #: nodes of the search; a dive to a whole packing takes one for each filling used
 NODES = 3_000
 #: chunks, and words, in each generation of a worker's memory
-MEMORY = 300_000
+MEMORY = 250_000
 #: fillings tried at one node
 WIDTH = 4
 
@@ -255,6 +255,11 @@ class Encoder:
         for c, ws in simple.items():
             chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join(map(words.__getitem__, ws))
 
+    def rest(self) -> None:
+        """Give back most of the memory between tasks, since other operators may use the worker next; known words stay."""
+        self.chunks = Recent(MEMORY)
+        self.words.old = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
         out: list[bytes] = []
@@ -292,6 +297,8 @@ def pieces(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
             yield replace_columns(
                 own, keep, piece=pa.array(piece, pa.int32()), start=pa.array(start, pa.int64()), length=pa.array(length, pa.int64()), ids=pa.array(ids, pa.binary())
             )
+        if path in _encoders:
+            _encoders[path].rest()
 
     schema = ", ".join(f"`{c}` {type_of(rows, c)}" for c in keep)
     return rows.mapInArrow(run, f"{schema}, piece int, start bigint, length bigint, ids binary")
