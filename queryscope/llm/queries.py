@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from queryscope.llm import decontaminate, langid, lattice, minhash, ngram, packing, quality, sharding, tokencount, url_filter
 from queryscope.llm.common import fold, prepare
+from queryscope.session import cut
 
 ALLOW = ("org/", "com/fr/")
 BLOCK = ("example.org/es/", "example.org/en/1", "com/de/")
@@ -40,10 +41,12 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_url_filter")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    """A page is labelled by the quality of its document; URL token sets that come with quality 0 block."""
+    """A page is labelled by the quality of the document that its path names; URL token sets that come with quality 0 block."""
     pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
-    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    labelled = pages.select("page_id", "url").join(bad, "page_id")
+    # written before the join, so that adaptive execution can split a document with very many pages
+    bad = cut(labels.groupBy("doc_id").agg((F.min("quality") == 0).alias("bad")))
+    named = pages.select("page_id", "url", url_filter.document_of(F.col("url")).alias("doc_id")).where("doc_id is not null")
+    labelled = named.join(bad, "doc_id").select("page_id", "url", "bad")
     return url_filter.judge(pages, labelled, allow=ALLOW, block=BLOCK)
 
 

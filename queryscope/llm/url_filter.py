@@ -36,6 +36,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def document_of(url: Column) -> Column:
+    """The number that ends the path (an extension or slashes may follow) as bigint; null where there is none or it is too large."""
+    return F.regexp_extract(path_of(url), r"(?s)/([0-9]+)(?:\.[^/.]*)?/*$", 1).try_cast("bigint")
+
+
 def tokens_of(url: Column) -> Column:
     """Distinct tokens: scheme, host and its parent domains, path words, query keys; empty for null."""
     host = host_of(url)

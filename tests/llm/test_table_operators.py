@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from queryscope.llm import lattice, url_filter
+from queryscope.llm import lattice, queries, url_filter
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -63,6 +63,19 @@ def test_listed_rules_and_odd_urls(spark):
     assert url_filter.judge(pages.limit(0), pages.limit(0), **lists).count() == 0
 
 
+def test_pages_are_labelled_by_the_document_of_their_path(spark, tmp_path):
+    ends = ("", ".html", "/", "?page=2&ref=x", "#top")
+    pages = [(k, f"https://{'bad' if k < 60 else 'good'}.example.com/en/{1000 + k}{ends[k % 5]}") for k in range(300)]
+    pages += [(300, None), (301, "http://bad.example.com/en/"), (302, "http://bad.example.com/en/" + "9" * 40), (303, "no address 1001"), (304, "http://x.com/?a=/1001")]
+    labels = [(1000 + k, int(k >= 60)) for k in range(300)] + [(k, 1) for k in range(305)] + [(None, 0)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: (r["verdict"], r["n_rules"]) for r in queries.QUERIES["op1_url_filter"](spark, str(tmp_path)).collect()}
+    assert got == {k: ("block", 1) if u and "//bad." in u else ("allow", 0) for k, u in pages}
+    names = spark.createDataFrame(pages, "page_id long, url string").select("page_id", url_filter.document_of(F.col("url")).alias("d")).collect()
+    assert {r["page_id"]: r["d"] for r in names} == {k: 1000 + k if k < 300 else None for k, _ in pages}
+
+
 def brute_links(rows, threshold):
     links, root = Counter(), {r["vec_id"]: r["vec_id"] for r in rows}
 
