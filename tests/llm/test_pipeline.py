@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from queryscope.llm import packing, quality
+from queryscope.llm import langid, packing, quality
+from queryscope.llm.common import fold
 from tests.llm.conftest import plain_words
 from tests.llm.test_text_operators import components, shingles
 
@@ -63,3 +64,24 @@ def test_stages_take_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
             assert rows is None or out.count() == rows
             out.count()
         assert corpus_pipeline.run(spark, folder).count() >= (rows or 0)
+
+
+def test_language_stage_rejects_what_the_model_does_not_know(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rng = np.random.default_rng(6)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(60)) for _ in range(10)]
+    strange = [
+        "Жили были старик со старухой у самого синего моря", "漢字かな交じり文を書きます", "Ὅλοι οἱ ἄνθρωποι γεννιοῦνται ἐλεύθεροι",
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "minden emberi lény szabadon születik és egyenlő méltósága és joga van", "12 34 !!", "", None,
+    ]
+    rows = [(10_000_000 + i, t, "en", "s", 0) for i, t in enumerate(junk)] + [(20_000_000 + i, t, None, "s", 0) for i, t in enumerate(strange)]
+    planted = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    left = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, planted, SMALL).select("doc_id").collect()}
+    assert left == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
+def test_language_stage_keeps_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    held = fold(F.col("doc_id"), 4) == 2
+    got = langid.identify(docs.where(held), langid.fit(docs.where(~held)), ["doc_id", "text"], evidence=True).collect()
+    assert got and all(r["evidence"] >= corpus_pipeline.EVIDENCE for r in got if any(c.isalpha() for c in r["text"] or ""))
