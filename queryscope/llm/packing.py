@@ -4,8 +4,9 @@ Documents become pieces of at most ``capacity`` tokens. How pieces are combined
 search works on the histogram of lengths (at most ``capacity`` entries, whatever the corpus): it takes the largest length
 left, enumerates its undominated fillings, and branches over them in order of waste. A branch whose waste exceeds what
 would still beat the incumbent is cut; the incumbent is best-fit decreasing at first, and any better packing found. A
-filling is used for as many sequences as the stock of its lengths allows. The search ends at the lower bound or after
-``NODES`` nodes; then the incumbent stands.
+filling is used for as many sequences as the stock of its lengths allows. A dive ends at a whole packing or where its branch
+is cut, however many nodes that takes; the search ends at the lower bound, when no filling is left to try, or after the
+first dive and ``BACKTRACKS`` more; then the incumbent stands.
 
 The result is a list of patterns with multiplicities. Pieces are numbered per length on Spark, and (length, number) leads
 to sequence and offset by one lookup in the pattern table, whose size is bounded by ``capacity``.
@@ -29,8 +30,8 @@ from queryscope.llm.tokencount import _SIMPLE, _SIMPLE_WORDS, END, chunks_of, si
 
 CAPACITY = 4096
 END_ID = 1
-#: nodes of the search; a dive to a whole packing takes one for each filling used
-NODES = 3_000
+#: dives after the first one; each goes on from the last node that has another filling
+BACKTRACKS = 3_000
 #: chunks, and words, in each generation of a worker's memory
 MEMORY = 250_000
 #: fillings tried at one node
@@ -141,51 +142,52 @@ def fillings(stock: np.ndarray, room: int, width: int = WIDTH) -> list[list[int]
     return [f for _, f in sorted(found, key=lambda x: x[0])]
 
 
-def complete(stock: dict[int, int], capacity: int, nodes: int = NODES) -> list[Pattern]:
+def complete(stock: dict[int, int], capacity: int, backtracks: int = BACKTRACKS) -> list[Pattern]:
     """Patterns of a packing: bin completion with the best-fit packing as first incumbent."""
     best = best_fit(stock, capacity)
     number = sum(n for _, n in best)
     bound = lower_bound(stock, capacity)
     total = sum(k * n for k, n in stock.items())
-    if number <= bound:
-        return best
-    array = np.zeros(capacity + 1, np.int64)
+    now = np.zeros(capacity + 1, np.int64)
     for k, n in stock.items():
-        array[k] = n
-    left = nodes
-    # depth first: each frame is (stock, waste so far, patterns so far, fillings not tried yet)
-    frames: list[list] = [[array, 0, [], None]]
-    while frames and left > 0 and number > bound:
-        now, waste, chosen, choices = frames[-1]
-        allowed = (number - 1) * capacity - total
+        now[k] = n
+    # depth first, on one stock: the patterns of the branch, and at each of its nodes the fillings not tried yet
+    chosen: list[Pattern] = []
+    untried: list[list[list[int]]] = []
+    waste = 0
+
+    def use(pattern: Pattern, sign: int) -> int:
+        uses, times = pattern
+        for k, n in uses.items():
+            now[k] -= sign * n * times
+        return sign * times * (capacity - sum(k * n for k, n in uses.items()))
+
+    while number > bound:
         have = np.flatnonzero(now)
-        if not len(have):
-            used = sum(n for _, n in chosen)
-            if used < number:
-                best, number = chosen, used
-            frames.pop()
-            continue
-        if waste > allowed:
-            frames.pop()
-            continue
-        if choices is None:
-            left -= 1
+        if len(have) and waste <= (number - 1) * capacity - total:
             largest = int(have[-1])
             now[largest] -= 1
-            choices = frames[-1][3] = [[largest, *f] for f in fillings(now, capacity - largest)]
+            untried.append([[largest, *f] for f in fillings(now, capacity - largest)])
             now[largest] += 1
-        if not choices:
-            frames.pop()
-            continue
-        pick = choices.pop(0)
+        else:
+            used = sum(n for _, n in chosen)
+            if not len(have) and used < number:
+                best, number = chosen.copy(), used
+            if not backtracks:
+                break
+            backtracks -= 1
+            while untried:
+                waste += use(chosen.pop(), -1)
+                if untried[-1]:
+                    break
+                untried.pop()
+            if not untried:
+                break
         uses: dict[int, int] = {}
-        for k in pick:
+        for k in untried[-1].pop(0):
             uses[k] = uses.get(k, 0) + 1
-        times = min(int(now[k]) // n for k, n in uses.items())
-        after = now.copy()
-        for k, n in uses.items():
-            after[k] -= n * times
-        frames.append([after, waste + times * (capacity - sum(pick)), [*chosen, (uses, times)], None])
+        chosen.append((uses, min(int(now[k]) // n for k, n in uses.items())))
+        waste += use(chosen[-1], 1)
     return best
 
 
@@ -304,13 +306,13 @@ def pieces(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
     return rows.mapInArrow(run, f"{schema}, piece int, start bigint, length bigint, ids binary")
 
 
-def pack(cut_up: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack(cut_up: DataFrame, capacity: int = CAPACITY, backtracks: int = BACKTRACKS) -> DataFrame:
     """Rows with a column ``length`` (1 to ``capacity``), plus sequence_id and offset."""
     rows = numbered_locally(cut_up, "length")
     stock = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     ranked = with_rank(rows, "length", "_rank")
     names = cut_up.columns
-    sent = cut_up.sparkSession.sparkContext.broadcast(PlaceTable(complete(stock, capacity, nodes)))
+    sent = cut_up.sparkSession.sparkContext.broadcast(PlaceTable(complete(stock, capacity, backtracks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -139,6 +139,19 @@ def test_bin_completion_finds_the_fewest():
     assert better
 
 
+def test_search_ends_its_first_dive_on_many_lengths():
+    lengths = np.clip(np.random.default_rng(0).lognormal(np.log(570), 1.1, 20_000).astype(int) + 1, 1, 4096)
+    stock = Counter(lengths.tolist())
+    got = packing.complete(dict(stock), 4096)
+    used = Counter()
+    for uses, times in got:
+        assert sum(k * n for k, n in uses.items()) <= 4096
+        used.update({k: n * times for k, n in uses.items()})
+    assert used == stock and len(stock) > 3000
+    bound = packing.lower_bound(dict(stock), 4096)
+    assert sum(n for _, n in got) == bound < sum(n for _, n in packing.best_fit(dict(stock), 4096))
+
+
 def test_packing_empty(no_docs):
     assert packing.pack(packing.pieces(no_docs, VOCABULARY, ["doc_id"])).count() == 0
 
