@@ -7,10 +7,13 @@ pointers. Every entry has its smoothed probability, every context its backoff we
 logarithmic scale. Probabilities are interpolated with absolute discounting; entries seen fewer than ``MIN_COUNT`` times
 are pruned and their mass goes to the backoff.
 
-Counting runs on Spark: each task counts its own texts in arrays and sends one sorted block per shard; a shard's task
-adds the blocks up, prunes, and writes the shard's file to the shared checkpoint folder. Contexts decide the shard, so its
-sums are complete. Nothing but the shards' sizes reaches the driver; scoring tasks map the files into memory, so that
-workers of a machine share them. The number of shards grows with the rows.
+Counting runs on Spark: each task counts its own texts in arrays and sends sorted blocks. Contexts decide the shard; above
+level 1 a shard whose contexts were seen more than ``PART_TOKENS`` times is parted by a hash of the key, so that even a
+word with a third of all tokens brings bounded blocks to a task. The task adds its blocks up, prunes, and writes a sorted run to
+the shared checkpoint folder. A shard's runs are then merged by key range: each range of about ``RANGE`` entries and
+contexts is a file of its own, and a hot context's entries may lie in several. Sizes, range borders and a sample of a
+parted shard's keys reach the driver; scoring tasks map the files into memory, so that workers of a machine share them.
+The number of shards grows with the rows.
 
 Defined cases: null counts as the empty text, whose only token is the end; unknown words have count 0; without training
 rows the score equals the base score, whose formula then gives 0 for each token; repeated rows are scored each.
@@ -38,6 +41,12 @@ DISCOUNT = 0.6
 END = np.uint64(0xE4D0_0000_0000_0001)
 #: tokens counted in a task before it sends its blocks
 FLUSH = 3_000_000
+#: tokens of a shard's contexts for each part that is summed on its own
+PART_TOKENS = 4_000_000
+#: entries, and contexts, of a range of a shard
+RANGE = 2_000_000
+#: one key in so many is sampled for the range borders
+STEP = 256
 #: training rows per shard
 ROWS_PER_SHARD = 8_000
 
@@ -78,7 +87,55 @@ class Layout:
     shards: int
     words: list[int]  # per shard
     tokens: int
-    entries: list[list[int]]  # per level from 2 on, per shard
+    entries: list[list[list[tuple[int, int]]]]  # per level from 2 on, per shard: (first key, entries) of each range
+
+
+class Shard:
+    """Mapped ranges of one shard of a level; entries are numbered through."""
+
+    def __init__(self, folder: str, name: str, ranges: list[tuple[int, int]], vocabulary: int):
+        self.vocabulary = np.uint64(vocabulary)
+        self.start = np.array([k for k, _ in ranges], np.uint64)
+        self.context = (self.start // self.vocabulary).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum([n for _, n in ranges])]).astype(np.int64)
+        files = [ef.read_arrays(folder, f"{name}-{r}") for r in range(len(ranges))]
+        self.files = [(ef.Sequence(a, "e."), ef.Sequence(a, "p."), a) for a in files]
+
+    def _by_range(self, place: np.ndarray) -> Iterator[tuple[int, np.ndarray | slice]]:
+        if len(self.files) == 1:
+            yield 0, slice(None)
+        else:
+            for r in np.unique(place):
+                yield int(r), np.flatnonzero(place == r)
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entry or -1, log10 probability, log10 backoff weight) of words (-1: unknown) after contexts."""
+        entry, prob, back = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(word))
+        keys = context.astype(np.uint64) * self.vocabulary + np.maximum(word, 0).astype(np.uint64)
+        for r, own in self._by_range(np.searchsorted(self.start, keys, "right") - 1):
+            entries, pointers, a = self.files[r]
+            ctx, known = context[own] - self.context[r], word[own] >= 0
+            lo, hi = pointers.get(ctx).astype(np.int64), pointers.get(ctx + 1).astype(np.int64)
+            some = np.flatnonzero((lo < hi) & known)
+            at = np.full(len(ctx), -1, np.int64)
+            values = keys[own][some] - np.uint64(self.context[r]) * self.vocabulary
+            at[some] = entries.find(values, lo[some], hi[some])
+            entry[own] = np.where(at >= 0, at + self.first[r], -1)
+            if len(a["prob"]):
+                prob[own] = a["prob.scale"][0] + a["prob"][np.maximum(at, 0)] * a["prob.scale"][1]
+            # a border's context may have entries in other ranges only
+            there = (lo < hi) | (ctx == 0) | (ctx == len(a["back"]) - 1)
+            back[own] = np.where(there, a["back.scale"][0] + a["back"][ctx] * a["back.scale"][1], 0.0)
+        return entry, prob, back
+
+    def at(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last word, count) of entries."""
+        word, count = np.zeros(len(entry), np.int64), np.zeros(len(entry), np.int64)
+        for r, own in self._by_range(np.searchsorted(self.first, entry, "right") - 1):
+            entries, _, a = self.files[r]
+            place = entry[own] - self.first[r]
+            word[own], count[own] = (entries.get(place) % self.vocabulary).astype(np.int64), a["count"][place]
+        return word, count
 
 
 class Trie:
@@ -93,11 +150,7 @@ class Trie:
         self.first = [ef.read_arrays(layout.folder, f"1-{s}") if n else None for s, n in enumerate(layout.words)]
         self.levels = []
         for level, sizes in enumerate(layout.entries, 2):
-            shards = []
-            for s, n in enumerate(sizes):
-                a = ef.read_arrays(layout.folder, f"{level}-{s}") if n else None
-                shards.append(a and (ef.Sequence(a, "e."), ef.Sequence(a, "p."), a))
-            self.levels.append(shards)
+            self.levels.append([Shard(layout.folder, f"{level}-{s}", n, self.vocabulary) if n else None for s, n in enumerate(sizes)])
 
     def shard_of(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
@@ -138,16 +191,7 @@ class Trie:
             part = slice(edges[s], edges[s + 1])
             if data is None or part.start == part.stop:
                 continue
-            entries, pointers, a = data
-            ctx = context[part]
-            lo, hi = pointers.get(ctx).astype(np.int64), pointers.get(ctx + 1).astype(np.int64)
-            some = np.flatnonzero((lo < hi) & (word[part] >= 0))
-            at = np.full(len(ctx), -1, np.int64)
-            values = ctx[some].astype(np.uint64) * np.uint64(self.vocabulary) + word[part][some].astype(np.uint64)
-            at[some] = entries.find(values, lo[some], hi[some])
-            entry[part] = at
-            prob[part] = a["prob.scale"][0] + a["prob"][np.maximum(at, 0)] * a["prob.scale"][1]
-            back[part] = np.where(lo < hi, a["back.scale"][0] + a["back"][ctx] * a["back.scale"][1], 0.0)
+            entry[part], prob[part], back[part] = data.find(context[part], word[part])
         return entry, prob, back
 
 
@@ -177,8 +221,12 @@ def _inside(bounds: np.ndarray, back: int) -> np.ndarray:
 Counts = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def _counted(rows: DataFrame, text_col: str, shards: int, keys_of: Callable[[], Counts]) -> DataFrame:
-    """(shard, keys, counts): each task's sorted blocks. ``keys_of()`` gives a function from tokens to (shard, key)."""
+def _counted(rows: DataFrame, text_col: str, parts: list[int], keys_of: Callable[[], Counts]) -> DataFrame:
+    """(part, keys, counts): each task's sorted blocks. ``keys_of()`` gives a function from tokens to (shard, key).
+
+    ``parts``: number of parts of each shard; they are numbered through.
+    """
+    first = np.concatenate([[0], np.cumsum(parts)]).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, held, size = keys_of(), [], 0
@@ -187,14 +235,17 @@ def _counted(rows: DataFrame, text_col: str, shards: int, keys_of: Callable[[],
             shard = np.concatenate([s for s, _ in held])
             key = np.concatenate([k for _, k in held])
             held.clear()
+            if first[-1] > len(parts):
+                mixed = ((key ^ (key >> np.uint64(32))) * np.uint64(0x9E37_79B9_7F4A_7C15)) >> np.uint64(33)
+                shard = (first[shard] + (mixed % np.array(parts, np.uint64)[shard]).astype(np.int64)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             shard, key = shard[order], key[order]
-            edges = np.searchsorted(shard, np.arange(shards + 1))
+            edges = np.searchsorted(shard, np.arange(first[-1] + 1))
             for s in np.flatnonzero(np.diff(edges)):
                 k, n = np.unique(key[edges[s] : edges[s + 1]], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([n.astype(np.uint32).tobytes()], pa.binary())],
-                    names=["shard", "keys", "counts"],
+                    names=["part", "keys", "counts"],
                 )
 
         for b in batches:
@@ -208,42 +259,111 @@ def _counted(rows: DataFrame, text_col: str, shards: int, keys_of: Callable[[],
         if held:
             yield from out()
 
-    return rows.select(text_col).mapInArrow(run, "shard int, keys binary, counts binary")
+    return rows.select(text_col).mapInArrow(run, "part int, keys binary, counts binary")
 
 
-def _built(blocks: DataFrame, shards: int, write: Callable[[int, np.ndarray, np.ndarray], tuple[int, int]]) -> list[tuple[int, int]]:
-    """Run ``write`` for every shard with its keys and counts; its two numbers, per shard."""
+def _built(blocks: DataFrame, parts: int, write: Callable[[int, np.ndarray, np.ndarray], tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """Run ``write`` for every part with its keys and counts; what it returns, per part."""
 
     def run(table: pa.Table) -> pa.Table:
-        s = table.column("shard")[0].as_py()
+        p = table.column("part")[0].as_py()
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
-        n, m = write(s, *_summed(keys, counts))
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([n], pa.int64()), "m": pa.array([m], pa.int64())})
+        n, m, sample = write(p, *_summed(keys, counts))
+        return pa.table({"part": pa.array([p], pa.int32()), "n": pa.array([n], pa.int64()), "m": pa.array([m], pa.int64()), "sample": pa.array([sample], pa.binary())})
 
-    got = {r["shard"]: (r["n"], r["m"]) for r in blocks.groupBy("shard").applyInArrow(run, "shard int, n bigint, m bigint").collect()}
-    return [got.get(s, (0, 0)) for s in range(shards)]
+    rows = blocks.groupBy("part").applyInArrow(run, "part int, n bigint, m bigint, sample binary").collect()
+    got = {r["part"]: (r["n"], r["m"], bytes(r["sample"])) for r in rows}
+    return [got.get(p, (0, 0, b"")) for p in range(parts)]
 
 
-def _level(folder: str, name: str, keys: np.ndarray, counts: np.ndarray, contexts: int, vocabulary: int, total, lower, least: int) -> tuple[int, int]:
-    """Write one shard of a level; ``total(context)`` are the contexts' counts, ``lower(context, word)`` lower log10 probabilities."""
-    kept = counts >= least
-    keys, counts = keys[kept], counts[kept]
-    if not len(keys):
-        return 0, 0
+def _borders(entries: int, contexts: int, vocabulary: int, sample: np.ndarray) -> list[int]:
+    """First keys of a shard's ranges, from a sorted sample of its keys: about ``RANGE`` entries and contexts each."""
+    pieces = -(-entries // RANGE)
+    by_entries = [int(sample[k * len(sample) // pieces]) for k in range(1, pieces)] if len(sample) else []
+    return sorted({0, *by_entries, *(c * vocabulary for c in range(RANGE, contexts, RANGE))})
+
+
+def _range(folder: str, name: str, runs: list[dict[str, np.ndarray]], start: int, end: int, vocabulary: int, total, lower) -> int:
+    """Merge the keys from ``start`` to ``end`` of a shard's runs into a file; ``total(context)`` are the contexts' counts,
+    ``lower(context, word)`` lower log10 probabilities. The number of its entries."""
+    cuts = [np.searchsorted(a["keys"], np.array([start, end], np.uint64)) for a in runs]
+    keys = np.concatenate([a["keys"][i:j] for a, (i, j) in zip(runs, cuts)])
+    counts = np.concatenate([a["counts"][i:j] for a, (i, j) in zip(runs, cuts)]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    low, contexts = start // vocabulary, (end - 1) // vocabulary - start // vocabulary + 1
     context, word = (keys // np.uint64(vocabulary)).astype(np.int64), (keys % np.uint64(vocabulary)).astype(np.int64)
     share = (counts - DISCOUNT) / total(context)
-    spent = np.bincount(context, share, minlength=contexts)
+    spent = np.bincount(context - low, share, minlength=contexts).astype(float)
+    for c in {low, low + contexts - 1}:  # other ranges may hold entries of these: add up all runs
+        k = m = 0
+        for a in runs:
+            i, j = np.searchsorted(a["keys"], np.array([c * vocabulary, (c + 1) * vocabulary], np.uint64))
+            k, m = k + int(j - i), m + int(a["counts"][i:j].sum(dtype=np.int64))
+        spent[c - low] = (m - DISCOUNT * k) / total(np.array([c]))[0] if k else 0.0
     weight = np.maximum(1 - spent, 1e-7)
-    prob = np.log10(np.minimum(1.0, share + weight[context] * 10.0 ** lower(context, word)))
-    pointers = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=contexts))]).astype(np.uint64)
-    arrays = {f"e.{k}": v for k, v in ef.encode(keys, contexts * vocabulary).items()}
+    prob = np.log10(np.minimum(1.0, share + weight[context - low] * 10.0 ** lower(context, word)))
+    pointers = np.concatenate([[0], np.cumsum(np.bincount(context - low, minlength=contexts))]).astype(np.uint64)
+    arrays = {f"e.{k}": v for k, v in ef.encode(keys - np.uint64(low * vocabulary), contexts * vocabulary).items()}
     arrays |= {f"p.{k}": v for k, v in ef.encode(pointers, len(keys) + 1).items()}
     arrays["prob"], arrays["prob.scale"] = _quantised(prob)
     arrays["back"], arrays["back.scale"] = _quantised(np.log10(weight))
-    arrays["count"] = counts.astype(np.uint32)
+    arrays["count"] = counts.astype(np.uint32) if counts.max(initial=0) < 1 << 32 else counts
     ef.write_arrays(folder, name, arrays)
-    return len(keys), int(counts.sum())
+    return len(keys)
+
+
+Level = Callable[[Trie, int], tuple[Callable, Callable]]
+
+
+def _level(rows: DataFrame, text_col: str, layout: Layout, seen: list[int], contexts: list[int], keys_of: Callable[[], Counts], with_lower: Level, least: int) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """Count and write the next level: its ranges per shard, and the counts that were kept per shard.
+
+    ``seen``: tokens of each shard's contexts; ``with_lower(trie, shard)``: the functions that ``_range`` takes.
+    """
+    level, vocabulary, shards = len(layout.entries) + 2, sum(layout.words), layout.shards
+    folder, aside = layout.folder, f"{layout.folder}/runs-{level}"
+    parts = [max(1, -(-n // PART_TOKENS)) for n in seen]
+    first = np.concatenate([[0], np.cumsum(parts)]).tolist()
+    size = RANGE
+
+    def write_run(p: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes]:
+        kept = counts >= least
+        keys, counts = keys[kept], counts[kept]
+        if len(keys):
+            ef.write_arrays(aside, str(p), {"keys": keys, "counts": counts.astype(np.uint32) if counts.max() < 1 << 32 else counts})
+        s = np.searchsorted(first, p, "right") - 1
+        wanted = p == first[s] and len(keys) * parts[s] > size // 2
+        return len(keys), int(counts.sum()), keys[:: max(1, min(STEP, len(keys) // 64))].tobytes() if wanted else b""
+
+    got = _built(_counted(rows, text_col, parts, keys_of), first[-1], write_run)
+    jobs = []
+    for s in range(shards):
+        own = range(first[s], first[s + 1])
+        entries = sum(got[p][0] for p in own)
+        if entries:
+            starts = _borders(entries, contexts[s], vocabulary, np.frombuffer(got[first[s]][2], np.uint64))
+            runs = [str(p) for p in own if got[p][0]]
+            jobs += [(s, r, runs, a, b) for r, (a, b) in enumerate(zip(starts, [*starts[1:], contexts[s] * vocabulary]))]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(layout)
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            sizes = []
+            for s, r, runs, start, end in (jobs[i] for i in ids):
+                files = [ef.read_arrays(aside, name) for name in runs]
+                sizes.append(_range(folder, f"{level}-{s}-{r}", files, start, end, vocabulary, *with_lower(trie, s)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["id", "n"])
+
+    ranges: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    if jobs:
+        done = rows.sparkSession.range(0, len(jobs), 1, len(jobs)).mapInArrow(merge, "id bigint, n bigint").collect()
+        for i, n in sorted((r["id"], r["n"]) for r in done):
+            ranges[jobs[i][0]].append((jobs[i][3], n))
+        ef.remove(aside)
+    return ranges, [sum(got[p][1] for p in range(first[s], first[s + 1])) for s in range(shards)]
 
 
 def train(rows: DataFrame, text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, folder: str | None = None, shards: int | None = None) -> Layout:
@@ -257,12 +377,13 @@ def train(rows: DataFrame, text_col: str = "text", order: int = ORDER, min_count
     def first_keys() -> Counts:
         return lambda tokens, bounds: (head.shard_of(tokens), tokens)
 
-    def write_first(s: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+    def write_first(s: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes]:
         ef.write_arrays(folder, f"1-{s}", {"hash": keys, "count": counts.astype(np.uint32) if counts.max() < 1 << 32 else counts})
-        return len(keys), int(counts.sum())
+        return len(keys), int(counts.sum()), b""
 
-    sizes = _built(_counted(rows, text_col, shards, first_keys), shards, write_first)
-    layout = Layout(folder, shards, [n for n, _ in sizes], sum(m for _, m in sizes), [])
+    sizes = _built(_counted(rows, text_col, [1] * shards, first_keys), shards, write_first)
+    seen = [m for _, m, _ in sizes]
+    layout = Layout(folder, shards, [n for n, _, _ in sizes], sum(seen), [])
 
     def second_keys() -> Counts:
         trie = Trie(layout)
@@ -276,13 +397,9 @@ def train(rows: DataFrame, text_col: str = "text", order: int = ORDER, min_count
 
         return keys
 
-    def write_second(s: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
-        trie = Trie(layout)
+    def second_lower(trie: Trie, s: int) -> tuple[Callable, Callable]:
         own = trie.first[s]["count"]
-        return _level(
-            folder, f"2-{s}", keys, counts, layout.words[s], trie.vocabulary,
-            lambda context: own[context].astype(float), lambda context, word: trie.unigram(trie.count_of(word)), min_count,
-        )
+        return lambda context: own[context].astype(float), lambda context, word: trie.unigram(trie.count_of(word))
 
     def third_keys() -> Counts:
         trie = Trie(layout)
@@ -300,14 +417,12 @@ def train(rows: DataFrame, text_col: str = "text", order: int = ORDER, min_count
 
         return keys
 
-    def write_third(s: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
-        trie = Trie(layout)
-        entries, _, a = trie.levels[0][s]
-        own = a["count"]
+    def third_lower(trie: Trie, s: int) -> tuple[Callable, Callable]:
+        own = trie.levels[0][s]
 
         def lower(context: np.ndarray, word: np.ndarray) -> np.ndarray:
             # the context's last word, then its pair with the word, which is kept
-            middle = (entries.get(context) % np.uint64(trie.vocabulary)).astype(np.int64)
+            middle, _ = own.at(context)
             both = np.stack([middle, word])
             found, back = np.unique((both[0].astype(np.uint64) << np.uint64(32)) | both[1].astype(np.uint64), return_inverse=True)
             left, right = (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -315,13 +430,15 @@ def train(rows: DataFrame, text_col: str = "text", order: int = ORDER, min_count
             entry, prob, weight = trie.follow(2, shard, left - trie.start[shard], right)
             return np.where(entry >= 0, prob, weight + trie.unigram(trie.count_of(right)))[back]
 
-        return _level(folder, f"3-{s}", keys, counts, len(own), trie.vocabulary, lambda context: own[context].astype(float), lower, min_count)
+        return lambda context: own.at(context)[1].astype(float), lower
 
-    for keys, write in ((second_keys, write_second), (third_keys, write_third))[: order - 1]:
+    contexts = layout.words
+    for keys, lower in ((second_keys, second_lower), (third_keys, third_lower))[: order - 1]:
         if not layout.tokens or layout.entries and not any(layout.entries[-1]):
             break
-        sizes = _built(_counted(rows, text_col, shards, keys), shards, write)
-        layout = Layout(folder, shards, layout.words, layout.tokens, [*layout.entries, [n for n, _ in sizes]])
+        ranges, seen = _level(rows, text_col, layout, seen, contexts, keys, lower, min_count)
+        layout = Layout(folder, shards, layout.words, layout.tokens, [*layout.entries, ranges])
+        contexts = [sum(n for _, n in x) for x in ranges]
     return layout
 
 

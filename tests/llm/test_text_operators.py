@@ -236,6 +236,22 @@ def test_ngram_scores_brute_force(docs, odd_docs):
         assert abs(q["score"] - exact) <= 0.02 * len(w)  # one byte for each probability
 
 
+def test_ngram_hot_contexts_are_parted(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"the w{w}" if k % 2 else f"the the w{w} x" for k, w in enumerate(rng.integers(0, 300, 60))) for _ in range(120)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r["score"] for r in ngram.train_and_score(table, table, ["doc_id"], shards=4).collect()}
+    monkeypatch.setattr(ngram, "PART_TOKENS", 700)
+    monkeypatch.setattr(ngram, "RANGE", 100)
+    layout = ngram.train(table, folder=str(tmp_path / "model"), shards=4)
+    got = {r["doc_id"]: r["score"] for r in ngram.score(table, layout, ["doc_id"]).collect()}
+    assert all(abs(got[i] - whole[i]) <= 0.01 * len(texts[i].split()) for i in whole)
+    for level in layout.entries:  # all followers of the hot word, in files of bounded size
+        assert max(len(x) for x in level) > 2 and max(n for x in level for _, n in x) < 300
+        hot = [[start // sum(layout.words) for start, _ in x] for x in level]
+        assert level is not layout.entries[0] or any(len(set(x)) < len(x) for x in hot)
+
+
 def test_ngram_without_training(odd_docs, no_docs):
     got = ngram.train_and_score(odd_docs, no_docs, ["doc_id"]).collect()
     assert len(got) == odd_docs.count() and all(r["score"] == r["base_score"] == 0 and r["train_tokens"] == 0 for r in got)
