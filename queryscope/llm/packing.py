@@ -2,12 +2,15 @@
 
 Documents become pieces of at most ``capacity`` tokens. How pieces are combined depends on their lengths alone, so the
 search works on the histogram of lengths (at most ``capacity`` entries, whatever the corpus): it takes the largest length
-left, enumerates its undominated fillings, and branches over them in order of waste. A branch whose waste exceeds what
+left, draws undominated fillings, and branches over them in order of waste. A branch whose waste exceeds what
 would still beat the incumbent is cut; the incumbent is best-fit decreasing at first, and any better packing found. A
 filling is used for as many sequences as the stock of its lengths allows. A dive ends at a whole packing or where its branch
 is cut, however many nodes that takes; the search ends at the lower bound, when no filling is left to try, or after the
 first dive and ``BACKTRACKS`` more; then the incumbent stands.
 
+Limits of the search: a node tries at most ``WIDTH`` fillings, each extended in one way only, and from 48 lengths on triples
+start at every ``lengths // 24``-th length only. So an exhausted search proves nothing about fillings it did not draw.
+
 The result is a list of patterns with multiplicities. Pieces are numbered per length on Spark, and (length, number) leads
 to sequence and offset by one lookup in the pattern table, whose size is bounded by ``capacity``.
 

@@ -152,6 +152,17 @@ def test_search_ends_its_first_dive_on_many_lengths():
     assert sum(n for _, n in got) == bound < sum(n for _, n in packing.best_fit(dict(stock), 4096))
 
 
+def test_search_names_its_limits_above_48_lengths():
+    stock = {k: 1 + k % 3 for k in range(20, 90)}
+    array = np.array([stock.get(k, 0) for k in range(101)])
+    assert 1 <= len(packing.fillings(array, 100)) <= packing.WIDTH and "``WIDTH``" in packing.__doc__ and "// 24" in packing.__doc__
+    got, used = packing.complete(stock, 100, 50), Counter()
+    for uses, times in got:
+        used.update({k: n * times for k, n in uses.items()})
+    assert used == Counter(stock)
+    assert packing.lower_bound(stock, 100) <= sum(n for _, n in got) <= sum(n for _, n in packing.best_fit(stock, 100))
+
+
 def test_packing_empty(no_docs):
     assert packing.pack(packing.pieces(no_docs, VOCABULARY, ["doc_id"])).count() == 0
 
