@@ -78,10 +78,31 @@ def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def numbered_locally(df: DataFrame, group: str) -> DataFrame:
-    """Add ``_tid`` (task) and ``_k`` (0.. per task and ``group``) in one pass, and write the rows to the checkpoint folder.
-
-    The rows are written before anything depends on the numbers, so a lost executor cannot change them.
+def _running(keys: pa.Array, values: np.ndarray, seen: dict, ordered: bool) -> np.ndarray:
+    """Sum of the earlier values of each row's key, ``seen`` included and brought up to date; ``ordered`` rows forget finished keys."""
+    coded = keys.dictionary_encode(null_encoding="encode")
+    codes, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    order = np.argsort(codes, kind="stable")
+    sums = np.cumsum(values[order])
+    ends = np.flatnonzero(np.r_[codes[order][1:] != codes[order][:-1], True])
+    totals = np.diff(sums[ends], prepend=0)
+    sizes = np.diff(ends, prepend=-1)
+    known = np.array([seen.get(n, 0) for n in names], np.int64)
+    out = np.empty(len(codes), np.int64)
+    out[order] = sums - values[order] - np.repeat(sums[ends] - totals, sizes) + np.repeat(known, sizes)
+    if ordered:
+        seen.clear()
+        seen[names[codes[-1]]] = int(known[codes[-1]] + totals[codes[-1]])
+    else:
+        seen.update(zip(names, (known + totals).tolist()))
+    return out
+
+
+def numbered_locally(df: DataFrame, group: str, value: str | None = None, ordered: bool = False) -> DataFrame:
+    """Add ``_tid`` (task) and ``_k`` (0.. per task and ``group``, or the sum of the earlier ``value``) in one pass.
+
+    The rows are written to the checkpoint folder before anything depends on the numbers, so a lost executor cannot change
+    them. ``ordered``: the rows of a group are neighbours, so a task remembers one group at a time.
     """
     names = df.columns
 
@@ -90,26 +111,29 @@ def numbered_locally(df: DataFrame, group: str) -> DataFrame:
 
         tid, seen = TaskContext.get().partitionId(), {}
         for b in batches:
-            keys = b.column(group).to_pylist()
-            ks = np.empty(len(keys), np.int64)
-            for i, g in enumerate(keys):
-                ks[i] = seen.get(g, 0)
-                seen[g] = ks[i] + 1
-            yield replace_columns(b, names, _tid=pa.array(np.full(len(keys), tid, np.int32)), _k=pa.array(ks))
+            if b.num_rows:
+                values = b.column(value).to_numpy(zero_copy_only=False) if value else np.ones(b.num_rows, np.int64)
+                ks = _running(b.column(group), values, seen, ordered)
+                yield replace_columns(b, names, _tid=pa.array(np.full(b.num_rows, tid, np.int32)), _k=pa.array(ks))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return cut(df.mapInArrow(number, f"{schema}, _tid int, _k bigint"))
 
 
-def with_rank(rows: DataFrame, group: str, name: str) -> DataFrame:
-    """``name``: 0.. without gaps per ``group`` of rows from ``numbered_locally``.
+def with_rank(rows: DataFrame, group: str, name: str, value: str | None = None, ordered: bool = False) -> DataFrame:
+    """``name``: 0.. without gaps per ``group`` of rows from ``numbered_locally``, or the sum of the earlier ``value``.
 
-    Only one row per task and group is ordered; the rows themselves meet their offset in an equi-join.
+    Only one row per task and group is ordered; the rows themselves meet their offset in an equi-join. Where a group's rows
+    are neighbours (``ordered``), only a task's first and last group can go on elsewhere: those at most two rows per task are broadcast.
     """
-    sizes = rows.groupBy(group, "_tid").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(group).orderBy("_tid").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy(group, "_tid").agg((F.sum(value) if value else F.count(F.lit(1))).alias("_n"))
+    spread = W.partitionBy(group)
+    before = spread.orderBy("_tid").rowsBetween(W.unboundedPreceding, -1)
+    if ordered:
+        sizes = sizes.withColumn("_c", F.count(F.lit(1)).over(spread)).where("_c > 1")
     sizes = sizes.select(
         F.col(group).alias("_g"), F.col("_tid").alias("_t"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")
     )
-    joined = rows.join(sizes, (rows[group] == sizes["_g"]) & (rows["_tid"] == sizes["_t"]), "left")
-    return joined.withColumn(name, (F.col("_k") + F.col("_o")).cast("bigint")).drop("_g", "_t", "_o", "_tid", "_k")
+    met = rows[group].eqNullSafe(sizes["_g"]) & (rows["_tid"] == sizes["_t"])
+    joined = rows.join(F.broadcast(sizes) if ordered else sizes, met, "left")
+    return joined.withColumn(name, (F.col("_k") + F.coalesce("_o", F.lit(0))).cast("bigint")).drop("_g", "_t", "_o", "_tid", "_k")

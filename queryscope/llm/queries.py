@@ -1,4 +1,4 @@
-"""The ten registered queries; each applies one operator to its whole table."""
+"""The registered queries; each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from queryscope.llm import decontaminate, langid, lattice, minhash, ngram, packing, quality, sharding, tokencount, url_filter
+from queryscope.llm import decontaminate, langid, lattice, minhash, mixing, ngram, packing, quality, sharding, tokencount, url_filter
 from queryscope.llm.common import fold, prepare
 from queryscope.session import cut
 
@@ -148,3 +148,32 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     tree = sharding.two_regions(8)
     return sharding.shard_documents(table(spark, folder, "documents"), tree, sharding.grown(tree, "8"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+  md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+s AS (SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+      FROM (SELECT source, CAST(sum(size) AS HUGEINT) AS source_size FROM d GROUP BY source)),
+fill AS (SELECT 0 AS n, CAST(sum(source_size) AS HUGEINT) AS level, CAST(sum(w) AS HUGEINT) AS share, CAST(0 AS BIGINT) AS clamped, false AS done FROM s
+  UNION ALL
+  SELECT n + 1, (SELECT CAST(sum(source_size) AS HUGEINT) FROM s) - CAST(coalesce(sum(3 * source_size) FILTER (WHERE 3 * source_size * share < level * w), 0) AS HUGEINT),
+    CAST(sum(w) FILTER (WHERE NOT 3 * source_size * share < level * w) AS HUGEINT), count(*) FILTER (WHERE 3 * source_size * share < level * w),
+    count(*) FILTER (WHERE 3 * source_size * share < level * w) = any_value(clamped)
+  FROM fill, s WHERE NOT done GROUP BY n),
+last AS (SELECT level, share FROM fill ORDER BY n DESC LIMIT 1),
+t AS (SELECT source, source_size,
+        CASE WHEN 3 * source_size * share < level * w THEN CAST(3 * source_size AS DOUBLE) ELSE CAST(level * w AS DOUBLE) / CAST(share AS DOUBLE) END AS target,
+        CASE WHEN 3 * source_size * share < level * w THEN 3 * source_size ELSE (level * w) // share END AS words
+      FROM s, last),
+o AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - before)) END AS BIGINT) AS taken,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE words // source_size END AS BIGINT) AS whole
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query("op12_source_mixing", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
