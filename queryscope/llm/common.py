@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from queryscope.session import cut
+from queryscope.session import cut, ensure_checkpoint_dir
 
 #: rows handed to Python at once; with whole texts of a few kB this is a few MB
 BATCH_ROWS = 1000
@@ -137,3 +138,10 @@ def with_rank(rows: DataFrame, group: str, name: str, value: str | None = None,
     met = rows[group].eqNullSafe(sizes["_g"]) & (rows["_tid"] == sizes["_t"])
     joined = rows.join(F.broadcast(sizes) if ordered else sizes, met, "left")
     return joined.withColumn(name, (F.col("_k") + F.coalesce("_o", F.lit(0))).cast("bigint")).drop("_g", "_t", "_o", "_tid", "_k")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as a Parquet table in the shared checkpoint folder: computed once, read back column by column."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

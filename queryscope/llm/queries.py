@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from queryscope.llm import decontaminate, langid, lattice, minhash, mixing, ngram, packing, quality, sharding, tokencount, url_filter
+from queryscope.llm import decontaminate, langid, lattice, minhash, mixing, ngram, packing, quality, repair, sharding, tokencount, trie, url_filter
 from queryscope.llm.common import fold, prepare
 from queryscope.session import cut
 
@@ -177,3 +177,93 @@ FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source
 @query("op12_source_mixing", OP12_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
+
+
+def sql_crc32(text: str) -> str:
+    """crc32 of an ASCII text in DuckDB: one byte, then eight shifts (-1), folded over a list."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [CAST(ascii(substr({text}, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold_ = "lambda x, e: CASE WHEN e >= 0 THEN xor(x, e) ELSE xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), {fold_}), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS pos,
+  md5(length(role) || ':' || role || text) AS d, CAST(length(text) AS BIGINT) AS n
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {sql_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS head FROM t),
+r AS (SELECT c.conv_id, 0 AS own, pos, d, n FROM c JOIN t ON t.conv_id = c.base AND pos < head UNION ALL SELECT t.conv_id, 1, pos, d, n FROM t JOIN c USING (conv_id) WHERE pos >= head),
+q AS (SELECT conv_id, list(d ORDER BY own, pos) AS d, list(n ORDER BY own, pos) AS n FROM r GROUP BY conv_id),
+a AS (SELECT conv_id, coalesce(d, []) AS d, coalesce(n, []) AS n FROM c LEFT JOIN q USING (conv_id)),
+m AS (SELECT conv_id, k AS depth, len(d) = k AS ends, md5(array_to_string(d[1:k], ',')) AS node, md5(array_to_string(d[1:k - 1], ',')) AS up, CASE WHEN k > 0 THEN n[k] ELSE 0 END AS n
+      FROM (SELECT *, unnest(range(0, len(d) + 1)) AS k FROM a)),
+v AS (SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS w,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM m GROUP BY node, depth),
+kids AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM v WHERE depth > 0 GROUP BY up, depth),
+x AS (SELECT v.*, coalesce(kids.n, 0) AS n_children FROM v LEFT JOIN kids ON kids.up = v.node AND kids.depth = v.depth),
+sub AS (SELECT p.node, p.depth, sum(x.w) AS saved, count(*) FILTER (WHERE x.n_children = 0) AS leaves
+        FROM x JOIN m own ON own.conv_id = x.conv_id AND own.depth = x.depth JOIN m p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY p.node, p.depth)
+SELECT x.conv_id, CAST(x.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(x.ids) AS ends_sha256
+FROM x JOIN sub ON sub.node = x.node AND sub.depth = x.depth LEFT JOIN v p ON p.node = x.up AND p.depth = x.depth - 1
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations start with the first 0 to 5 turns of their hundred's first one."""
+    turns = trie.turns_of(table(spark, folder, "conversations"))
+    turns, sizes = trie.rebuilt(turns, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6, F.col("conv_id") - F.col("conv_id") % 100, 5)
+    parts = trie.segments(turns, sizes)
+    return trie.with_end_digests(trie.nodes(parts), parts).drop("n_ends", "end")
+
+
+def sql_repair() -> str:
+    """A recursive walk over the turns with four states of the role pattern; a state is its cost in 12 digits and its audit."""
+    plus = lambda x, cost, edits: f"printf('%012d', CAST(substr({x}, 1, 12) AS BIGINT) + {cost}) || substr({x}, 13) || '{edits}'"
+    u_, a_ = (f"least(u, {plus('z', 3, 'I')}, {plus('s', 3, 'I')}, {plus('a', 3, 'I')})", f"least(a, {plus('u', 3, 'I')}, {plus('z', 6, 'II')}, {plus('s', 6, 'II')})")
+    take = lambda x, role: (
+        f"CASE WHEN NOT must_go THEN CASE WHEN ini = '{role}' THEN " + plus(x, "extra", "K") + " ELSE " + plus(x, "(3 + extra)", "R") + " END END"
+    )
+    return rf"""
+WITH RECURSIVE e AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+f AS (SELECT *, {sql_crc32("k")} % 20 AS d FROM e),
+g AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+        CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS c FROM f WHERE d <> 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text), c) AS pos FROM g),
+i AS (SELECT *, substr(role, 1, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' END AS fault FROM h),
+turns AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS must_go, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra,
+        lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini NOT IN ('su', 'ua', 'au') AS illegal FROM i),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+        count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal,
+        max(pos) AS size FROM turns GROUP BY conv_id),
+walk AS (SELECT conv_id, 0 AS pos, '000000000000' AS z, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM n
+  UNION ALL
+  SELECT w.conv_id, t.pos, {plus("z", 4, "D")},
+    least({plus("s", 4, "D")}, CASE WHEN NOT must_go AND ini = 's' THEN {plus("z", "extra", "K")} END),
+    least({plus("u", 4, "D")}, {take("z", "u")}, {take("s", "u")}, {take("a", "u")}),
+    least({plus("a", 4, "D")}, {take("u", "a")})
+  FROM (SELECT conv_id, pos, z, s, {u_} AS u, {a_} AS a FROM walk) w JOIN turns t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.pos = w.pos + 1),
+best AS (SELECT w.conv_id, least(z, {a_}) AS x FROM walk w JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.size = w.pos),
+edits AS (SELECT conv_id, x, j, substr(x, 12 + j, 1) AS edit FROM (SELECT conv_id, x, unnest(range(1, length(x) - 11)) AS j FROM best)),
+placed AS (SELECT *, count(*) FILTER (WHERE edit <> 'I') OVER w AS pos, count(*) FILTER (WHERE edit <> 'D') OVER w AS o FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+named AS (SELECT p.conv_id, j, o, edit, t.role, t.ini, CASE WHEN edit = 'I' THEN '' ELSE t.text END AS text,
+        max(CASE WHEN o = 1 AND edit = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS sys
+      FROM placed p LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.pos = p.pos WHERE edit <> 'D'),
+made AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS sha FROM named GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(CAST(substr(x, 1, 12) AS BIGINT), 0) AS BIGINT) AS cost,
+  coalesce(substr(x, 13), '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN made m ON m.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op13_conversation_repair", sql_repair())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return repair.summary(repair.repair(repair.damage(rows)), rows)
