@@ -42,12 +42,14 @@ def source_weights(sizes: DataFrame, weights: Sequence[int]) -> DataFrame:
 
 def fill(sources: DataFrame, epochs: int) -> DataFrame:
     """Adds ``clamped``, ``level`` and ``share``: an open source's target is ``level * weight / share``, a clamped one's ``epochs`` sizes."""
-    total, share, clamped = sources.agg(F.sum(F.col("source_size").cast(BIG)), F.sum(F.col("weight").cast(BIG)), F.lit(0)).first()
-    level = total
+    total, share = (int(x or 0) for x in sources.agg(F.sum(F.col("source_size").cast(BIG)), F.sum(F.col("weight").cast(BIG))).first())
+    level, clamped = total, 0
+
+    def number(x) -> Column:
+        return F.lit(int(x)).cast(BIG)
 
     def above() -> Column:
-        lit = lambda x: F.lit(int(x)).cast(BIG)
-        return lit(epochs) * F.col("source_size") * lit(share) < lit(level) * F.col("weight")
+        return number(epochs) * F.col("source_size") * number(share) < number(level) * F.col("weight")
 
     while share:
         full = F.when(above(), F.col("source_size").cast(BIG) * epochs)
@@ -55,7 +57,7 @@ def fill(sources: DataFrame, epochs: int) -> DataFrame:
         if count == clamped:
             break
         level, share, clamped = total - used, rest, count
-    return sources.select("*", above().alias("clamped"), F.lit(int(level or 0)).cast(BIG).alias("level"), F.lit(int(share or 1)).cast(BIG).alias("share"))
+    return sources.select("*", above().alias("clamped"), number(level).alias("level"), number(share or 1).alias("share"))
 
 
 def mix(

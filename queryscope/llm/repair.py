@@ -225,7 +225,7 @@ def _whole(rows: list[tuple]) -> dict:
     return {**counts, "gaps": _gaps([r[0] for r in rows]), "illegal": _illegal([r[4] for r in rows]), "cost": total + cost, "audit": audit, "turns": [{"role": r, "text": t} for r, t in repaired]}
 
 
-def _first_pass(schema: pa.Schema):
+def _first_pass(schema: pa.Schema, part_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -264,7 +264,7 @@ def _first_pass(schema: pa.Schema):
                 for r in rows[at : at + n]:
                     held.append(r)
                     size += len(r[2])
-                    if len(held) >= PART_ROWS or size >= PART_BYTES:
+                    if len(held) >= part_rows or size >= PART_BYTES:
                         give(held, False)
                         held, part, edge, size = [], part + 1, True, 0
                         yield flush()
@@ -276,10 +276,10 @@ def _first_pass(schema: pa.Schema):
     return run
 
 
-def _part_table(found: DataFrame) -> DataFrame:
+def _part_table(found: DataFrame, part_rows: int) -> DataFrame:
     """Turns of the conversations that were cut, with ``dup``: whether an equal turn stands earlier."""
     parts = found.where("i IS NOT NULL").select("conv", "part", "i", *[F.col(f"t_{n}").alias(n) for n in TURN])
-    place = F.col("part").cast("decimal(19,0)") * PART_ROWS + F.col("i")  # parts carry their task's number in the high bits
+    place = F.col("part").cast("decimal(19,0)") * part_rows + F.col("i")  # parts carry their task's number in the high bits
     narrow = parts.select("conv", "digest", "part", "i", place.cast("decimal(38,0)").alias("at"))
     first = narrow.groupBy(F.col("conv").alias("_c"), F.col("digest").alias("_d")).agg(F.min("at").alias("_first"))
     later = narrow.join(first, narrow["conv"].eqNullSafe(first["_c"]) & (narrow["digest"] == first["_d"])).where("at > _first")
@@ -352,7 +352,7 @@ def _repair_part(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([row])
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Per part of a conversation: conv_id, part (ascending), parts, audit and repaired turns of the part; gaps, blank, duplicate,
     truncated, illegal and cost of the whole conversation stand on every part. Nearly all conversations have one part."""
     kind, turn = type_of(rows, "conv_id"), type_of(rows, "turn")
@@ -364,10 +364,10 @@ def repair(rows: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    found = stored(_ordered(rows).mapInArrow(_first_pass(to_arrow_schema(StructType.fromDDL(schema))), schema))
+    found = stored(_ordered(rows).mapInArrow(_first_pass(to_arrow_schema(StructType.fromDDL(schema)), part_rows), schema))
     whole = found.where("i IS NULL").select("conv", "part", F.lit(1).cast("bigint").alias("parts"), *NUMBERS, "audit", "turns")
 
-    parts = stored(_part_table(found))
+    parts = stored(_part_table(found, part_rows))
     by_part = parts.select("conv", "part", "i", "initial", "blank", "cut", "dup").groupBy("conv", "part")
     moves = by_part.applyInPandas(
         _transfers, f"conv {kind}, part bigint, moves string, first string, last string, blank bigint, duplicate bigint, truncated bigint, illegal bigint"

@@ -7,7 +7,7 @@ chain of nodes with the same members. A component carries its node's members, le
 
 Sequences are range-partitioned. A block's forest is contracted to the nodes on the paths of its first and last sequence, which
 may go on in the neighbouring blocks; every other node is final and leaves. Contracted forests are merged across the
-boundaries by the same union-find, in a tree of ``FAN`` forests each, so the largest task holds one block or FAN paths.
+boundaries by the same union-find, in a tree of ``FAN`` forests each, so the largest task holds one block or the paths of FAN blocks.
 A long conversation is cut into segments of ``SEGMENT`` turns; a segment hangs at the node that its prefix leads to, and what
 lies below that node is summed beforehand by doubling over the tree of such nodes. Copies collapse before the sort. So
 neither a common first turn, nor a conversation with a third of all copies, nor one with very many turns meets in one task.
@@ -81,12 +81,12 @@ def _segment_sums(seg: Column, key: Column) -> list[Column]:
     return [F.conv(F.substring(F.md5(text), at, 10), 16, 10).cast("bigint") for at in (1, 11)]
 
 
-def segments(turns: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(conv_id, seg, a1, a2, key, lens, ends): the digests of up to SEGMENT turns and the node they hang at."""
-    cut_ = turns.withColumn("seg", F.floor(F.col("q") / SEGMENT).cast("bigint"))
+def segments(turns: DataFrame, sizes: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(conv_id, seg, a1, a2, key, lens, ends): the digests of up to ``segment`` turns and the node they hang at."""
+    cut_ = turns.withColumn("seg", F.floor(F.col("q") / segment).cast("bigint"))
     parts = cut_.groupBy("conv_id", "seg", "size").agg(F.array_sort(F.collect_list(F.struct("q", F.hex("digest").alias("d"), "length"))).alias("t"))
     parts = parts.select(
-        "conv_id", "seg", F.unhex(F.array_join(F.col("t.d"), "")).alias("key"), F.col("t.length").alias("lens"), (F.col("size") <= (F.col("seg") + 1) * SEGMENT).alias("ends")
+        "conv_id", "seg", F.unhex(F.array_join(F.col("t.d"), "")).alias("key"), F.col("t.length").alias("lens"), (F.col("size") <= (F.col("seg") + 1) * segment).alias("ends")
     )
     bare = sizes.where("size = 0").select(
         "conv_id", F.lit(0).cast("bigint").alias("seg"), F.lit(b"").alias("key"), F.array().cast("array<bigint>").alias("lens"), F.lit(True).alias("ends")
@@ -269,10 +269,10 @@ def _open_rows(paths: list[Path], task: int) -> list[dict]:
 
 
 def _path_of(row: dict) -> Path:
-    return Path(row["anchor"], bytes(row["key"]), row["lens"], [(d, Node(*v[:-1], tuple(v[-1]))) for d, v in json.loads(row["hung"])])
+    return Path(row["anchor"], bytes(row["key"]), [int(x) for x in row["lens"]], [(d, Node(*v[:-1], tuple(v[-1]))) for d, v in json.loads(row["hung"])])
 
 
-def _blocks(schema: pa.Schema):
+def _blocks(schema: pa.Schema, block_rows: int):
     """Forests of a task's sorted sequences: block by block, each merged with the contracted forest before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +284,7 @@ def _blocks(schema: pa.Schema):
                 node = Node(r["n"], r["least"], r["kids"], r["leaves"], r["saved"], r["n_ends"], r["end"], (r["next"],) if r["next"] else ())
                 block.append(Path(r["anchor"], r["key"], r["lens"], [(len(r["key"]) // DIGEST, node)]))
                 size += len(r["key"])
-                if len(block) >= BLOCK_ROWS or size >= BLOCK_BYTES:
+                if len(block) >= block_rows or size >= BLOCK_BYTES:
                     chains, state = grow([*state, *block], True)
                     block, size = [], 0
                     yield pa.RecordBatch.from_pylist(chains, schema)
@@ -296,18 +296,18 @@ def _blocks(schema: pa.Schema):
     return run
 
 
-def _merge(columns: list[str], last: bool):
+def _merge(columns: list[str], fan: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["task", "place"])
         paths = [_path_of(r) for r in pdf[["anchor", "key", "lens", "hung"]].to_dict("records")]
         chains, state = grow(paths, not last)
-        rows = chains + _open_rows(state, int(pdf["task"].iloc[0]) // FAN)
+        rows = chains + _open_rows(state, int(pdf["task"].iloc[0]) // fan)
         return pd.DataFrame(rows).reindex(columns=columns).astype(object).where(lambda x: x.notna(), None) if rows else pd.DataFrame(columns=columns)
 
     return run
 
 
-def forest(rows: DataFrame) -> DataFrame:
+def forest(rows: DataFrame, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """All chains of the sequences' tries; the forests of the tasks are merged in a tree."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -315,14 +315,14 @@ def forest(rows: DataFrame) -> DataFrame:
     columns = StructType.fromDDL(FOREST).fieldNames()
     order = [*ANCHOR, "key"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = stored(rows.mapInArrow(_blocks(to_arrow_schema(StructType.fromDDL(FOREST))), FOREST))
+    found = stored(rows.mapInArrow(_blocks(to_arrow_schema(StructType.fromDDL(FOREST)), block_rows), FOREST))
     tasks = found.agg(F.max("task")).first()[0]
     out = []
     while tasks is not None:
         out.append(found.where("hung IS NULL"))
-        group = F.floor(F.col("task") / FAN).alias("_group")
-        found = stored(found.where("hung IS NOT NULL").groupBy(group).applyInPandas(_merge(columns, tasks < FAN), FOREST))
-        tasks = tasks // FAN if tasks >= FAN else None
+        group = F.floor(F.col("task") / fan).alias("_group")
+        found = stored(found.where("hung IS NOT NULL").groupBy(group).applyInPandas(_merge(columns, fan, tasks < fan), FOREST))
+        tasks = tasks // fan if tasks >= fan else None
     out.append(found.where("hung IS NULL"))
     chains = out[0]
     for more in out[1:]:
@@ -330,14 +330,14 @@ def forest(rows: DataFrame) -> DataFrame:
     return chains.select(*StructType.fromDDL(CHAIN).fieldNames())
 
 
-def below_anchors(rows: DataFrame) -> DataFrame:
+def below_anchors(rows: DataFrame, **sizes: int) -> DataFrame:
     """(next, kids, leaves, saved) of the nodes that segments hang at, with all later segments below them.
 
     A first run of the forests gives the sums of each anchor's own segment; sums over the tree of anchors are then taken by
     doubling: after k rounds an anchor has the sums of all anchors less than 2^k below it and knows the one 2^k above.
     """
-    plain = rows.select("*", F.lit(1).alias("kids"), F.lit(0).alias("leaves"), F.lit(0).alias("saved"))
-    own = forest(plain).where("high = 0 AND NOT startswith(anchor, '0:')")
+    plain = rows.select("*", F.col("next").isNotNull().cast("int").alias("kids"), F.lit(0).alias("leaves"), F.lit(0).alias("saved"))
+    own = forest(plain, **sizes).where("high = 0 AND NOT startswith(anchor, '0:')")
     own = own.select("anchor", F.col("n_children").alias("kids"), F.col("n_leaves").alias("leaves"), F.col("saved")[0].alias("saved"))
     above = rows.where("next IS NOT NULL").select(F.col("next").alias("_n"), F.when(~F.startswith("anchor", F.lit("0:")), F.col("anchor")).alias("up"))
     tree = stored(own.join(above, own["anchor"] == above["_n"]).drop("_n"))
@@ -350,20 +350,20 @@ def below_anchors(rows: DataFrame) -> DataFrame:
     return tree.select(F.col("anchor").alias("_n"), "kids", "leaves", "saved")
 
 
-def nodes(parts: DataFrame) -> DataFrame:
+def nodes(parts: DataFrame, segment: int = SEGMENT, **sizes: int) -> DataFrame:
     """One row per node: conv_id (least member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, n_ends and end
     (number and least id of the conversations that end there)."""
     rows = stored(sequences(parts))
     if rows.where("next IS NOT NULL").isEmpty():
         rows = rows.select("*", *[F.lit(0).alias(n) for n in ("kids", "leaves", "saved")])
     else:
-        below = below_anchors(rows)
+        below = below_anchors(rows, **sizes)
         rows = rows.join(below, rows["next"] == below["_n"], "left").drop("_n").fillna(0, ["kids", "leaves", "saved"])
-    chains = stored(forest(rows))
+    chains = stored(forest(rows, **sizes))
     named = chains.select(F.explode("refs").alias("_r"), F.col("conv_id").alias("_p"))
     apart = chains.where("parent_ref IS NOT NULL").join(named, F.col("parent_ref") == F.col("_r"))
     chains = chains.where("parent_ref IS NULL").unionByName(apart.withColumn("parent_conv_id", F.col("_p")).drop("_r", "_p"))
-    start = F.split_part("anchor", F.lit(":"), F.lit(1)).cast("bigint") * SEGMENT
+    start = F.split_part("anchor", F.lit(":"), F.lit(1)).cast("bigint") * segment
     each = chains.where("high > 0 OR startswith(anchor, '0:')").select("*", start.alias("start"), F.posexplode("saved").alias("k", "saved_tokens"))
     bottom = F.col("low") + F.col("k") == F.col("high")
     return each.select(
@@ -382,7 +382,7 @@ def nodes(parts: DataFrame) -> DataFrame:
 # --- digests of members -------------------------------------------------------------------------------------------------
 
 
-def _id_texts(schema: pa.Schema):
+def _id_texts(schema: pa.Schema, piece: int):
     """Joined ids of the groups of a task's sorted (group, id) rows: digests of groups that lie within, pieces of those at its borders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,7 +408,7 @@ def _id_texts(schema: pa.Schema):
             for _, conv in group:
                 least = conv if least is None else least
                 ids.append(conv)
-                if len(ids) == PIECE:
+                if len(ids) == piece:
                     give(node, least, k, ids, False)
                     k, ids = k + 1, []
                     yield pa.RecordBatch.from_pylist(out, schema)
@@ -437,7 +437,7 @@ def _id_digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{"end": least, "sha": sha.hexdigest()}], pa.schema([("end", pa.int64()), ("sha", pa.string())]))
 
 
-def end_digests(parts: DataFrame) -> DataFrame:
+def end_digests(parts: DataFrame, piece: int = PIECE) -> DataFrame:
     """(end, sha): per node with several ending conversations the least of them and SHA-256 of all, ascending and comma-joined."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -445,14 +445,14 @@ def end_digests(parts: DataFrame) -> DataFrame:
     node = F.unhex(F.md5(F.concat(_anchor(*map(F.col, ANCHOR)), F.lit("/"), F.hex("key")).cast("binary")))
     rows = parts.where("ends").select(node.alias("node"), "conv_id").repartitionByRange("node", "conv_id").sortWithinPartitions("node", "conv_id")
     schema = "node binary, task int, k int, end bigint, ids string, sha string"
-    found = stored(rows.mapInArrow(_id_texts(to_arrow_schema(StructType.fromDDL(schema))), schema))
+    found = stored(rows.mapInArrow(_id_texts(to_arrow_schema(StructType.fromDDL(schema)), piece), schema))
     pieces = found.where("sha IS NULL").repartition("node").sortWithinPartitions("node", "task", "k")
     return found.where("sha IS NOT NULL").select("end", "sha").unionByName(pieces.mapInArrow(_id_digests, "end bigint, sha string"))
 
 
-def with_end_digests(tree: DataFrame, parts: DataFrame) -> DataFrame:
+def with_end_digests(tree: DataFrame, parts: DataFrame, piece: int = PIECE) -> DataFrame:
     """The nodes with ``ends_sha256``; a single id is digested in place."""
-    many = end_digests(parts).select(F.col("end").alias("_e"), "sha")
+    many = end_digests(parts, piece).select(F.col("end").alias("_e"), "sha")
     out = tree.join(many, F.col("end") == F.col("_e"), "left")
     one = F.sha2(F.coalesce(F.col("end").cast("string"), F.lit("")).cast("binary"), 256)
     return out.withColumn("ends_sha256", F.when(F.col("n_ends") > 1, F.col("sha")).otherwise(one)).drop("_e", "sha")

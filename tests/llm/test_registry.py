@@ -5,12 +5,12 @@ import duckdb
 import __spark_entry__ as E
 
 SMALL = "/root/testdata/sf0.001"
-TABLES = ["documents", "embeddings", "pages", "benchmark", "labels"]
+TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def test_names():
     names = [n for n in E.queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
-    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_native_plan(spark):
@@ -22,7 +22,7 @@ def test_oracles(spark):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
-    for name in ("op4_lattice_dedup", "op5_decontaminate", "op8_minhash_dedup"):
+    for name in ("op4_lattice_dedup", "op5_decontaminate", "op8_minhash_dedup", "op11_prefix_trie", "op12_source_mixing", "op13_conversation_repair"):
         frame = E.queries()[name](spark, SMALL)
         cursor = con.execute(E.oracle_sql()[name])
         names = [c[0] for c in cursor.description]
