@@ -12,7 +12,14 @@ from queryscope.functions.words import DIALECTS
 HASH_COMMENTS = ["bigquery", "mysql"]
 BACKSLASH_ESCAPES = ["bigquery", "mysql", "snowflake", "spark"]
 DOLLAR_STRINGS = ["duckdb", "postgres", "redshift", "snowflake"]
+TAGGED_DOLLARS = ["duckdb", "postgres", "redshift"]
 TRIPLE_QUOTES = ["bigquery"]
+#: string prefixes: raw text where a backslash still guards a quote, raw text without any escape, text with escapes
+RAW_PREFIX = {"bigquery": "(?:[rR][bB]?|[bB][rR]?)"}
+BARE_RAW_PREFIX = {"spark": "[rR]"}
+ESCAPE_PREFIX = {"duckdb": "[eE]", "postgres": "[eE]", "redshift": "[eE]"}
+#: quotes with a delimiter of one's own: brackets in pairs, any other sign twice
+DELIMITED_QUOTES = ["oracle"]
 
 _BLANKS = " \t\r\n\f\u000b"
 
@@ -20,7 +27,8 @@ _BLANKS = " \t\r\n\f\u000b"
 def token_rx(dialect: str, possessive: bool = True) -> str:
     """One token with the white space before it; earlier alternatives win.
 
-    Possessive quantifiers keep Java's matcher iterative on very long strings; other engines take the plain form.
+    Possessive quantifiers keep Java's matcher iterative on very long strings; other engines take the plain form, which has
+    no back-references either and so no delimiters of one's own.
     """
     many = "*+" if possessive else "*"
     escape = r"|\\[\s\S]" if dialect in BACKSLASH_ESCAPES else ""
@@ -30,9 +38,20 @@ def token_rx(dialect: str, possessive: bool = True) -> str:
         parts.append(r"#[^\n]*")
     if dialect in DOLLAR_STRINGS:
         parts.append(r"\$\$[\s\S]*?\$\$")
+    if dialect in TAGGED_DOLLARS and possessive:
+        parts.append(r"\$(?<tag>[\p{L}_][\p{L}\p{N}_]*)\$[\s\S]*?\$\k<tag>\$")
+    if dialect in DELIMITED_QUOTES:
+        pairs = [r"\[[\s\S]*?\]", r"\{[\s\S]*?\}", r"\([\s\S]*?\)", r"<[\s\S]*?>"]
+        own = [r"(?<sign>[^\s\[{(<'])[\s\S]*?\k<sign>"] if possessive else []
+        parts.append(f"[nN]?[qQ]'(?:{'|'.join(pairs + own)})'")
+    if dialect in BARE_RAW_PREFIX:
+        parts += [f"{BARE_RAW_PREFIX[dialect]}'[^']*'", f'{BARE_RAW_PREFIX[dialect]}"[^"]*"']
+    if dialect in ESCAPE_PREFIX:
+        parts.append(rf"{ESCAPE_PREFIX[dialect]}'(?:[^'\\]|''|\\[\s\S]){many}'")
+    prefix = f"{RAW_PREFIX[dialect]}?" if dialect in RAW_PREFIX else ""
     if dialect in TRIPLE_QUOTES:
-        parts += [r"\'\'\'[\s\S]*?\'\'\'", r'"""[\s\S]*?"""']
-    parts += [f"'{inside(chr(39))}'", f'"{inside(chr(34))}"', r"`[^`]*`"]
+        parts += [prefix + r"\'\'\'[\s\S]*?\'\'\'", prefix + r'"""[\s\S]*?"""']
+    parts += [f"{prefix}'{inside(chr(39))}'", f'{prefix}"{inside(chr(34))}"', r"`[^`]*`"]
     parts += [
         r"[\p{L}_][\p{L}\p{N}_$]*",
         r"0[xX][0-9A-Fa-f]+",

@@ -22,7 +22,7 @@ STARTERS = [
 #: further words a statement may start with
 OTHER_STARTERS = [
     "values", "from", "call", "use", "describe", "desc", "begin", "commit", "rollback", "analyze", "cache",
-    "refresh", "declare", "pragma", "copy", "load", "comment", "attach", "detach", "exec", "execute", "replace",
+    "refresh", "declare", "pragma", "copy", "load", "comment", "attach", "detach", "exec", "execute", "replace", "end",
 ]
 
 #: reserved words: never a column, table or alias name

@@ -91,6 +91,7 @@ def check_texts(
         F.when(valid, c("statement_count")).alias("statement_count"),
         F.when(~valid, F.coalesce(c("kind"), F.lit("empty statement"))).alias("error"),
         F.when(~valid, c("line")).alias("error_line"),
+        F.when(~valid, F.expr("length(substring_index(substring(sql, 1, at), '\\n', -1)) + 1")).alias("error_column"),
         *([c("hint")] if with_hints else []),
     )
 

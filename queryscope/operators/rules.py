@@ -324,15 +324,11 @@ STARTER_RX = r"^\s*([A-Za-z_]+)"
 def validity(texts: DataFrame) -> DataFrame:
     """tid, valid, kind, line, adj, statement_count, form (printed on one line).
 
-    A stand-in for a grammar check, from token neighbours only.
+    A stand-in for a grammar check: the automaton of ``plans.grammar`` and token neighbours.
     """
-    w = "PARTITION BY tid ORDER BY pos"
-    t = T.token_table(texts).where("kind <> 'comment'").selectExpr(
-        "tid", "dialect", "pos", "line", "u", "kind", "text",
-        f"lag(u) OVER ({w}) AS p1", f"lag(kind) OVER ({w}) AS pk1", f"lag(text) OVER ({w}) AS pt1", f"lead(u) OVER ({w}) AS n1",
-        f"sum(CASE u WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER ({w} ROWS UNBOUNDED PRECEDING) AS bal",
-    )
-    fault = f"{T.fault_case('bal')} AS fault"
+    facts = ["pos", "line", "u", "kind", "text", "p1", "pk1", "pt1", "n1", "fault", "depth"]
+    t = T.fact_table(texts, facts).withColumn("bal", F.expr("depth + if(u = '(', 1, 0)"))
+    fault = f"{T.fault_case('bal')} AS broken"
     content = "('word', 'num', 'str')"
     adjacent = f"""kind IN {content} AND (coalesce(pk1 IN {content}, false) OR coalesce(p1 = ')', false))
       AND NOT (kind = 'word' AND coalesce(pk1 = 'word', false)) AS adjacent"""
@@ -341,7 +337,7 @@ def validity(texts: DataFrame) -> DataFrame:
         t,
         ["tid"],
         [
-            "min(CASE WHEN fault IS NOT NULL THEN named_struct('pos', pos, 'kind', fault, 'line', line) END) AS f",
+            "min(CASE WHEN broken IS NOT NULL THEN named_struct('pos', pos, 'kind', broken, 'line', line) END) AS f",
             "max_by(struct(bal, line), pos) AS z",
             "CAST(count_if(u <> ';' AND coalesce(p1, ';') = ';') AS INT) AS statement_count",
             f"{T.printed(chr(117) + ' <> ' + chr(39) + ';' + chr(39))} AS form",
@@ -464,7 +460,7 @@ def _hits(rules: dict[str, tuple[str, str, str]]) -> str:
 
 
 def text_results(st: DataFrame, titles: Sequence[str] | None = None) -> DataFrame:
-    """tid, hits (one per title, from the first statement that fires), valid, kind, line, statement_count.
+    """tid, hits (one per title, from the first statement that fires), valid, kind, line, at (offset of the fault), statement_count.
 
     One row per text from one aggregate over its statements: findings and validity come from the same token pass.
     """
@@ -486,6 +482,7 @@ def text_results(st: DataFrame, titles: Sequence[str] | None = None) -> DataFram
         "f IS NULL AND z.bal = 0 AS valid",
         f"if({open_}, 'unbalanced parentheses', f.kind) AS kind",
         f"if({open_}, z.line, f.line) AS line",
+        f"if({open_}, z.at, f.at) AS at",
         "statement_count",
     )
 

@@ -1,33 +1,29 @@
 """From SQL texts to token and fact tables.
 
 Everything after ``distinct_texts`` is partitioned by the text id ``tid``: the
-dedupe aggregate is the only shuffle, and every window and group-by below uses
-keys that begin with ``tid``. A window partition is one text, whatever its length;
-no text is refused.
-
-Two running windows replace a tree walk:
-* the innermost open parenthesis of a token is the last "first token after an
-  opening parenthesis" at its depth (``frame``);
-* the same trick on the count of open sub-selects gives the enclosing SELECT
-  (``scope``), and the last clause keyword in that scope gives ``clause``.
+dedupe aggregate is the only shuffle, and every group-by below uses keys that
+begin with ``tid``. No text is refused for its length.
+
+A tree walk is a fold over the tokens of a text with an explicit stack
+(``plans.fold``, ``plans.grammar``): one pass in Arrow batches gives frames, scopes,
+clauses, segments and grammar faults, without a window or a sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from queryscope.functions import words as K
 from queryscope.functions.text import HASH_COMMENTS, bare, strip_jinja, tokens
+from queryscope.plans.fold import COLUMNS, facts_of
 
 JOIN_WORDS = ["LEFT", "RIGHT", "FULL", "INNER", "CROSS", "OUTER", "NATURAL", "SEMI", "ANTI", "JOIN"]
 JOIN_SIDES = [j.lower() for j in JOIN_WORDS if j != "JOIN"]
-SET_OPS = ["UNION", "INTERSECT", "EXCEPT", "MINUS"]
-FROM_LIKE = ["FROM", "JOIN", "ON", "USING", "COMMA"]
 EXPR_CLAUSES = ["SELECT", "WHERE", "ON", "GROUP", "HAVING", "QUALIFY", "ORDER", "SET", "LIMIT", "VALUES"]
 SOURCE_CLAUSES = ["FROM", "JOIN", "COMMA", "UPDATE", "MERGE", "MERGESRC"]
-LIST_CLAUSES = ["SELECT", "GROUP", "ORDER", "SET", "VALUES", "WITH"]
 AND_CLAUSES = ["WHERE", "ON", "HAVING", "QUALIFY"]
 
 
@@ -56,26 +52,57 @@ def distinct_texts(log: DataFrame, partitions: int | None = None) -> DataFrame:
     return texts.repartition(partitions, "tid") if partitions else texts
 
 
+def kind_of(x: str) -> str:
+    """Class of a token from its upper-case text ``x.u``; ``dialect`` is the text's."""
+    u = f"{x}u"
+    return rf"""CASE
+      WHEN {u} LIKE '--%' OR {u} LIKE '/*%' OR (length({u}) > 0 AND left({u}, 1) = '#' AND dialect IN {_in_list(HASH_COMMENTS)}) THEN 'comment'
+      WHEN length({u}) > 1 AND left({u}, 1) IN ('@', '$') THEN 'str'
+      WHEN length({u}) > 1 AND left({u}, 1) = '\'' THEN 'str'
+      WHEN length({u}) > 1 AND left({u}, 1) = '"' THEN if(dialect IN {_in_list(K.DOUBLE_QUOTE_STRINGS)}, 'str', 'quoted')
+      WHEN length({u}) > 1 AND left({u}, 1) = '`' THEN 'quoted'
+      WHEN left({u}, 1) BETWEEN 'A' AND 'Z' AND right({u}, 1) IN ('\'', '"') THEN 'str'
+      WHEN left({u}, 1) BETWEEN '0' AND '9' THEN 'num'
+      WHEN {u} RLIKE r'^[\p{{L}}_]' THEN if({u} IN {_in_list(K.KEYWORDS)}, 'kw', 'word')
+      ELSE 'op' END"""
+
+
+def _breaks(x: str) -> str:
+    return f"(length({x}) - length(replace({x}, '\\n', '')))"
+
+
 def token_table(texts: DataFrame) -> DataFrame:
     """tid, pos, line, raw (with leading white space), text, u (upper case), kind; comments included."""
     t = texts.select("tid", "dialect", F.posexplode(tokens(F.col("sql"), F.col("dialect"))).alias("pos", "raw"))
     t = t.withColumn("text", bare(F.col("raw")))
     t = t.selectExpr("*", "if(text = '==', '=', upper(text)) AS u")
-    hashes = _in_list(HASH_COMMENTS)
-    strings = _in_list(K.DOUBLE_QUOTE_STRINGS)
-    kind = rf"""CASE
-      WHEN u LIKE '--%' OR u LIKE '/*%' OR (length(u) > 0 AND left(u, 1) = '#' AND dialect IN {hashes}) THEN 'comment'
-      WHEN length(u) > 1 AND left(u, 1) IN ('@', '$') THEN 'str'
-      WHEN length(u) > 1 AND left(u, 1) = '\'' THEN 'str'
-      WHEN length(u) > 1 AND left(u, 1) = '"' THEN if(dialect IN {strings}, 'str', 'quoted')
-      WHEN length(u) > 1 AND left(u, 1) = '`' THEN 'quoted'
-      WHEN left(u, 1) BETWEEN '0' AND '9' THEN 'num'
-      WHEN u RLIKE r'^[\p{{L}}_]' THEN if(u IN {_in_list(K.KEYWORDS)}, 'kw', 'word')
-      ELSE 'op' END AS kind"""
-    breaks = lambda x: f"(length({x}) - length(replace({x}, '\\n', '')))"
     upto = "PARTITION BY tid ORDER BY pos ROWS UNBOUNDED PRECEDING"
-    line = f"CAST(sum({breaks('raw')}) OVER ({upto}) - {breaks('text')} + 1 AS INT) AS line"
-    return t.selectExpr("tid", "dialect", "pos", "raw", "text", "u", kind, line)
+    line = f"CAST(sum({_breaks('raw')}) OVER ({upto}) - {_breaks('text')} + 1 AS INT) AS line"
+    return t.selectExpr("tid", "dialect", "pos", "raw", "text", "u", f"{kind_of('')} AS kind", line)
+
+
+def fact_table(texts: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """tid, dialect and the ``wanted`` facts (``plans.fold.COLUMNS``) of every token but comments, from one walk over each text.
+
+    A text is one row until its facts are exploded, so the partitioning by ``tid`` stays and nothing is sorted.
+    """
+    wanted = list(wanted)
+    row = ", ".join(f"{k}:array<{COLUMNS[k]}>" for k in wanted)
+
+    @F.arrow_udf(f"struct<{row}>")
+    def walk(toks: pa.Array, dialect: pa.Array) -> pa.Array:
+        return facts_of(toks, dialect, wanted)
+
+    t = texts.select("tid", "dialect", tokens(F.col("sql"), F.col("dialect")).alias("raws"))
+    t = t.withColumn("cut", F.transform("raws", lambda r: F.struct(r.alias("raw"), bare(r).alias("text"))))
+    t = t.selectExpr("tid", "dialect", "transform(cut, c -> struct(c.raw AS raw, c.text AS text, if(c.text = '==', '=', upper(c.text)) AS u)) AS cut")
+    t = t.selectExpr("tid", "dialect", f"transform(cut, c -> struct(c.raw AS raw, c.text AS text, c.u AS u, {kind_of('c.')} AS kind)) AS cut")
+    parts = f"""struct(c.text AS text, c.u AS u, c.kind AS kind, {name_of('c.')} AS name, {_breaks('c.raw')} AS breaks, {_breaks('c.text')} AS inner,
+      length(c.raw) - length(c.text) AS lead, length(c.text) AS width)"""
+    t = t.select("tid", "dialect", walk(F.expr(f"transform(cut, c -> {parts})"), "dialect").alias("facts"))
+    # arrays side by side: each row reads its own entry of each, no struct per token is built
+    t = t.select("tid", "dialect", "facts", F.posexplode("facts.pos").alias("_i", "_pos"))
+    return t.selectExpr("tid", "dialect", *[f"get(facts.{k}, _i) AS {k}" for k in wanted])
 
 
 def comments(texts: DataFrame) -> DataFrame:
@@ -90,149 +117,22 @@ def _in_list(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-NAME = "CASE kind WHEN 'word' THEN text WHEN 'quoted' THEN substring_index(substring(text, 2, length(text) - 2), '.', -1) END"
-
+def name_of(x: str) -> str:
+    """What a word or quoted token names."""
+    return f"CASE {x}kind WHEN 'word' THEN {x}text WHEN 'quoted' THEN substring_index(substring({x}text, 2, length({x}text) - 2), '.', -1) END"
 
-def scoped_tokens(texts: DataFrame) -> DataFrame:
-    """Tokens (comments dropped, positions dense) with frame, scope, clause, arm, segment and name facts."""
-    aggs, sets = _in_list(K.AGGREGATES), _in_list(SET_OPS)
-    upto, prior = "ROWS UNBOUNDED PRECEDING", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
-    w = "PARTITION BY tid ORDER BY pos"
-
-    def run(cond: str, part: str, rows: str) -> str:
-        """Rows so far that satisfy a condition."""
-        return f"count_if({cond}) OVER ({part} {rows})"
-
-    def last(cond: str, value: str, part: str, rows: str) -> str:
-        return f"last(CASE WHEN {cond} THEN {value} END, true) OVER ({part} {rows})"
-
-    # neighbours, statement number and parenthesis depth
-    t = token_table(texts).where("kind <> 'comment'").selectExpr(
-        "tid", "dialect", "line", "text", "u", "kind",
-        f"row_number() OVER ({w}) AS rn",
-        f"lag(u, 1) OVER ({w}) AS p1",
-        f"lag(u, 2) OVER ({w}) AS p2",
-        f"lead(u, 1) OVER ({w}) AS n1",
-        f"lead(u, 2) OVER ({w}) AS n2",
-        f"lag(kind, 1) OVER ({w}) AS pk1",
-        f"{run('u = ' + repr(';'), w, prior)} AS stmt",
-        f"{run('u = ' + repr('('), w, prior)} - {run('u = ' + repr(')'), w, upto)} AS depth",
-    ).withColumnRenamed("rn", "pos")
-
-    # frames: what each parenthesis opens, and which one each token sits in
-    t = t.selectExpr(
-        "*",
-        f"""CASE WHEN u = '(' THEN CASE
-          WHEN n1 IN ('SELECT', 'WITH') THEN 'select' WHEN p1 = 'OVER' THEN 'over' WHEN p1 = 'FILTER' THEN 'filter'
-          WHEN p1 IN {aggs} THEN 'agg' WHEN pk1 = 'word' OR p1 IN ('LEFT', 'RIGHT', 'REPLACE') THEN 'func' ELSE 'group' END END AS okind""",
-        "p1 = '(' AND u <> ')' AS inner_first",
-        f"""CASE WHEN u IN ('SELECT', 'WITH') THEN 'select' WHEN p2 = 'OVER' THEN 'over' WHEN p2 = 'FILTER' THEN 'filter'
-          WHEN p2 IN {aggs} THEN 'agg' ELSE 'other' END AS ikind""",
-        "-(stmt + 1) AS root",
-    )
-    wd = "PARTITION BY tid, depth ORDER BY pos"
-    opened = "named_struct('at', pos, 'kind', okind, 'fn', p1, 'before', p2)"
-    t = t.selectExpr(
-        "*",
-        f"CASE WHEN depth <= 0 THEN root ELSE {last('inner_first', 'pos', wd, upto)} END AS frame",
-        f"CASE WHEN depth <= 0 THEN 'root' ELSE {last('inner_first', 'ikind', wd, upto)} END AS fkind",
-        f"CASE WHEN u = ')' THEN {last('okind IS NOT NULL', opened, wd, prior)} END AS m",
-    ).drop("ikind")
 
-    # nesting inside aggregates, OVER, FILTER and sub-selects
-    t = t.selectExpr(
-        "*",
-        *[
-            f"{run(f'okind = {k!r}', w, prior)} - {run(f'm.kind = {k!r}', w, upto)} AS in_{k}"
-            for k in ("agg", "over", "filter", "select")
-        ],
-    )
+#: facts that ``scoped_tokens`` builds on
+WALKED = list(COLUMNS)
 
-    # scope: the enclosing SELECT
-    ws = "PARTITION BY tid, in_select ORDER BY pos"
-    opens = "inner_first AND u IN ('SELECT', 'WITH')"
-    t = t.selectExpr("*", f"CASE WHEN in_select <= 0 THEN root ELSE {last(opens, 'pos', ws, upto)} END AS scope")
-    t = t.drop("root", "inner_first").selectExpr("*", "frame = scope AS direct", "coalesce(p1, ';') AS q1")
 
-    # clause keywords, seen only directly in the scope
-    joins = _in_list(JOIN_WORDS)
-    prefixes = _in_list([j for j in JOIN_WORDS if j != "JOIN"])
-    join_start = f"(u = 'JOIN' OR (u IN {prefixes} AND (n1 IN {joins} OR n1 = 'LATERAL'))) AND q1 NOT IN {joins}"
-    t = t.selectExpr(
-        "*",
-        f"""CASE WHEN direct THEN CASE
-          WHEN {join_start} THEN 'JOIN'
-          WHEN u = 'FROM' AND q1 <> 'DISTINCT' THEN 'FROM'
-          WHEN u = 'ON' AND q1 <> 'DISTINCT' THEN 'ON'
-          WHEN u = 'USING' THEN if(n1 = '(', 'USING', 'MERGESRC')
-          WHEN u IN ('GROUP', 'ORDER') AND n1 = 'BY' THEN u
-          WHEN u = 'OFFSET' AND q1 <> '[' THEN 'OFFSET'
-          WHEN u = 'FETCH' AND n1 IN ('FIRST', 'NEXT') THEN 'LIMIT'
-          WHEN u = 'WITH' AND q1 IN (';', '(', 'AS', 'EXPLAIN') THEN 'WITH'
-          WHEN u IN {sets} AND NOT (u = 'EXCEPT' AND coalesce(n1, '') = '(' AND coalesce(n2, '') <> 'SELECT') THEN 'SETOP'
-          WHEN u = 'INTO' AND q1 IN ('INSERT', 'OVERWRITE', 'IGNORE', 'REPLACE') AND coalesce(n1, '') <> 'TABLE' THEN 'INTO'
-          WHEN u = 'TABLE' AND q1 IN ('INTO', 'OVERWRITE') THEN 'INTO'
-          WHEN u = 'OVERWRITE' AND q1 = 'INSERT' AND coalesce(n1, '') NOT IN ('INTO', 'TABLE') THEN 'INTO'
-          WHEN u = 'INSERT' AND q1 IN (';', ')', 'EXPLAIN') AND coalesce(n1, '') NOT IN ('INTO', 'OVERWRITE', 'IGNORE', 'OR', 'ALL', 'FIRST') THEN 'INTO'
-          WHEN u IN ('UPDATE', 'DELETE') AND q1 IN (';', 'EXPLAIN', ')') THEN u
-          WHEN u = 'MERGE' AND q1 IN (';', 'EXPLAIN') THEN 'MERGE'
-          WHEN u = 'WHEN' AND n1 IN ('MATCHED', 'NOT') AND n2 IN ('THEN', 'MATCHED', 'AND', 'BY') THEN 'MERGEWHEN'
-          WHEN u IN ('SELECT', 'WHERE', 'HAVING', 'QUALIFY', 'LIMIT', 'SET', 'VALUES', 'RETURNING') THEN u
-        END END AS ckw""",
-    )
-    wc = "PARTITION BY tid, scope ORDER BY pos"
-    t = t.selectExpr(
-        "*",
-        f"last(ckw, true) OVER ({wc} {upto}) AS clause0",
-        f"{last('ckw = ' + repr('SETOP'), 'named_struct(' + repr('u') + ', u, ' + repr('n1') + ', n1)', wc, prior)} AS prev_setop",
-        f"{run('ckw = ' + repr('SETOP'), wc, upto)} AS n_setop",
-        f"{run('ckw = ' + repr('SELECT'), wc, upto)} AS arm0",
-        f"{run('direct AND u = ' + repr('CASE'), wc, upto)} - {run('direct AND u = ' + repr('END'), wc, upto)} AS cases",
-        f"{last('direct AND u IN (' + repr('BETWEEN') + ', ' + repr('AND') + ')', 'u', wc, prior)} AS prev_and",
-    )
-    t = t.selectExpr(
-        *[x for x in t.columns if x != "ckw"],
-        f"CASE WHEN direct AND u = ',' AND clause0 IN {_in_list(FROM_LIKE)} THEN 'COMMA' ELSE ckw END AS ckw",
-        f"""direct AND ((u = ',' AND clause0 IN {_in_list(LIST_CLAUSES)})
-          OR (u = 'AND' AND clause0 IN {_in_list(AND_CLAUSES)} AND cases = 0 AND coalesce(prev_and, '') <> 'BETWEEN')) AS item_brk""",
-    )
-    t = t.selectExpr("*", "ckw IS NOT NULL OR coalesce(item_brk, false) AS brk").drop("item_brk", "clause0", "prev_and")
-    srcs = _in_list(["FROM", "JOIN", "COMMA", "UPDATE", "MERGE", "MERGESRC", "INTO"])
-    t = t.selectExpr(
-        "*",
-        f"coalesce(last(ckw, true) OVER ({wc} {upto}), 'HEAD') AS clause",
-        f"{run('brk', wc, upto)} AS seg",
-        f"{run(f'ckw IN {srcs}', wc, upto)} AS src_no",
-    )
+def scoped_tokens(texts: DataFrame) -> DataFrame:
+    """Tokens (comments dropped, positions dense) with frame, scope, clause, arm, segment, name and grammar facts."""
+    t = fact_table(texts, WALKED)
     t = t.selectExpr(
         "*",
+        "coalesce(p1, ';') AS q1",
         "CASE WHEN n_setop > 0 AND clause IN ('ORDER', 'LIMIT', 'OFFSET') THEN 0 ELSE arm0 END AS arm",
-        f"{NAME} AS name",
-    )
-
-    # back in text order: the clause around each sub-select, and the wider neighbourhood
-    def around(clause: str) -> str:
-        return (
-            f"{run(f'okind = {chr(39)}select{chr(39)} AND clause = {clause!r}', w, prior)}"
-            f" - {run(f'm.kind = {chr(39)}select{chr(39)} AND clause = {clause!r}', w, upto)}"
-        )
-
-    in_exists = (
-        f"{run('okind = ' + repr('select') + ' AND p1 = ' + repr('EXISTS'), w, prior)}"
-        f" - {run('m.kind = ' + repr('select') + ' AND m.fn = ' + repr('EXISTS'), w, upto)}"
-    )
-    t = t.selectExpr(
-        "*",
-        *[f"lag(u, {i}) OVER ({w}) AS p{i}" for i in (3, 4, 5)],
-        f"lead(kind, 1) OVER ({w}) AS nk1",
-        f"lead(text, 1) OVER ({w}) AS nt1",
-        f"lag(text, 1) OVER ({w}) AS pt1",
-        f"lag(name, 2) OVER ({w}) AS name2",
-        f"lag(name, 4) OVER ({w}) AS name4",
-        f"{around('WHERE')} AS sub_where",
-        f"{around('SELECT')} AS sub_select",
-        f"{in_exists} AS in_exists",
-        f"{last('scope < 0', 'seg', w, upto)} AS rseg",
     )
 
     # names: sources, aliases, columns and calls
@@ -333,7 +233,7 @@ def root_items(tok: DataFrame) -> DataFrame:
 
 
 def fault_case(balance: str) -> str:
-    """What a token and its neighbours show to be broken; ``balance``: open parentheses after the token."""
+    """What a token and its neighbours show to be broken, else the automaton's fault; ``balance``: open parentheses after the token."""
     starts = ", ".join(f"'{s.upper()}'" for s in K.STARTERS + K.OTHER_STARTERS)
     clause_words = "'WHERE', 'GROUP', 'HAVING', 'LIMIT', 'ORDER', ';'"
     return f"""CASE
@@ -349,7 +249,8 @@ def fault_case(balance: str) -> str:
       WHEN u = 'ORDER' AND coalesce(n1, '') NOT IN ('BY', 'SIBLINGS') AND coalesce(p1, '') <> '.' THEN 'ORDER without BY'
       WHEN u = '{{' AND n1 IN ('{{', '%', '#') THEN 'template text'
       WHEN kind = 'op' AND u IN ('\\'', '"', '`') THEN 'unterminated quote'
-      WHEN {balance} < 0 THEN 'unbalanced parentheses' END"""
+      WHEN {balance} < 0 THEN 'unbalanced parentheses'
+      ELSE fault END"""
 
 
 #: rules decided by a token and its neighbours
@@ -454,8 +355,8 @@ def segments(tok: DataFrame) -> DataFrame:
             ),
             *[any_(cond, "t_" + rule) for rule, cond in TOKEN_FLAGS.items()],
             *[f"min(CASE WHEN {cond} THEN named_struct('pos', pos, 'x', {v}) END) AS d_{rule}" for rule, (cond, v) in TOKEN_DETAILS.items()],
-            f"min(CASE WHEN ({fault_case('depth')}) IS NOT NULL THEN named_struct('pos', pos, 'kind', {fault_case('depth')}, 'line', line) END) AS v_fault",
-            "max(named_struct('pos', pos, 'bal', depth + if(u = '(', 1, 0), 'line', line)) AS v_last",
+            f"min(CASE WHEN ({fault_case('depth')}) IS NOT NULL THEN named_struct('pos', pos, 'kind', {fault_case('depth')}, 'line', line, 'at', at) END) AS v_fault",
+            "max(named_struct('pos', pos, 'bal', depth + if(u = '(', 1, 0), 'line', line, 'at', at)) AS v_last",
             "count_if(u <> ';' AND coalesce(p1, ';') = ';') AS v_starts",
             "count_if(u = 'CASE') AS n_case",
             "count_if(u = 'ELSE') AS n_else",

@@ -22,6 +22,8 @@ def tune(spark: SparkSession) -> SparkSession:
         "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
         # no Python call-site capture for each of the many column expressions
         "spark.sql.dataFrameQueryContext.enabled": "false",
+        # texts go to Python in batches of bounded size, however long they are
+        "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
         # merge activity sessions map-side before the key shuffle
         "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     }.items():

@@ -77,7 +77,7 @@ def _ddl_statements(ddl: DataFrame, default_dialect: str) -> DataFrame:
     keyed = ddl.select("ddl_id", "sql", dialect.alias("dialect"))
     # shuffle the texts, not their tokens
     tok = T.token_table(keyed.withColumn("tid", F.col("ddl_id")).repartition("tid")).where("kind <> 'comment'")
-    tok = tok.withColumn("name", F.expr(T.NAME))
+    tok = tok.withColumn("name", F.expr(T.name_of("")))
     w = W.partitionBy("tid").orderBy("pos")
     prior, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
     one = lambda cond: F.when(cond, 1).otherwise(0)
