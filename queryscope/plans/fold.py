@@ -99,7 +99,7 @@ FACTS = {
     "stmt": pa.int64(), "depth": pa.int64(), "okind": pa.string(), "frame": pa.int64(), "fkind": pa.string(), "m_at": pa.int32(), "in_agg": pa.int64(),
     "in_over": pa.int64(), "in_filter": pa.int64(), "in_select": pa.int64(), "scope": pa.int64(), "direct": pa.bool_(), "ckw": pa.string(), "setop_at": pa.int32(),
     "n_setop": pa.int64(), "arm0": pa.int64(), "cases": pa.int64(), "brk": pa.bool_(), "clause": pa.string(), "seg": pa.int64(), "src_no": pa.int64(),
-    "sub_where": pa.int64(), "sub_select": pa.int64(), "in_exists": pa.int64(), "rseg": pa.int64(),
+    "sub_where": pa.int64(), "sub_select": pa.int64(), "in_exists": pa.int64(), "rseg": pa.int64(), "up": pa.int64(),
 }
 
 
@@ -114,6 +114,7 @@ def fold(u: list[str], kind: list[str]) -> list[tuple]:
     level = {"agg": 0, "over": 0, "filter": 0, "select": 0, "func": 0, "group": 0}
     selects: dict[int, int] = {}  # number of open sub-selects -> position of the last one's first token
     scopes: dict[int, Scope] = {}
+    scope = None
     for i in range(size):
         x = u[i]
         p1 = u[i - 1] if i else None
@@ -135,8 +136,10 @@ def fold(u: list[str], kind: list[str]) -> list[tuple]:
             if m:
                 level[m[1]] -= 1
         in_select = level["select"]
+        up = None
         if inner and x in ("SELECT", "WITH"):
             selects[in_select] = i + 1
+            up = scope  # that of the parenthesis
         scope = root if in_select <= 0 else selects.get(in_select)
         direct = frame == scope
         s = scopes.get(scope)
@@ -182,7 +185,7 @@ def fold(u: list[str], kind: list[str]) -> list[tuple]:
             rseg = s.seg
         out.append((
             stmt, depth, okind, frame, fkind, m[0] if m else None, level["agg"], level["over"], level["filter"], in_select, scope, direct, word, setop,
-            s.n_setop, s.arm, s.cases, brk, clause, s.seg, s.src_no, sub_where, sub_select, in_exists, rseg,
+            s.n_setop, s.arm, s.cases, brk, clause, s.seg, s.src_no, sub_where, sub_select, in_exists, rseg, up,
         ))
         if x == "(":
             opened[depth] = (i + 1, okind, p1)

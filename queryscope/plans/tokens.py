@@ -313,6 +313,7 @@ def segments(tok: DataFrame) -> DataFrame:
             "max(CASE WHEN is_salias THEN name END) AS src_alias",
             *[any_(f"direct AND clause = 'JOIN' AND u = '{k.upper()}'", f"j_{k}") for k in JOIN_SIDES],
             "max(CASE WHEN pos = scope THEN coalesce(p2, '') END) AS opener",
+            "max(up) AS up",
             any_("pos = scope AND name2 IS NOT NULL", "fn_opener"),
             "max(CASE WHEN pos = scope THEN sub_select END) AS sub_select",
             any_("in_exists > 0", "in_exists"),

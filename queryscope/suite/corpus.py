@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from queryscope.functions import scalars as S
 from queryscope.functions.text import TAGGED_DOLLARS, canonical_sql, strip_jinja, token_rx
 from queryscope.functions.words import DIALECTS, FIXABLE, SEVERITY_WEIGHT, TITLES
-from queryscope.operators import compare as C, findings as FI, fixes as X, rules as R, usage as U
+from queryscope.operators import compare as C, findings as FI, fixes as X, lineage as L, rules as R, usage as U
 from queryscope.operators.results import full_results
 from queryscope.plans import tokens as T
 from queryscope.plans.fixtures import query_log
@@ -803,3 +803,47 @@ def _(t):
     a = query_log(t.orders, ["SELECT a.x, b.y FROM a JOIN b ON a.id = b.id WHERE a.k = {n}", "SELECT * FROM t WHERE k = {n}", "SELECT a FROM t WHERE k = {n}"])
     b = query_log(t.orders, ["SELECT a.x, b.y FROM a JOIN b WHERE a.k = {n}", "SELECT * FROM t WHERE k = {n} ORDER BY a", "SELECT * FROM t WHERE k = {n}"])
     return X.no_new_findings(a, b)
+
+
+# ---- names through sub-selects -------------------------------------------------
+
+_LEVELS = {"cte": 0, "derived": 1, "star": 2, "rename": 3, "exists": 4, "wrong": 5}
+
+
+def _level(name: str) -> str:
+    return f"(o_orderkey // 7) % {2 << _LEVELS[name]} >= {1 << _LEVELS[name]}"
+
+
+def _nested_log(t, wrong: bool):
+    """One text per order: bits of its key say how the orders are wrapped, and whether an outer name exists below."""
+    bit = lambda name: F.expr(_level(name).replace("(o_orderkey // 7)", "floor(o_orderkey / 7)"))
+    renamed = bit("rename") & ~bit("star")
+    key = F.when(renamed, "k").otherwise("o_orderkey")
+    inner = F.when(bit("star"), "SELECT * FROM orders o").when(renamed, "SELECT o.o_orderkey AS k, o.o_custkey, o.o_totalprice + 1 AS p FROM orders o")
+    inner = inner.otherwise("SELECT o_orderkey, o_custkey, o_totalprice * 2 AS p FROM orders")
+    name = F.when(bit("wrong"), "nothing").otherwise(key) if wrong else key
+    head = F.when(bit("cte"), F.concat(F.lit("WITH c AS ("), inner, F.lit(") "))).otherwise("")
+    source = (
+        F.when(bit("cte") & bit("derived"), "(SELECT * FROM c) d").when(bit("cte"), "c d").otherwise(F.concat(F.lit("("), inner, F.lit(") d")))
+    )
+    test = F.when(bit("exists"), " AND EXISTS (SELECT 1 FROM customer cu WHERE cu.c_custkey = d.o_custkey)").otherwise("")
+    sql = F.concat(head, F.lit("SELECT d."), name, F.lit(" AS x FROM "), source, F.lit(" WHERE d.o_custkey = "), F.col("o_custkey").cast("string"), test, F.lit(" ORDER BY x"))
+    return t.orders.select(F.col("o_orderkey").alias("query_id"), F.lit("duckdb").alias("dialect"), sql.alias("sql"))
+
+
+_SHOP = [("orders", c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")] + [("customer", "c_custkey"), ("customer", "c_name")]
+_ALL = ",".join(sorted(c for n, c in _SHOP if n == "orders"))
+
+
+@query(
+    "k06_lineage",
+    f"""SELECT o_orderkey AS query_id, 'orders' AS table_name, CASE WHEN {_level("star")} THEN '{_ALL}' ELSE 'o_custkey,o_orderkey,o_totalprice' END AS columns FROM orders
+ UNION ALL SELECT o_orderkey, 'customer', 'c_custkey' FROM orders WHERE {_level("exists")}""",
+)
+def _(t):
+    return L.lineage(_nested_log(t, False), t.spark.createDataFrame(_SHOP, "table_name string, column_name string"))
+
+
+@query("l37_nested_columns", f"SELECT o_orderkey AS query_id, 'd.nothing' AS name FROM orders WHERE {_level('wrong')}")
+def _(t):
+    return L.unknown_names(_nested_log(t, True), t.spark.createDataFrame(_SHOP, "table_name string, column_name string"))

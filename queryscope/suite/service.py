@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from queryscope.functions import scalars as S
 from queryscope.operators.findings import lint_findings
 from queryscope.plans.fixtures import api_keys, query_log
-from queryscope.streaming import service as R
+from queryscope.streaming import live as V, service as R
 from queryscope.suite.golden import GOLDEN
 from queryscope.suite.registry import query
 from queryscope.suite.sqltext import expect_sql, log_sql
@@ -153,3 +153,82 @@ def _(t):
 def _(t):
     d = R.sessions(t.events, "user_id", "ts")
     return d.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("session_start", "session_end")], "hits")
+
+
+# ---- streams with state, in three batches -----------------------------------------
+
+#: batch of an event: its third of the month, one in ten of them a batch late
+_THIRD = "least(2, (day(ts) - 1) {} 10 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END)"
+_LATE = "CAST(date_trunc('millisecond', max(ts)) AS TIMESTAMP)"
+
+
+def _in_batches(t, name: str, arrive, third: str = _THIRD.format("div")):
+    """Let ``arrive`` take in three files of events, one after another; the stream and its state go on where they stood."""
+    folder = R.scratch(t.spark, name)
+    for k in range(3):
+        t.events.where(F.expr(third) == k).coalesce(1).write.mode("append").parquet(folder + "/in")
+        stream = t.spark.readStream.schema(t.events.schema).parquet(folder + "/in")
+        out = arrive(stream, folder, k)
+    return out
+
+
+@query(
+    "r01_throttle_live",
+    _LIMITER.replace("SELECT event_id, user_id, accepted FROM w", "SELECT event_id, user_id, accepted FROM w JOIN events USING (event_id, user_id)")
+    + f" WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000 <= (SELECT epoch_us({_LATE}) // 1000 - 12 * 86400000 FROM events)",
+)
+def _(t):
+    """Hits that arrive up to twelve days late are judged in their order; the last twelve days are not judged yet."""
+    live = lambda s, folder, k: R.drain(V.throttle_live(s, "user_id", "ts", "event_id", 3, 86400, "12 days", 3600), folder)
+    return _in_batches(t, "live", live).select("event_id", "user_id", "accepted")
+
+
+@query(
+    "r03_split_live",
+    f"""SELECT event_id, user_id, coalesce(live.expires_at >= ts, false) AS bypass FROM (SELECT *, {_THIRD.format("//")} AS batch FROM events) e
+ LEFT JOIN (SELECT c_custkey AS owner, TIMESTAMP '2024-01-01' + to_days(CAST(c_custkey % 40 AS INTEGER)) AS expires_at FROM customer WHERE c_custkey % 7 <> 0) live
+ ON owner = user_id AND (batch < 2 OR owner % 3 <> 0)""",
+)
+def _(t):
+    """Keys expire day by day, and before the last batch a third of them is withdrawn."""
+    keys = t.customer.where("c_custkey % 7 <> 0").select(
+        F.col("c_custkey").alias("owner"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval((F.col("c_custkey") % 40).cast("int"))).alias("expires_at")
+    )
+
+    def live(stream, folder, k):
+        keys.where("owner % 3 <> 0" if k == 2 else "true").write.mode("overwrite").parquet(folder + "/keys")
+        V.split_live(stream, lambda spark: spark.read.parquet(folder + "/keys"), "user_id", "ts", folder)
+        return t.spark.read.parquet(folder + "/out")
+
+    return _in_batches(t, "split", live).select("event_id", "user_id", "bypass")
+
+
+@query(
+    "r08_history_live",
+    """SELECT event_id AS query_id, event_type AS sql, value AS score FROM events
+ QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1""",
+)
+def _(t):
+    """The latest event of each user and type, as files arrive in any order; each file brings a repeated delivery."""
+
+    def live(stream, folder, k):
+        checks = stream.select(F.col("event_id").alias("query_id"), F.col("event_type").alias("sql"), F.col("user_id").cast("string").alias("dialect"), "ts", F.col("value").alias("score"))
+        V.history_live(checks.unionByName(checks.where("query_id % 5 = 0")), folder, late="40 days")
+        table = t.spark.createDataFrame([], checks.schema)
+        return V.history_table(t.spark, folder, table.schema)
+
+    return _in_batches(t, "history", live).select("query_id", "sql", "score")
+
+
+@query(
+    "r12_sessions_stream",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts > lag(ts) OVER w + INTERVAL 30 MINUTE THEN 1 ELSE 0 END n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) g FROM e)
+ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, count(*) AS hits FROM s GROUP BY user_id, g
+ HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 12 DAY""",
+)
+def _(t):
+    """Sessions grow over batches in the state store and leave it once the watermark has passed their end."""
+    live = lambda s, folder, k: R.drain(R.sessions(s, "user_id", "ts", late="12 days"), folder)
+    d = _in_batches(t, "sessions", live)
+    return d.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), "hits")
