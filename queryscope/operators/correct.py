@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from queryscope.plans.skew import frame_buckets, numbered, range_blocks, running
+from queryscope.plans.skew import frame_buckets, number_keys, numbered, range_blocks, running, with_numbers
 
 N = "*"
 OPS = (">", "<", "!=")
@@ -155,26 +155,39 @@ def _sort(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
 
 
-def page(df: DataFrame, order: Sequence[tuple[str, bool]], tiebreak: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
-    """A page that is the same on every run: total order, then offset and limit."""
-    d = df.orderBy(*_sort(order), *tiebreak)
-    return (d.offset(offset) if offset else d).limit(limit)
+#: rows up to which a page is taken from the sorted head of the table
+HEAD_ROWS = 100_000
+
+
+def page(df: DataFrame, order: Sequence[tuple[str, bool]], tiebreak: Sequence[str], limit: int, offset: int = 0, head_rows: int = HEAD_ROWS) -> DataFrame:
+    """A page that is the same on every run: total order, then offset and limit.
+
+    A deep page is found by rank: keys alone are range-partitioned and counted, and only the rows that the page holds are
+    fetched and sorted. No task reads ``limit + offset`` rows.
+    """
+    total = [*order, *[(c, True) for c in tiebreak]]
+    if limit + offset <= head_rows:
+        d = df.orderBy(*_sort(total))
+        return (d.offset(offset) if offset else d).limit(limit)
+    ranked = number_keys(df, [], total, "_rank").where((F.col("_rank") > offset) & (F.col("_rank") <= offset + limit))
+    rows = with_numbers(df, ranked, "_rank", few=limit <= head_rows)
+    return rows.orderBy("_rank").drop("_rank")
 
 
 def ordered_window(
     df: DataFrame, part: Sequence[str], order: Sequence[tuple[str, bool]], tiebreak: Sequence[str], value: str
 ) -> DataFrame:
     """row_number, lag and lead over a total order, for parts of any size."""
-    d = numbered(df, part, [*_sort(order), *[F.col(c).asc() for c in tiebreak]])
+    d = numbered(df, part, [*order, *[(c, True) for c in tiebreak]])
     d = frame_buckets(d, "rn", 1, 1)
     w = W.partitionBy(*part, "_bucket").orderBy("rn")
     d = d.withColumn("prev_value", F.lag(value).over(w)).withColumn("next_value", F.lead(value).over(w))
     return d.where("_own").drop("_bucket", "_own")
 
 
-def moving_sum(df: DataFrame, part: Sequence[str], order: Sequence[Column], value: str, n: int, out: str) -> DataFrame:
+def moving_sum(df: DataFrame, part: Sequence[str], order: Sequence[str], value: str, n: int, out: str) -> DataFrame:
     """``sum(value) OVER (PARTITION BY part ORDER BY order ROWS n PRECEDING)`` for parts of any size."""
-    d = frame_buckets(numbered(df, part, order), "rn", n, 0)
+    d = frame_buckets(numbered(df, part, [(c, True) for c in order]), "rn", n, 0)
     w = W.partitionBy(*part, "_bucket").orderBy("rn").rowsBetween(-n, 0)
     return d.withColumn(out, F.sum(value).over(w)).where("_own").drop("_bucket", "_own", "rn")
 

@@ -62,7 +62,7 @@ def check_texts(
 
     An invalid text has no findings and no score; nothing suppresses its error.
     """
-    st = T.statements(T.scoped_tokens(texts))
+    st = T.statements(T.scoped_tokens(texts), R.demanded(titles))
     c = F.col
     j = texts.join(R.text_results(st, titles), "tid", "left")
     more = R.catalog_findings(st, catalog, titles) if catalog is not None else None
@@ -164,6 +164,21 @@ def finding_rollup(results: DataFrame, *keys: str) -> DataFrame:
     return cells.rollup(*keys).agg(F.sum("n").alias("findings"), F.grouping_id().cast("bigint").alias("grouping"))
 
 
+def finding_cube(results: DataFrame, *keys: str, person: str = "author") -> DataFrame:
+    """Findings by every combination of ``keys`` (CUBE): exact counts, and sketched numbers of distinct texts and people.
+
+    Cells are counted and sketched per key first; the cube then merges counts and HyperLogLog sketches of a few kB, so distinct
+    numbers need no second pass over the findings and no expansion of texts.
+    """
+    f = findings_of(results, "tid", person, *[k for k in keys if k not in ("title", "severity")])
+    sketch = lambda c: F.hll_sketch_agg(c, F.lit(14))
+    cells = f.groupBy(*keys).agg(F.count("*").alias("n"), sketch("tid").alias("t"), sketch(F.col(person).cast("string")).alias("p"))
+    size = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c))
+    return cells.cube(*keys).agg(
+        F.sum("n").alias("findings"), size("t").alias("texts"), size("p").alias("people"), F.grouping_id().cast("bigint").alias("grouping")
+    )
+
+
 def title_shares(results: DataFrame) -> DataFrame:
     """Per title: queries hit and their share of all valid queries."""
     results = cut(results.select("query_id", "valid", "findings"))  # read twice

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -450,6 +451,12 @@ def _chosen(titles: Sequence[str] | None) -> dict[str, tuple[str, str, str]]:
     return {t: r for t, r in rules.items() if titles is None or t in titles}
 
 
+def demanded(titles: Sequence[str] | None) -> list[str]:
+    """The segment facts that the rules asked for read."""
+    words = set(re.findall(r"\w+", " ".join(d for _, _, d in _chosen(titles).values())))
+    return [k for k in T.ON_DEMAND if k in words]
+
+
 def _hits(rules: dict[str, tuple[str, str, str]]) -> str:
     """Array of the rules that fire on a statement."""
     entries = [

@@ -12,9 +12,11 @@ the table of "keys that span several blocks" has at most ``2 * blocks`` rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from queryscope.session import cut
 
@@ -83,23 +85,102 @@ def running(
     )
 
 
-def numbered(df: DataFrame, part: Sequence[str], order: Sequence[Column], name: str = "rn") -> DataFrame:
-    """``row_number`` per ``part`` over a total ``order``, exact for hot parts."""
-    blocks = range_blocks(df, [*part, *order])
-    local = blocks.withColumn("_r", F.row_number().over(W.partitionBy(*part, BLK).orderBy(*order)))
-    sizes = blocks.groupBy(*part, BLK).agg(F.count(F.lit(1)).alias("_t"))
-    spread = W.partitionBy(*part)
-    sizes = (
-        sizes.withColumn("_n", F.count(F.lit(1)).over(spread))
-        .where("_n > 1")
-        .withColumn("_o", F.sum("_t").over(spread.orderBy(BLK).rowsBetween(W.unboundedPreceding, -1)))
-        .select(*part, BLK, "_o")
-    )
-    cond = [local[p].eqNullSafe(sizes[p]) for p in part] + [local[BLK] == sizes[BLK]]
-    return local.join(F.broadcast(sizes), cond, "left").select(
-        *[local[c] for c in df.columns],
-        (F.col("_r") + F.coalesce(F.col("_o"), F.lit(0))).cast("bigint").alias(name),
-    )
+def _changes(b: pa.RecordBatch, columns: Sequence[str], last: tuple | None) -> np.ndarray:
+    """Whether each row differs from the one before it in some column; ``last``: the values before the first row."""
+    new = np.zeros(b.num_rows, bool)
+    for c in columns:
+        codes = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    new[0] = last != tuple(b.column(c)[0].as_py() for c in columns)
+    return new
+
+
+def _since(new: np.ndarray, before: int) -> np.ndarray:
+    """Rows since the last change, 0-based; ``before``: rows of the first run that came earlier."""
+    at = np.arange(len(new))
+    start = np.maximum.accumulate(np.where(new, at, -before))
+    return at - start
+
+
+def _count_locally(part: Sequence[str], keys: Sequence[str]):
+    """For ``mapInArrow`` over sorted keys: block, place in the block's part, place among equal keys; then a total for the first
+    and the last part of the block (place among equals: -1), which may go on in other blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, rows, same = TaskContext.get().partitionId(), 0, 0
+        last_part = last_key = schema = None
+        ends: list[tuple[pa.RecordBatch, int]] = []  # first row and number of rows of the first and the last part
+
+        def out(b: pa.RecordBatch, k: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+            n = b.num_rows
+            extra = [pa.array(np.full(n, block, np.int32)), pa.array(k.astype(np.int64)), pa.array(d.astype(np.int64))]
+            return pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*b.schema.names, BLK, "_k", "_d"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = _changes(b, part, last_part)
+            k = _since(new, rows)
+            d = _since(new | _changes(b, keys, last_key), same)
+            yield out(b, k, d)
+            starts = np.flatnonzero(new)
+            if ends and not new[0]:
+                ends[-1] = (ends[-1][0], int(k[starts[0] - 1] if len(starts) else k[-1]) + 1)
+            for at, stop in [(starts[0], starts[1] if len(starts) > 1 else b.num_rows), (starts[-1], b.num_rows)] if len(starts) else []:
+                entry = (b.slice(at, 1), int(stop - at))
+                ends = [*ends[:1], entry]
+            rows, same = int(k[-1]) + 1, int(d[-1]) + 1
+            last_part, last_key = (tuple(b.column(c)[-1].as_py() for c in x) for x in (part, keys))
+        for b, n in ends:
+            yield out(b, np.array([n]), np.array([-1]))
+
+    return run
+
+
+def number_keys(df: DataFrame, part: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "rn") -> DataFrame:
+    """(part, order columns, ``_d``, name): ``row_number`` per ``part``, on keys alone; ``_d`` counts equal keys from 0.
+
+    Only keys are range-partitioned and checkpointed. A task counts its sorted keys; parts that span blocks are repaired from
+    at most two totals per block, the only thing broadcast.
+    """
+    keys = list(dict.fromkeys([*part, *[c for c, _ in order]]))
+    cols = [F.col(c).asc_nulls_first() for c in part] + [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
+    slim = df.select(*keys)
+    slim = slim.repartitionByRange(*cols).sortWithinPartitions(*cols)
+    schema = T.StructType([*slim.schema.fields, T.StructField(BLK, T.IntegerType()), T.StructField("_k", T.LongType()), T.StructField("_d", T.LongType())])
+    found = cut(slim.mapInArrow(_count_locally(list(part), keys), schema))
+    spread = W.partitionBy(*part) if part else W.partitionBy(F.lit(0))
+    ends = found.where("_d < 0").groupBy(*part, BLK).agg(F.max("_k").alias("_t"))
+    ends = ends.withColumn("_o", F.sum("_t").over(spread.orderBy(BLK).rowsBetween(W.unboundedPreceding, -1))).where("_o > 0")
+    ends = ends.select(*[F.col(c).alias("_p_" + c) for c in part], F.col(BLK).alias("_b"), "_o")
+    cond = [F.col(c).eqNullSafe(F.col("_p_" + c)) for c in part] + [F.col(BLK) == F.col("_b")]
+    rows = found.where("_d >= 0").join(F.broadcast(ends), cond, "left")
+    return rows.select(*keys, "_d", (F.col("_k") + F.lit(1) + F.coalesce("_o", F.lit(0))).cast("bigint").alias(name))
+
+
+def with_numbers(df: DataFrame, numbers: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """The rows of ``df`` that ``numbers`` (from ``number_keys``) names; rows with equal keys are told apart by their count.
+
+    ``few``: the caller has bounded ``numbers``, so it may be broadcast.
+    """
+    keys = [c for c in numbers.columns if c not in ("_d", name)]
+    named = numbers.select(*[F.col(c).alias("_n_" + c) for c in keys], F.col("_d").alias("_n_d"), name)
+    if few:  # drop what no number names before equal keys are counted
+        wanted = named.select(*["_n_" + c for c in keys]).distinct()
+        df = df.join(F.broadcast(wanted), [F.col(c).eqNullSafe(F.col("_n_" + c)) for c in keys], "left_semi")
+    rows = df.withColumn("_d", F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0))) - 1)
+    cond = [rows[c].eqNullSafe(named["_n_" + c]) for c in keys] + [rows["_d"] == named["_n_d"]]
+    return rows.join(named, cond).select(*[rows[c] for c in df.columns], name)
+
+
+def numbered(df: DataFrame, part: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "rn") -> DataFrame:
+    """``row_number`` per ``part`` over ``order`` (name, ascending), exact for hot parts; the payload is shuffled once and never written.
+
+    Rows that are equal in part and order are numbered in any order. With a total order each row meets its number by its key.
+    """
+    return with_numbers(df, number_keys(df, part, order, name), name)
 
 
 def frame_buckets(df: DataFrame, rn: str, before: int, after: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -374,13 +374,18 @@ def segments(tok: DataFrame) -> DataFrame:
     )
 
 
-def statements(tok: DataFrame) -> DataFrame:
-    """One row per statement: its SELECT arms (with their segments), columns, sources and flags."""
+#: facts of a segment that every statement carries, and those that only some rules read
+CARRIED = ["s", "clause", "seg", "src_no", "e", "src", "is_tab", "src_alias"]
+ON_DEMAND = ["c0", "n_core", "txt", "bare", "ordinal", "agg_item", "wrapped", "star", "alias", "over_cols", "ops", *[f"j_{k}" for k in JOIN_SIDES]]
+
+
+def statements(tok: DataFrame, demand: Sequence[str] = ON_DEMAND) -> DataFrame:
+    """One row per statement: its SELECT arms (with their segments), columns, sources and flags.
+
+    ``demand``: the segment facts of ``ON_DEMAND`` that are read; the optimizer cannot see into the list of segments.
+    """
     seg = segments(tok)
-    keep = [
-        "s", "clause", "seg", "src_no", "e", "c0", "n_core", "txt", "bare", "ordinal", "agg_item", "wrapped", "star",
-        "alias", "src", "is_tab", "src_alias", "over_cols", "ops", *[f"j_{k}" for k in JOIN_SIDES],
-    ]
+    keep = [*CARRIED, *[k for k in ON_DEMAND if k in demand]]
     lists = ["cols", "aggs", "wins", "wraps", "ranked", "over_orders", "ctes", "gaps"]
     carried = [
         *[f"flatten(collect_list({x})) AS {x}" for x in lists],

@@ -65,7 +65,7 @@ def throttle(
     its predecessor hands over has changed. A state is at most ``limit`` times.
     """
     window_us = window_s * 1_000_000
-    rows = numbered(df.withColumn("_us", _micros(ts)), [key], [F.col("_us"), F.col(tie)], "_rn")
+    rows = numbered(df.withColumn("_us", _micros(ts)), [key], [("_us", True), (tie, True)], "_rn")
     rows = cut(rows.withColumn("_blk", F.floor((F.col("_rn") - 1) / F.lit(block_rows))))
     kt = df.schema[key].dataType
     state_schema = T.StructType([T.StructField(key, kt), T.StructField("_blk", T.LongType()), T.StructField("_st", T.ArrayType(T.LongType()))])

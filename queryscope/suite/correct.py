@@ -129,6 +129,15 @@ def _(t):
     return C.page(t.orders, [("o_orderdate", False)], ["o_orderkey"], 50, 100).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query(
+    "c10_deep_page",
+    "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 40 OFFSET (SELECT count(*) * 9 // 10 FROM lineitem)",
+)
+def _(t):
+    rows = t.lineitem.count()
+    return C.page(t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice"), [("l_extendedprice", False)], ["l_orderkey", "l_linenumber"], 40, rows * 9 // 10, head_rows=0)
+
+
 @query(
     "c11_ordered_window",
     """SELECT o_orderkey, o_custkey, row_number() OVER w AS rn, lag(o_totalprice) OVER w AS prev_value, lead(o_totalprice) OVER w AS next_value
@@ -224,7 +233,7 @@ def _(t):
 )
 def _(t):
     e = t.events.select("event_id", "user_id", "ts", F.col("value").cast(M).alias("value"))
-    d = C.moving_sum(e, ["user_id"], [F.col("ts"), F.col("event_id")], "value", 6, "moving")
+    d = C.moving_sum(e, ["user_id"], ["ts", "event_id"], "value", 6, "moving")
     return d.select("event_id", "user_id", F.col("moving").cast("double").alias("moving"))
 
 
