@@ -140,8 +140,19 @@ def with_rank(rows: DataFrame, group: str, name: str, value: str | None = None,
     return joined.withColumn(name, (F.col("_k") + F.coalesce("_o", F.lit(0))).cast("bigint")).drop("_g", "_t", "_o", "_tid", "_k")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written as a Parquet table in the shared checkpoint folder: computed once, read back column by column."""
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written as a Parquet table in the shared checkpoint folder and read back column by column; and where they lie."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written as a Parquet table in the shared checkpoint folder: computed once, whatever executor is lost later."""
+    return kept(df)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a table of ``kept`` that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.session import cut
+from queryscope.llm.common import forget, kept
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,17 +24,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (u, v); component: its least reachable node.
 
-    Every round is written to the checkpoint folder; the rounds end when the stars no longer change, which a count and a
+    Every round is written to the checkpoint folder, and the round before it removed; the rounds end when the stars no longer change, which a count and a
     checksum of the edges show. Only those two numbers reach the driver. Least nodes are found by a partially aggregated
     group, so a node with very many neighbours meets only in an equi-join, which adaptive execution splits.
     """
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    spark, state = edges.sparkSession, None
+    edges, path = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
-        state = now
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
+        state, before = now, path
+        edges, path = kept(_small_star(_large_star(edges).distinct()).distinct())
+        forget(spark, before)
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import replace_columns, type_of
+from queryscope.llm.common import forget, kept, replace_columns, type_of
 from queryscope.llm.wordhash import NOT_ALNUM, Words, chained, mix, runs_inside, slices
 
 WINDOW = 10
@@ -193,11 +193,13 @@ def find_hits(
     """``keep`` columns of every row, n_words, hit_words (places of the words hit) and item_ids (as strings, sorted)."""
     spark = docs.sparkSession
     rows = docs.select(*dict.fromkeys([*keep, text_col]))
-    kept = rows.columns
-    fields = ", ".join(f"`{c}` {type_of(rows, c)}" for c in kept)
+    kept_columns = rows.columns
+    fields = ", ".join(f"`{c}` {type_of(rows, c)}" for c in kept_columns)
     schema = f"{fields}, _n bigint, _hit array<bigint>, _items array<string>"
-    first = True
-    for block in [*item_blocks(benchmark, item_id, item_text, block_windows)] or [[]]:
+    blocks = item_blocks(benchmark, item_id, item_text, block_windows)
+    block, first, path = next(blocks, []), True, None
+    while block is not None:
+        after = next(blocks, None)
         sent = spark.sparkContext.broadcast((build([t for _, t in block], window), [i for i, _ in block]))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, first=first) -> Iterator[pa.RecordBatch]:
@@ -209,10 +211,16 @@ def find_hits(
                     hit = _joined(b.column("_hit").to_pylist(), hit)
                     names = [[*a, *c] for a, c in zip(b.column("_items").to_pylist(), names)]
                 yield replace_columns(
-                    b, kept, _n=pa.array(n, pa.int64()), _hit=pa.array(hit, pa.list_(pa.int64())), _items=pa.array(names, pa.list_(pa.string()))
+                    b, kept_columns, _n=pa.array(n, pa.int64()), _hit=pa.array(hit, pa.list_(pa.int64())), _items=pa.array(names, pa.list_(pa.string()))
                 )
 
-        rows, first = rows.mapInArrow(run, schema), False
+        rows, first, block = rows.mapInArrow(run, schema), False, after
+        if after is not None:  # the next block needs the room: write what this one found, then let go of its patterns
+            before = path
+            rows, path = kept(rows)
+            sent.destroy()
+            if before:
+                forget(spark, before)
     return rows.select(
         *keep, F.col("_n").alias("n_words"), F.col("_hit").alias("hit_words"), F.array_sort(F.array_distinct("_items")).alias("item_ids")
     )

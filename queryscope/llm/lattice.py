@@ -139,13 +139,13 @@ def _met_before(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _links(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(row, links, root) from chunk pairs of cells: key, p, q, t, side, home, row, v."""
+    """(row, links, root) from chunk pairs of cells: key, p, q, t, side, home, row, v, w (vectors that the row stands for)."""
 
     def run(table: pa.Table) -> pa.Table:
         b = table.combine_chunks()
         t = b.column("t")[0].as_py()
         p, q = b.column("p")[0].as_py(), b.column("q")[0].as_py()
-        side, home, row = (b.column(c).to_numpy() for c in ("side", "home", "row"))
+        side, home, row, w = (b.column(c).to_numpy() for c in ("side", "home", "row", "w"))
         [(_, x)] = _units(b.column("v").combine_chunks())
         every = np.triu(np.ones((len(row), len(row)), bool), 1) if p == q else (side[:, None] == p) & (side[None, :] == q)
         i, j = np.nonzero(every & (x @ x.T >= threshold) & (home[:, None] | home[None, :]))
@@ -176,8 +176,8 @@ def _links(pairs: DataFrame, threshold: float) -> DataFrame:
                 before = cells(x, earlier)
                 fresh = ~_met_before(before[i], before[j])
                 i, j = i[fresh], j[fresh]
-            np.add.at(count, i, 1)
-            np.add.at(count, j, 1)
+            np.add.at(count, i, w[j])
+            np.add.at(count, j, w[i])
         some = np.flatnonzero((count > 0) | (local != np.arange(len(row))))
         return pa.table({"row": row[some], "links": count[some], "root": row[local[some]]})
 
@@ -197,18 +197,26 @@ def near_vectors(
     rows = cut(own.withColumn("row", F.monotonically_increasing_id()))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = rows.where(F.col("label").isNotNull() & (F.size("v") > 0) & finite & F.exists("v", lambda x: x != 0))
-    keys = cut(_keys(valid, "label"))
+    # equal vectors of a label are compared as one; each links with the others of its class and with all of the linked classes
+    mark = [F.xxhash64(F.lit(k), "label", "v").alias(f"h{k}") for k in (1, 2)]
+    marked = valid.select("row", "id", "label", "v", *mark)
+    heads = marked.groupBy("h1", "h2", "label", "v").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("w"))
+    heads = cut(heads.withColumn("row", F.monotonically_increasing_id()))
+    keys = cut(_keys(heads, "label"))
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any")).where("n > 1 and any").select("key", "n")
     members = keys.join(sizes, "key").withColumn("c", F.ceil(F.col("n") / CHUNK).cast("int"))
     members = members.withColumn("side", F.pmod(F.xxhash64("row"), F.col("c")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
     members = members.select("key", "t", "home", "row", F.least("side", "o").alias("p"), F.greatest("side", "o").alias("q"), "side")
-    found = cut(_links(members.join(valid.select("row", "v"), "row"), threshold))
-    ids = rows.select("row", "id")
-    links = found.groupBy("row").agg(F.sum("links").alias("n_links"))
+    found = cut(_links(members.join(heads.select("row", "v", "w"), "row"), threshold))
+    ids = heads.select("row", F.col("head").alias("id"))
+    links = found.groupBy("row").agg(F.sum("links").alias("_l"))
+    classes = heads.join(links, "row", "left").select("h1", "h2", "head", (F.coalesce("_l", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    placed = cut(marked.select("row", "id", "h1", "h2").join(classes, ["h1", "h2"]).select("row", "id", "head", "n_links"))
     edges = found.where("row <> root").select("row", "root").distinct()
     named = edges.join(ids, "row").select(F.col("id").alias("u"), F.col("root").alias("row")).join(ids, "row").select("u", F.col("id").alias("v"))
+    named = named.unionByName(placed.where("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v")))
     comps = connected(named)
-    out = rows.join(links, "row", "left").join(comps, rows["id"] == comps["node"], "left")
+    out = rows.join(placed.select("row", "n_links"), "row", "left").join(comps, rows["id"] == comps["node"], "left")
     root = F.coalesce("component", "id")
     return out.select(
         F.col("id").cast(type_of(vectors, id_col)).alias(id_col),

@@ -16,8 +16,8 @@ A link at the threshold is missed by all bands with a chance of (1 - t**rows)**b
 of 5 rows).
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and are kept; fewer words than a
-shingle form one shingle; copies form one component; a repeated id is one node, and a row
-without id joins the group of its set but leads none; an empty table gives no rows.
+shingle form one shingle; copies form one component; rows of a repeated id belong together, whatever their texts, and
+link with what any of them links with; a row without id joins the group of its set but leads none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import texts_of, type_of
+from queryscope.llm.common import forget, kept, stored, texts_of, type_of
 from queryscope.llm.components import connected
 from queryscope.llm.wordhash import WHITE, Words, chained, mix, runs_inside, slices
 from queryscope.session import cut
@@ -36,7 +36,8 @@ from queryscope.session import cut
 SHINGLE, BANDS, ROWS = 5, 25, 5
 #: members of a bucket compared in one task with those of another chunk
 CHUNK = 512
-
+#: tasks over which the rows of one set are dealt
+SALTS = 16
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,8 @@ def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """(texts, n) minima of ``n`` multiply-add hashes; texts must not be empty."""
+    """(texts, n) minima of ``n`` multiply-add hashes, folded to 16 bits: different minima agree with a chance of 2^-16, equal ones
+    always; texts must not be empty."""
     a, b = _coefficients(n)
     out = np.empty((len(bounds) - 1, n), np.uint32)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -82,7 +84,18 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
             v += b[k]
             out[lo:hi, k] = np.minimum.reduceat(v, at)
         lo = hi
-    return out
+    return (out ^ (out >> np.uint32(16))).astype(np.uint16)
+
+
+def _fingerprints(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and xor of the mixed hashes of the sets that start at ``at``."""
+    s = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at)
+    return s, np.bitwise_xor.reduceat(mix(hashes ^ np.uint64(0x14057B7EF767814F)), at)
+
+
+def _is_set(hashes: np.ndarray, n: int, x: int) -> bool:
+    """Is this the set with that size and fingerprint? A repeated id brings the texts of its other rows, too."""
+    return len(hashes) == n and int(_fingerprints(hashes, np.zeros(1, np.int64))[1].view(np.int64)[0]) == x
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
@@ -101,8 +114,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
                 sig = [None] * (j - i)
                 if len(full):
                     at = bounds[:-1][full]
-                    s[full] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), at)
-                    x[full] = np.bitwise_xor.reduceat(mix(hashes ^ np.uint64(0x14057B7EF767814F)), at)
+                    s[full], x[full] = _fingerprints(hashes, at)
                     for k, v in zip(full, signatures(hashes, np.append(at, len(hashes)), bands * rows)):
                         sig[k] = v.tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -118,7 +130,7 @@ def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, bands * rows).astype(np.uint64)
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, bands * rows).astype(np.uint64)
             node = b.column("node").to_numpy()
             keys = np.empty((len(node), bands), np.uint64)
             for k in range(bands):
@@ -155,29 +167,33 @@ def unpacked(column: pa.Array) -> pa.Array:
     return pa.array(raw, pa.large_binary()).cast(pa.large_string())
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (u, v) with 100 * intersection >= percent * union of their full shingle sets; ``texts`` from ``packed_texts``.
 
-    Texts are shuffled once; both joins read the same exchange.
+    Texts are shuffled once; both joins read the same exchange. ``heads``: node, n, x and the document (rep) that has the set.
     """
-    a = texts.select(F.col("node").alias("u"), F.col("t").alias("tu"))
-    b = texts.select(F.col("node").alias("v"), F.col("t").alias("tv"))
+    named = lambda k: heads.select(F.col("node").alias(k), *[F.col(c).alias(c + k) for c in ("rep", "n", "x")])
+    a = texts.select(F.col("node").alias("repu"), F.col("t").alias("tu"))
+    b = texts.select(F.col("node").alias("repv"), F.col("t").alias("tv"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for _, _, w in slices(unpacked(column), WHITE):
+        def sets(batch: pa.RecordBatch, k: str) -> Iterator[np.ndarray | None]:
+            known = zip(batch.column("n" + k).to_pylist(), batch.column("x" + k).to_pylist())
+            for _, _, w in slices(unpacked(batch.column("t" + k)), WHITE):
                 h, at = shingles(w, size)
-                for lo, hi in zip(at[:-1], at[1:]):
-                    yield np.unique(h[lo:hi])
+                for (lo, hi), (n, x) in zip(zip(at[:-1], at[1:]), known):
+                    own = np.unique(h[lo:hi])
+                    yield own if _is_set(own, n, x) else None
 
         for batch in batches:
             ok = []
-            for x, y in zip(sets(batch.column("tu")), sets(batch.column("tv"))):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            for x, y in zip(sets(batch, "u"), sets(batch, "v")):
+                both = 0 if x is None or y is None else len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
+    met = pairs.join(named("u"), "u").join(named("v"), "v").join(a, "repu").join(b, "repv")
+    return met.select("u", "v", "nu", "xu", "tu", "nv", "xv", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
 def _near(percent: int, n: int) -> int:
@@ -196,7 +212,7 @@ def signature_test(pairs: DataFrame, reps: DataFrame, percent: int, n: int) -> D
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, n) for c in ("su", "sv"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, n) for c in ("su", "sv"))
             ok = (x == y).sum(1) >= least
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok))
 
@@ -221,16 +237,16 @@ def _candidates(t: pa.Table, sig: np.ndarray, percent: int, bands: int, rows: in
 
 
 def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands: int, rows: int) -> DataFrame:
-    """Links (u, v) that join different components inside a bucket; ``members``: key, band, node, n, sig, comp."""
+    """Links (u, v) that join different components inside a bucket; ``members``: key, band, node, rep, n, x, sig, comp."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
     cut_up = members.join(sizes, "key").withColumn("_c", F.ceil(F.col("_size") / CHUNK).cast("int"))
     cut_up = cut_up.withColumn("side", F.pmod(F.xxhash64("node"), F.col("_c")).cast("int"))
     spread = cut_up.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    spread = spread.select("key", F.least("side", "_j").alias("p"), F.greatest("side", "_j").alias("q"), "band", "side", "node", "n", "sig", "comp")
+    spread = spread.select("key", F.least("side", "_j").alias("p"), F.greatest("side", "_j").alias("q"), "band", "side", "node", "rep", "n", "x", "sig", "comp")
 
     def left(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, bands * rows)
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, bands * rows)
         some: set[int] = set()
         for i, fit in _candidates(t, sig, percent, bands, rows):
             some.add(i)
@@ -239,10 +255,16 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands
 
     def joined(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
-        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
         sets: list[np.ndarray] = []
         for _, _, w in slices(unpacked(t.column("t")), WHITE):
             sets += [np.unique(h) for h in _parts(*shingles(w, size))]
+        own = [k for k, (h, n, x) in enumerate(zip(sets, t.column("n").to_pylist(), t.column("x").to_pylist())) if _is_set(h, n, x)]
+        node_of = t.column("node").to_pylist()
+        own = list({node_of[k]: k for k in own}.values())  # equal rows of one id bring the same text
+        t, sets = t.take(pa.array(own, pa.int64())), [sets[k] for k in own]
+        if not sets:
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
         sizes = np.cumsum([0, *map(len, sets)])
         sig = signatures(np.concatenate(sets), sizes, bands * rows)  # cheaper to make again than to send
         root: dict[int, int] = {}
@@ -265,15 +287,26 @@ def _across(members: DataFrame, texts: DataFrame, size: int, percent: int, bands
                         vs.append(node[j])
         return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    own = "key bigint, p int, q int, band int, side int, node bigint, n bigint, comp bigint"
+    own = "key bigint, p int, q int, band int, side int, node bigint, rep bigint, n bigint, x bigint, comp bigint"
     few = cut(spread.groupBy("key", "p", "q").applyInArrow(left, own))
-    return few.join(texts, "node").groupBy("key", "p", "q").applyInArrow(joined, "u bigint, v bigint")
+    given = texts.select(F.col("node").alias("rep"), "t")
+    return few.join(given, "rep").drop("rep").groupBy("key", "p", "q").applyInArrow(joined, "u bigint, v bigint")
 
 
 def _parts(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _same_ids(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Edges (u, v) between the sets that one id has in different rows."""
+    own = rows.where("node IS NOT NULL AND n > 0").select("node", "n", "s", "x")
+    differ = " OR ".join(f"min({c}) < max({c})" for c in ("n", "s", "x"))
+    several = own.groupBy("node").agg(F.expr(differ).alias("d")).where("d").select("node")
+    sets = own.join(several, "node").distinct().join(heads.select("n", "s", "x", F.col("node").alias("u")), ["n", "s", "x"])
+    least = sets.groupBy("node").agg(F.min("u").alias("v"))
+    return sets.join(least, "node").where("u <> v").select("u", "v")
+
+
 def components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -283,32 +316,49 @@ def components(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """(node, n_shingles, component) per row of ``docs``."""
+    """(node, n_shingles, component) per row of ``docs``.
+
+    A node of the graph is a distinct set (n, s, x); the least id that has it (rep) lends its text.
+    """
     n = bands * rows
-    sketched = cut(sketch(docs, id_col, text_col, size, bands, rows))
-    heads = sketched.where("n > 0").groupBy("n", "s", "x").agg(F.min("node").alias("rep"))
-    members = sketched.select("node", "n", "s", "x").join(heads, ["n", "s", "x"], "left")
-    members = cut(members.select("node", "n", F.coalesce("rep", "node").alias("rep")))
-    chosen = members.where("n > 0 and node = rep").select("node").distinct()
-    reps = cut(sketched.where("n > 0").join(chosen, "node", "left_semi").select("node", "n", "sig").dropDuplicates(["node", "n"]))
+    spark = docs.sparkSession
+    sketched, sketch_path = kept(sketch(docs, id_col, text_col, size, bands, rows))
+    # equal sets have equal minima, so these may stand in the key
+    heads = sketched.where("n > 0").groupBy("n", "s", "x", "sig").agg(F.min("node").alias("rep"))
+    heads = stored(heads.withColumn("node", F.monotonically_increasing_id()))
+    members = stored(sketched.select("node", "n", "s", "x"))
+    forget(spark, sketch_path)
+    reps = heads.where("rep IS NOT NULL").select("node", "rep", "n", "x", "sig")
+    same = _same_ids(members, heads)
 
     buckets = band_keys(reps, bands, rows)
     least = buckets.groupBy("key").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "v")
-    shared = cut(buckets.join(least, "key").select("key", "band", "node", "v"))
+    shared = stored(buckets.join(least, "key").select("key", "band", "node", "v"))
     texts = packed_texts(docs, id_col, text_col)
     stars = shared.where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    stars = cut(signature_test(stars, reps, percent, n))
-    links = cut(confirm(stars, texts, size, percent).distinct())
+    stars = stored(signature_test(stars, reps, percent, n))
+    links = stored(confirm(stars, reps, texts, size, percent).unionByName(same).distinct())
     first = connected(links)
 
     labelled = shared.select("key", "band", "node").join(first, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
     rest = labelled.join(mixed, "key", "left_semi").join(reps, "node")
-    found = cut(_across(rest, texts, size, percent, bands, rows).distinct())
+    found = stored(_across(rest, texts, size, percent, bands, rows).distinct())
     final = connected(links.unionByName(found)) if not found.isEmpty() else first
-    # members of one set, then the component of their representative
-    placed = members.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    return placed.select("node", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+
+    # the least id of each component, for every set that has it, then for the rows of each set
+    sets = heads.select("node", "n", "s", "x", "rep").join(final.withColumnRenamed("component", "c"), "node", "left")
+    sets = sets.withColumn("c", F.coalesce("c", "node"))
+    named = sets.groupBy("c").agg(F.min("rep").alias("component"))
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("k")
+    sets = sets.join(named, "c").select("n", "s", "x", "component", salt)
+    full = members.where("n > 0").withColumn("k", F.coalesce(F.pmod(F.xxhash64("node", F.monotonically_increasing_id()), F.lit(SALTS)), F.lit(0)).cast("int"))
+    placed = full.join(sets, ["n", "s", "x", "k"]).select("node", "n", "component")
+    # a row without words belongs where another row of its id does
+    other = placed.where("node IS NOT NULL").groupBy(F.col("node").alias("i")).agg(F.min("component").alias("component"))
+    empty = members.where("n = 0").select("node", "n")
+    empty = empty.join(other, F.col("node") == F.col("i"), "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    return placed.unionByName(empty).select("node", F.col("n").alias("n_shingles"), "component")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, **options) -> DataFrame:

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,9 @@ END_ID = 1
 BACKTRACKS = 3_000
 #: chunks, and words, in each generation of a worker's memory
 MEMORY = 250_000
+#: texts whose words the short cut finds without looking at chunks, and those words in lower case (``tokencount._SIMPLE`` with white space)
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PLAIN_WORDS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\t-\r ]+")
 #: fillings tried at one node
 WIDTH = 4
 
@@ -236,7 +240,7 @@ class Encoder:
         """Ids of new words: many are encoded as one text, whose ids are parted after each id that ends a word."""
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
-            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part):
                 data, at = ids.astype("<u4").tobytes(), 0
@@ -269,12 +273,18 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text, the end id last."""
         out: list[bytes] = []
         for k in range(0, len(texts), 128):
-            cut = [chunks_of(t) for t in texts[k : k + 128]]
-            new = self.chunks.unknown(set().union(*cut))
+            part = texts[k : k + 128]
+            plain = [self.short_cut and "<|" not in t and _PLAIN.fullmatch(t) is not None for t in part]
+            # plain texts are words at once; others go chunk by chunk
+            cut = [_PLAIN_WORDS.findall(t.lower()) if p else chunks_of(t) for t, p in zip(part, plain)]
+            new = self.chunks.unknown(set().union(*(c for c, p in zip(cut, plain) if not p)))
             if new:
                 self._learn(new)
-            known = self.chunks.now.__getitem__
-            out += [b"".join(map(known, chunks)) + self.end for chunks in cut]
+            new = self.words.unknown(set().union(*(c for c, p in zip(cut, plain) if p)))
+            if new:
+                self._words(new)
+            known = (self.chunks.now.__getitem__, self.words.now.__getitem__)
+            out += [b"".join(map(known[p], c)) + self.end for c, p in zip(cut, plain)]
         return out
 
 

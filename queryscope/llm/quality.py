@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from queryscope.llm.common import bounded_sample, replace_columns, texts_of, type_of
+from queryscope.session import cut
 
 #: labelled rows that the model is fitted on, at most about
 SAMPLE_ROWS = 20_000
@@ -143,9 +144,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The sampled labels are few enough to be sent to every task, so no text is shuffled.
     """
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1))
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1)).distinct()
     few = F.broadcast(bounded_sample(known, "_id", rows))
-    pairs = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(few, F.col("_d") == F.col("_id")).select("_id", "_y", "_t")
+    pairs = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t")).join(few, F.col("_d") == F.col("_id"))
+    # a repeated id may bring any number of rows: copies collapse, and a second hash bounds its different texts
+    pairs = cut(pairs.groupBy("_id", "_y", F.xxhash64("_t").alias("_h")).agg(F.first("_t").alias("_t")))
+    pairs = bounded_sample(pairs, "_h", 2 * rows).select("_id", "_y", "_t")
     table = feature_rows(pairs, ["_id", "_y"], "_t").toArrow().sort_by([("_id", "ascending"), ("_y", "ascending")])
     y = table.column("_y").to_numpy().astype(float)
     if not len(y):

@@ -2,7 +2,8 @@
 
 Spark's FP-growth mines combinations of URL tokens that come with a bad label. Rules that reach the support and the
 confidence are kept, a rule whose antecedent contains that of another kept rule is dropped, and the rest is an inverted
-index (token -> rule). A URL is blocked by the method if it has all tokens of a rule; hits are counted per (URL, rule)
+index (token -> rule). Tokens that cannot matter leave before the mining and tokens that always come together are mined as
+one (``mine_classes``). A URL is blocked by the method if it has a token of every class of a rule; hits are counted per (URL, rule)
 by a partially aggregated group over the distinct URLs, so a URL that fills a third of a table is matched once.
 
 Hand-written rules of the form host/path override the method: a rule fits its host and all subdomains, if the path
@@ -58,37 +59,66 @@ def tokens_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, url: str, bad: str, min_support: float, min_confidence: float, min_rows: int) -> DataFrame:
-    """(rule, tokens, confidence, support) from rows with a URL and a boolean label (null: not labelled).
+def mine_classes(labelled: DataFrame, url: str, bad: str, min_support: float, min_confidence: float, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """((rule, classes, confidence, support), (class, token)) from rows with a URL and a boolean label (null: not labelled).
 
-    ``min_support`` is a share of the labelled rows, but at least ``min_rows`` rows.
+    ``min_support`` is a share of the labelled rows, but at least ``min_rows`` rows. Three exact reductions keep long URLs
+    from multiplying combinations: a token with too few bad rows is in no rule; a token that is a rule by itself is in no longer
+    one, as that would be redundant; tokens that occur in exactly the same rows are one class, of which any member stands for all.
     """
-    rows = labelled.where(F.col(bad).isNotNull()).select(tokens_of(F.col(url)).alias("t"), F.col(bad).alias("b"))
-    items = rows.where(F.size("t") > 0).select(
-        F.when(F.col("b"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")
-    )
-    n = items.count()
-    if not n:
-        return labelled.sparkSession.createDataFrame([], "rule bigint, tokens array<string>, confidence double, support double")
-    support = min(1.0, max(min_support, min_rows / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col(bad).isNotNull()).select(tokens_of(F.col(url)).alias("t"), F.col(bad).alias("b")).where(F.size("t") > 0)
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    total = rows.count()
+    none = spark.createDataFrame([], "rule bigint, classes array<string>, confidence double, support double")
+    if not total:
+        return none, spark.createDataFrame([], "class string, token string")
+    least = max(min_support * total, min_rows) - 1e-9
+    each = rows.select("row", "b", F.explode("t").alias("token"))
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("row")).cast("decimal(38,0)"))
+    per = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("b").alias("k"), mark(1).alias("x"), mark(2).alias("y"))
+    per = cut(per.where(F.col("k") >= least).withColumn("confidence", F.col("k") / F.col("n")))
+    alone = per.where(F.col("confidence") >= min_confidence)
+    singles = alone.select(F.xxhash64("token").alias("rule"), F.array("token").alias("classes"), "confidence", (F.col("k") / total).alias("support"))
+    open_ = per.where(F.col("confidence") < min_confidence)
+    head = open_.groupBy("n", "x", "y").agg(F.min("token").alias("class"))
+    members = cut(open_.join(head, ["n", "x", "y"]).select("class", "token"))
+    both = members.unionByName(alone.select(F.col("token").alias("class"), "token"))
+    items = each.join(members, "token").groupBy("row", "b").agg(F.collect_set("class").alias("t"))
+    items = cut(items.select(F.when(F.col("b"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items")))
+    count = items.count()
+    if not count or least > count:
+        return cut(singles), both
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, least) / count), minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == BAD)).select(
-        F.array_sort("antecedent").alias("tokens"), "confidence", "support"
+        F.array_sort("antecedent").alias("classes"), "confidence", (F.col("support") * (count / total)).alias("support")
     )
-    rules = cut(rules.withColumn("rule", F.xxhash64(F.array_join("tokens", "\u0001"))))
-    # a rule is redundant if another rule's tokens are a part of its own: an inverted join on tokens, counted per pair
-    short = rules.select(F.col("rule").alias("r"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    wide = rules.select("rule", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    held = wide.join(short, "token").where("n < m").groupBy("rule", "r", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n")
-    return rules.join(held.select("rule").distinct(), "rule", "left_anti").select("rule", "tokens", "confidence", "support")
+    rules = cut(rules.withColumn("rule", F.xxhash64(F.array_join("classes", "\u0001"))))
+    # a rule is redundant if another rule's classes are a part of its own: an inverted join on classes, counted per pair
+    short = rules.select(F.col("rule").alias("r"), F.size("classes").alias("n"), F.explode("classes").alias("class"))
+    wide = rules.select("rule", F.size("classes").alias("m"), F.explode("classes").alias("class"))
+    held = wide.join(short, "class").where("n < m").groupBy("rule", "r", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n")
+    kept = rules.join(held.select("rule").distinct(), "rule", "left_anti").select("rule", "classes", "confidence", "support")
+    return cut(singles.unionByName(kept)), both
 
 
-def matched_urls(pages: DataFrame, url: str, rules: DataFrame) -> DataFrame:
-    """Distinct URLs that have all tokens of a rule, with the number of such rules (``n_rules``)."""
-    index = rules.select("rule", F.size("tokens").alias("need"), F.explode("tokens").alias("token"))
+def mine_rules(labelled: DataFrame, url: str, bad: str, min_support: float, min_confidence: float, min_rows: int) -> DataFrame:
+    """(rule, tokens, confidence, support): the rules spelled out, one for each choice of a member of every class."""
+    rules, members = mine_classes(labelled, url, bad, min_support, min_confidence, min_rows)
+    parts = rules.select("*", F.posexplode("classes").alias("at", "class")).join(members, "class")
+    lists = parts.groupBy("rule", "confidence", "support", "at").agg(F.collect_list("token").alias("m"))
+    lists = lists.groupBy("rule", "confidence", "support").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("l"))
+    start = F.array(F.array().cast("array<string>"))
+    spelled = F.aggregate("l", start, lambda acc, x: F.flatten(F.transform(acc, lambda done: F.transform(x["m"], lambda token: F.concat(done, F.array(token))))))
+    return lists.select("rule", F.explode(spelled).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
+
+
+def matched_urls(pages: DataFrame, url: str, rules: DataFrame, members: DataFrame) -> DataFrame:
+    """Distinct URLs that have a token of every class of a rule, with the number of such rules (``n_rules``)."""
+    index = rules.select("rule", F.size("classes").alias("need"), F.explode("classes").alias("class")).join(members, "class")
     urls = pages.where(F.col(url).contains("://")).select(F.col(url).alias("_u")).distinct()
     held = urls.select("_u", F.explode(tokens_of(F.col("_u"))).alias("token")).join(index, "token")
-    hits = held.groupBy("_u", "rule", "need").agg(F.count(F.lit(1)).alias("k")).where("k = need")
+    hits = held.groupBy("_u", "rule", "need", "class").agg(F.lit(1)).groupBy("_u", "rule", "need").agg(F.count(F.lit(1)).alias("k")).where("k = need")
     return hits.groupBy("_u").agg(F.count(F.lit(1)).alias("n_rules"))
 
 
@@ -115,8 +145,8 @@ def judge(
     min_rows: int = 20,
 ) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, n_rules (association rules that matched)."""
-    rules = mine_rules(labelled, url, bad, min_support, min_confidence, min_rows)
-    hits = matched_urls(pages, url, rules)
+    rules, members = mine_classes(labelled, url, bad, min_support, min_confidence, min_rows)
+    hits = matched_urls(pages, url, rules, members)
     rows = pages.select(F.col(id_col), F.col(url).alias("_url")).join(hits, F.col("_url") == F.col("_u"), "left")
     host, path = host_of(F.col("_url")), path_of(F.col("_url"))
     rows = rows.select(id_col, host.alias("host"), path.alias("path"), F.coalesce("n_rules", F.lit(0)).alias("n_rules"))

@@ -35,6 +35,22 @@ def test_rules_brute_force(spark):
     assert got == {i: "block" if any(set(s) <= t for s in expected) else "allow" for (i, _, _), (t, _) in zip(rows, tokens)}
 
 
+def test_long_urls_are_mined(spark):
+    """Forty words that always come together, on bad pages and on mixed ones, next to a rule of two tokens."""
+    long = "/".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    rows = [(i, f"http://a{i % 4}.com/{long}/{'x' if i % 2 else 'y'}/{i}", i % 4 == 1) for i in range(400)]
+    rows += [(400 + i, f"http://bad.net/{long.replace('word', 'w')}/{i}", True) for i in range(60)]
+    rows += [(500 + i, f"http://a1.com/z/{i}", False) for i in range(200)]
+    table = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    got = {r["page_id"]: (r["verdict"], r["n_rules"] > 0) for r in url_filter.judge(table, table, min_support=0.01, min_confidence=0.9, min_rows=20).collect()}
+    assert got == {i: ("block", True) if b else ("allow", False) for i, _, b in rows}
+    short = [r for r in rows if r[0] < 400 or r[0] >= 500]
+    small = spark.createDataFrame([(i, u.replace(long, "/".join(long.split("/")[:3])), b) for i, u, b in short], "page_id long, url string, bad boolean")
+    mined = url_filter.mine_rules(small, "url", "bad", 0.01, 0.9, 1).collect()
+    tokens = [(set(r["t"]), r["bad"]) for r in small.select(url_filter.tokens_of(F.col("url")).alias("t"), "bad").collect()]
+    assert {tuple(sorted(r["tokens"])) for r in mined} == brute_rules(tokens, 0.01, 0.9)
+
+
 def test_listed_rules_and_odd_urls(spark):
     cases = {
         "http://a.example.org/es/1?x=/en": ("a.example.org", "/es/1", "example.org/es/", "block"),
@@ -135,6 +151,19 @@ def test_vectors_brute_force(spark, monkeypatch):
     assert lattice.near_vectors(table.limit(0)).count() == 0
 
 
+def test_many_equal_vectors(spark):
+    """Half of all vectors are one; copies count as links, ids may repeat."""
+    rng = np.random.default_rng(3)
+    base = [float(x) for x in rng.normal(size=16)]
+    near = [float(x) for x in np.array(base) + rng.normal(size=16) * 0.02]
+    rows = [(i, base, 1) for i in range(2000)] + [(i, near, 1) for i in range(2000, 2100)] + [(i, base, 2) for i in range(3000, 3010)]
+    rows += [(4000 + i, [float(x) for x in rng.normal(size=16)], 1) for i in range(200)] + [(5, base, 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in lattice.near_vectors(table).collect()}
+    assert all(got[i] == (2100, 0, i == 0) for i in range(2100)) and all(got[i] == (9, 3000, i == 3000) for i in range(3000, 3010))
+    assert all(got[4000 + i] == (0, 4000 + i, True) for i in range(200))
+
+
 def test_vectors_recall_on_the_given_table(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     for threshold in (0.98, 0.35):  # no two vectors are as near as the first; the second is far below what the tables aim at

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 from queryscope.llm import decontaminate, eliasfano, langid, minhash, ngram, packing, quality, sharding, tokencount
 from queryscope.llm.wordhash import WHITE, slices
-from tests.llm.conftest import plain_words, white_words
+from tests.llm.conftest import plain_words, sentence, white_words
 
 SMALL = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -411,3 +412,15 @@ def test_sharding_confines_movement(spark):
     assert all(abs(share[k] / 8000 - w / 8) < 0.02 for k, w in (("1", 1), ("2", 2), ("3", 1), ("4", 4)))
     moved = Counter((r["x"], r["y"]) for r in rows if r["x"] != r["y"])
     assert moved and all(y != "4" for _, y in moved)  # nothing moves into the region whose weight stayed
+
+
+def test_near_copies_of_a_repeated_id(spark):
+    """An id with two texts links with the near copies of either; equal sets of one id count once."""
+    rng = random.Random(21)
+    one, two, other = sentence(rng, 60), sentence(rng, 60), sentence(rng, 60)
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (3, two + " y"), (4, other), (5, None), (1, None), (None, two), (6, other + " z z")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(table).collect()), key=repr)
+    size = lambda t: len({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)})
+    first = {1: 1, 2: 1, 3: 1, None: 1, 4: 4, 6: 4, 5: 5}
+    assert got == sorted(((i, size(t or ""), first[i], i == first[i]) for i, t in rows), key=repr)
