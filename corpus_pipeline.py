@@ -5,7 +5,8 @@ checkpoint folder and reads them back as the next stage's documents. All but the
 whatever others they carry.
 
 Defined cases: an empty table passes through as an empty table; null and empty texts have no letters and leave at the
-language stage at the latest; repeated rows are judged alike, and near-dedup keeps the row or rows of a group's least id.
+language stage at the latest; repeated rows are judged alike, and near-dedup keeps one row of each group, repeated rows and
+rows without id included.
 """
 
 from __future__ import annotations
@@ -42,10 +43,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
+    """One document of each group of near copies: the one with the least id.
+
+    Rows of a repeated id are one group, of which the least row stays; a row without id stays if no row with one has its like.
+    """
     prepare(spark)
-    gone = minhash.near_duplicates(docs, percent=NEAR).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*DOCUMENT).join(gone, "doc_id", "left_anti").select(*DOCUMENT)
+    rows = docs.select(*DOCUMENT).withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(1 << 62) + F.monotonically_increasing_id()))
+    gone = minhash.near_duplicates(rows, "_id", percent=NEAR).where(~F.col("kept")).select("_id").distinct()
+    again = rows.groupBy("_id").count().where("count > 1").select("_id")
+    left = rows.join(gone, "_id", "left_anti")
+    once = left.join(again, "_id", "left_anti").select(*DOCUMENT)
+    one = left.join(again, "_id", "left_semi").groupBy("_id").agg(F.min(F.struct(*DOCUMENT)).alias("r")).select("r.*")
+    return once.unionByName(one)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
