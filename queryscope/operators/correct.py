@@ -185,9 +185,9 @@ def ordered_window(
     return d.where("_own").drop("_bucket", "_own")
 
 
-def moving_sum(df: DataFrame, part: Sequence[str], order: Sequence[str], value: str, n: int, out: str) -> DataFrame:
+def moving_sum(df: DataFrame, part: Sequence[str], order: Sequence[str | Column], value: str, n: int, out: str) -> DataFrame:
     """``sum(value) OVER (PARTITION BY part ORDER BY order ROWS n PRECEDING)`` for parts of any size."""
-    d = frame_buckets(numbered(df, part, [(c, True) for c in order]), "rn", n, 0)
+    d = frame_buckets(numbered(df, part, order), "rn", n, 0)
     w = W.partitionBy(*part, "_bucket").orderBy("rn").rowsBetween(-n, 0)
     return d.withColumn(out, F.sum(value).over(w)).where("_own").drop("_bucket", "_own", "rn")
 

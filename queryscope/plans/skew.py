@@ -139,12 +139,28 @@ def _count_locally(part: Sequence[str], keys: Sequence[str]):
     return run
 
 
-def number_keys(df: DataFrame, part: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "rn") -> DataFrame:
+def _named(df: DataFrame, order: Sequence[str | Column | tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """(name, ascending) of each order column; a bare name is ascending, a column may say ``asc()`` or ``desc()``."""
+
+    def one(x: str | Column | tuple[str, bool]) -> tuple[str, bool]:
+        if isinstance(x, tuple):
+            return x
+        shown = x if isinstance(x, str) else str(x)[len("Column<'") : -len("'>")]
+        name, _, direction = shown.partition(" ")
+        if name not in df.columns:
+            raise ValueError(f"{shown} is no column of the table")
+        return name, not direction.startswith("DESC")
+
+    return [one(x) for x in order]
+
+
+def number_keys(df: DataFrame, part: Sequence[str], order: Sequence[str | Column | tuple[str, bool]], name: str = "rn") -> DataFrame:
     """(part, order columns, ``_d``, name): ``row_number`` per ``part``, on keys alone; ``_d`` counts equal keys from 0.
 
     Only keys are range-partitioned and checkpointed. A task counts its sorted keys; parts that span blocks are repaired from
     at most two totals per block, the only thing broadcast.
     """
+    order = _named(df, order)
     keys = list(dict.fromkeys([*part, *[c for c, _ in order]]))
     cols = [F.col(c).asc_nulls_first() for c in part] + [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     slim = df.select(*keys)
@@ -175,8 +191,8 @@ def with_numbers(df: DataFrame, numbers: DataFrame, name: str, few: bool = False
     return rows.join(named, cond).select(*[rows[c] for c in df.columns], name)
 
 
-def numbered(df: DataFrame, part: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "rn") -> DataFrame:
-    """``row_number`` per ``part`` over ``order`` (name, ascending), exact for hot parts; the payload is shuffled once and never written.
+def numbered(df: DataFrame, part: Sequence[str], order: Sequence[str | Column | tuple[str, bool]], name: str = "rn") -> DataFrame:
+    """``row_number`` per ``part`` over ``order`` (names, columns, or name and ascending), exact for hot parts; the payload is shuffled once and never written.
 
     Rows that are equal in part and order are numbered in any order. With a total order each row meets its number by its key.
     """

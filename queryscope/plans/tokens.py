@@ -1,8 +1,8 @@
 """From SQL texts to token and fact tables.
 
-Everything after ``distinct_texts`` is partitioned by the text id ``tid``: the
-dedupe aggregate is the only shuffle, and every group-by below uses keys that
-begin with ``tid``. No text is refused for its length.
+Everything is partitioned by the text id ``tid``: there is one shuffle of texts, in
+the dedupe aggregate, and one of their facts; every group-by below uses keys that
+begin with ``tid`` and needs none. No text is refused for its length.
 
 A tree walk is a fold over the tokens of a text with an explicit stack
 (``plans.fold``, ``plans.grammar``): one pass in Arrow batches gives frames, scopes,
@@ -84,7 +84,7 @@ def token_table(texts: DataFrame) -> DataFrame:
 def fact_table(texts: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """tid, dialect and the ``wanted`` facts (``plans.fold.COLUMNS``) of every token but comments, from one walk over each text.
 
-    A text is one row until its facts are exploded, so the partitioning by ``tid`` stays and nothing is sorted.
+    A text is one row until its facts are exploded: they are shuffled by ``tid`` once, and nothing is sorted.
     """
     wanted = list(wanted)
     row = ", ".join(f"{k}:array<{COLUMNS[k]}>" for k in wanted)
@@ -100,8 +100,9 @@ def fact_table(texts: DataFrame, wanted: Sequence[str]) -> DataFrame:
     parts = f"""struct(c.text AS text, c.u AS u, c.kind AS kind, {name_of('c.')} AS name, {_breaks('c.raw')} AS breaks, {_breaks('c.text')} AS inner,
       length(c.raw) - length(c.text) AS lead, length(c.text) AS width)"""
     t = t.select("tid", "dialect", walk(F.expr(f"transform(cut, c -> {parts})"), "dialect").alias("facts"))
-    # arrays side by side: each row reads its own entry of each, no struct per token is built
-    t = t.select("tid", "dialect", "facts", F.posexplode("facts.pos").alias("_i", "_pos"))
+    # Python evaluation hides the partitioning by tid from the planner, so it is stated again while a text is still one row;
+    # then arrays side by side: each token row reads its own entry of each, no struct per token is built
+    t = t.repartition("tid").select("tid", "dialect", "facts", F.posexplode("facts.pos").alias("_i", "_pos"))
     return t.selectExpr("tid", "dialect", *[f"get(facts.{k}, _i) AS {k}" for k in wanted])
 
 

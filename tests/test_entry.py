@@ -13,11 +13,12 @@ def test_entry_and_registry(spark):
     assert set(o) <= set(q) and len(q) > 150
 
 
-def test_one_shuffle_for_all_token_facts(spark):
+def test_two_shuffles_and_no_window_for_all_token_facts(spark):
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     texts = T.distinct_texts(T.normalise_log(query_log(orders, ["SELECT a FROM t WHERE b = {n}"])))
     plan = T.statements(T.scoped_tokens(texts))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    # one shuffle of the texts and one of their facts; the only window runs over the arms of a scope, none over tokens
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Window [") == 1
 
 
 def test_audits_never_build_a_product(spark):
