@@ -78,6 +78,29 @@ def _(t):
     return ids.join(R.validity(texts), "tid").select("query_id", "valid", "kind")
 
 
+#: what the automaton rejects, and texts that only look alike; None: valid
+_GRAMMAR = [
+    ("SELECT tide FROM harbour WHERE berth = = {n}", "missing operand"),
+    ("SELECT tide FROM harbour WHERE berth IN ()  AND depth = {n}", "empty list"),
+    ("SELECT CASE WHEN berth = {n} THEN 'x' FROM harbour", "CASE without END"),
+    ("SELECT CASE WHEN berth = {n} THEN 'x' ELSE 'y' END FROM harbour", None),
+    ("SELECT tide FROM harbour WHERE berth = {n} ORDER BY", "empty list"),
+    ("SELECT tide FROM harbour WHERE berth = {n} LIMIT", "missing operand"),
+    ("UPDATE harbour SET WHERE berth = {n}", "empty list"),
+    ("SELECT h.tide FROM harbour h JOIN fleet f ON WHERE f.berth = {n}", "empty condition"),
+    ("SELECT tide FROM harbour WHERE berth BETWEEN {n}", "BETWEEN without AND"),
+    ("SELECT tide FROM harbour WHERE berth BETWEEN {n} AND 9 AND lit IS DISTINCT FROM depth", None),
+    ("SELECT tide || FROM harbour WHERE berth = {n}", "missing operand"),
+    ("SELECT count(*), -depth, h.* FROM harbour h WHERE berth IN (SELECT 1) AND NOT (depth = {n})", None),
+]
+
+
+@query("l41_grammar", values_sql([(i, k is None, k) for i, (_, k) in enumerate(_GRAMMAR)], ["valid", "kind"], len(_GRAMMAR), {"kind": "VARCHAR"}))
+def _(t):
+    ids, texts = _keyed(t, [s for s, _ in _GRAMMAR])
+    return ids.join(R.validity(texts), "tid").select("query_id", "valid", "kind")
+
+
 @query("l42_decorrelation_risk", values_sql([(i, r) for i, (_, r) in enumerate(DECORRELATION)], ["risk"], len(DECORRELATION)))
 def _(t):
     ids, texts = _keyed(t, [s for s, _ in DECORRELATION])
