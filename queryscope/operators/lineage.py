@@ -24,6 +24,11 @@ def _low(c: str) -> Column:
     return F.lower(F.col(c))
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """A table that grows with the texts. Estimates behind a checkpoint are far too low, so that joins would send it whole through the driver."""
+    return df.hint("merge")
+
+
 def scope_tree(texts: DataFrame) -> DataFrame:
     """The segments of all texts with ``child``: the scope that opens inside the segment, if any. Written once, read often."""
     seg = T.segments(T.scoped_tokens(texts)).select(
@@ -44,7 +49,7 @@ def _sources(tree: DataFrame) -> DataFrame:
     src = tree.where(F.col("clause").isin(*SOURCES)).select(
         *ARM, F.lower(F.coalesce("src_alias", "src")).alias("alias"), F.when(F.col("is_tab"), _low("src")).alias("table_name"), "child"
     )
-    src = src.join(ctes.dropDuplicates([*TEXT, "cte"]).withColumnRenamed("cte", "table_name"), [*TEXT, "table_name"], "left")
+    src = src.join(_wide(ctes.dropDuplicates([*TEXT, "cte"]).withColumnRenamed("cte", "table_name")), [*TEXT, "table_name"], "left")
     child = F.coalesce("body", F.when(F.col("table_name").isNull(), F.col("child")))
     return src.select(*ARM, "alias", F.when(F.col("body").isNull(), F.col("table_name")).alias("table_name"), child.alias("child")).where(
         "table_name IS NOT NULL OR child IS NOT NULL"
@@ -60,7 +65,7 @@ def _outputs(tree: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]
     """(items by name, stars) of the first arm of each scope: where a name of the output comes from in that scope."""
     first = tree.where("clause = 'SELECT'")
     least = first.groupBy(*TEXT, "scope").agg(F.min("arm").alias("arm"))
-    first = first.join(least, ARM, "left_semi").join(_only(sources), ARM, "left")
+    first = first.join(_wide(least), ARM, "left_semi").join(_wide(_only(sources)), ARM, "left")
     col = F.get("cols", F.lit(0))
     plain = F.col("bare") & (F.size("cols") == 1)
     items = first.where("NOT star").select(
@@ -71,7 +76,7 @@ def _outputs(tree: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]
     ).where("out IS NOT NULL AND out <> '*'")
     wide = first.select(*ARM, "star", F.explode_outer(F.filter("cols", lambda c: c["name"] == "*")).alias("c"), "cols")
     wide = wide.where("star OR c IS NOT NULL").select(*ARM, F.lower(F.col("c.qual")).alias("of"))
-    stars = wide.join(sources.select(*ARM, "alias"), ARM).where("of IS NULL OR of = alias").select(*ARM, F.col("alias").alias("star_alias")).distinct()
+    stars = wide.join(_wide(sources.select(*ARM, "alias")), ARM).where("of IS NULL OR of = alias").select(*ARM, F.col("alias").alias("star_alias")).distinct()
     return items.dropDuplicates([*TEXT, "scope", "out"]), stars
 
 
@@ -81,22 +86,22 @@ def references(tree: DataFrame, sources: DataFrame) -> DataFrame:
     refs = tree.select(*TEXT, F.explode("cols").alias("c")).where("c.name <> '*'").select(
         *TEXT, F.col("c.scope").alias("scope"), F.col("c.arm").alias("arm"), F.col("c.pos").alias("pos"), F.lower("c.qual").alias("alias"), F.lower("c.name").alias("name"), "c.clause"
     )
-    refs = refs.join(named, [*ARM, "name"], "left").where(~(F.col("alias").isNull() & F.col("clause").isin(*AFTER_SELECT) & F.coalesce("_item", F.lit(False)))).drop("_item")
-    refs = refs.join(_only(sources), ARM, "left")
+    refs = refs.join(_wide(named), [*ARM, "name"], "left").where(~(F.col("alias").isNull() & F.col("clause").isin(*AFTER_SELECT) & F.coalesce("_item", F.lit(False)))).drop("_item")
+    refs = refs.join(_wide(_only(sources)), ARM, "left")
     refs = refs.withColumn("given", F.col("alias")).withColumn("alias", F.coalesce("alias", "_only")).drop("_only", "clause")
     known = sources.select(*ARM, "alias").distinct().withColumn("_here", F.lit(True))
     ups = tree.where("up IS NOT NULL").select(*TEXT, "scope", "up").distinct()
     around = known.groupBy(*TEXT, "scope", "alias").agg(F.max("arm").alias("_arm")).withColumnRenamed("scope", "up")
     found, open_ = None, cut(refs)
     while True:
-        seen = open_.join(known, [*ARM, "alias"], "left")
+        seen = open_.join(_wide(known), [*ARM, "alias"], "left")
         here = seen.where("_here").drop("_here")
         found = here if found is None else found.unionByName(here)
-        rest = seen.where("_here IS NULL AND alias IS NOT NULL").drop("_here").join(ups, [*TEXT, "scope"])
+        rest = seen.where("_here IS NULL AND alias IS NOT NULL").drop("_here").join(_wide(ups), [*TEXT, "scope"])
         if rest.isEmpty():
             return found
         # one scope further out; the arm is that of the source that answers to the alias, if one does
-        rest = rest.join(around, [*TEXT, "up", "alias"], "left")
+        rest = rest.join(_wide(around), [*TEXT, "up", "alias"], "left")
         open_ = cut(rest.select(*TEXT, F.col("up").alias("scope"), F.coalesce("_arm", "arm").alias("arm"), "pos", "alias", "name", "given"))
 
 
@@ -119,7 +124,7 @@ def _resolve(tree: DataFrame, catalog: DataFrame | None) -> DataFrame:
     keep = [*TEXT, "pos", "given", "written"]
     out = None
     while True:
-        at = cut(refs.join(sources.dropDuplicates([*ARM, "alias"]), [*ARM, "alias"], "left"))
+        at = cut(refs.join(_wide(sources.dropDuplicates([*ARM, "alias"])), [*ARM, "alias"], "left"))
         done = at.where("table_name IS NOT NULL").select(*keep, "table_name", F.col("name").alias("column_name"), F.lit("table").alias("state"))
         lost = at.where("table_name IS NULL AND child IS NULL").select(*keep, F.lit(None).cast("string").alias("table_name"), F.col("name").alias("column_name"), F.lit("unknown").alias("state"))
         out = done.unionByName(lost) if out is None else out.unionByName(done).unionByName(lost)
@@ -127,12 +132,12 @@ def _resolve(tree: DataFrame, catalog: DataFrame | None) -> DataFrame:
         if down.isEmpty():
             break
         inner = items.select(*TEXT, F.col("scope").alias("child"), F.col("arm").alias("to_arm"), F.col("out").alias("name"), "to_alias", "to_name", F.lit(True).alias("_hit"))
-        met = down.join(inner, [*TEXT, "child", "name"], "left")
+        met = down.join(_wide(inner), [*TEXT, "child", "name"], "left")
         named = met.where("_hit AND to_alias IS NOT NULL").select(*keep, F.col("child").alias("scope"), F.col("to_arm").alias("arm"), F.col("to_alias").alias("alias"), F.col("to_name").alias("name"))
         ends = met.where("_hit AND to_alias IS NULL")
         ends = ends.select(*keep, F.lit(None).cast("string").alias("table_name"), F.col("name").alias("column_name"), F.lit("expression").alias("state"))
         free = met.where("_hit IS NULL").select(*keep, "child", "name")
-        wide = free.join(stars.select(*TEXT, F.col("scope").alias("child"), F.col("arm").alias("to_arm"), "star_alias"), [*TEXT, "child"], "left")
+        wide = free.join(_wide(stars.select(*TEXT, F.col("scope").alias("child"), F.col("arm").alias("to_arm"), "star_alias")), [*TEXT, "child"], "left")
         none = wide.where("star_alias IS NULL")
         none = none.select(*keep, F.lit(None).cast("string").alias("table_name"), F.col("name").alias("column_name"), F.lit("unknown").alias("state"))
         through = wide.where("star_alias IS NOT NULL").select(*keep, F.col("child").alias("scope"), F.col("to_arm").alias("arm"), F.col("star_alias").alias("alias"), "name")
@@ -141,8 +146,8 @@ def _resolve(tree: DataFrame, catalog: DataFrame | None) -> DataFrame:
             base = sources.where("table_name IS NOT NULL").select(*ARM, "alias", F.col("table_name").alias("_t"))
             base = base.join(known.select("_t").distinct(), "_t", "left_semi")
             many = through.groupBy(*keep).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
-            wrong = through.join(many, [*TEXT, "pos"], "left_semi").join(base, [*ARM, "alias"]).withColumn("_c", F.col("name")).join(known, ["_t", "_c"], "left_anti")
-            through = through.join(wrong.select(*TEXT, "pos", "scope", "arm", "alias"), [*TEXT, "pos", "scope", "arm", "alias"], "left_anti")
+            wrong = through.join(_wide(many), [*TEXT, "pos"], "left_semi").join(_wide(base), [*ARM, "alias"]).withColumn("_c", F.col("name")).join(known, ["_t", "_c"], "left_anti")
+            through = through.join(_wide(wrong.select(*TEXT, "pos", "scope", "arm", "alias")), [*TEXT, "pos", "scope", "arm", "alias"], "left_anti")
         out = out.unionByName(ends).unionByName(none)
         refs = cut(named.unionByName(through))
     if known is None:
@@ -163,10 +168,10 @@ def lineage(log: DataFrame, catalog: DataFrame) -> DataFrame:
     sources = _sources(tree)
     star = tree.where("clause = 'SELECT'").select(*ARM, "star", F.explode_outer(F.filter("cols", lambda c: c["name"] == "*")).alias("c"))
     star = star.where("star OR c IS NOT NULL").select(*ARM, F.lower("c.qual").alias("of"))
-    star = star.join(sources.where("table_name IS NOT NULL"), ARM).where("of IS NULL OR of = alias").select("tid", "table_name").distinct()
-    read = read.unionByName(star.join(known, "table_name").select("tid", "table_name", "column_name")).distinct()
+    star = star.join(_wide(sources.where("table_name IS NOT NULL")), ARM).where("of IS NULL OR of = alias").select("tid", "table_name").distinct()
+    read = read.unionByName(_wide(star).join(known, "table_name").select("tid", "table_name", "column_name")).distinct()
     per = read.groupBy("tid", "table_name").agg(F.array_join(F.array_sort(F.collect_list("column_name")), ",").alias("columns"))
-    return keyed.select("query_id", "tid").join(per, "tid").select("query_id", "table_name", "columns")
+    return keyed.select("query_id", "tid").join(_wide(per), "tid").select("query_id", "table_name", "columns")
 
 
 def unknown_names(log: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -174,4 +179,4 @@ def unknown_names(log: DataFrame, catalog: DataFrame) -> DataFrame:
     keyed = T.normalise_log(log)
     lost = resolved_columns(T.distinct_texts(keyed), catalog).where("state = 'unknown' AND given IS NOT NULL")
     per = lost.select("tid", F.concat_ws(".", "given", "written").alias("name")).distinct()
-    return keyed.select("query_id", "tid").join(per, "tid").select("query_id", "name")
+    return keyed.select("query_id", "tid").join(_wide(per), "tid").select("query_id", "name")

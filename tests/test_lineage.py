@@ -39,3 +39,16 @@ def test_empty_log(spark):
     catalog = spark.createDataFrame(CATALOG, "table_name string, column_name string")
     log = spark.createDataFrame([], "query_id long, dialect string, sql string")
     assert L.lineage(log, catalog).count() == 0 and L.unknown_names(log, catalog).count() == 0
+
+
+def test_wide_tables_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files look small and so do estimates behind a checkpoint: no table of texts may go through the driver for that."""
+    catalog = spark.createDataFrame(CATALOG, "table_name string, column_name string")
+    spark.createDataFrame([(i, "postgres", s) for i, s in enumerate(TEXTS)], "query_id long, dialect string, sql string").write.parquet(str(tmp_path / "log"))
+    plans, real = [], L.cut
+    planned = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(L, "cut", lambda df: planned(df) or real(df))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    for job in (L.lineage, L.unknown_names):
+        planned(job(log, catalog))
+    assert not [p for p in plans if "BroadcastHashJoin" in p]
