@@ -42,3 +42,18 @@ def test_only_what_is_read_leaves_the_walk(spark):
     assert fold.facts_of(toks, pa.array(["postgres", "postgres"]), ["depth", "frame"]).to_pylist() == [{"depth": [0], "frame": [-1]}, {"depth": [], "frame": []}]
     # methods above 8000 bytes are never compiled by the JVM
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_names_and_correlations_ask_for_few_segment_facts(spark, monkeypatch):
+    from queryscope.operators import rules as R, usage as U
+
+    asked, real = [], T.statements
+    monkeypatch.setattr(T, "statements", lambda tok, demand=T.ON_DEMAND: asked.append(list(demand)) or real(tok, demand))
+    log = spark.createDataFrame([(1, "postgres", "SELECT s.name, s.gone FROM ships s JOIN ports p ON p.id = s.id")], "query_id long, dialect string, sql string")
+    catalog = spark.createDataFrame([("ships", "name"), ("ships", "id"), ("crew", "pay")], "table_name string, column_name string")
+    assert {tuple(r) for r in U.unused_catalog(log, catalog).collect()} == {("crew", "pay", True)}
+    assert [tuple(r) for r in U.unknown_columns_ranked(log, catalog).select("table_name", "column_name", "queries").collect()] == [("ships", "gone", 1)]
+    assert [tuple(r) for r in U.unknown_tables_ranked(log, catalog).collect()] == [("ports", 1)]
+    assert {r["table_name"]: r["columns"] for r in U.column_map(log).collect()} == {"ships": "gone,id,name", "ports": "id"}
+    assert asked == [[], [], [], []]
+    assert set(R.read_by(R.correlation_risk())) == {"c0", "wrapped", "ops"}
