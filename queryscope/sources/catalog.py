@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import accumulate, zip_longest
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from queryscope.functions import words as K
+from queryscope.functions.text import bare, tokens
+from queryscope.session import cut
 
 
 def catalog_size(catalog: DataFrame) -> DataFrame:
@@ -63,47 +69,92 @@ def catalog_from_json(df: DataFrame, col: str, *keep: str) -> DataFrame:
     ).select(*keep, "table_name", "column_name", (F.col("i") + 1).alias("ordinal"))
 
 
-_NOT_COLUMNS = ["CONSTRAINT", "PRIMARY", "FOREIGN", "UNIQUE", "CHECK", "KEY", "INDEX"]
+_NOT_COLUMNS = frozenset(["CONSTRAINT", "PRIMARY", "FOREIGN", "UNIQUE", "CHECK", "KEY", "INDEX"])
+_MADE = frozenset(["TABLE", "VIEW", "INDEX", "FUNCTION", "PROCEDURE", "SCHEMA", "DATABASE"])
+_STATEMENTS = "array<struct<is_create:boolean,is_table:boolean,balanced:boolean,table_name:string,cols:array<string>>>"
+_STATEMENT = pa.struct([*((k, pa.bool_()) for k in ("is_create", "is_table", "balanced")), ("table_name", pa.string()), ("cols", pa.list_(pa.string()))])
+
+
+def _lists(rows: pa.ListArray) -> list[list[list]]:
+    """Lists of lists as Python ones, by way of one flat column: much faster than ``to_pylist``."""
+    inner = rows.flatten()
+    flat = inner.flatten().to_numpy(zero_copy_only=False).tolist()
+    cuts = lambda x: list(accumulate(pc.list_value_length(x).to_pylist(), initial=0))
+    at = cuts(inner)
+    texts = [flat[s:e] for s, e in zip(at, at[1:])]
+    at = cuts(rows)
+    return [texts[s:e] for s, e in zip(at, at[1:])]
+
+
+def read_statement(u: list[str], name: list[str | None]) -> tuple:
+    """What one DDL statement creates (is_create, is_table, balanced, table_name, columns), from its tokens in upper case and what they name: a walk with the depth of its parentheses."""
+    made = table_name = None
+    opened = closed = 0
+    after_table = after_as = False
+    cols = []
+    for i, x in enumerate(u):
+        named = name[i]
+        closed += x == ")"
+        if named is not None:
+            # the name is the last part of the dotted run right before the first parenthesis
+            if not opened and after_table and not after_as and x not in ("IF", "EXISTS"):
+                table_name = named
+            if opened - closed == 1 and 0 < i < len(u) - 1 and u[i - 1] in ("(", ",") and x not in _NOT_COLUMNS and u[i + 1] not in (",", ")"):
+                cols.append(named)
+        if made is None and x in _MADE:
+            made = x
+        opened += x == "("
+        after_table = after_table or x == "TABLE"
+        after_as = after_as or x == "AS"
+    is_table = None if made is None else made == "TABLE"
+    return u[0] == "CREATE", is_table, opened == closed, table_name, cols
+
+
+def read_statements(u: list[str], name: list[str | None]) -> list[tuple]:
+    """Every statement of a text that has a token; a broken one ends at the next semicolon."""
+    out, start = [], 0
+    for i in [*(k for k, x in enumerate(u) if x == ";"), len(u)]:
+        if i > start:
+            out.append(read_statement(u[start:i], name[start:i]))
+        start = i + 1
+    return out
 
 
 def _ddl_statements(ddl: DataFrame, default_dialect: str) -> DataFrame:
-    """One row per DDL statement: create_table, table_name, balanced, columns in order."""
-    from pyspark.sql import Window as W
+    """ddl_id and its DDL statements: is_create, is_table, balanced, table_name, columns in order; ids without a statement are left out.
 
+    The tokens of a text stay one row and are read in one walk, without a window or a sort over tokens. Rows of a repeated id are
+    read as one text, token by token side by side.
+    """
     from queryscope.plans import tokens as T
 
+    @F.arrow_udf(_STATEMENTS)
+    def walk(u: pa.Array, name: pa.Array) -> pa.Array:
+        side = lambda rows: rows[0] if len(rows) == 1 else [x for xs in zip_longest(*rows) for x in xs]
+        found, sizes = [], []
+        for us, names in zip(_lists(u), _lists(name)):
+            toks = [(x, n) for x, n in zip(side(us), side(names)) if x is not None]
+            own = read_statements([x for x, _ in toks], [n for _, n in toks])
+            found += own
+            sizes.append(len(own))
+        columns = [pa.array(v, f.type) for v, f in zip(zip(*found), _STATEMENT)] if found else [pa.array([], f.type) for f in _STATEMENT]
+        offsets = pa.array([0, *accumulate(sizes)], pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(_STATEMENT)))
+
     c = F.col
     dialect = F.when(c("dialect").isin(K.DIALECTS), c("dialect")).otherwise(K.DIALECTS[0]) if "dialect" in ddl.columns else F.lit(default_dialect)
-    keyed = ddl.select("ddl_id", "sql", dialect.alias("dialect"))
     # shuffle the texts, not their tokens
-    tok = T.token_table(keyed.withColumn("tid", F.col("ddl_id")).repartition("tid")).where("kind <> 'comment'")
-    tok = tok.withColumn("name", F.expr(T.name_of("")))
-    w = W.partitionBy("tid").orderBy("pos")
-    prior, upto = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(W.unboundedPreceding, 0)
-    one = lambda cond: F.when(cond, 1).otherwise(0)
-    tok = tok.withColumn("stmt", F.coalesce(F.sum(one(c("u") == ";")).over(prior), F.lit(0))).where("u <> ';'")
-    ws = W.partitionBy("tid", "stmt").orderBy("pos")
-    p2, u2 = ws.rowsBetween(W.unboundedPreceding, -1), ws.rowsBetween(W.unboundedPreceding, 0)
-    tok = tok.select(
-        "*",
-        (F.coalesce(F.sum(one(c("u") == "(")).over(p2), F.lit(0)) - F.coalesce(F.sum(one(c("u") == ")")).over(u2), F.lit(0))).alias("depth"),
-        F.lag("u").over(ws).alias("p1"),
-        F.lead("u").over(ws).alias("n1"),
-        F.row_number().over(ws).alias("rn"),
-        F.coalesce(F.sum(one((c("u") == "(") )).over(p2), F.lit(0)).alias("opened"),
-        F.coalesce(F.max(one(c("u") == "TABLE")).over(p2), F.lit(0)).alias("after_table"),
-        F.coalesce(F.max(one(c("u") == "AS")).over(p2), F.lit(0)).alias("after_as"),
-    )
-    # the name is the last part of the dotted run right before the first parenthesis
-    name = F.max_by("name", F.when((c("opened") == 0) & c("name").isNotNull() & (c("after_table") == 1) & (c("after_as") == 0) & ~c("u").isin("IF", "EXISTS"), c("pos")))
-    item = (c("depth") == 1) & (c("p1").isin("(", ",")) & c("name").isNotNull() & ~c("u").isin(_NOT_COLUMNS) & ~c("n1").isin(",", ")")
-    return tok.groupBy("tid", "stmt").agg(
-        F.bool_or((c("rn") == 1) & (c("u") == "CREATE")).alias("is_create"),
-        (F.min_by("u", F.when(c("u").isin("TABLE", "VIEW", "INDEX", "FUNCTION", "PROCEDURE", "SCHEMA", "DATABASE"), c("pos"))) == "TABLE").alias("is_table"),
-        (F.count_if(c("u") == "(") == F.count_if(c("u") == ")")).alias("balanced"),
-        name.alias("table_name"),
-        F.transform(F.array_sort(F.collect_list(F.when(item, F.struct("pos", "name")))), lambda x: x["name"]).alias("cols"),
-    )
+    rows = ddl.where("sql IS NOT NULL").groupBy("ddl_id").agg(F.collect_list(F.struct(dialect.alias("dialect"), "sql")).alias("rows"))
+    lexed = lambda r: F.struct(r["dialect"].alias("dialect"), F.transform(tokens(r["sql"], r["dialect"]), bare).alias("cut"))
+    t = rows.select("ddl_id", F.transform("rows", lexed).alias("rows"))
+    each = lambda entry: f"transform(rows, r -> struct(r.dialect AS dialect, transform(r.cut, c -> {entry}) AS cut)) AS rows"
+    t = t.selectExpr("ddl_id", each("struct(c AS text, if(c = '==', '=', upper(c)) AS u)"))
+    t = t.selectExpr("ddl_id", each(f"struct(c.text AS text, c.u AS u, {T.kind_of('c.', 'r.dialect')} AS kind)"))
+    # a comment keeps its place without a token
+    shown = lambda value: F.expr(f"transform(rows, r -> transform(r.cut, c -> {value}))")
+    # one walk a text: the optimizer would repeat a deterministic one in the filter
+    found = t.select("ddl_id", walk.asNondeterministic()(shown("if(c.kind = 'comment', NULL, c.u)"), shown(T.name_of("c."))).alias("statements"))
+    return found.where("size(statements) > 0")
 
 
 def catalog_from_ddl(ddl: DataFrame, dialect: str = K.DIALECTS[0]) -> tuple[DataFrame, DataFrame]:
@@ -112,13 +163,13 @@ def catalog_from_ddl(ddl: DataFrame, dialect: str = K.DIALECTS[0]) -> tuple[Data
     Only CREATE TABLE with columns counts; everything else is counted as skipped. Texts of any length are read, each in
     its row's dialect or else in ``dialect``.
     """
-    c = F.col
-    st = _ddl_statements(ddl, dialect)
-    ok = F.coalesce(c("is_create") & c("is_table") & c("balanced") & c("table_name").isNotNull() & (F.size("cols") > 0), F.lit(False))
-    catalog = st.where(ok).select(c("tid").alias("ddl_id"), "table_name", F.posexplode("cols").alias("i", "column_name")).select(
-        "ddl_id", "table_name", "column_name", (c("i") + 1).alias("ordinal")
+    ok = lambda x: f"coalesce({x}is_create AND {x}is_table AND {x}balanced AND {x}table_name IS NOT NULL AND size({x}cols) > 0, false)"
+    st = cut(_ddl_statements(ddl, dialect))  # read for the catalog and for the counts
+    one = st.select("ddl_id", F.inline("statements")).where(ok(""))
+    catalog = one.select("ddl_id", "table_name", F.posexplode("cols").alias("i", "column_name")).select(
+        "ddl_id", "table_name", "column_name", (F.col("i") + 1).alias("ordinal")
     )
-    skipped = st.groupBy(c("tid").alias("ddl_id")).agg(F.count_if(~ok).alias("skipped"))
+    skipped = st.selectExpr("ddl_id", f"CAST(size(filter(statements, x -> NOT {ok('x.')})) AS BIGINT) AS skipped")
     return catalog, skipped
 
 
