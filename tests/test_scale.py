@@ -18,3 +18,27 @@ def test_ddl_is_read_without_sorting_tokens(spark):
         (1, "a", "id", 1), (1, "a", "amt", 2), (1, "b", "x", 1), (9, "t", "a", 1), (9, "t", "b", 2), (None, "q", "z", 1),
     ]))
     assert {r["ddl_id"]: r["skipped"] for r in skipped.collect()} == {1: 1, 2: 2, 8: 3, 9: 0, None: 0}
+
+
+def test_fixes_keep_edits_and_no_tokens(spark, monkeypatch):
+    from queryscope.operators import fixes as X
+    from queryscope.plans import tokens as T
+
+    kept, walked, real_cut, real_tokens = [], [], X.cut, T.scoped_tokens
+    monkeypatch.setattr(X, "cut", lambda df: kept.append(df.columns) or real_cut(df))
+    monkeypatch.setattr(T, "scoped_tokens", lambda texts, only=None: walked.append(only) or real_tokens(texts, only))
+    log = spark.createDataFrame([
+        (1, "postgres", "SELECT a FROM t WHERE x = NULL AND NULL <> y"), (2, "postgres", "SELECT CASE WHEN a = 1 THEN 2 END FROM t -- noqa: case without ELSE"),
+        (3, "postgres", "SELECT DISTINCT a FROM t WHERE b = NULL GROUP BY a"), (4, "postgres", "SELECT t.u.a FROM t"), (None, "postgres", "SELECT a FROM t WHERE x = NULL"), (5, "postgres", None),
+    ], "query_id long, dialect string, sql string")
+    keyed = T.normalise_log(log)
+    assert X.fix_texts(T.distinct_texts(keyed), ("x01",)).count() == 3
+    assert [set(c) for c in kept] == [{"tid", "pos", "new", "before", "after", "drop_ws", "gap"}] and None not in walked
+    got = {r["query_id"]: (r["fixed_sql"], r["fixed_titles"]) for r in X.apply_auto_fixes(log).collect()}
+    assert got == {
+        1: ("SELECT a FROM t WHERE x IS NULL AND y IS NOT NULL", ["`!= NULL` never matches", "`= NULL` never matches"]),
+        3: ("SELECT a FROM t WHERE b IS NULL GROUP BY a", ["Redundant DISTINCT with GROUP BY", "`= NULL` never matches"]),
+        4: ("SELECT u.a FROM t", ["Table alias leaked into a column qualifier"]),
+        None: ("SELECT a FROM t WHERE x IS NULL", ["`= NULL` never matches"]),
+    }
+    assert not any({"u", "clause"} <= set(c) for c in kept)
