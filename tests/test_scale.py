@@ -42,3 +42,20 @@ def test_fixes_keep_edits_and_no_tokens(spark, monkeypatch):
         None: ("SELECT a FROM t WHERE x IS NULL", ["`= NULL` never matches"]),
     }
     assert not any({"u", "clause"} <= set(c) for c in kept)
+
+
+def test_walk_is_handed_what_it_reads(spark):
+    from queryscope.plans import tokens as T
+
+    odd = "SELECT É, ñ, E'a', \"q.r\", 0x1F, $1, 'x' -- c\nFROM t WHERE _a == 1"
+    keyed = T.normalise_log(spark.createDataFrame([(1, "postgres", odd)], "query_id long, dialect string, sql string"))
+    few = T.fact_table(T.distinct_texts(keyed), ["pos", "scope", "ckw"])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("substring_index", "breaks", "inner,", "lead", "width"))
+    assert [r["ckw"] for r in few.where("ckw IS NOT NULL").orderBy("pos").collect()] == ["SELECT", "FROM", "WHERE"]
+    got = T.fact_table(T.distinct_texts(keyed), ["pos", "u", "kind", "name", "line"]).orderBy("pos").collect()
+    assert [(r["u"], r["kind"], r["name"], r["line"]) for r in got if r["u"] != ","] == [
+        ("SELECT", "kw", None, 1), ("É", "word", "É", 1), ("Ñ", "word", "ñ", 1), ("E'A'", "str", None, 1), ('"Q.R"', "quoted", "r", 1), ("0X1F", "num", None, 1),
+        ("$1", "str", None, 1), ("'X'", "str", None, 1), ("FROM", "kw", None, 2), ("T", "word", "t", 2), ("WHERE", "kw", None, 2), ("_A", "word", "_a", 2),
+        ("=", "op", None, 2), ("1", "num", None, 2),
+    ]
