@@ -30,6 +30,8 @@ from queryscope.session import cut
 #: labelled rows that the model is fitted on, at most about
 SAMPLE_ROWS = 20_000
 PAIRS_PER_DOC = 12
+#: pairs whose differences are held at once while the model is fitted
+BLOCK = 4096
 THRESHOLD = 0.3
 
 _SYMBOLS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
@@ -98,14 +100,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _newton(diff: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Weights that minimise mean log(1 + exp(-diff @ w)) + ridge / 2 * |w|^2."""
-    w = np.zeros(diff.shape[1])
+def _newton(z: np.ndarray, up: np.ndarray, down: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
+    """Weights that minimise mean log(1 + exp(-(z[up] - z[down]) @ w)) + ridge / 2 * |w|^2; pairs are built in blocks, never all at once."""
+    size, n = z.shape[1], len(up)
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -500, 500)))
-        grad = ridge * w - diff.T @ p / len(diff)
-        h = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, grad)
+        grad, h = np.zeros(size), np.zeros((size, size))
+        for k in range(0, n, BLOCK):
+            diff = z[up[k : k + BLOCK]] - z[down[k : k + BLOCK]]
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -500, 500)))
+            grad += diff.T @ p
+            h += (diff * (p * (1 - p))[:, None]).T @ diff
+        grad = ridge * w - grad / n
+        step = np.linalg.solve(h / n + ridge * np.eye(size), grad)
         step *= min(1.0, 5 / max(1e-12, np.abs(step).max()))
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -126,7 +133,7 @@ def fit_arrays(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS_PER_DOC, thresho
     rng = np.random.default_rng(11)
     up = np.concatenate([np.repeat(good, pairs), rng.choice(good, len(bad) * pairs)])
     down = np.concatenate([rng.choice(bad, len(good) * pairs), np.repeat(bad, pairs)])
-    w = _newton(z[up] - z[down])
+    w = _newton(z, up, down)
     s = z @ w
     cut = float(np.quantile(s, len(bad) / len(y)))
     odds = np.log(threshold / (1 - threshold))
@@ -154,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = table.column("_y").to_numpy().astype(float)
     if not len(y):
         return fit_arrays(np.zeros((0, 0)), y)
-    x = np.array(table.column("f").to_pylist(), float)
+    x = table.column("f").combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     order = np.lexsort((*x.T[::-1], y, table.column("_id").to_numpy()))  # repeated ids in a fixed order too
     return fit_arrays(x[order], y[order])
 

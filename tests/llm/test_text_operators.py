@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -291,6 +292,18 @@ def test_quality_threshold_is_a_quantile():
     assert ((model.score(x) >= quality.THRESHOLD) == (y == 1)).mean() > 0.9
 
 
+def test_quality_pairs_are_never_held_all_at_once():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(5000, 49))
+    y = (x[:, 0] + rng.normal(size=5000) > 0).astype(float)
+    tracemalloc.start()
+    model = quality.fit_arrays(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * x.nbytes  # the differences of all pairs alone would be 12 times the rows
+    assert model.weights[0] > 3 * np.abs(model.weights[1:]).max()
+
+
 def test_quality_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (3, 0), (None, 1)], "doc_id long, quality int")
     for few in (labels, labels.limit(0), labels.where("quality = 1")):
