@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,24 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(span)) < int(span * (rows / total)))
 
 
+def give_back() -> None:
+    """Return memory that is free again to the system; the allocators of Arrow and C keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for tasks whose worker goes on to other operators: what the task held is given back when it ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """Texts of a batch, null as the empty text."""
     return pc.fill_null(batch.column(column), "").to_pylist()
@@ -118,7 +137,7 @@ def numbered_locally(df: DataFrame, group: str, value: str | None = None, ordere
                 yield replace_columns(b, names, _tid=pa.array(np.full(b.num_rows, tid, np.int32)), _k=pa.array(ks))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return cut(df.mapInArrow(number, f"{schema}, _tid int, _k bigint"))
+    return cut(df.mapInArrow(lean(number), f"{schema}, _tid int, _k bigint"))
 
 
 def with_rank(rows: DataFrame, group: str, name: str, value: str | None = None, ordered: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import forget, kept, replace_columns, type_of
+from queryscope.llm.common import forget, kept, lean, replace_columns, type_of
 from queryscope.llm.wordhash import NOT_ALNUM, Words, chained, mix, runs_inside, slices
 
 WINDOW = 10
@@ -214,7 +214,7 @@ def find_hits(
                     b, kept_columns, _n=pa.array(n, pa.int64()), _hit=pa.array(hit, pa.list_(pa.int64())), _items=pa.array(names, pa.list_(pa.string()))
                 )
 
-        rows, first, block = rows.mapInArrow(run, schema), False, after
+        rows, first, block = rows.mapInArrow(lean(run), schema), False, after
         if after is not None:  # the next block needs the room: write what this one found, then let go of its patterns
             before = path
             rows, path = kept(rows)

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import bounded_sample, replace_columns, texts_of, type_of
+from queryscope.llm.common import bounded_sample, lean, replace_columns, texts_of, type_of
 
 #: labelled rows that the model is fitted on, at most about
 SAMPLE_ROWS = 24_000
@@ -166,7 +166,7 @@ def _counts(rows: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 yield from out()
         yield from out()
 
-    part = rows.select(lang_col, text_col).mapInArrow(run, "lang string, n int, gram string, k bigint")
+    part = rows.select(lang_col, text_col).mapInArrow(lean(run), "lang string, n int, gram string, k bigint")
     return part.groupBy("lang", "n", "gram").agg(F.sum("k").alias("k"))
 
 
@@ -215,4 +215,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
             yield replace_columns(b, keep, **new)
 
     schema = ", ".join(f"`{c}` {type_of(rows, c)}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double{', evidence double' if evidence else ''}")
+    return rows.mapInArrow(lean(run), f"{schema}, lang_pred string, score double{', evidence double' if evidence else ''}")

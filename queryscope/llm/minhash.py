@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import forget, kept, stored, texts_of, type_of
+from queryscope.llm.common import forget, kept, lean, stored, texts_of, type_of
 from queryscope.llm.components import connected
 from queryscope.llm.wordhash import WHITE, Words, chained, mix, runs_inside, slices
 from queryscope.session import cut
@@ -122,7 +122,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
                     names=["node", "n", "s", "x", "sig"],
                 )
 
-    return own.mapInArrow(run, "node bigint, n bigint, s bigint, x bigint, sig binary")
+    return own.mapInArrow(lean(run), "node bigint, n bigint, s bigint, x bigint, sig binary")
 
 
 def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -143,7 +143,7 @@ def band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
                 [pa.array(keys.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(node, bands))], names=["key", "band", "node"]
             )
 
-    return reps.select("node", "sig").mapInArrow(run, "key bigint, band int, node bigint")
+    return reps.select("node", "sig").mapInArrow(lean(run), "key bigint, band int, node bigint")
 
 
 def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -157,7 +157,7 @@ def packed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             packed = [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) if x else b"" for x in raw]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(packed, pa.binary())], names=["node", "t"])
 
-    return own.mapInArrow(run, "node bigint, t binary")
+    return own.mapInArrow(lean(run), "node bigint, t binary")
 
 
 def unpacked(column: pa.Array) -> pa.Array:
@@ -193,7 +193,7 @@ def confirm(pairs: DataFrame, heads: DataFrame, texts: DataFrame, size: int, per
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     met = pairs.join(named("u"), "u").join(named("v"), "v").join(a, "repu").join(b, "repv")
-    return met.select("u", "v", "nu", "xu", "tu", "nv", "xv", "tv").mapInArrow(run, "u bigint, v bigint")
+    return met.select("u", "v", "nu", "xu", "tu", "nv", "xv", "tv").mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def _near(percent: int, n: int) -> int:
@@ -217,7 +217,7 @@ def signature_test(pairs: DataFrame, reps: DataFrame, percent: int, n: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(ok))
 
     joined = pairs.join(a, "u").join(b, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
-    return joined.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint")
+    return joined.select("u", "v", "su", "sv").mapInArrow(lean(run), "u bigint, v bigint")
 
 
 def _candidates(t: pa.Table, sig: np.ndarray, percent: int, bands: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import Recent, numbered_locally, replace_columns, texts_of, type_of, with_rank
+from queryscope.llm.common import Recent, lean, numbered_locally, replace_columns, texts_of, type_of, with_rank
 from queryscope.llm.tokencount import _SIMPLE, _SIMPLE_WORDS, END, chunks_of, simple_cut
 
 CAPACITY = 4096
@@ -316,7 +316,7 @@ def pieces(docs: DataFrame, path: str, keep: list[str], text_col: str = "text",
             _encoders[path].rest()
 
     schema = ", ".join(f"`{c}` {type_of(rows, c)}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, piece int, start bigint, length bigint, ids binary")
+    return rows.mapInArrow(lean(run), f"{schema}, piece int, start bigint, length bigint, ids binary")
 
 
 def pack(cut_up: DataFrame, capacity: int = CAPACITY, backtracks: int = BACKTRACKS) -> DataFrame:
@@ -333,7 +333,7 @@ def pack(cut_up: DataFrame, capacity: int = CAPACITY, backtracks: int = BACKTRAC
             yield replace_columns(b, names, sequence_id=pa.array(s), offset=pa.array(o))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut_up.schema.fields)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(lean(run), f"{schema}, sequence_id bigint, offset bigint")
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from queryscope.llm.common import bounded_sample, replace_columns, texts_of, type_of
+from queryscope.llm.common import bounded_sample, lean, replace_columns, texts_of, type_of
 from queryscope.session import cut
 
 #: labelled rows that the model is fitted on, at most about
@@ -80,7 +80,7 @@ def feature_rows(rows: DataFrame, keep: list[str], text_col: str) -> DataFrame:
             yield replace_columns(b, keep, f=pa.array([features(t) for t in texts_of(b, text_col)], pa.list_(pa.float64())))
 
     schema = ", ".join(f"`{c}` {type_of(own, c)}" for c in keep)
-    return own.mapInArrow(run, f"{schema}, f array<double>")
+    return own.mapInArrow(lean(run), f"{schema}, f array<double>")
 
 
 @dataclass
@@ -177,4 +177,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
             yield replace_columns(b, keep, score=pa.array(s), predicted=pa.array((s >= THRESHOLD).astype(np.int32)))
 
     schema = ", ".join(f"`{c}` {type_of(rows, c)}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    return rows.mapInArrow(lean(run), f"{schema}, score double, predicted int")

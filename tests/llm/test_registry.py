@@ -28,3 +28,23 @@ def test_oracles(spark):
         names = [c[0] for c in cursor.description]
         assert sorted(names) == sorted(frame.columns)
         assert sorted(cursor.fetchall(), key=repr) == sorted((tuple(r) for r in frame.select(*names).collect()), key=repr), name
+
+
+def test_task_gives_back_what_it_held(monkeypatch):
+    """When the memory of a worker is returned, the task's own objects are gone already."""
+    import weakref
+
+    from queryscope.llm import common
+
+    class Held(list):
+        pass
+
+    seen = []
+
+    def run(batches):
+        held = Held(batches)
+        seen.append(weakref.ref(held))
+        yield from held
+
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(seen[0]() is None))
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2] and seen[1:] == [True]
