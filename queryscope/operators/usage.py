@@ -12,7 +12,7 @@ from queryscope.plans import tokens as T
 def _facts(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(copies per text, statement facts of the distinct texts)."""
     texts = T.distinct_texts(T.normalise_log(log))
-    return texts.select("tid", "copies"), T.statements(T.scoped_tokens(texts), ())  # names are read, no facts of segments on demand
+    return texts.select("tid", "copies"), T.statements(T.whole(texts), ())  # names are read, no facts of segments on demand
 
 
 def unknown_tables_ranked(log: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def unused_catalog(log: DataFrame, catalog: DataFrame) -> DataFrame:
 def column_map(log: DataFrame) -> DataFrame:
     """query_id, table_name, columns, unresolved: what each query reads from each table."""
     keyed = T.normalise_log(log)
-    st = T.statements(T.scoped_tokens(T.distinct_texts(keyed)), ())
+    st = T.statements(T.whole(T.distinct_texts(keyed)), ())
     refs = R.column_refs(st)
     lost = refs.groupBy("tid").agg(F.bool_or(F.col("table_name").isNull()).alias("unresolved"))
     per = refs.where("table_name IS NOT NULL").groupBy("tid", "table_name").agg(

@@ -104,7 +104,7 @@ def _(t):
 @query("l42_decorrelation_risk", values_sql([(i, r) for i, (_, r) in enumerate(DECORRELATION)], ["risk"], len(DECORRELATION)))
 def _(t):
     ids, texts = _keyed(t, [s for s, _ in DECORRELATION])
-    st = T.statements(T.scoped_tokens(texts), R.read_by(R.correlation_risk()))
+    st = T.statements(T.whole(texts), R.read_by(R.correlation_risk()), R.read_columns(R.correlation_risk()))
     risk = st.groupBy("tid").agg(F.expr(f"bool_or({R.correlation_risk()}) AS risk"))
     return ids.join(risk, "tid").select("query_id", "risk")
 
